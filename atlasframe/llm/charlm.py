@@ -1,0 +1,78 @@
+"""Byte n-grams over a small alphabet, packed into integers, and Kneser-Ney estimates over their counts.
+
+An alphabet of 64 classes needs six bits a character. So the number of n-grams of order n is at most 64^n
+whatever the corpus holds, which bounds every table that is counted, sent to tasks or collected here.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+BITS = 6
+SIZE = 1 << BITS
+
+
+def folded_alphabet() -> np.ndarray:
+    """Classes without case: blank for all that is no letter, a to z, and the bytes of other scripts."""
+    table = np.zeros(256, np.uint32)
+    for b in range(256):
+        if 97 <= b <= 122:
+            table[b] = b - 96
+        elif 65 <= b <= 90:
+            table[b] = b - 64
+        elif b >= 128:
+            table[b] = 27 + b % 37
+    return table
+
+
+def cased_alphabet() -> np.ndarray:
+    """Classes with case, digits and punctuation, for judging how a text is written."""
+    table = np.zeros(256, np.uint32)
+    marks = {32: 0, 9: 0, 10: 1, 13: 1, ord("."): 2, ord(","): 3, ord("!"): 4, ord("?"): 4, ord("|"): 5, ord("'"): 6, ord("-"): 6, ord(":"): 7, ord(";"): 7}
+    for b in range(256):
+        if b in marks:
+            table[b] = marks[b]
+        elif 97 <= b <= 122:
+            table[b] = 9 + b - 97
+        elif 65 <= b <= 90:
+            table[b] = 35 + (b - 65) // 2
+        elif 48 <= b <= 57:
+            table[b] = 48
+        elif b >= 128:
+            table[b] = 49 + b % 15
+        else:
+            table[b] = 8
+    return table
+
+
+def ngrams(data: bytes, table: np.ndarray, order: int, merge_blanks: bool = False) -> np.ndarray:
+    """One packed n-gram per character of ``data``; the text is thought to follow blanks."""
+    classes = table[np.frombuffer(data, np.uint8)]
+    if merge_blanks and len(classes):
+        classes = classes[(classes != 0) | np.append(True, classes[:-1] != 0)]
+    out = classes.copy()
+    for k in range(1, order):
+        out[k:] |= classes[:-k] << np.uint32(BITS * k)
+    return out
+
+
+def interpolated(counts: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Interpolated Kneser-Ney probabilities of all n-grams of orders 1 to ``order`` from dense counts of the highest.
+
+    Returns, by order, the probabilities and the interpolation weights of their contexts.
+    """
+    levels = [counts.astype(np.float64)]
+    for _ in range(order - 1):  # lower orders count the different characters that stand before
+        levels.append((levels[-1].reshape(SIZE, -1) > 0).sum(axis=0).astype(np.float64))
+    p, all_p, all_gamma = np.full(1, 1 / SIZE), [], []
+    for c in levels[::-1]:
+        n1, n2 = (c == 1).sum(), (c == 2).sum()
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        by_context = c.reshape(-1, SIZE)
+        total = by_context.sum(axis=1)
+        gamma = np.where(total > 0, d * (by_context > 0).sum(axis=1) / np.maximum(total, 1), 1.0)
+        lower = np.tile(p, SIZE).reshape(-1, SIZE) if len(p) > 1 else np.full((1, SIZE), p[0])
+        p = (np.maximum(by_context - d, 0) / np.maximum(total, 1)[:, None] + gamma[:, None] * lower).ravel()
+        all_p.append(p)
+        all_gamma.append(gamma)
+    return all_p, all_gamma

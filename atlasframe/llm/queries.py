@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module of this package that holds it.
 MODULES = {
     "op1_packing": "packing",
+    "op3_language_id": "langid",
     "op7_token_counts": "token_counts",
+    "op9_media_columns": "media",
+    "op10_license_scan": "licenses",
 }
 
 
