@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_packing": "packing",
     "op3_language_id": "langid",
+    "op6_mixing": "mixing",
     "op7_token_counts": "token_counts",
     "op9_media_columns": "media",
     "op10_license_scan": "licenses",
