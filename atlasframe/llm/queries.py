@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_packing": "packing",
     "op3_language_id": "langid",
+    "op4_embedding_dedup": "embeddings",
+    "op5_quality_classifier": "quality",
     "op6_mixing": "mixing",
     "op7_token_counts": "token_counts",
     "op9_media_columns": "media",
