@@ -126,8 +126,9 @@ def identify(docs: DataFrame, training: Column, sharpness: float = SHARPNESS, re
             )
 
     scored = checkpoint(rows.select("doc_id", "text", "lang", "_training").mapInArrow(run, f"{SCORES}, lang string, _training boolean"))
+    # At most a row for each language that the models hold.
     limits = scored.where("_training and lang = lang_pred").groupBy(F.col("lang").alias("_of")).agg(F.percentile_approx("cross_entropy", reject_above, 10000).alias("_most"))
-    return scored.join(limits, scored.lang_pred == limits["_of"], "left").select(
+    return scored.join(F.broadcast(limits), scored.lang_pred == limits["_of"], "left").select(
         "doc_id", (~F.col("_training")).alias("held_out"), "lang_pred", "score", "cross_entropy", F.coalesce(F.col("cross_entropy") > F.col("_most"), F.lit(True)).alias("rejected")
     )
 

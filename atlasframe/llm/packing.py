@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,16 @@ GROUP_PIECES = 1 << 18
 #: Sequence ids are task * SEQUENCES_PER_TASK + the task's own count.
 SEQUENCES_PER_TASK = 1 << 40
 #: Words whose ids a worker remembers; beyond that it forgets them all.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 800_000
+#: Letters of these ranges, digits and blanks may stand beside a mark that is set off as a word of its own.
+BESIDE = r"a-z0-9 \nÀ-ÖØ-öø-ɏ"
+UNEVEN_MARK = re.compile(rf"[.,](?![{BESIDE}]|\Z)|(?<![{BESIDE}])[.,]")
 
 
 class WordIds:
     """Token ids by blank-separated word.
 
-    Only for tokenizers that never join text across white space (they drop it), such as
+    Only for tokenizers that drop white space, fold case and keep runs of marks together, such as
     ``word_bpe_49k.json``: there the ids of a text are the ids of its words in a row. Each new word goes
     through the tokenizer once; the ids of all words lie in one array, from which texts are gathered.
     """
@@ -34,6 +40,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -42,22 +51,38 @@ class WordIds:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.encode(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        """Words of plain letters go through the tokenizer many at once: each ends with a token that ends a word."""
+        plain, other = [], []
+        for w in words:
+            (plain if w.isalpha() and max(w) <= "ÿ" else other).append(w)
+        joined = self.encode([" ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in joined)])
+        lengths = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+        found = [e.ids for e in self.encode(other, add_special_tokens=False)]
+        lengths = np.concatenate([lengths, np.fromiter(map(len, found), np.int64, len(found))])
+        assert len(lengths) == len(words)
+        ids = np.concatenate([ids, np.array([i for x in found for i in x], np.uint32)])
+        self.known.update(zip(plain + other, range(len(self.known), len(self.known) + len(words))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, ids])
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Blank-separated words with A-Z in lower case; full stops and commas that stand alone beside words are words."""
+        text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if not UNEVEN_MARK.search(text):
+            text = text.replace(",", " ,").replace(".", " .")
+        return text.split(" ")
 
     def of(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED_WORDS:
             self.forget()
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in batch]
-        flat = [w for words in split for w in words]
-        new = list(dict.fromkeys(w for w in flat if w not in self.known))
+        split = list(map(self.split, batch))
+        flat = list(chain.from_iterable(split))
+        new = set(flat).difference(self.known)
         if new:
-            self.learn(new)
+            self.learn(list(new))
         codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         lengths = self.lengths[codes]
         ends = np.cumsum(lengths)
@@ -66,6 +91,12 @@ class WordIds:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, so that later tasks know the words of earlier ones."""
+    return WordIds(path)
+
+
 class OpenWindows:
     """Open windows by remaining capacity under a segment tree over the capacities 0 to ``window``."""
 
@@ -131,7 +162,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         from pyspark import TaskContext
 
         first, used = TaskContext.get().partitionId() * SEQUENCES_PER_TASK, 0
-        words, rows = WordIds(tokenizer_path), []
+        words, rows = word_ids(tokenizer_path), []
 
         def placed() -> pa.RecordBatch:
             nonlocal used

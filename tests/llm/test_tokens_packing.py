@@ -16,7 +16,7 @@ from atlasframe.llm.token_counts import count_tokens
 SCHEMA = "doc_id long, text string, source string, n_tokens string, offset string"
 ODD = [
     None, "", " ", "\n\n  \t x", "aaaa aaaaa aaaaaaa", "can't won't I'LL they've", "été ÉTÉ naïve Straße", "日本語 テキスト 123 4567 ٣٤", "a  b   c    \n\n\n d ",
-    "<|endoftext|>", "x<|endoftext|><|endoftext|> y <|startoftext|>z", "é ́x  y z　w\x85q\x1cr", "😀😀 🏳️‍🌈!!!??? ###$$$", "=" * 3000, "ab" * 4000, "word " * 9000, "x\r\ny\x0bz\x0c",
+    "<|endoftext|>", "x<|endoftext|><|endoftext|> y <|startoftext|>z", "é ́x  y z　w\x85q\x1cr", "😀😀 🏳️‍🌈!!!??? ###$$$", "=" * 3000, "ab" * 4000, "word " * 9000, "it was 3.5, no. 4, été, a,b ...,end. x_y,z «q», r. the.", "ÀÉÎ ßÿ ªº µ Σας ΣΑΣ İ, ﬁ. A·b, c½. d", "x\r\ny\x0bz\x0c",
 ]
 
 
