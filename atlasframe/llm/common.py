@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,26 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Chunks of a partition that is sorted by ``keys``, cut between groups: (rows, where each group starts)."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        change = np.zeros(table.num_rows - 1, bool)
+        for key in keys:
+            values = table.column(key).to_numpy()
+            change |= values[1:] != values[:-1]
+        starts = np.append(0, np.flatnonzero(change) + 1)
+        held = table.slice(starts[-1])
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
 def with_blocks(df: DataFrame, key: list[str], members: Column, block_rows: int, ident: str) -> DataFrame:
     """Split large groups into pairs of blocks.
 

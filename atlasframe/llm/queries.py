@@ -15,6 +15,7 @@ MODULES = {
     "op5_quality_classifier": "quality",
     "op6_mixing": "mixing",
     "op7_token_counts": "token_counts",
+    "op8_minhash_dedup": "minhash",
     "op9_media_columns": "media",
     "op10_license_scan": "licenses",
 }
