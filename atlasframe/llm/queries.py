@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module of this package that holds it.
 MODULES = {
     "op1_packing": "packing",
+    "op2_suffix_dedup": "suffixes",
     "op3_language_id": "langid",
     "op4_embedding_dedup": "embeddings",
     "op5_quality_classifier": "quality",
