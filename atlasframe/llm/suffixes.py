@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atlasframe.llm.common import documents
 
@@ -99,11 +100,12 @@ def ragged(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def slice_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, bytes, bounds) of a slice's rows in order of ids and bytes, which is the same whenever the slice is read."""
-    rows = sorted(zip(table.column("doc_id").to_pylist(), (x or b"" for x in table.column("data").to_pylist())))
-    bounds = np.concatenate([[0], np.cumsum([len(x) for _, x in rows])]).astype(np.int64)
-    return np.array([i for i, _ in rows], np.int64), np.frombuffer(b"".join(x for _, x in rows), np.uint8), bounds
+def slice_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, bytes, bounds, rows) of a slice in order of ids and bytes, which is the same whenever the slice is read."""
+    given = list(zip(table.column("doc_id").to_pylist(), (x or b"" for x in table.column("data").to_pylist())))
+    order = sorted(range(len(given)), key=given.__getitem__)
+    bounds = np.concatenate([[0], np.cumsum([len(given[k][1]) for k in order])]).astype(np.int64)
+    return np.array([given[k][0] for k in order], np.int64), np.frombuffer(b"".join(given[k][1] for k in order), np.uint8), bounds, np.array(order, np.int64)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -177,16 +179,19 @@ def earlier_windows(data: np.ndarray, start: np.ndarray, windows: np.ndarray, do
     return found
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Remove from every text of ``docs`` (``doc_id``, ``text``) each byte of a LENGTH-byte string that also starts in a document with a smaller id.
 
     Strings are judged on the input as it comes; overlaps count; strings never cross documents. Null text is empty. Rows of one
-    ``doc_id`` are documents of one rank: they don't remove one another's bytes. Rows without id are left out; other columns
-    are ignored; no rows give no rows. Returns ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (binary).
+    ``doc_id`` are documents of one rank: they don't remove one another's bytes. Rows without id are left out; no rows give no rows.
+    Returns ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary) and the columns of ``carry``, by whatever
+    name; other columns are ignored.
 
     The texts are dealt to slices by one exchange, which all three steps read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).where("doc_id is not null")
+    carry = carry or []
+    own = [F.col(c).alias(f"_carried_{k}") for k, c in enumerate(carry)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"), *own).where("doc_id is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     slices = max(1, math.ceil(size / SLICE_BYTES))
     buckets = max(8, slices // 2)
@@ -200,7 +205,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def minimizers(table: pa.Table) -> pa.Table:
         number = table.column("slice")[0].as_py()
-        _, data, bounds = slice_of(table)
+        _, data, bounds, _ = slice_of(table)
         s = Stretches(data, bounds)
         order = np.argsort(s.key, kind="stable")
         key, doc = s.key[order], s.doc[order]
@@ -230,7 +235,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         out: dict[str, list] = {"bucket": [], "slice": [], "sure": [], "blob": []}
         if table.num_rows and len(hit):
             number = table.column("slice")[0].as_py()
-            ids, data, bounds = slice_of(table)
+            ids, data, bounds, _ = slice_of(table)
             s = Stretches(data, bounds)
             live = np.flatnonzero(hit[np.minimum(np.searchsorted(hit, s.key), len(hit) - 1)] == s.key)
             start, count, gram, doc = s.start[live], s.count[live], s.gram[live], s.doc[live]
@@ -316,7 +321,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.table({"slice": pa.array(out_slice, pa.int32()), "blob": pa.array(out_blob, pa.binary())})
 
     def removed(table: pa.Table, runs: pa.Table) -> pa.Table:
-        ids, data, bounds = slice_of(table) if table.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        ids, data, bounds, order = slice_of(table)
         cover = np.zeros(len(data) + 1, np.int32)
         for blob in runs.column("blob").to_pylist():
             at, windows = unpacked(blob, *RUNS)
@@ -329,13 +334,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             spans = int(np.count_nonzero(own[1:] & ~own[:-1])) + int(len(own) > 0 and own[0])
             rows.append((doc_id, len(text), int(own.sum()), spans, text[~own].tobytes()))
         types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
-        return pa.table({name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(types)})
+        carried = table.take(pa.array(order))
+        return pa.table({name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(types)} | {f"_carried_{k}": carried.column(f"_carried_{k}") for k in range(len(carry))})
 
     keys = sliced.groupBy("slice").applyInArrow(minimizers, "bucket int, slice int, keys binary, many binary")
     flagged = keys.groupBy("bucket").applyInArrow(repeated, "slice int, keys binary")
     given = sliced.groupBy("slice").cogroup(flagged.groupBy("slice")).applyInArrow(stretches, "bucket int, slice int, sure boolean, blob binary")
     runs = given.groupBy("bucket").applyInArrow(judged, "slice int, blob binary")
-    return sliced.groupBy("slice").cogroup(runs.groupBy("slice")).applyInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = T.StructType([*schema.fields, *(T.StructField(f"_carried_{k}", docs.schema[c].dataType) for k, c in enumerate(carry))])
+    out = sliced.groupBy("slice").cogroup(runs.groupBy("slice")).applyInArrow(removed, schema)
+    return out.withColumnsRenamed({f"_carried_{k}": c for k, c in enumerate(carry)})
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,44 @@
-"""A training-data pipeline over ``documents``: the stages of the operators in ``atlasframe.llm`` in a row."""
+"""A training-data pipeline over ``documents``: five operators of ``atlasframe.llm`` in a row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
-from atlasframe.llm import packing
-from atlasframe.llm.common import documents
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from atlasframe.llm import minhash, mixing, packing, quality, suffixes
+from atlasframe.llm.common import documents, ensure_checkpoint_dir
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps; it learns from those labelled good. Empty texts go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fitted = quality.QualityClassifier.fit(docs, quality.trusted_ids(labels))
+    return fitted.classify(docs).where("quality_keep").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates, and all others."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that earlier documents have; characters that a cut has halved go, and so do texts of which nothing is left."""
+    carried = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = suffixes.remove_repeats(docs, carried).withColumn("text", whole_characters(F.col("kept")))
+    return out.withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(*docs.columns)
+
+
+def whole_characters(data: Column) -> Column:
+    """Bytes as text; what a cut has left of a character becomes replacement marks, which are taken out."""
+    return F.regexp_replace(F.make_valid_utf8(data.cast("string")), "\ufffd", "")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, rare sources up to twice."""
+    return mixing.mix(docs, mixing.token_estimate(F.col("text")), repetition_limit=2.0).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,14 +47,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("pack", pack)]
+STAGES = [
+    ("quality", classify_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated strings", remove_repeated_strings),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
-#: No SQL: tokenizers can't be expressed in it.
+#: No SQL: it can't express tokenizers, nor the trained model.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's rows are written to the shared checkpoint folder and read from there by the next."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
