@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasframe.llm.common import checkpoint, connected_components, slices, with_blocks
+from atlasframe.llm.common import checkpoint, connected_components, slices, whole_groups, with_blocks
 
 TREES = 10
-LEAF_ROWS = 384
+LEAF_ROWS = 512
 #: Numbers (rows times dimensions) of the sample on which the split points are fitted; every row is indexed.
 SAMPLE_NUMBERS = 1_500_000
 #: Half the width of the overlap at a split, in standard deviations of the difference of a pair at the threshold.
-SPILL = 0.5
+SPILL = 0.25
 #: Rows of a block when a leaf can't be split (many equal vectors).
 BLOCK_ROWS = 2048
 
@@ -51,7 +51,8 @@ class Forest:
         return -self.leaves
 
     def cells(self, points: np.ndarray) -> list[np.ndarray]:
-        """The leaves that each row reaches, over all trees, ascending."""
+        """The leaves that each row reaches, over all trees, ascending; single precision will do on the way down."""
+        points = points.astype(np.float32)
         rows, leaves, open_ = [], [], [(root, np.arange(len(points))) for root in self.roots]
         while open_:
             node, index = open_.pop()
@@ -62,7 +63,7 @@ class Forest:
                 leaves.append(np.full(len(index), -node, np.int64))
                 continue
             direction, cut, left, right = self.nodes[node]
-            at = points[index] @ direction
+            at = points[index] @ direction.astype(np.float32)
             open_ += [(left, index[at <= cut + self.margin]), (right, index[at >= cut - self.margin])]
         row, leaf = np.concatenate(rows), np.concatenate(leaves)
         order = np.lexsort((leaf, row))
@@ -78,7 +79,29 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def linked_pairs(x: np.ndarray, y: np.ndarray, cells_x: list, cells_y: list, cell: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+class Memberships:
+    """The cells of some rows: all cells in a row, and where each row's begin."""
+
+    def __init__(self, flat: np.ndarray, bounds: np.ndarray):
+        self.flat, self.bounds = flat, bounds
+
+    def take(self, rows: np.ndarray) -> Memberships:
+        sizes = np.diff(self.bounds)[rows]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.bounds[rows] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return Memberships(self.flat[at], np.append(0, ends))
+
+    def matrix(self, columns: np.ndarray) -> np.ndarray:
+        """Rows by cells of ``columns`` (ascending): is the row in the cell?"""
+        row = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        at = np.minimum(np.searchsorted(columns, self.flat), len(columns) - 1)
+        hit = columns[at] == self.flat
+        out = np.zeros((len(self.bounds) - 1, len(columns)), np.float32)
+        out[row[hit], at[hit]] = 1
+        return out
+
+
+def linked_pairs(x: np.ndarray, y: np.ndarray, cells_x: Memberships, cells_y: Memberships, cell: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs at or over the threshold that meet in no earlier cell than ``cell``, so that each is found once."""
     i, j = np.nonzero(x @ y.T >= threshold)
     if same:
@@ -87,10 +110,10 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, cells_x: list, cells_y: list, cel
         return i, j
     ui, i_at = np.unique(i, return_inverse=True)
     uj, j_at = np.unique(j, return_inverse=True)
-    earlier = np.unique(np.concatenate([np.asarray(c)[np.asarray(c) < cell] for c in [*(cells_x[k] for k in ui), *(cells_y[k] for k in uj)]]))
+    of_i, of_j = cells_x.take(ui), cells_y.take(uj)
+    earlier = np.intersect1d(of_i.flat[of_i.flat < cell], of_j.flat[of_j.flat < cell])
     if len(earlier):
-        inside = [np.array([np.isin(earlier, c) for c in (cells[k] for k in u)], np.float32) for cells, u in ((cells_x, ui), (cells_y, uj))]
-        fresh = (inside[0] @ inside[1].T == 0)[i_at, j_at]
+        fresh = (of_i.matrix(earlier) @ of_j.matrix(earlier).T == 0)[i_at, j_at]
         i, j = i[fresh], j[fresh]
     return i, j
 
@@ -130,6 +153,8 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
         forests[dim] = Forest(matrix(sample.column("embedding")), n, threshold, trees, leaf_rows)
     given = spark.sparkContext.broadcast(forests)
 
+    key = ["dim", "cell", "block_a", "block_b"]
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
             table = pa.Table.from_batches([batch])
@@ -144,23 +169,33 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("_members"))
     units = with_blocks(placed.join(sizes.where("_members > 1"), ["dim", "cell"]), ["dim", "cell"], F.col("_members"), BLOCK_ROWS, "rep").drop("_members")
 
-    def compare(table: pa.Table) -> pa.Table:
-        a, b, cell = (table.column(c)[0].as_py() for c in ("block_a", "block_b", "cell"))
-        side = table.column("own").to_numpy()
-        rep, weight, cells = table.column("rep").to_numpy(), table.column("weight").to_numpy(), table.column("cells").to_pylist()
-        x = matrix(table.column("embedding"))
-        left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
-        i, j = linked_pairs(x[left], x[right], [cells[k] for k in left], [cells[k] for k in right], cell, threshold, a == b)
-        i, j = left[i], right[j]
-        order = np.argsort(rep)
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        label = rep[order][forest_labels(len(rep), place[i], place[j])][place]
-        links = np.bincount(i, weight[j], len(rep)) + np.bincount(j, weight[i], len(rep))
-        hit = np.flatnonzero(links)
-        return pa.table({"rep": rep[hit], "links": links[hit].astype(np.int64), "leader": label[hit]})
-
-    found = checkpoint(units.groupBy("dim", "cell", "block_a", "block_b").applyInArrow(compare, "rep long, links long, leader long"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, key):
+            lists = table.column("cells").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            offsets = lists.offsets.to_numpy()
+            cells = Memberships(lists.flatten().to_numpy(), (offsets - offsets[0]).astype(np.int64))
+            side, block_a, block_b, cell, rep, weight = (table.column(c).to_numpy() for c in ("own", "block_a", "block_b", "cell", "rep", "weight"))
+            out = []
+            for start, end in zip(starts, np.append(starts[1:], table.num_rows)):
+                x = matrix(table.column("embedding").slice(start, end - start))
+                own, a, b = side[start:end], block_a[start], block_b[start]
+                left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+                i, j = linked_pairs(x[left], x[right], cells.take(start + left), cells.take(start + right), cell[start], threshold, a == b)
+                if len(i):
+                    i, j, name, w = left[i], right[j], rep[start:end], weight[start:end]
+                    order = np.argsort(name)
+                    place = np.empty_like(order)
+                    place[order] = np.arange(len(order))
+                    label = name[order][forest_labels(len(name), place[i], place[j])][place]
+                    links = np.bincount(i, w[j], len(name)) + np.bincount(j, w[i], len(name))
+                    hit = np.flatnonzero(links)
+                    out.append((name[hit], links[hit].astype(np.int64), label[hit]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rep", "links", "leader"])
+
+    units = units.repartition(*key).sortWithinPartitions(*key)
+    found = checkpoint(units.mapInArrow(compare, "rep long, links long, leader long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("node", "rep")
     classed = classes.join(links, "rep", "left").join(components, "rep", "left").select(
