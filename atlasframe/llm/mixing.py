@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atlasframe.llm.common import documents
+from atlasframe.llm.common import checkpoint, documents
 
 #: Documents of a block on average; a pass over a source is a permutation of its blocks, then of each block's rows.
 BLOCK_DOCS = 2048
@@ -108,6 +108,6 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, re
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which rows are drawn, in which pass and place; the texts stay where they are."""
-    docs = documents(spark, sf_dir).select("doc_id", "source", token_estimate(F.col("text")).alias("n_tokens"))
+    """Which rows are drawn, in which pass and place; the texts are read once, for their token counts."""
+    docs = checkpoint(documents(spark, sf_dir).select("doc_id", "source", token_estimate(F.col("text")).alias("n_tokens")))
     return mix(docs, F.col("n_tokens"), repetition_limit=2.0).drop("n_tokens")
