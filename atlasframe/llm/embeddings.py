@@ -149,7 +149,9 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     classes = checkpoint(sound.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("embedding")))
     forests = {}
     for dim, n in classes.groupBy("dim").count().collect():  # one row for each dimension in use
-        sample = classes.where(F.col("dim") == dim).select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(max(1000, SAMPLE_NUMBERS // dim)).toArrow()
+        rows = max(1000, SAMPLE_NUMBERS // dim)
+        drawn = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(-(-n // rows))) == 0))
+        sample = drawn.select("embedding").limit(2 * rows).toArrow()
         forests[dim] = Forest(matrix(sample.column("embedding")), n, threshold, trees, leaf_rows)
     given = spark.sparkContext.broadcast(forests)
 

@@ -192,10 +192,11 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     carry = carry or []
     own = [F.col(c).alias(f"_carried_{k}") for k, c in enumerate(carry)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"), *own).where("doc_id is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)), F.count("*")).first()
     slices = max(1, math.ceil(size / SLICE_BYTES))
     buckets = max(8, slices // 2)
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.expr(f"substring(data, 1, {SAMPLE_BYTES})")).toPandas().iloc[:, 0]
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(max(1, n // SAMPLE_DOCS))) == 0)
+    sample = drawn.select(F.expr(f"substring(data, 1, {SAMPLE_BYTES})")).limit(2 * SAMPLE_DOCS).toPandas().iloc[:, 0]
     raw = [bytes(x or b"") for x in sample]
     s = Stretches(data := np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
     grams = np.sort(ragged(data, s.gram, np.full(len(s.gram), GRAM)).view(f"S{GRAM}")) if len(s.gram) else np.zeros(0, f"S{GRAM}")
