@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atlasframe.plans.checkpoints import checkpoint, ensure_checkpoint_dir
+
+__all__ = [
+    "checkpoint", "connected_components", "documents", "ensure_checkpoint_dir", "release_memory", "slices", "texts", "whole_groups", "with_blocks",
+]
+
 #: Rows of a slice of an Arrow batch that is turned into Python strings at once.
 SLICE_ROWS = 256
 
@@ -18,21 +24,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; a temporary one only where none is set (tests, one machine)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named is None and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="atlasframe-checkpoint-"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def release_memory() -> None:
+    """Give freed memory back to the machine: Python workers live on after a task, beside those of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -40,6 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    release_memory()
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -65,6 +64,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             yield table.slice(0, starts[-1]), starts[:-1]
     if held is not None:
         yield held, np.zeros(1, np.int64)
+    release_memory()
 
 
 def with_blocks(df: DataFrame, key: list[str], members: Column, block_rows: int, ident: str) -> DataFrame:

@@ -35,9 +35,10 @@ class WordIds:
     through the tokenizer once; the ids of all words lie in one array, from which texts are gathered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int):
         from tokenizers import Tokenizer
 
+        self.remember = remember
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         vocab = self.tokenizer.get_vocab()
@@ -76,7 +77,7 @@ class WordIds:
         return text.split(" ")
 
     def of(self, batch: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED_WORDS:
+        if len(self.known) > self.remember:
             self.forget()
         split = list(map(self.split, batch))
         flat = list(chain.from_iterable(split))
@@ -92,9 +93,9 @@ class WordIds:
 
 
 @lru_cache(1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remember: int) -> WordIds:
     """One for each Python worker, so that later tasks know the words of earlier ones."""
-    return WordIds(path)
+    return WordIds(path, remember)
 
 
 class OpenWindows:
@@ -148,13 +149,13 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return sequence, offset, used
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, remember: int = REMEMBERED_WORDS) -> DataFrame:
     """Pack every document of ``docs`` (``doc_id``, ``text``) into windows of at most ``window`` tokens.
 
     A document is its token ids and ``end_id``. What fills whole windows is cut off first; the rest of
     each document is placed by best-fit decreasing. Every task packs its own documents, so there is
     no shuffle and the padding is at most about a window's share per task. Null text counts as empty
-    (one piece that holds ``end_id``); repeated rows are packed each; no rows, no pieces; other columns are ignored.
+    (one piece that holds ``end_id``); ``remember`` words stay in each worker; repeated rows are packed each; no rows, no pieces; other columns are ignored.
     Returns a row per piece, see ``PIECES``.
     """
 
@@ -162,7 +163,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         from pyspark import TaskContext
 
         first, used = TaskContext.get().partitionId() * SEQUENCES_PER_TASK, 0
-        words, rows = word_ids(tokenizer_path), []
+        words, rows = word_ids(tokenizer_path, remember), []
 
         def placed() -> pa.RecordBatch:
             nonlocal used

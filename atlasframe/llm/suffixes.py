@@ -26,17 +26,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atlasframe.llm.common import documents
+from atlasframe.llm.common import documents, release_memory
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a slice on average.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Window starts that are worked on at once.
 CHUNK = 1 << 18
 #: Documents, and bytes of each, from which the splitters are sampled. They decide the balance of buckets, not the result.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 4096
 #: Suffixes that a bucket sorts at once (whole groups of a minimizer).
-SORTED_AT_ONCE = 1 << 19
+SORTED_AT_ONCE = 1 << 17
 
 _rng = np.random.default_rng(99)
 BYTE_VALUES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -217,9 +217,12 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
         key = key[starts]
         part = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         ends = np.searchsorted(part, np.arange(buckets + 1))
+        own = np.flatnonzero(ends[1:] > ends[:-1])  # no rows for empty parts, so there are never more rows than keys
+        cut = [(ends[k], ends[k + 1]) for k in own]
+        release_memory()
         return pa.table({
-            "bucket": pa.array(range(buckets), pa.int32()), "slice": pa.array([number] * buckets, pa.int32()),
-            "keys": pa.array([key[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()), "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+            "bucket": pa.array(own, pa.int32()), "slice": pa.array([number] * len(own), pa.int32()),
+            "keys": pa.array([key[a:b].tobytes() for a, b in cut], pa.binary()), "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in cut], pa.binary()),
         })
 
     def repeated(table: pa.Table) -> pa.Table:
@@ -269,6 +272,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
                     ragged(data, start[h], count[h] - 1 + LENGTH), count[h].astype("<u2"), (gram[h] - start[h]).astype("<u2"), kind[h].astype("<u8"), ids_of[h].astype("<i8"),
                     places[own].astype("<u4"), ragged(every, offset[own], places[own]).astype("<i8"),
                 ))
+        release_memory()
         return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "slice": pa.array(out["slice"], pa.int32()), "sure": pa.array(out["sure"], pa.bool_()), "blob": pa.array(out["blob"], pa.binary())})
 
     def judged(table: pa.Table) -> pa.Table:
@@ -319,6 +323,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
                 part, order = order[:g], order[g:]
                 out_slice.append(int(k))
                 out_blob.append(packed(at[part].astype("<i8"), windows[part].astype("<u4")))
+        release_memory()
         return pa.table({"slice": pa.array(out_slice, pa.int32()), "blob": pa.array(out_blob, pa.binary())})
 
     def removed(table: pa.Table, runs: pa.Table) -> pa.Table:
@@ -328,7 +333,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
             at, windows = unpacked(blob, *RUNS)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + windows - 1 + LENGTH, -1)
-        mask = np.cumsum(cover[:-1]) > 0
+        mask = np.cumsum(cover[:-1], dtype=np.int32) > 0
         rows = []
         for k, doc_id in enumerate(ids.tolist()):
             own, text = mask[bounds[k] : bounds[k + 1]], data[bounds[k] : bounds[k + 1]]
@@ -336,6 +341,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
             rows.append((doc_id, len(text), int(own.sum()), spans, text[~own].tobytes()))
         types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
         carried = table.take(pa.array(order))
+        release_memory()
         return pa.table({name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(types)} | {f"_carried_{k}": carried.column(f"_carried_{k}") for k in range(len(carry))})
 
     keys = sliced.groupBy("slice").applyInArrow(minimizers, "bucket int, slice int, keys binary, many binary")

@@ -44,7 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # The workers have other stages' memory to share: fewer remembered words.
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=150_000)
 
 
 STAGES = [
