@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atlasframe.functions import text as fn
 from atlasframe.operators import diff, graph, merge, resolve, search, tables, traces, validate
-from atlasframe.plans import rules
+from atlasframe.plans import rules, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -358,6 +358,21 @@ def rule_why(spark, sf_dir):
     return rules.why(rows, 'status == "O" && priority.startsWith("1")', "o_orderkey")
 
 
+@query(f"""with c as (select n_regionkey as context, l_suppkey as service, o_custkey as peer, min(case l_returnflag when 'N' then 0 when 'A' then 1 else 2 end) as best
+ from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2, 3)
+ select 'rpc' as rule, context, count(*) as problems from c where best = 2 group by 2""")
+def catalog_problems(spark, sf_dir):
+    """Which edges of the estate are unresolved, by context: suppliers call customers, regions are contexts."""
+    li, orders, supplier, nation = read(spark, sf_dir, "lineitem", "orders", "supplier", "nation")
+    status = F.when(F.col("l_returnflag") == "R", "unresolved").when(F.col("l_returnflag") == "A", "declared").otherwise("verified")
+    raw = li.join(orders, li.l_orderkey == orders.o_orderkey).join(supplier, li.l_suppkey == supplier.s_suppkey).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    raw = raw.select(F.col("n_regionkey").alias("context"), F.col("l_suppkey").alias("service"), F.col("o_custkey").cast("string").alias("peer"), status.alias("status"), F.lit("").alias("note"), F.col("l_orderkey").alias("source"))
+    calls = merge.raise_status(raw, ["context", "service", "peer"], "status", "note", ["source"])
+    rows = calls.select(F.concat_ws("/", "context", "service", "peer").alias("id"), "peer", (F.col("status") != "unresolved").alias("resolved"), F.lit(True).alias("peerKnown"), F.lit(True).alias("methodDeclared"))
+    found = rules.evaluate(rows, "call", [r for r in subjects.BUILTIN if r.over == "call"], "id")[0]
+    return found.groupBy("rule", F.substring_index("subject", "/", 1).cast("int").alias("context")).agg(F.count("*").alias("problems"))
+
+
 # Diff
 
 def _sides(spark, sf_dir, cut: str):
