@@ -11,6 +11,8 @@ from atlasframe.llm.common import checkpoint, documents
 
 #: Documents of a block on average; a pass over a source is a permutation of its blocks, then of each block's rows.
 BLOCK_DOCS = 2048
+#: Rows (sources times passes) up to which the plan is sent to all tasks; a longer one is joined by key.
+SENT_ROWS = 10_000
 
 
 def tempered(shares: dict[str, float], exponent: float) -> dict[str, float]:
@@ -93,7 +95,7 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, re
     passes = [(s, w, t, want, n, k, max(0, min(t, want - k * t))) for s, w, t, want, n in plan for k in range(max(1, math.ceil(want / t - 1e-9)))]
     sources = docs.sparkSession.createDataFrame(passes, "_source string, mix_weight double, _all long, _want long, _n long, mix_pass long, _quota long").where("_quota > 0")
 
-    drawn = rows.join(F.broadcast(sources), "_source")  # a row for each source and pass
+    drawn = rows.join(F.broadcast(sources) if len(passes) <= SENT_ROWS else sources, "_source")  # a row for each document and pass
     drawn = drawn.withColumn("_key", F.xxhash64(F.lit(seed), "mix_pass", "doc_id")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_pass", "doc_id"), F.col("_n")))
     blocks = drawn.groupBy("_source", "mix_pass", "_block").agg(F.sum("_tokens").alias("_sum"), F.first("_quota").alias("_quota"))
     order = Window.partitionBy("_source", "mix_pass").orderBy(F.xxhash64(F.lit(seed + 2), "mix_pass", "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
