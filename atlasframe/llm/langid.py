@@ -100,7 +100,7 @@ def identify(docs: DataFrame, training: Column, sharpness: float = SHARPNESS, re
 
     The models are at most 64^3 entries a language whatever the corpus holds, so they are sent to all tasks.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", training.alias("_training"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.coalesce(training, F.lit(False)).alias("_training"))
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     found = count_ngrams(rows.where("_training")).toPandas()
     for lang, group in found.groupby("lang"):

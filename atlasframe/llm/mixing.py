@@ -13,6 +13,7 @@ from atlasframe.llm.common import checkpoint, documents
 BLOCK_DOCS = 2048
 #: Rows (sources times passes) up to which the plan is sent to all tasks; a longer one is joined by key.
 SENT_ROWS = 10_000
+ADDED = ("mix_pass", "mix_tokens", "mix_position", "mix_weight")
 
 
 def tempered(shares: dict[str, float], exponent: float) -> dict[str, float]:
@@ -76,16 +77,17 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, re
     tokens to draw; without it, the least budget that reads every source whole at least once, so that no document is lost.
     A source is read in passes; each pass permutes blocks of its rows and the rows of each block; the last
     pass ends with the row that fills the source's budget. Repeated rows are rows of their own, told apart by nothing, so
-    ties share a place by chance of their columns; no rows give no rows. Added columns: ``mix_pass`` (from 0), ``mix_tokens``,
+    ties share a place by chance of their columns; no rows give no rows. Added columns, which replace any of their names: ``mix_pass`` (from 0), ``mix_tokens``,
     ``mix_position`` (0 to 1: order by it to interleave the sources evenly), ``mix_weight``.
 
     Only counts by source reach the driver. Sums run over blocks first, then within the one block of a source
     in which the budget ends, so that a source with most rows is no single task's work.
     """
-    rows = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("\0"))).withColumn("_tokens", tokens)
+    kept = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source"), tokens.alias("_tokens"), F.struct(*kept).alias("_row"))
     found = rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")).collect()
     if not found:
-        return docs.select("*", F.lit(0).cast("long").alias("mix_pass"), F.lit(0).cast("long").alias("mix_tokens"), F.lit(0.0).alias("mix_position"), F.lit(0.0).alias("mix_weight")).limit(0)
+        return docs.select(*kept, F.lit(0).cast("long").alias("mix_pass"), F.lit(0).cast("long").alias("mix_tokens"), F.lit(0.0).alias("mix_position"), F.lit(0.0).alias("mix_weight")).limit(0)
     total = sum(r.tokens for r in found)
     shares = {r["_source"]: r.tokens / total for r in found}
     weights = tempered(shares, bisected_exponent(shares, target_entropy, repetition_limit))
@@ -96,15 +98,14 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, re
     sources = docs.sparkSession.createDataFrame(passes, "_source string, mix_weight double, _all long, _want long, _n long, mix_pass long, _quota long").where("_quota > 0")
 
     drawn = rows.join(F.broadcast(sources) if len(passes) <= SENT_ROWS else sources, "_source")  # a row for each document and pass
-    drawn = drawn.withColumn("_key", F.xxhash64(F.lit(seed), "mix_pass", "doc_id")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_pass", "doc_id"), F.col("_n")))
+    drawn = drawn.withColumn("_key", F.xxhash64(F.lit(seed), "mix_pass", "_id")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_pass", "_id"), F.col("_n")))
     blocks = drawn.groupBy("_source", "mix_pass", "_block").agg(F.sum("_tokens").alias("_sum"), F.first("_quota").alias("_quota"))
     order = Window.partitionBy("_source", "mix_pass").orderBy(F.xxhash64(F.lit(seed + 2), "mix_pass", "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(order), F.lit(0))).where("_before < _quota").drop("_quota")
-    inside = Window.partitionBy("_source", "mix_pass", "_block").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    slim = drawn.select("doc_id", "_source", "mix_pass", "_block", "_key", "_tokens", "_quota", "_all", "_want", "mix_weight", *[c for c in docs.columns if c != "doc_id"])
-    placed = slim.join(blocks, ["_source", "mix_pass", "_block"]).withColumn("_before", F.col("_before") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
+    inside = Window.partitionBy("_source", "mix_pass", "_block").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = drawn.drop("_n").join(blocks, ["_source", "mix_pass", "_block"]).withColumn("_before", F.col("_before") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
     return placed.where("_before < _quota").select(
-        *docs.columns, "mix_pass", F.col("_tokens").alias("mix_tokens"),
+        "_row.*", "mix_pass", F.col("_tokens").alias("mix_tokens"),
         ((F.col("mix_pass") * F.col("_all") + F.col("_before")) / F.col("_want")).alias("mix_position"), "mix_weight",
     )
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from atlasframe.llm.mixing import bisected_exponent, entropy, mix, most_repeated, tempered
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, source string, n long, _block_ string"
+SCHEMA = "doc_id long, source string, n long, _tokens string, mix_pass string"
 
 
 @settings(max_examples=40, deadline=None)
@@ -25,7 +25,7 @@ def test_exponent_meets_its_limits(tokens, limit):
 
 
 def test_draws_fill_budgets(spark):
-    rows = [(i, "big" if i % 3 else "mid" if i % 2 else None, 1 + i % 7, "x") for i in range(6000)]
+    rows = [(i, "big" if i % 3 else "mid" if i % 2 else None, 1 + i % 7, "x", "y") for i in range(6000)]
     docs = spark.createDataFrame(rows, SCHEMA)
     out = mix(docs, F.col("n"), repetition_limit=1.5).collect()
     seen = Counter((r.source, r.mix_pass, r.doc_id) for r in out)
@@ -44,5 +44,5 @@ def test_draws_fill_budgets(spark):
 
 def test_odd_tables(spark):
     assert mix(spark.createDataFrame([], SCHEMA), F.col("n")).count() == 0
-    one = mix(spark.createDataFrame([(1, None, 5, "x"), (1, None, 5, "x"), (None, None, 5, None)], SCHEMA), F.col("n"))
-    assert one.count() == 3 and one.columns[:4] == ["doc_id", "source", "n", "_block_"]
+    one = mix(spark.createDataFrame([(1, None, 5, "x", "y"), (1, None, 5, "x", None), (None, None, 5, None, None)], SCHEMA), F.col("n"))
+    assert one.count() == 3 and one.columns[:4] == ["doc_id", "source", "n", "_tokens"]
