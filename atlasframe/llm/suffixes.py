@@ -214,8 +214,10 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
         many = np.zeros(len(starts), bool)
         if len(starts):
             many = np.logical_or.reduceat(np.append(False, (key[1:] == key[:-1]) & (doc[1:] != doc[:-1])), starts)
-        key = key[starts]
-        part = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        # Minimizers are least hashes, so they crowd near 0: buckets go by their mixed bits.
+        part = (mixed(key[starts]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        by = np.argsort(part, kind="stable")
+        key, many, part = key[starts][by], many[by], part[by]
         ends = np.searchsorted(part, np.arange(buckets + 1))
         own = np.flatnonzero(ends[1:] > ends[:-1])  # no rows for empty parts, so there are never more rows than keys
         cut = [(ends[k], ends[k + 1]) for k in own]
