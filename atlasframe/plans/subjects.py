@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasframe.functions.text import abbreviations
+from atlasframe.operators.shapes import field_differences, types_disagree
 from atlasframe.plans.rules import Rule, evaluate
 
 
@@ -98,6 +99,32 @@ def subjects(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
         F.coalesce("fkOwner", F.lit("")).alias("fkOwner"), F.coalesce("from", _none()).alias("from"), F.coalesce("foreignFrom", _none()).alias("foreignFrom"), F.coalesce("foreignOwners", _none()).alias("foreignOwners"), F.coalesce("maps", F.lit("")).alias("maps"),
     )
 
+    # Columns that claim a field of the persisted model, and whether the model has it.
+    fields = t["blocks"].select(F.col("aggregate").alias("_agg"), F.col("name").alias("_type"), F.explode("fields").alias("_f")).select("_agg", "_type", F.col("_f.name").alias("_field"), F.col("_f.type").alias("fieldType"))
+    claims = columns.where("maps is not null and aggregate is not null").select(F.concat("relation", F.lit("."), "name").alias("id"), "relation", F.col("aggregate").alias("_agg"), F.substring_index("maps", ".", 1).alias("_type"), F.get(F.split("maps", r"\."), F.lit(1)).alias("_field"), "type")
+    claimed = claims.join(fields, ["_agg", "_type", "_field"], "left")
+    matches = claimed.groupBy("id").agg(F.first("fieldType").alias("fieldType"), F.bool_or(F.coalesce(types_disagree(F.col("type"), F.col("fieldType")), F.lit(False))).alias("_bad"))
+    out["column"] = out["column"].join(matches, "id", "left").withColumn("typeMatches", ~F.coalesce("_bad", F.lit(False))).drop("_bad")
+    modelled = fields.select("_agg").distinct().withColumn("_modelled", F.lit(True))
+    held = claimed.join(modelled, "_agg", "left_semi").groupBy(F.col("relation").alias("id")).agg(F.count("*").alias("claimedColumns"), F.count("fieldType").alias("heldColumns"))
+    out["table"] = out["table"].join(held, "id", "left").withColumn("claimedColumns", F.coalesce("claimedColumns", F.lit(0))).withColumn("heldColumns", F.coalesce("heldColumns", F.lit(0)))
+
+    def messages(df: DataFrame) -> DataFrame:
+        return df.select("service", F.col("id").alias("interface"), F.explode("messages").alias("_m")).select("service", "interface", F.col("_m.name").alias("message"), F.explode("_m.fields").alias("_f")).select("service", "interface", "message", F.col("_f.name").alias("field"), F.col("_f.type").alias("type"))
+
+    copies = t["copies"].select("service", "context", F.col("id").alias("interface"), "source")
+    given = t["interfaces"].groupBy(F.col("id").alias("interface")).agg(F.count_distinct("service").alias("_n"), F.min("service").alias("provider")).where("_n = 1").drop("_n")
+    copies = copies.join(given, "interface").where("provider <> service").withColumn("copy", F.concat_ws(" < ", "interface", "service"))
+    mine = copies.select("copy", "service", "interface").join(messages(t["copies"]), ["service", "interface"])
+    theirs = copies.select("copy", F.col("provider").alias("service"), "interface").join(messages(t["interfaces"]), ["service", "interface"])
+    out["copy"] = copies.join(field_differences(mine, theirs), "copy", "left").select(F.col("copy").alias("id"), "service", "context", "provider", F.coalesce("differences", _none()).alias("differences"), "source")
+
+    exposed = t["operations"].select("aggregate", F.size(F.coalesce("exposedBy", _none())).alias("_e"), "kind")
+    per = exposed.groupBy(F.col("aggregate").alias("id")).agg(F.count_if(F.col("kind") == "command").alias("commands"), F.count_if(F.col("kind") == "query").alias("queries"), F.count_if(F.col("_e") == 0).alias("unexposed"))
+    made = t["events"].groupBy(F.col("aggregate").alias("id")).agg(F.count("*").alias("events"))
+    out["aggregate"] = t["aggregates"].join(per, "id", "left").join(made, "id", "left").select("id", "slug", "name", "root", "service", "context", zero("commands"), zero("queries"), zero("unexposed"), zero("events"))
+    out["operation"] = t["operations"].select(F.concat_ws("#", "aggregate", "id").alias("id"), F.col("id").alias("name"), "kind", "aggregate", "service", "context", F.coalesce("exposedBy", _none()).alias("exposedBy"), F.coalesce("emits", _none()).alias("emits"))
+
     by_path = t["services"].where("repo <> '' and path <> ''").groupBy("repo", "path").agg(F.count("*").alias("_n"), F.first("id").alias("_placed")).where("_n = 1").drop("_n")
     named = t["services"].select(F.col("id").alias("service"), F.lit(True).alias("_named"))
     out["deployment"] = t["deployments"].join(by_path, ["repo", "path"], "left").join(named, "service", "left").select(
@@ -128,6 +155,9 @@ BUILTIN = [
     Rule("cross-service-lineage", "column", "size(foreignFrom) > 0", 'id + " is filled from another service"', "warning"),
     Rule("cross-service-view", "table", 'kind == "view" && size(foreignReads) > 0', 'id + " reads relations of another service"', "error"),
     Rule("shared-store", "table", 'aggregateOwner != "" && aggregateOwner != owner && role != "projection"', 'id + " persists a model of " + aggregateOwner', "error"),
+    Rule("proto-drift", "copy", "size(differences) > 0", 'id + " differs from what " + provider + " publishes"', "error"),
+    Rule("persistence-drift", "table", "claimedColumns > heldColumns", 'id + " claims fields that its model has not"', "warning"),
+    Rule("column-type", "column", "!typeMatches", 'id + " is " + type + ", its field " + fieldType', "warning"),
     Rule("outbox-payload", "table", 'role == "outbox" && !hasPayload', 'id + " has no payload column"', "warning"),
     Rule("deployment-unclaimed", "deployment", "!claimed", 'name + " belongs to no service"', "warning"),
     Rule("deployment-drift", "deployment", "drifted", 'name + " differs in " + drift', "warning"),

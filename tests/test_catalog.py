@@ -77,6 +77,21 @@ def test_builtin_rules(estate):
     assert found == want
 
 
+def test_copies_and_mapped_columns(spark, tmp_path):
+    message = lambda *fields: [{"name": "Order", "fields": [{"name": n, "type": t} for n, t in fields]}]
+    fragment = {"contexts": [{"id": "c", "slug": "c", "name": "", "summary": "", "services": [
+        {"id": "c.a", "slug": "a", "name": "", "repo": "", "path": "", "readme": "", "provides": [{"id": "Api", "source": "", "methods": [], "messages": message(("id", "string"), ("n", "int64"), ("new", "bool"))}], "consumes": [],
+         "aggregates": [{"id": "c.a.order", "slug": "order", "name": "Order", "root": "Order", "entities": [{"id": "c.a.order.order", "slug": "order", "name": "Order", "doc": "", "fields": [{"name": "id", "type": "string"}, {"name": "n", "type": "int"}, {"name": "at", "type": "time.Time"}]}], "operations": [], "events": []}]},
+        {"id": "c.b", "slug": "b", "name": "", "repo": "", "path": "", "readme": "", "provides": [], "copies": [{"id": "Api", "source": "x", "methods": [], "messages": message(("id", "string"), ("n", "int32"), ("old", "bool"))}], "consumes": [], "aggregates": []}]}],
+        "stores": [{"id": "c.a.pg", "slug": "pg", "name": "", "kind": "postgres", "owner": "c.a", "tables": [{"id": "c.a.pg.t", "name": "t", "persists": {"aggregate": "c.a.order"}, "columns": [
+            {"name": "id", "type": "varchar(20)", "maps": "Order.id"}, {"name": "n", "type": "bigint", "maps": "Order.n"}, {"name": "at", "type": "text", "maps": "Order.at"}, {"name": "gone", "type": "text", "maps": "Order.gone.deep"}]}]}]}
+    (tmp_path / "x.json").write_text(json.dumps(fragment))
+    rows = subjects(merge_tables(explode_fragments(read_fragments(spark, f"{tmp_path}/x.json")))[0])
+    assert rows["copy"].first().differences == ["Order.n is int32, published as int64", "Order.new is missing", "Order.old is not published"]
+    rules = [r for r in BUILTIN if r.id in ("proto-drift", "persistence-drift", "column-type")]
+    assert {(r.rule, r.subject) for r in problems(rows, rules).collect()} == {("proto-drift", "Api < c.b"), ("persistence-drift", "c.a.pg.t"), ("column-type", "c.a.pg.t.at")}
+
+
 def test_a_rule_can_be_switched_off_with_a_reason(estate):
     rules = resolve_rules(BUILTIN, [{"id": "rpc", "severity": "error"}, {"id": "mine", "over": "service", "when": 'owners.exists(o, o == "me") || size(technologies) > 1', "message": "name"}, {"id": "deployment-drift", "disabled": True, "reason": "known"}])
     rows = problems(subjects(estate[0]), rules).collect()
