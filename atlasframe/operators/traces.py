@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atlasframe.plans.checkpoints import checkpoint
+
 
 def roots(spans: DataFrame) -> DataFrame:
     """Spans without a parent, or whose parent isn't in the trace."""
@@ -20,11 +22,11 @@ def sequence(spans: DataFrame, max_depth: int = 64) -> DataFrame:
     depth-first walk. Spans in a ring of parents belong to no root and are left out.
     """
     step = F.struct(F.col("start"), F.col("span_id"))
-    level = roots(spans).withColumn("path", F.array(step)).withColumn("depth", F.lit(0))
+    level = checkpoint(roots(spans).withColumn("path", F.array(step)).withColumn("depth", F.lit(0)))
     out = level
     for depth in range(1, max_depth):
         up = level.select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_up"))
-        level = spans.join(up, ["trace_id", "parent_id"]).withColumn("path", F.concat("_up", F.array(step))).drop("_up").withColumn("depth", F.lit(depth))
+        level = checkpoint(spans.join(up, ["trace_id", "parent_id"]).withColumn("path", F.concat("_up", F.array(step))).drop("_up").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         out = out.unionByName(level)
