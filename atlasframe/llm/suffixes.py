@@ -12,7 +12,8 @@ minimizers are (the gram of GRAM bytes of least hash in the string, the first of
 3. each slice removes the covered bytes.
 
 Within a slice equal stretches are given out once, for the smallest document that has them, so a passage
-that a third of all documents share is one row per slice in its bucket.
+that a third of all documents share is one row per slice in its bucket. The strings of a minimizer that occurs in
+more than HOT_SLICES slices, whatever stands around it, are dealt to buckets by their own bytes as well.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ CHUNK = 1 << 18
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 4096
 #: Suffixes that a bucket sorts at once (whole groups of a minimizer).
 SORTED_AT_ONCE = 1 << 17
+#: Slices in which a minimizer may occur before its strings are dealt out one by one instead of as stretches.
+HOT_SLICES = 1000
 
 _rng = np.random.default_rng(99)
 BYTE_VALUES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -125,14 +128,25 @@ GIVEN = ("u1", "<u2", "<u2", "<u8", "<i8", "<u4", "<i8")  # bytes, windows, gram
 RUNS = ("<i8", "<u4")  # first window by its place in the slice, windows
 
 
-def suspects(keys: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Keys that occur twice, or once with a mark."""
+def window_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the LENGTH bytes at each start."""
+    out = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), 1 << 15):
+        part = data[start[a : a + (1 << 15), None] + np.arange(LENGTH)]
+        out[a : a + len(part)] = (BYTE_VALUES[part] * DOWN[:LENGTH]).sum(axis=1, dtype=np.uint64)
+    return mixed(out)
+
+
+def suspects(keys: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that occur twice, or once with a mark; and how often they occur."""
     order = np.argsort(keys, kind="stable")
     keys, many = keys[order], many[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
     if not len(starts):
-        return keys
-    return keys[starts][(np.diff(np.append(starts, len(keys))) > 1) | np.logical_or.reduceat(many, starts)]
+        return keys, np.zeros(0, int)
+    times = np.diff(np.append(starts, len(keys)))
+    hit = (times > 1) | np.logical_or.reduceat(many, starts)
+    return keys[starts][hit], times[hit]
 
 
 def sorted_groups(words: np.ndarray) -> np.ndarray:
@@ -194,7 +208,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"), *own).where("doc_id is not null")
     size, n = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)), F.count("*")).first()
     slices = max(1, math.ceil(size / SLICE_BYTES))
-    buckets = max(8, slices // 2)
+    buckets, hot_slices = max(8, slices // 2), HOT_SLICES
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(max(1, n // SAMPLE_DOCS))) == 0)
     sample = drawn.select(F.expr(f"substring(data, 1, {SAMPLE_BYTES})")).limit(2 * SAMPLE_DOCS).toPandas().iloc[:, 0]
     raw = [bytes(x or b"") for x in sample]
@@ -230,22 +244,37 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     def repeated(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("many").to_pylist(), keys)]
-        hit = suspects(np.concatenate(keys), np.concatenate(many))
+        hit, times = suspects(np.concatenate(keys), np.concatenate(many))
         if not len(hit):
-            return table.select(["slice", "keys"]).slice(0, 0)
-        own = [k[hit[np.minimum(np.searchsorted(hit, k), len(hit) - 1)] == k].tobytes() for k in keys]
-        return pa.table({"slice": table.column("slice"), "keys": pa.array(own, pa.binary())})
+            return table.select(["slice", "keys", "many"]).slice(0, 0).rename_columns(["slice", "keys", "hot"])
+        own, hot = [], []
+        for k in keys:
+            at = np.minimum(np.searchsorted(hit, k), len(hit) - 1)
+            found = hit[at] == k
+            own.append(k[found].tobytes())
+            hot.append(np.packbits(times[at[found]] > hot_slices).tobytes())
+        return pa.table({"slice": table.column("slice"), "keys": pa.array(own, pa.binary()), "hot": pa.array(hot, pa.binary())})
 
     def stretches(table: pa.Table, flagged: pa.Table) -> pa.Table:
-        hit = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in flagged.column("keys").to_pylist())]))
+        parts = [np.frombuffer(x, np.uint64) for x in flagged.column("keys").to_pylist()]
+        marks = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(flagged.column("hot").to_pylist(), parts)]
+        hit, hot = np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([np.zeros(0, np.uint8), *marks]).astype(bool)
+        hit, hot = hit[order := np.argsort(hit)], hot[order]
         out: dict[str, list] = {"bucket": [], "slice": [], "sure": [], "blob": []}
         if table.num_rows and len(hit):
             number = table.column("slice")[0].as_py()
             ids, data, bounds, _ = slice_of(table)
             s = Stretches(data, bounds)
-            live = np.flatnonzero(hit[np.minimum(np.searchsorted(hit, s.key), len(hit) - 1)] == s.key)
-            start, count, gram, doc = s.start[live], s.count[live], s.gram[live], s.doc[live]
-            kind = mixed(s.hash[live] ^ (s.key[live] * BASE) ^ (gram - start).astype(np.uint64))
+            at = np.minimum(np.searchsorted(hit, s.key), len(hit) - 1)
+            live = np.flatnonzero(hit[at] == s.key)
+            # Strings of hot minimizers go one by one, so that they can be dealt by their own bytes too.
+            alone = hot[at[live]]
+            times = np.where(alone, s.count[live], 1)
+            live, alone = np.repeat(live, times), np.repeat(alone, times)
+            start = s.start[live] + np.arange(len(live)) - np.repeat(np.cumsum(times) - times, times)
+            count, gram, doc, own_hash = np.where(alone, 1, s.count[live]), s.gram[live], s.doc[live], s.hash[live]
+            own_hash[alone] = window_hashes(data, start[alone])
+            kind = mixed(own_hash ^ (s.key[live] * BASE) ^ (gram - start).astype(np.uint64))
             ids_of = ids[doc]
             order = np.lexsort((ids_of, kind))
             heads = np.flatnonzero(np.append(True, kind[order][1:] != kind[order][:-1])) if len(order) else np.zeros(0, int)
@@ -260,6 +289,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
             head = order[heads]
             text = ragged(data, gram[head], np.full(len(head), GRAM)).view(f"S{GRAM}") if len(head) else np.zeros(0, f"S{GRAM}")
             bucket = np.searchsorted(splitters, text, side="right")
+            bucket = np.where(alone[head], (bucket + (kind[head] % np.uint64(buckets)).astype(np.int64)) % buckets, bucket)
             places = np.add.reduceat(first.astype(np.int64), heads) if len(heads) else np.zeros(0, int)
             by = np.lexsort((text, bucket))
             offset = np.cumsum(places) - places
@@ -347,7 +377,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
         return pa.table({name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(types)} | {f"_carried_{k}": carried.column(f"_carried_{k}") for k in range(len(carry))})
 
     keys = sliced.groupBy("slice").applyInArrow(minimizers, "bucket int, slice int, keys binary, many binary")
-    flagged = keys.groupBy("bucket").applyInArrow(repeated, "slice int, keys binary")
+    flagged = keys.groupBy("bucket").applyInArrow(repeated, "slice int, keys binary, hot binary")
     given = sliced.groupBy("slice").cogroup(flagged.groupBy("slice")).applyInArrow(stretches, "bucket int, slice int, sure boolean, blob binary")
     runs = given.groupBy("bucket").applyInArrow(judged, "slice int, blob binary")
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -49,8 +49,9 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("slice_bytes,chunk,at_once", [(8 << 20, 1 << 18, 1 << 19), (4000, 1 << 18, 50), (6000, 64, 1000)])
-def test_removal_equals_brute_force(spark, monkeypatch, slice_bytes, chunk, at_once):
+@pytest.mark.parametrize("slice_bytes,chunk,at_once,hot", [(8 << 20, 1 << 18, 1 << 19, 1000), (4000, 1 << 18, 50, 1000), (6000, 64, 1000, 0), (5000, 1 << 18, 1000, 2)])
+def test_removal_equals_brute_force(spark, monkeypatch, slice_bytes, chunk, at_once, hot):
+    monkeypatch.setattr(suffixes, "HOT_SLICES", hot)
     monkeypatch.setattr(suffixes, "SLICE_BYTES", slice_bytes)
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
     monkeypatch.setattr(suffixes, "SORTED_AT_ONCE", at_once)
