@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atlasframe.plans.checkpoints import checkpoint
+
 #: How many ways through a flow are told, how deep a chain goes and how many nodes it may have.
 MAX_PATHS, CHAIN_DEPTH, CHAIN_NODES = 64, 4, 200
 
@@ -191,3 +193,33 @@ def align(base: DataFrame, branch: DataFrame, key: list[str]) -> DataFrame:
             yield pd.DataFrame(out, columns=["flow_id", "ord", "base_id", "branch_id"])
 
     return sides[0].join(sides[1], "flow_id", "full_outer").mapInPandas(lcs, "flow_id string, ord long, base_id string, branch_id string")
+
+
+def spliced(nodes: DataFrame, next_flows: DataFrame, opened: DataFrame | None = None, depth: int = 12) -> DataFrame:
+    """Flows with the flows that their steps lead on to put in after those steps, as one ordered list for each root.
+
+    ``next_flows``: flow_id, step_id, next_flow (see ``continuations``); ``opened``, with the columns step_id and next_flow,
+    says which of them to go into (all, without it: a composed flow; with it: a reader's journey). A flow on the way is not
+    entered again. Adds root, place (an array: its order is the list's), level and way.
+    """
+    doors = next_flows.select("flow_id", F.col("step_id").alias("node_id"), "next_flow").distinct()
+    if opened is not None:
+        doors = doors.join(opened.select(F.col("step_id").alias("node_id"), "next_flow"), ["node_id", "next_flow"], "left_semi")
+    level = nodes.select(F.col("flow_id").alias("root"), F.array("ord").alias("place"), F.lit(0).alias("level"), F.array("flow_id").alias("way"), *nodes.columns)
+    out = level
+    for k in range(1, depth + 1):
+        entered = level.select("root", "place", "way", "flow_id", "node_id").join(doors, ["flow_id", "node_id"]).where(~F.array_contains("way", F.col("next_flow")))
+        entered = checkpoint(entered.select("root", F.col("place").alias("_place"), F.col("way").alias("_way"), F.col("next_flow").alias("flow_id")))
+        if entered.isEmpty():
+            break
+        level = nodes.join(entered, "flow_id").select("root", F.concat("_place", F.array("ord")).alias("place"), F.lit(k).alias("level"), F.concat("_way", F.array("flow_id")).alias("way"), *nodes.columns)
+        out = out.unionByName(level)
+    return out
+
+
+def journey_reach(journey: DataFrame, next_flows: DataFrame) -> DataFrame:
+    """By root: doors, open doors, steps and different lanes of a journey."""
+    doors = next_flows.groupBy("flow_id", F.col("step_id").alias("node_id")).agg(F.count_distinct("next_flow").alias("_doors"))
+    opened = journey.where("level > 0").groupBy("root").agg(F.count_distinct(F.slice("place", 1, F.size("place") - 1), F.element_at("way", -1)).alias("open_doors"))
+    s = journey.where("type = 'step'").join(doors, ["flow_id", "node_id"], "left")
+    return s.groupBy("root").agg(F.coalesce(F.sum("_doors"), F.lit(0)).alias("doors"), F.count("*").alias("steps"), F.size(F.array_distinct(F.concat(F.collect_set("from"), F.collect_set("to")))).alias("lanes")).join(opened, "root", "left").withColumn("open_doors", F.coalesce("open_doors", F.lit(0)))
