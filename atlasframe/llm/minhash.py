@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasframe.llm.common import checkpoint, connected_components, documents, slices, whole_groups, with_blocks
+from atlasframe.llm.common import checkpoint, connected_components, documents, slices, whole_groups
 
 SHINGLE = 5
 #: A link: PERCENT * union <= 100 * intersection.
@@ -65,44 +65,101 @@ def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(axis=-1)
 
 
-def merge(label: np.ndarray, own: int, others: np.ndarray) -> None:
-    """Unite the classes of ``others`` with the class of ``own``; a class is named by its smallest row."""
-    classes = np.unique(np.append(label[others], label[own]))
-    if len(classes) > 1:
-        label[np.isin(label, classes)] = classes[0]
-
-
-def candidate_classes(prints: np.ndarray, own: np.ndarray, same: bool) -> np.ndarray:
-    """Classes of one long list: every pair that is not in one class yet has its agreements counted."""
-    n = len(prints)
-    label = np.arange(n)
-    for i in range(n - 1):
-        rest = np.arange(i + 1, n)
-        rest = rest[(label[rest] != label[i]) & (same | (own[rest] != own[i]))]
-        if len(rest):
-            hit = rest[agreements(prints[rest], prints[i]) >= AGREE]
-            if len(hit):
-                merge(label, i, hit)
-    return label
-
-
-def linked_classes(sets: list[np.ndarray], prints: np.ndarray, own: np.ndarray, same: bool) -> np.ndarray:
-    """Classes of one unit under links that are confirmed on the full sets."""
-    n = len(sets)
-    size = np.fromiter(map(len, sets), np.int64, n)
-    label = np.arange(n)
-    for i in range(n - 1):
-        rest = np.arange(i + 1, n)
-        rest = rest[(label[rest] != label[i]) & (same | (own[rest] != own[i]))]
-        rest = rest[PERCENT * np.maximum(size[rest], size[i]) <= 100 * np.minimum(size[rest], size[i])]
-        if not len(rest):
-            continue
-        for j in rest[agreements(prints[rest], prints[i]) >= AGREE]:
-            if label[i] != label[j]:
+class Unit:
+    """The rows of one unit of work: which pairs it is to look at, and which rows are known to be in one class.
+
+    First round (``rest`` is None): block 0 of a group meets every block, and each block meets itself. Second round:
+    the rows of ``rest``, which the first round left outside the group's largest class, meet every row of the unit's own block.
+    """
+
+    def __init__(self, own: np.ndarray, unit: int, label: np.ndarray | None = None, rest: np.ndarray | None = None):
+        self.own, self.unit, self.rest = own, unit, rest
+        self.label = np.arange(len(own)) if label is None else np.unique(label, return_inverse=True)[1]
+        self.links: list[tuple[int, int]] = []
+
+    def turns(self):
+        """(row, rows to compare it with); rows of its own class are left out."""
+        n = len(self.own)
+        if self.rest is None:
+            for i in range(n - 1):
+                others = np.arange(i + 1, n)
+                if self.unit and self.own[i] == 0:
+                    others = others[self.own[others] != 0]
+                others = others[self.label[others] != self.label[i]]
+                if len(others):
+                    yield i, others
+        else:
+            home = np.flatnonzero(self.own == self.unit)
+            for i in np.flatnonzero(self.rest):
+                others = home[self.label[home] != self.label[i]]
+                if len(others):
+                    yield int(i), others
+
+    def unite(self, i: int, others: np.ndarray) -> None:
+        """Link ``i`` with one row of each class among ``others``, and make one class of them."""
+        classes, at = np.unique(self.label[others], return_index=True)
+        self.links += [(i, int(others[k])) for k in at]
+        self.label[np.isin(self.label, classes)] = self.label[i]
+
+
+def collide(unit: Unit, prints: np.ndarray) -> None:
+    """Candidates: pairs whose fingerprints agree often enough."""
+    for i, others in unit.turns():
+        hit = others[agreements(prints[others], prints[i]) >= AGREE]
+        if len(hit):
+            unit.unite(i, hit)
+
+
+def confirm(unit: Unit, sets: list[np.ndarray], prints: np.ndarray) -> None:
+    """Links that the full sets confirm."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    for i, others in unit.turns():
+        others = others[PERCENT * np.maximum(size[others], size[i]) <= 100 * np.minimum(size[others], size[i])]
+        for j in others[agreements(prints[others], prints[i]) >= AGREE] if len(others) else ():
+            if unit.label[i] != unit.label[j]:
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * common >= PERCENT * (size[i] + size[j] - common):
-                    merge(label, i, np.array([j]))
-    return label
+                    unit.unite(i, np.array([j]))
+
+
+def first_units(df: DataFrame, members: str, block_rows: int) -> DataFrame:
+    """Cut groups of ``members`` rows into blocks: ``own`` block and the ``unit`` a row goes to; block 0 goes to every unit."""
+    n = F.greatest(F.lit(1), F.ceil(F.col(members) / F.lit(float(block_rows))).cast("int"))
+    own = F.pmod(F.xxhash64(F.col("rep"), F.lit(17)), n.cast("long")).cast("int")
+    staged = df.withColumn("_blocks", n).withColumn("own", own)
+    return staged.select("*", F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("own"))).alias("unit"))
+
+
+def second_units(df: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+    """For groups of several blocks: every row in its own block, and those outside the group's largest class in every block.
+
+    Two rows in different classes are never both in the largest one, so each such pair meets. ``classes``: node, component.
+    """
+    staged = df.where("_blocks > 1").where(F.col("unit") == F.col("own")).drop("unit")
+    known = staged.join(classes.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    sizes = known.groupBy(key, "label").agg(F.count("*").alias("_n"))
+    largest = sizes.groupBy(key).agg(F.max_by("label", F.struct("_n", "label")).alias("_largest"))
+    marked = known.join(largest, key).withColumn("rest", F.col("label") != F.col("_largest")).drop("_largest")
+    return marked.select("*", F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("own"))).alias("unit"))
+
+
+def in_two_rounds(rows: DataFrame, key: str, members: str, compare) -> DataFrame:
+    """Links (``a``, ``b``) that join all rows of a group which ``compare`` links, within and across the blocks of large groups.
+
+    The copies of rows stay few: one block of a group, and what the first round hasn't put into its largest class.
+    """
+    placed = checkpoint(first_units(rows, members, BLOCK_ROWS))
+    first = checkpoint(placed.repartition(key, "unit").sortWithinPartitions(key, "unit").mapInArrow(compare, "a long, b long"))
+    if placed.where("_blocks > 1").isEmpty():
+        return first
+    again = second_units(placed, key, connected_components(first))
+    return first.unionByName(again.repartition(key, "unit").sortWithinPartitions(key, "unit").mapInArrow(compare, "a long, b long"))
+
+
+def units_of(table: pa.Table, start: int, end: int) -> Unit:
+    part = table.slice(start, end - start)
+    label, rest = (part.column(c).to_numpy() if c in part.column_names else None for c in ("label", "rest"))
+    return Unit(part.column("own").to_numpy(), part.column("unit")[0].as_py(), label, rest)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -130,7 +187,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     Each text is posted under every coordinate and value. Values that one text alone has can't collide, so
     a text with fewer than AGREE shared values is done. The others are posted under a prefix: ordered by list length, two
     texts that agree AGREE times share one of the first COORDINATES - AGREE + 1 values of either, so very common values
-    are skipped by all texts that have rarer ones. Lists are compared in blocks.
+    are skipped by all texts that have rarer ones. Long lists are compared in blocks.
     """
     posted = reps.select("rep", F.posexplode("values").alias("at", "value")).select("rep", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + 2**31).alias("kv"))
     shared = posted.groupBy("kv").agg(F.count("*").alias("n")).where("n > 1")
@@ -151,35 +208,34 @@ def candidates(reps: DataFrame) -> DataFrame:
                 prints += [print_.tobytes()] * len(chosen)
             yield pa.RecordBatch.from_arrays([pa.array(kv, pa.int64()), pa.array(n, pa.int64()), pa.array(rep, pa.int64()), pa.array(prints, pa.binary())], names=["kv", "n", "rep", "prints"])
 
-    units = with_blocks(lists.mapInArrow(prefixes, "kv long, n long, rep long, prints binary"), ["kv"], F.col("n"), BLOCK_ROWS, "rep")
-    key = ["kv", "block_a", "block_b"]
-
-    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, key):
-            rep, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
-            inside = table.column("block_a").to_numpy() == table.column("block_b").to_numpy()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["kv", "unit"]):
+            rep = table.column("rep").to_numpy()
             prints = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             sizes = np.diff(np.append(starts, table.num_rows))
             group = np.repeat(np.arange(len(starts)), sizes)
-            short = np.repeat(sizes <= SHORT_LIST, sizes)
-            left, right = [], []
-            for d in range(1, int(sizes[sizes <= SHORT_LIST].max(initial=0))):
-                i = np.flatnonzero(short[:-d] & (group[:-d] == group[d:]) & (inside[:-d] | (own[:-d] != own[d:])))
+            # Short lists of one block are compared pair by pair, many lists at once.
+            plain = (sizes <= SHORT_LIST) & (table.column("_blocks").to_numpy()[starts] == 1)
+            short = np.repeat(plain, sizes)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d in range(1, int(sizes[plain].max(initial=0))):
+                i = np.flatnonzero(short[:-d] & (group[:-d] == group[d:]))
                 i = i[agreements(prints[i], prints[i + d]) >= AGREE]
                 left.append(rep[i])
                 right.append(rep[i + d])
-            for g in np.flatnonzero(sizes > SHORT_LIST):
-                rows = slice(starts[g], starts[g] + sizes[g])
-                label = candidate_classes(prints[rows], own[rows], bool(inside[rows][0]))
-                hit = np.flatnonzero(label != np.arange(len(label)))
-                left.append(rep[rows][hit])
-                right.append(rep[rows][label[hit]])
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            for g in np.flatnonzero(~plain):
+                a, b = starts[g], starts[g] + sizes[g]
+                unit = units_of(table, a, b)
+                collide(unit, prints[a:b])
+                if unit.links:
+                    i, j = np.array(unit.links).T
+                    left.append(rep[a:b][i])
+                    right.append(rep[a:b][j])
+            a, b = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return units.repartition(*key).sortWithinPartitions(*key).mapInArrow(collide, "a long, b long")
+    return in_two_rounds(lists.mapInArrow(prefixes, "kv long, n long, rep long, prints binary"), "kv", "n", compare)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -187,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts with equal sets are one. Candidates of the inverted join fall into classes; each class's
     texts meet once more with their full sets, where links are confirmed exactly, save between texts that links join
-    already. Large classes are compared by pairs of blocks, so no task holds one. Null or blank texts have no
+    already. Large classes are cut into blocks: one block meets all others, then what is left outside the largest class does. Null or blank texts have no
     set and link with nothing; repeated rows count as copies; rows without id are left out; other columns are ignored;
     no rows give no rows. Returns ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
     """
@@ -205,23 +261,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     wanted = classes.join(sizes, "class").select(F.col("node").alias("doc_id"), "class", "members")
     held = docs.join(wanted, "doc_id").select("doc_id", "class", "text", "members").mapInArrow(sets, "rep long, class long, members long, shingles binary, prints binary")
-    units = with_blocks(held, ["class"], F.col("members"), BLOCK_ROWS, "rep").drop("members")
-    key = ["class", "block_a", "block_b"]
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, key):
-            rep, own, a, b = (table.column(c).to_numpy() for c in ("rep", "own", "block_a", "block_b"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["class", "unit"]):
+            rep = table.column("rep").to_numpy()
             shingles = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
             prints = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            left, right = [], []
-            for start, end in zip(starts, np.append(starts[1:], table.num_rows)):
-                label = linked_classes(shingles[start:end], prints[start:end], own[start:end], bool(a[start] == b[start]))
-                hit = np.flatnonzero(label != np.arange(end - start))
-                left.append(rep[start:end][hit])
-                right.append(rep[start:end][label[hit]])
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
+                unit = units_of(table, a, b)
+                confirm(unit, shingles[a:b], prints[a:b])
+                if unit.links:
+                    i, j = np.array(unit.links).T
+                    left.append(rep[a:b][i])
+                    right.append(rep[a:b][j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    links = units.repartition(*key).sortWithinPartitions(*key).mapInArrow(confirm, "a long, b long")
+    links = in_two_rounds(held, "class", "members", compare)
     components = connected_components(links).withColumnRenamed("node", "rep")
     classed = reps.select("set_key", "rep").join(components, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     found = signed.select("doc_id", "n_shingles", "set_key").join(classed, "set_key", "left")
