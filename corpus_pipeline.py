@@ -32,8 +32,9 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def whole_characters(data: Column) -> Column:
-    """Bytes as text; what a cut has left of a character becomes replacement marks, which are taken out."""
-    return F.regexp_replace(F.make_valid_utf8(data.cast("string")), "\ufffd", "")
+    """Bytes as text; where a cut has halved characters, what is left of them becomes replacement marks, which are taken out."""
+    text = data.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

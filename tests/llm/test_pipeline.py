@@ -70,3 +70,11 @@ def test_packed_pieces_are_the_mixed_documents(stages):
     whole = sorted(r.ids_crc32 for r in stages[5].where("length = doc_tokens").collect())
     assert len(whole) > 0.9 * len(want) and not (set(whole) - set(want))
     assert stages[5].where("start = 0").count() == len(want)
+
+
+def test_halved_characters_go_and_others_stay(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a\ufffdé".encode()), (2, "été".encode()[1:]), (3, "日本".encode()[:-1]), (4, b"")]
+    out = spark.createDataFrame(rows, "i long, b binary").select("i", corpus_pipeline.whole_characters(F.col("b")).alias("t")).collect()
+    assert {r.i: r.t for r in out} == {1: "a\ufffdé", 2: "té", 3: "日", 4: ""}
