@@ -46,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     # The workers have other stages' memory to share: fewer remembered words.
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=150_000)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=60_000)
 
 
 STAGES = [
