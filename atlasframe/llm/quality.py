@@ -1,8 +1,14 @@
-"""Quality classifier: a modified Kneser-Ney model of trusted text gives each document a perplexity."""
+"""Quality classifier: a modified Kneser-Ney model of trusted text gives each document a perplexity.
+
+The classifier counts pairs of words in tables that grow with the corpus and stay on the executors; documents join them.
+The character model above it is dense and bounded: it checks the same estimates against the textbook recursion.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -10,16 +16,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from atlasframe.llm.charlm import BITS, SIZE, cased_alphabet, ngrams
-from atlasframe.llm.common import checkpoint, documents, release_memory, slices
+from atlasframe.llm.common import checkpoint, documents, slices
 
 ORDER = 4
 #: Share of trusted documents of a language that the threshold of the language keeps.
 KEEP_SHARE = 0.995
-#: Characters at its language's mean that are thought to be added to each document, as short texts vary more.
-PRIOR_CHARS = 50
+#: Words at its language's mean that are thought to be added to each document, as short texts vary more.
+PRIOR_WORDS = 10
+#: A text is judged by counts of trusted texts of the other fold only; equal texts are in one fold.
+FOLDS = 2
+#: Words whose hashes a task remembers.
+REMEMBERED = 200_000
+#: What stands before the first word and after the last one.
+START, END = 1, 2
+#: Letters of scripts without blanks are words of their own.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[{ALONE}]|[^\W{ALONE}]+|[^\w\s]+")
 #: Rows of n-gram codes that a counting task gathers before it sums them.
 PENDING = 1 << 21
 
@@ -62,16 +76,20 @@ def estimates(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         level = level.groupBy(F.col("code").bitwiseAND(SIZE**k - 1).alias("code")).agg(F.count("*").alias("n"))
         every = every.unionByName(level.withColumn("k", F.lit(k)))
     every = checkpoint(every.withColumn("context", F.shiftright("code", BITS)))
-    seen = every.groupBy("k").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)])
+    return discounted(every, ["k"], ["code"])
+
+
+def discounted(every: DataFrame, level: list[str], code: list[str]) -> tuple[DataFrame, DataFrame]:
+    """From counts ``n`` of ``code`` after ``context``: the discounted probabilities of each code, and the weight each context gives the lower order."""
+    seen = every.groupBy(*level).agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)])
     # Absolute discounts of counts 1, 2 and more; half-way values where a count of counts is 0 (tiny corpora).
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     cut = [F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(i / 2)))).alias(f"d{i}") for i in (1, 2, 3)]
-    discounts = seen.select("k", *cut)
-    contexts = every.groupBy("k", "context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("c1"), F.count_if(F.col("n") == 2).alias("c2"), F.count_if(F.col("n") > 2).alias("c3"))
-    discounts = F.broadcast(discounts)  # a row for each of ORDER orders
+    discounts = F.broadcast(seen.select(*level, *cut))  # a row for each level
+    contexts = every.groupBy(*level, "context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("c1"), F.count_if(F.col("n") == 2).alias("c2"), F.count_if(F.col("n") > 2).alias("c3"))
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    alpha = every.join(contexts, ["k", "context"]).join(discounts, "k").select("k", "code", ((F.col("n") - d) / F.col("total")).alias("alpha"))
-    gamma = contexts.join(discounts, "k").select("k", "context", ((F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")) / F.col("total")).alias("gamma"))
+    alpha = every.join(contexts, [*level, "context"]).join(discounts, level).select(*level, *code, ((F.col("n") - d) / F.col("total")).alias("alpha"))
+    gamma = contexts.join(discounts, level).select(*level, "context", ((F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")) / F.col("total")).alias("gamma"))
     return alpha, gamma
 
 
@@ -111,72 +129,180 @@ class PerplexityModel:
         return np.array([-float(logp[c].sum(dtype=np.float64)) for c in found]), np.fromiter(map(len, found), np.int64, len(found))
 
 
-def drop_tables() -> None:
-    """The worker may go on with other operators, which need the memory."""
-    PerplexityModel.built.clear()
-    release_memory()
+class WordHasher:
+    """Words of a text as 64-bit hashes, which are the same in every task."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        words, known = WORDS.findall(text), self.known
+        for w in set(words).difference(known):
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(known) > REMEMBERED:
+            known.clear()
+        return out
+
+
+def pair_code(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """One hash of two words in order."""
+    x = u * np.uint64(0x9E3779B97F4A7C15) + v
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def summed(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows of ``columns``, and how often each is there."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    change = np.ones(len(order), bool)
+    change[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    starts = np.flatnonzero(change)
+    return [c[starts] for c in columns], np.diff(np.append(starts, len(order)))
+
+
+def text_key(text: str = "text"):
+    return F.xxhash64(F.col(text))
+
+
+def fold_of(key):
+    return F.pmod(key, F.lit(FOLDS)).cast("int")
+
+
+def count_pairs(trusted: DataFrame) -> DataFrame:
+    """Counts of all pairs of neighbouring words by the fold of their texts (``fold``, ``context``, ``word``, ``code``, ``n``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, pending, held = WordHasher(), [], 0
+
+        def rows():
+            (fold, u, v), n = summed([np.concatenate(c) for c in zip(*pending)])
+            return pa.RecordBatch.from_arrays([pa.array(fold), *[pa.array(c.view(np.int64)) for c in (u, v, pair_code(u, v))], pa.array(n.astype(np.int64))], names=["fold", "context", "word", "code", "n"])
+
+        for batch in slices(batches):
+            for fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = hashes(text or "")
+                if len(found):
+                    both = np.concatenate([[np.uint64(START)], found, [np.uint64(END)]])
+                    pending.append((np.full(len(both) - 1, fold, np.int32), both[:-1], both[1:]))
+                    held += len(found)
+            if held >= PENDING:
+                yield rows()
+                pending, held = [], 0
+        if pending:
+            yield rows()
+
+    found = trusted.select(fold_of(text_key()).alias("fold"), "text").mapInArrow(run, "fold int, context long, word long, code long, n long")
+    return found.groupBy("fold", "context", "word", "code").agg(F.sum("n").alias("n"))
+
+
+def word_weights(counts: DataFrame) -> tuple[DataFrame, dict[int, tuple[float, float]]]:
+    """What each word and each pair of words adds to the log-probability of a text, by the fold of the text.
+
+    An unseen n-gram has the probability of its shorter one times its context's weight. So the log-probability of a text is a
+    sum over its words and pairs: a word adds log p(word) - log p(unknown word), and as context log gamma; a seen pair adds
+    log p(pair) less what its word and context add. Returns these (``fold``, ``code``, ``weight``), and by fold the
+    log-probability of an unknown word and what start and end of a text add.
+    """
+    counts = checkpoint(counts)
+    own = [r.fold for r in counts.select("fold").distinct().collect()]  # FOLDS rows at most
+    of = F.lit(FOLDS - 1) - F.col("fold") if len(own) == FOLDS else F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))  # all in one fold: nothing can be left out
+    pairs = counts.select(of.alias("fold"), "context", "word", "code", "n")
+    alpha2, gamma2 = discounted(pairs, ["fold"], ["context", "word", "code"])
+    level = checkpoint(pairs.groupBy("fold", "word").agg(F.count("*").alias("n")))
+    size = level.groupBy("fold").agg(F.count("*").alias("size"))
+    of_unigrams = level.withColumn("context", F.lit(0))
+    alpha1, gamma1 = discounted(of_unigrams, ["fold"], ["word"])
+    unknown = F.broadcast(gamma1.join(size, "fold").select("fold", (F.greatest("gamma", F.lit(1e-9)) / (F.col("size") + 1)).alias("unknown")))
+    words = alpha1.join(unknown, "fold").select("fold", "word", (F.col("alpha") + F.col("unknown")).alias("p"), "unknown")
+    gamma2 = gamma2.select("fold", "context", F.greatest("gamma", F.lit(1e-9)).alias("gamma"))
+    one = checkpoint(words.join(gamma2.withColumnRenamed("context", "word"), ["fold", "word"], "full_outer").select("fold", "word", "p", "unknown", "gamma"))
+    seen = alpha2.join(one.select("fold", F.col("word").alias("context"), "gamma"), ["fold", "context"]).join(one.select("fold", "word", "p"), ["fold", "word"])
+    two = seen.select("fold", "code", F.log1p(F.col("alpha") / (F.col("gamma") * F.col("p"))).alias("weight"))
+    as_word, as_context = F.coalesce(F.log(F.col("p") / F.col("unknown")), F.lit(0.0)), F.coalesce(F.log("gamma"), F.lit(0.0))
+    base = {r.fold: r.unknown for r in unknown.collect()}
+    ends = {r.fold: r.add for r in one.where(F.col("word").isin(START, END)).groupBy("fold").agg(F.sum(as_word + as_context).alias("add")).collect()}
+    return two.unionByName(one.select("fold", F.col("word").alias("code"), (as_word + as_context).alias("weight"))), {f: (math.log(base[f]), ends[f]) for f in base}
+
+
+def score(docs: DataFrame, weights: DataFrame, base: dict[int, tuple[float, float]]) -> DataFrame:
+    """Negative log-probability ``nll`` and number of words ``n`` (with the end) of each different text with words, by ``key``.
+
+    Each text's words and pairs are counted first, then join the weights by their code; only sums by text go on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHasher()
+        for batch in slices(batches):
+            keys, found = batch.column(0).to_numpy(), [hashes(x or "") for x in batch.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            full = np.flatnonzero(sizes)
+            if not len(full):
+                continue
+            owner, codes = [np.repeat(np.arange(len(found)), sizes)], [np.concatenate(found)]
+            for k in full:
+                both = np.concatenate([[np.uint64(START)], found[k], [np.uint64(END)]])
+                codes.append(pair_code(both[:-1], both[1:]))
+                owner.append(np.full(len(both) - 1, k))
+            (doc, code), n = summed([np.concatenate(owner), np.concatenate(codes)])
+            # A row that no weight meets tells the length, as a number below 0.
+            every = [np.append(keys[doc], keys[full]), np.append(code.view(np.int64), ~keys[full]), np.append(n, -(sizes[full] + 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1]), pa.array(every[2].astype(np.int32))], names=["key", "code", "n"])
+
+    rows = docs.select(text_key().alias("key"), "text").mapInArrow(run, "key long, code long, n int")
+    met = rows.withColumn("fold", fold_of(F.col("key"))).join(weights.hint("merge"), ["fold", "code"], "left").where("weight is not null or n < 0")
+    sums = met.groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("n") * F.col("weight"))).alias("add"), F.sum(F.when(F.col("n") < 0, -F.col("n"))).alias("n"), F.count_if(F.col("n") < 0).alias("copies"))
+    known = [base.get(f, (0.0, 0.0)) for f in range(FOLDS)]
+    first = lambda i: F.element_at(F.array(*[F.lit(float(x[i])) for x in known]), fold_of(F.col("key")) + 1)
+    n = F.col("n") / F.col("copies")
+    return sums.select("key", (-(n * first(0) + first(1) + F.coalesce("add", F.lit(0.0)) / F.col("copies"))).alias("nll"), n.alias("n"))
 
 
 class QualityClassifier:
-    """A perplexity model and, by language, the mean and the threshold of cross-entropy (nats a character)."""
+    """Weights of words and pairs and, by language, the mean and the threshold of cross-entropy (nats a word)."""
 
-    def __init__(self, model, limits: dict[str | None, tuple[float, float]], overall: tuple[float, float]):
-        self.model, self.limits, self.overall = model, limits, overall
+    def __init__(self, weights: DataFrame, base: dict, limits: dict[str | None, tuple[float, float]], overall: tuple[float, float], fitted: DataFrame, scores: DataFrame):
+        self.weights, self.base, self.limits, self.overall = weights, base, limits, overall
+        self.fitted, self.scores = fitted, scores
 
     @classmethod
     def fit(cls, docs: DataFrame, trusted: DataFrame, keep_share: float = KEEP_SHARE) -> QualityClassifier:
         """Learn from the rows of ``docs`` whose ``doc_id`` is in ``trusted``.
 
-        Counts and quantiles are over all trusted rows and whole texts. Without trusted text, nothing is rejected but
-        empty texts. The tables of the model have at most 64^ORDER rows, those of the limits one per language.
+        Counts and quantiles are over all trusted rows and whole texts; each text is judged by the counts of the other fold, so
+        that thresholds are of text the counts left out. Without trusted text, nothing is rejected but texts without words. Only
+        limits by language and a few numbers by fold reach the driver.
         """
-        spark = docs.sparkSession
         ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().hint("merge")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-        counts = checkpoint(count_ngrams(rows.select("doc_id", "text").join(ids, "doc_id", "left_semi")))
-        alpha, gamma = estimates(counts)
-        model = spark.sparkContext.broadcast(PerplexityModel(alpha.toPandas(), gamma.toPandas()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                nll, n = model.value.surprise(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nll), pa.array(n)], names=["doc_id", "lang", "nll", "n"])
-            drop_tables()
-
-        scored = rows.mapInArrow(run, "doc_id long, lang string, nll double, n long").where("n > 0")
-        scored = checkpoint(scored.join(ids, "doc_id", "left_semi"))
+        weights, base = word_weights(count_pairs(rows.select("doc_id", "text").join(ids, "doc_id", "left_semi")))
+        scores = checkpoint(score(docs, weights, base))
+        scored = checkpoint(rows.select("doc_id", "lang", text_key().alias("key")).join(ids, "doc_id", "left_semi").join(scores, "key"))
         mean = scored.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
-        level = (F.col("nll") + PRIOR_CHARS * F.col("mean")) / (F.col("n") + PRIOR_CHARS)
+        level = (F.col("nll") + PRIOR_WORDS * F.col("mean")) / (F.col("n") + PRIOR_WORDS)
         most = scored.alias("s").join(mean.withColumnRenamed("lang", "_of"), F.col("s.lang").eqNullSafe(F.col("_of"))).groupBy("lang").agg(
             F.first("mean").alias("mean"), F.percentile_approx(level, keep_share, 10000).alias("most"), F.count("*").alias("n")
         ).collect()
         limits = {r.lang: (r["mean"], r.most) for r in most}
         total = sum(r.n for r in most)
         overall = (sum(r["mean"] * r.n for r in most) / total, max(r.most for r in most)) if total else (0.0, math.inf)
-        return cls(model, limits, overall)
+        return cls(weights, base, limits, overall, docs, scores)
 
     def classify(self, docs: DataFrame) -> DataFrame:
         """All columns of ``docs`` (it has ``text`` and ``lang``) and ``quality_cross_entropy``, ``quality_threshold``, ``quality_keep``.
 
-        ``quality_keep``: the text isn't empty and its smoothed cross-entropy isn't over its language's threshold; languages
-        without trusted text take the overall mean and the highest threshold. Null or empty text: cross-entropy null, not kept. One row per
-        row, no shuffle; columns of those three names are replaced.
+        ``quality_keep``: the text has words and its smoothed cross-entropy isn't over its language's threshold; languages
+        without trusted text take the overall mean and the highest threshold. Text without words: cross-entropy null, not kept. One row per
+        row; columns of those three names are replaced. The rows that ``fit`` saw aren't scored again.
         """
-        model, limits, overall = self.model, self.limits, self.overall
-        added = [("quality_cross_entropy", pa.float64(), T.DoubleType()), ("quality_threshold", pa.float64(), T.DoubleType()), ("quality_keep", pa.bool_(), T.BooleanType())]
-        docs = docs.drop(*[a[0] for a in added])
-        at, lang = docs.columns.index("text"), docs.columns.index("lang")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                nll, n = model.value.surprise(batch.column(at).to_pylist())
-                mean, most = np.array([limits.get(x, overall) for x in batch.column(lang).to_pylist()]).reshape(-1, 2).T
-                level = (nll + PRIOR_CHARS * mean) / (n + PRIOR_CHARS)
-                values = [pa.array(level, mask=n == 0), pa.array(most), pa.array((n > 0) & (level <= most))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, *[a[0] for a in added]])
-            drop_tables()
-
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(a[0], a[2]) for a in added]]))
+        scores = self.scores if docs is self.fitted else checkpoint(score(docs, self.weights, self.base))
+        docs = docs.drop("quality_cross_entropy", "quality_threshold", "quality_keep")
+        limits = docs.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in self.limits.items()], "_of string, _mean double, _most double")
+        mean, most = (F.coalesce(c, F.lit(float(o))) for c, o in zip(("_mean", "_most"), self.overall))
+        level = (F.col("_nll") + PRIOR_WORDS * mean) / (F.col("_n") + PRIOR_WORDS)
+        joined = docs.withColumn("_key", text_key()).join(scores.toDF("_key", "_nll", "_n"), "_key", "left").join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_of")), "left")
+        return joined.select(*docs.columns, level.alias("quality_cross_entropy"), most.alias("quality_threshold"), F.coalesce(level <= most, F.lit(False)).alias("quality_keep"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -185,7 +311,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", F.octet_length("text").cast("long").alias("n_bytes"))
     fitted = QualityClassifier.fit(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    out = fitted.classify(docs).select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), "quality_cross_entropy", "quality_threshold", "quality_keep")
+    out = fitted.classify(docs).select("doc_id", "lang", "n_bytes", "quality_cross_entropy", "quality_threshold", "quality_keep")
     return out.withColumn("perplexity", F.exp("quality_cross_entropy"))

@@ -1,0 +1,56 @@
+"""The word model of the quality classifier against a plain modified Kneser-Ney model of word pairs."""
+
+import math
+from collections import Counter
+
+import pytest
+
+from atlasframe.llm.quality import END, START, WORDS, count_pairs, fold_of, score, text_key, word_weights
+
+TRUSTED = [f"the {a} {b} the {c} on a mat." for a in ("cat", "dog", "rat") for b in ("saw", "met") for c in ("hen", "cow", "cat", "ape")]
+OTHERS = ["the cat sat on the mat, twice twice", "zzz unknown", "a mat", "the dog met the ape on a mat.", "東京タワー"]
+
+
+def cuts(counts):
+    n = [sum(v == i for v in counts.values()) for i in range(5)]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+    return [0.0] + [max(0.0, min(i, i - (i + 1) * y * n[i + 1] / n[i] if n[i] and y is not None else i / 2)) for i in (1, 2, 3)]
+
+
+def plain(trusted):
+    pairs = Counter(p for t in trusted for p in zip([START, *WORDS.findall(t)], [*WORDS.findall(t), END]))
+    words = Counter(v for _, v in pairs)
+    d2, d1, total = cuts(pairs), cuts(words), sum(words.values())
+    low = max(1e-9, sum(d1[min(c, 3)] for c in words.values()) / total) / (len(words) + 1)
+
+    def p(u, v):
+        one = (words[v] - d1[min(words[v], 3)]) / total + low
+        follow = [c for (a, _), c in pairs.items() if a == u]
+        if not follow:
+            return one
+        gamma = max(1e-9, sum(d2[min(c, 3)] for c in follow) / sum(follow))
+        return (pairs[u, v] - d2[min(pairs[u, v], 3)]) / sum(follow) + gamma * one
+
+    return p
+
+
+def test_joined_scores_equal_the_recursion(spark):
+    docs = spark.createDataFrame([(t,) for t in TRUSTED + OTHERS + OTHERS[:1]], "text string")
+    fold = {r.text: r.f for r in docs.select("text", fold_of(text_key()).alias("f")).collect()}
+    weights, base = word_weights(count_pairs(spark.createDataFrame([(t,) for t in TRUSTED], "text string")))
+    got = {r.text: r for r in docs.distinct().withColumn("key", text_key()).join(score(docs, weights, base), "key").collect()}
+    assert set(got) == set(TRUSTED + OTHERS)
+    for text, row in got.items():
+        p = plain([t for t in TRUSTED if fold[t] != fold[text]])  # counts leave out the text's own fold
+        w = WORDS.findall(text)
+        want = -sum(math.log(p(u, v)) for u, v in zip([START, *w], [*w, END]))
+        assert row.n == len(w) + 1 and row.nll == pytest.approx(want, rel=1e-6)
+
+
+def test_table_grows_with_the_corpus(spark):
+    """Classes of characters would fold digits; here every new word has a weight of its own."""
+    sizes = []
+    for k in (100, 400):
+        docs = spark.createDataFrame([(f"item {i} of {i + 1}",) for i in range(k)], "text string")
+        sizes.append(word_weights(count_pairs(docs))[0].count())
+    assert sizes[1] > 3.5 * sizes[0]
