@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atlasframe.llm.common import checkpoint, documents
+from atlasframe.llm.token_counts import with_tokens
 
 #: Documents of a block on average; a pass over a source is a permutation of its blocks, then of each block's rows.
 BLOCK_DOCS = 2048
@@ -64,12 +65,6 @@ def bisected_exponent(shares: dict[str, float], target_entropy: float | None = N
     return max(wanted, bound or 0.0)
 
 
-def token_estimate(text: Column) -> Column:
-    """Blank-separated words, at least 1: a native stand-in where no tokenizer is asked for."""
-    blanks = F.translate(F.coalesce(text, F.lit("")), "\n\t\r", "   ")
-    return F.greatest(F.lit(1), F.length(blanks) - F.length(F.translate(blanks, " ", "")) + 1).cast("long")
-
-
 def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, repetition_limit: float | None = 2.0, budget: int | None = None, seed: int = 0) -> DataFrame:
     """Draw documents of ``docs`` (``doc_id``, ``source``, and any more columns, which are kept) so that sources get their target weights in tokens.
 
@@ -110,7 +105,15 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, re
     )
 
 
+def drawn_tokens() -> Column:
+    """Counted tokens; an empty text takes one, so that it has a place in its source's budget and isn't lost."""
+    return F.greatest(F.lit(1), F.col("n_tokens")).cast("long")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rows are drawn, in which pass and place; the texts are read once, for their token counts."""
-    docs = checkpoint(documents(spark, sf_dir).select("doc_id", "source", token_estimate(F.col("text")).alias("n_tokens")))
-    return mix(docs, F.col("n_tokens"), repetition_limit=2.0).drop("n_tokens")
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    docs = checkpoint(with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), drop=("text",)))
+    return mix(docs, drawn_tokens(), repetition_limit=2.0).drop("n_tokens")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atlasframe.llm.common import documents, slices, texts
 
@@ -120,6 +121,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COUNTS)
 
 
+def with_tokens(docs: DataFrame, tokenizer_path: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of ``docs`` (it has ``text``) but those of ``drop``, and ``n_tokens``, counted as in ``count_tokens``. No shuffle."""
+    fields = [f for f in docs.schema.fields if f.name not in (*drop, "n_tokens")]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = RankMerger(tokenizer_path)
+        for batch in slices(batches):
+            n = pa.array(merger.counts(texts(batch)), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], n], names=[*names, "n_tokens"])
+
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("n_tokens", T.LongType())]))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

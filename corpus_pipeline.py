@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasframe.llm import minhash, mixing, packing, quality, suffixes
+from atlasframe.llm import minhash, mixing, packing, quality, suffixes, token_counts
 from atlasframe.llm.common import documents, ensure_checkpoint_dir
 
 
@@ -38,8 +38,13 @@ def whole_characters(data: Column) -> Column:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, rare sources up to twice."""
-    return mixing.mix(docs, mixing.token_estimate(F.col("text")), repetition_limit=2.0).select(*docs.columns)
+    """Every document at least once, rare sources up to twice, in tokens; the counted rows are kept in a folder, as they are read twice."""
+    import public_tokenizers
+
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/counted-{uuid.uuid4().hex}"
+    token_counts.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).write.parquet(folder)
+    return mixing.mix(spark.read.parquet(folder), mixing.drawn_tokens(), repetition_limit=2.0).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
