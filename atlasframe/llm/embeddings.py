@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from atlasframe.llm.common import checkpoint, connected_components, slices, whole_groups, with_blocks
 
 TREES = 10
-LEAF_ROWS = 512
+LEAF_ROWS = 384
 #: Numbers (rows times dimensions) of the sample on which the split points are fitted; every row is indexed.
 SAMPLE_NUMBERS = 1_500_000
 #: Half the width of the overlap at a split, in standard deviations of the difference of a pair at the threshold.
-SPILL = 0.25
+SPILL = 0.5
 #: Rows of a block when a leaf can't be split (many equal vectors).
 BLOCK_ROWS = 2048
 
