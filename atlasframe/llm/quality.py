@@ -25,6 +25,8 @@ ORDER = 4
 KEEP_SHARE = 0.995
 #: Words at its language's mean that are thought to be added to each document, as short texts vary more.
 PRIOR_WORDS = 10
+#: Text is repeated if it is so many times as far under its language's median as the lowest of the kept share.
+FAR_UNDER = 2.0
 #: A text is judged by counts of trusted texts of the other fold only; equal texts are in one fold.
 FOLDS = 2
 #: Words whose hashes a task remembers.
@@ -262,7 +264,7 @@ def score(docs: DataFrame, weights: DataFrame, base: dict[int, tuple[float, floa
 class QualityClassifier:
     """Weights of words and pairs and, by language, the mean and the threshold of cross-entropy (nats a word)."""
 
-    def __init__(self, weights: DataFrame, base: dict, limits: dict[str | None, tuple[float, float]], overall: tuple[float, float], fitted: DataFrame, scores: DataFrame):
+    def __init__(self, weights: DataFrame, base: dict, limits: dict[str | None, tuple[float, float, float]], overall: tuple[float, float, float], fitted: DataFrame, scores: DataFrame):
         self.weights, self.base, self.limits, self.overall = weights, base, limits, overall
         self.fitted, self.scores = fitted, scores
 
@@ -282,27 +284,27 @@ class QualityClassifier:
         mean = scored.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
         level = (F.col("nll") + PRIOR_WORDS * F.col("mean")) / (F.col("n") + PRIOR_WORDS)
         most = scored.alias("s").join(mean.withColumnRenamed("lang", "_of"), F.col("s.lang").eqNullSafe(F.col("_of"))).groupBy("lang").agg(
-            F.first("mean").alias("mean"), F.percentile_approx(level, keep_share, 10000).alias("most"), F.count("*").alias("n")
+            F.first("mean").alias("mean"), F.percentile_approx(level, [1 - keep_share, 0.5, keep_share], 10000).alias("at"), F.count("*").alias("n")
         ).collect()
-        limits = {r.lang: (r["mean"], r.most) for r in most}
+        limits = {r.lang: (r["mean"], r["at"][2], r["at"][1] - FAR_UNDER * (r["at"][1] - r["at"][0])) for r in most}
         total = sum(r.n for r in most)
-        overall = (sum(r["mean"] * r.n for r in most) / total, max(r.most for r in most)) if total else (0.0, math.inf)
+        overall = (sum(r["mean"] * r.n for r in most) / total, max(x[1] for x in limits.values()), min(x[2] for x in limits.values())) if total else (0.0, math.inf, -math.inf)
         return cls(weights, base, limits, overall, docs, scores)
 
     def classify(self, docs: DataFrame) -> DataFrame:
         """All columns of ``docs`` (it has ``text`` and ``lang``) and ``quality_cross_entropy``, ``quality_threshold``, ``quality_keep``.
 
-        ``quality_keep``: the text has words and its smoothed cross-entropy isn't over its language's threshold; languages
-        without trusted text take the overall mean and the highest threshold. Text without words: cross-entropy null, not kept. One row per
+        ``quality_keep``: the text has words and its smoothed cross-entropy isn't over its language's threshold nor
+        far under the usual range, as repeated text is; languages without trusted text take the overall mean and the widest limits. Text without words: cross-entropy null, not kept. One row per
         row; columns of those three names are replaced. The rows that ``fit`` saw aren't scored again.
         """
         scores = self.scores if docs is self.fitted else checkpoint(score(docs, self.weights, self.base))
         docs = docs.drop("quality_cross_entropy", "quality_threshold", "quality_keep")
-        limits = docs.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in self.limits.items()], "_of string, _mean double, _most double")
-        mean, most = (F.coalesce(c, F.lit(float(o))) for c, o in zip(("_mean", "_most"), self.overall))
+        limits = docs.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in self.limits.items()], "_of string, _mean double, _most double, _least double")
+        mean, most, least = (F.coalesce(c, F.lit(float(o))) for c, o in zip(("_mean", "_most", "_least"), self.overall))
         level = (F.col("_nll") + PRIOR_WORDS * mean) / (F.col("_n") + PRIOR_WORDS)
         joined = docs.withColumn("_key", text_key()).join(scores.toDF("_key", "_nll", "_n"), "_key", "left").join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_of")), "left")
-        return joined.select(*docs.columns, level.alias("quality_cross_entropy"), most.alias("quality_threshold"), F.coalesce(level <= most, F.lit(False)).alias("quality_keep"))
+        return joined.select(*docs.columns, level.alias("quality_cross_entropy"), most.alias("quality_threshold"), F.coalesce((level <= most) & (level >= least), F.lit(False)).alias("quality_keep"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from atlasframe.llm.quality import END, START, WORDS, count_pairs, fold_of, score, text_key, word_weights
+from atlasframe.llm.quality import END, START, WORDS, QualityClassifier, count_pairs, fold_of, score, text_key, word_weights
 
 TRUSTED = [f"the {a} {b} the {c} on a mat." for a in ("cat", "dog", "rat") for b in ("saw", "met") for c in ("hen", "cow", "cat", "ape")]
 OTHERS = ["the cat sat on the mat, twice twice", "zzz unknown", "a mat", "the dog met the ape on a mat.", "東京タワー"]
@@ -54,3 +55,14 @@ def test_table_grows_with_the_corpus(spark):
         docs = spark.createDataFrame([(f"item {i} of {i + 1}",) for i in range(k)], "text string")
         sizes.append(word_weights(count_pairs(docs))[0].count())
     assert sizes[1] > 3.5 * sizes[0]
+
+
+def test_repeated_text_is_under_the_lower_limit(spark):
+    """One pair of trusted words over and over is likelier than any text."""
+    rng = np.random.default_rng(3)
+    words = "the of and to in that was with for this from have which their other about".split()
+    rows = [(i, "of the " * 3 + " ".join(rng.choice(words, 40)) + ".", "en") for i in range(300)]
+    rows += [(1000 + i, "of the " * (200 + i), "en") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = QualityClassifier.fit(df, df.where("doc_id < 300").select("doc_id")).classify(df).where("quality_keep").collect()
+    assert not any(r.doc_id >= 1000 for r in out) and len(out) >= 290
