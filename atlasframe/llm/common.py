@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from atlasframe.plans.checkpoints import checkpoint, ensure_checkpoint_dir
 
 __all__ = [
-    "checkpoint", "connected_components", "documents", "ensure_checkpoint_dir", "release_memory", "slices", "texts", "whole_groups", "with_blocks",
+    "checkpoint", "connected_components", "documents", "ensure_checkpoint_dir", "release_memory", "slices", "texts", "whole_groups", "with_blocks", "written",
 ]
 
 #: Rows of a slice of an Arrow batch that is turned into Python strings at once.
@@ -24,6 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a new folder of the shared checkpoint folder as Parquet, which takes far less room than a checkpoint of rows, and go on from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def release_memory() -> None:
     """Give freed memory back to the machine: Python workers live on after a task, beside those of other operators."""
     pa.default_memory_pool().release_unused()

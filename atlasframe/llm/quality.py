@@ -1,310 +1,317 @@
 """Quality classifier: a modified Kneser-Ney model of trusted text gives each document a perplexity.
 
-The classifier counts pairs of words in tables that grow with the corpus and stay on the executors; documents join them.
-The character model above it is dense and bounded: it checks the same estimates against the textbook recursion.
+The n-grams are of raw bytes, so nothing is folded and their tables grow with the corpus. They stay on the executors:
+
+1. trusted texts are counted, each task its own first;
+2. counts of lower orders, discounts and weights of contexts come from joins of the count tables by context;
+3. texts are dealt to slices; each slice asks for its different n-grams once, and these requests join the weights,
+   sharded by n-gram;
+4. the answers go back to their slice, which sums up the log-probability of each of its documents.
+
+So the model is never whole anywhere, and a text moves once, compressed.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from atlasframe.llm.charlm import BITS, SIZE, cased_alphabet, ngrams
-from atlasframe.llm.common import checkpoint, documents, slices
+from atlasframe.llm.common import documents, release_memory, slices, written
 
-ORDER = 4
+ORDER = 5
 #: Share of trusted documents of a language that the threshold of the language keeps.
 KEEP_SHARE = 0.995
-#: Words at its language's mean that are thought to be added to each document, as short texts vary more.
-PRIOR_WORDS = 10
+#: Bytes at its language's mean that are thought to be added to each document, as short texts vary more.
+PRIOR_BYTES = 50
 #: Text is repeated if it is so many times as far under its language's median as the lowest of the kept share.
 FAR_UNDER = 2.0
 #: A text is judged by counts of trusted texts of the other fold only; equal texts are in one fold.
 FOLDS = 2
-#: Words whose hashes a task remembers.
-REMEMBERED = 200_000
-#: What stands before the first word and after the last one.
-START, END = 1, 2
-#: Letters of scripts without blanks are words of their own.
-ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-WORDS = re.compile(rf"[{ALONE}]|[^\W{ALONE}]+|[^\w\s]+")
-#: Rows of n-gram codes that a counting task gathers before it sums them.
-PENDING = 1 << 21
+#: The bytes that stand before the first and after the last one of a text.
+START, END = 2, 3
+#: Bits of an n-gram's bytes; the order stands above them.
+SHIFT = 8 * ORDER
+#: Bytes of text in a slice on average, and how many of them are worked on at once.
+SLICE_BYTES, CHUNK_BYTES = 64 << 20, 2 << 20
+#: Different n-grams that a counting task holds before it gives them out.
+HELD_GRAMS = 1 << 22
+
+
+def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the highest order that end at each byte (and at the end mark) of each text in a row, and how many each text has."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    start, end = bytes([START]) * (ORDER - 1), bytes([END])
+    data = np.frombuffer(b"".join(x for text in texts for x in (start, text, end)), np.uint8)
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(np.arange(len(texts)) * (ORDER - 1), sizes)
+    code = np.zeros(max(0, len(data) - ORDER + 1), np.int64)
+    for k in range(ORDER):
+        code = (code << 8) | data[k : k + len(code)]
+    return code[at], sizes
+
+
+def chunked(texts: Iterator[bytes], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """Texts in lists of about ``limit`` bytes."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.col(text).cast("binary"))
+
+
+def fold_of(key: Column) -> Column:
+    return F.pmod(key, F.lit(FOLDS)).cast("int")
 
 
-def count_ngrams(trusted: DataFrame) -> DataFrame:
-    """Counts of all character n-grams of the highest order over whole texts (``code``, ``n``), summed in each task first."""
+def count_grams(trusted: DataFrame) -> DataFrame:
+    """Counts of all n-grams of the highest order over whole texts (``text``), by the fold of their texts: ``fold``, ``code``, ``n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, codes, counts, pending, held = cased_alphabet(), np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
-
-        def summed():
-            found, n = np.unique(np.concatenate(pending), return_counts=True)
-            both = np.concatenate([codes, found])
-            every, place = np.unique(both, return_inverse=True)
-            return every, np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(every)).astype(np.int64)
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                pending.append(ngrams((text or "").encode("utf-8", "surrogatepass"), table, ORDER))
-                held += len(pending[-1])
-            if held >= PENDING:
-                (codes, counts), pending, held = summed(), [], 0
-        if pending:
-            codes, counts = summed()
-        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(counts)], names=["code", "n"])
-
-    return trusted.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            codes, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return codes, np.bincount(place, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
 
+        def given_out() -> Iterator[pa.RecordBatch]:
+            for fold, parts in held.items():
+                codes, n = summed(parts)
+                for a in range(0, len(codes), 1 << 18):
+                    part = slice(a, a + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes[part]), fold, np.int32)), pa.array(codes[part]), pa.array(n[part])], names=["fold", "code", "n"])
+            held.clear()
 
-def estimates(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Modified Kneser-Ney from counts of the highest order.
-
-    The counts of each lower order are how many different characters stand before; counts join their
-    context's sums, sharded by order and context. Returns the discounted probabilities (``k``, ``code``,
-    ``alpha``) and the weights that contexts give the lower order (``k``, ``context``, ``gamma``).
+        for batch in slices(batches):
+            folds, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for fold in set(folds):
+                for chunk in chunked(x for f, x in zip(folds, found) if f == fold and (x or b"").strip()):
+                    own = held.setdefault(fold, [])
+                    own.append(np.unique(gram_codes(chunk)[0], return_counts=True))
+                    if len(own) > 8:
+                        own[:] = [summed(own)]
+            if sum(len(p[0]) for parts in held.values() for p in parts) > HELD_GRAMS:
+                held |= {fold: [summed(parts)] for fold, parts in held.items()}
+                if sum(len(parts[0][0]) for parts in held.values()) > HELD_GRAMS // 2:
+                    yield from given_out()
+        yield from given_out()
+
+    found = trusted.select(fold_of(text_key()).alias("fold"), F.col("text").cast("binary").alias("text"))
+    return found.mapInArrow(run, "fold int, code long, n long").groupBy("fold", "code").agg(F.sum("n").alias("n"))
+
+
+def gram_weights(counts: DataFrame) -> DataFrame:
+    """Modified Kneser-Ney weights of all n-grams of all orders, by the fold of the texts they are to judge.
+
+    The counts of a lower order are how many different bytes stand before. ``alpha`` is an n-gram's discounted
+    share of its context, ``gamma`` the weight that it gives the lower order as a context; null where it isn't seen as such.
+    Returns ``fold``, ``gram`` (its order above its bytes), ``alpha``, ``gamma``.
     """
-    level = counts.select(F.col("code").cast("long").alias("code"), "n")
+    counts = written(counts)
+    own = [r.fold for r in counts.select("fold").distinct().collect()]  # FOLDS rows at most
+    of = F.lit(FOLDS - 1) - F.col("fold") if len(own) == FOLDS else F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))  # all in one fold: nothing can be left out
+    level = counts.select(of.alias("fold"), "code", "n")
     every = level.withColumn("k", F.lit(ORDER))
     for k in range(ORDER - 1, 0, -1):
-        level = level.groupBy(F.col("code").bitwiseAND(SIZE**k - 1).alias("code")).agg(F.count("*").alias("n"))
+        level = level.groupBy("fold", F.col("code").bitwiseAND((1 << 8 * k) - 1).alias("code")).agg(F.count("*").alias("n"))
         every = every.unionByName(level.withColumn("k", F.lit(k)))
-    every = checkpoint(every.withColumn("context", F.shiftright("code", BITS)))
-    return discounted(every, ["k"], ["code"])
-
-
-def discounted(every: DataFrame, level: list[str], code: list[str]) -> tuple[DataFrame, DataFrame]:
-    """From counts ``n`` of ``code`` after ``context``: the discounted probabilities of each code, and the weight each context gives the lower order."""
-    seen = every.groupBy(*level).agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)])
+    every = written(every).withColumn("context", F.shiftright("code", 8))
+    seen = every.groupBy("fold", "k").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)])
     # Absolute discounts of counts 1, 2 and more; half-way values where a count of counts is 0 (tiny corpora).
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     cut = [F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(i / 2)))).alias(f"d{i}") for i in (1, 2, 3)]
-    discounts = F.broadcast(seen.select(*level, *cut))  # a row for each level
-    contexts = every.groupBy(*level, "context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("c1"), F.count_if(F.col("n") == 2).alias("c2"), F.count_if(F.col("n") > 2).alias("c3"))
+    discounts = F.broadcast(seen.select("fold", "k", *cut))  # FOLDS * ORDER rows
+    contexts = every.groupBy("fold", "k", "context").agg(F.sum("n").alias("total"), *[F.count_if(F.least("n", F.lit(3)) == i).alias(f"c{i}") for i in (1, 2, 3)])
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    alpha = every.join(contexts, [*level, "context"]).join(discounts, level).select(*level, *code, ((F.col("n") - d) / F.col("total")).alias("alpha"))
-    gamma = contexts.join(discounts, level).select(*level, "context", ((F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")) / F.col("total")).alias("gamma"))
-    return alpha, gamma
-
-
-class PerplexityModel:
-    """Log-probabilities of all 64^ORDER n-grams, put together once in each task, and dropped at its end."""
-
-    built: dict[str, np.ndarray] = {}
-
-    def __init__(self, alpha, gamma):
-        self.key = uuid.uuid4().hex
-        self.alpha = {k: (g.code.to_numpy(), g.alpha.to_numpy(np.float32)) for k, g in alpha.groupby("k")}
-        self.gamma = {k: (g.context.to_numpy(), g.gamma.to_numpy(np.float32)) for k, g in gamma.groupby("k")}
-
-    def log_probabilities(self) -> np.ndarray:
-        if self.key not in PerplexityModel.built:
-            PerplexityModel.built.clear()
-            p = np.full(1, 1 / SIZE, np.float32)
-            for k in range(1, ORDER + 1):
-                weight, own = np.ones(SIZE ** (k - 1), np.float32), np.zeros(SIZE**k, np.float32)
-                if k in self.alpha:
-                    weight[self.gamma[k][0]] = self.gamma[k][1]
-                    own[self.alpha[k][0]] = self.alpha[k][1]
-                if k == 1:
-                    own += weight * p
-                else:  # by first characters, so that no second array of all n-grams is needed
-                    for part, w in zip(own.reshape(SIZE, -1, SIZE), weight.reshape(SIZE, -1, 1)):
-                        part += w * p.reshape(-1, SIZE)
-                p = own
-            np.maximum(p, 1e-12, out=p)
-            PerplexityModel.built[self.key] = np.log(p, out=p)
-        return PerplexityModel.built[self.key]
-
-    def surprise(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of negative log-probabilities of each text, and its number of n-grams."""
-        logp, table = self.log_probabilities(), cased_alphabet()
-        found = [ngrams((x or "").encode("utf-8", "surrogatepass"), table, ORDER) for x in texts]
-        return np.array([-float(logp[c].sum(dtype=np.float64)) for c in found]), np.fromiter(map(len, found), np.int64, len(found))
-
-
-class WordHasher:
-    """Words of a text as 64-bit hashes, which are the same in every task."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words, known = WORDS.findall(text), self.known
-        for w in set(words).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(known) > REMEMBERED:
-            known.clear()
+    gram = lambda k, code: (F.shiftleft(k.cast("long"), SHIFT) + code).alias("gram")
+    alpha = every.join(contexts.select("fold", "k", "context", "total"), ["fold", "k", "context"]).join(discounts, ["fold", "k"]).select(
+        "fold", gram(F.col("k"), F.col("code")), ((F.col("n") - d) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma")
+    )
+    gamma = contexts.join(discounts, ["fold", "k"]).select(
+        "fold", gram(F.col("k") - 1, F.col("context")), F.lit(None).cast("double").alias("alpha"), (sum(F.col(f"c{i}") * F.col(f"d{i}") for i in (1, 2, 3)) / F.col("total")).alias("gamma")
+    )
+    both = alpha.unionByName(gamma).groupBy("fold", "gram").agg(F.max("alpha").alias("alpha"), F.max("gamma").alias("gamma"))
+    return written(both.select("fold", "gram", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma")))
+
+
+class SliceModel:
+    """The weights of the n-grams of one slice, put together to log-probabilities."""
+
+    def __init__(self, gram: np.ndarray, alpha: np.ndarray, gamma: np.ndarray):
+        order = np.argsort(gram)
+        gram, alpha, gamma = gram[order], alpha[order].astype(np.float64), gamma[order].astype(np.float64)
+        level = gram >> SHIFT
+        code = gram & ((1 << SHIFT) - 1)
+        self.context = {k: (code[at], np.maximum(gamma[at], 1e-9)) for k in range(ORDER) for at in [np.flatnonzero((level == k) & ~np.isnan(gamma))]}
+        self.seen: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (np.zeros(1, np.int64), np.full(1, -8 * math.log(2)))}
+        for k in range(1, ORDER + 1):
+            at = np.flatnonzero((level == k) & ~np.isnan(alpha))
+            p = alpha[at] + self.gammas(k - 1, code[at] >> 8) * np.exp(self.seen[k - 1][1][self.place(k - 1, code[at] & ((1 << 8 * (k - 1)) - 1))[0]])
+            self.seen[k] = code[at], np.log(np.maximum(p, 1e-12))
+
+    def place(self, k: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = self.seen[k][0]
+        if not len(known):
+            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        return at, known[at] == code
+
+    def gammas(self, k: int, context: np.ndarray) -> np.ndarray:
+        """The weights of contexts of ``k`` bytes; 1 for contexts that aren't seen."""
+        known, gamma = self.context[k]
+        if not len(known):
+            return np.ones(len(context))
+        at = np.minimum(np.searchsorted(known, context), len(known) - 1)
+        return np.where(known[at] == context, gamma[at], 1.0)
+
+    def log_probabilities(self, code: np.ndarray) -> np.ndarray:
+        """Of each n-gram of the highest order: the longest seen end of it, times the weights of the longer contexts."""
+        out, open_ = np.zeros(len(code)), np.arange(len(code))
+        for k in range(ORDER, -1, -1):
+            own = code[open_] & ((1 << 8 * k) - 1)
+            at, hit = self.place(k, own)
+            out[open_[hit]] += self.seen[k][1][at[hit]]
+            open_, own = open_[~hit], own[~hit]
+            if not len(open_):
+                break
+            out[open_] += np.log(self.gammas(k - 1, own >> 8))
         return out
 
 
-def pair_code(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """One hash of two words in order."""
-    x = u * np.uint64(0x9E3779B97F4A7C15) + v
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def summed(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Different rows of ``columns``, and how often each is there."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    change = np.ones(len(order), bool)
-    change[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    starts = np.flatnonzero(change)
-    return [c[starts] for c in columns], np.diff(np.append(starts, len(order)))
-
-
-def text_key(text: str = "text"):
-    return F.xxhash64(F.col(text))
+def score(docs: DataFrame, weights: DataFrame, carry: list[str], slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The columns ``carry`` of every row of ``docs`` (it has ``doc_id`` and ``text``), and its text's negative log-probability ``_nll`` and n-grams ``_n``.
 
-
-def fold_of(key):
-    return F.pmod(key, F.lit(FOLDS)).cast("int")
-
-
-def count_pairs(trusted: DataFrame) -> DataFrame:
-    """Counts of all pairs of neighbouring words by the fold of their texts (``fold``, ``context``, ``word``, ``code``, ``n``)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pending, held = WordHasher(), [], 0
-
-        def rows():
-            (fold, u, v), n = summed([np.concatenate(c) for c in zip(*pending)])
-            return pa.RecordBatch.from_arrays([pa.array(fold), *[pa.array(c.view(np.int64)) for c in (u, v, pair_code(u, v))], pa.array(n.astype(np.int64))], names=["fold", "context", "word", "code", "n"])
-
-        for batch in slices(batches):
-            for fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = hashes(text or "")
-                if len(found):
-                    both = np.concatenate([[np.uint64(START)], found, [np.uint64(END)]])
-                    pending.append((np.full(len(both) - 1, fold, np.int32), both[:-1], both[1:]))
-                    held += len(found)
-            if held >= PENDING:
-                yield rows()
-                pending, held = [], 0
-        if pending:
-            yield rows()
-
-    found = trusted.select(fold_of(text_key()).alias("fold"), "text").mapInArrow(run, "fold int, context long, word long, code long, n long")
-    return found.groupBy("fold", "context", "word", "code").agg(F.sum("n").alias("n"))
-
-
-def word_weights(counts: DataFrame) -> tuple[DataFrame, dict[int, tuple[float, float]]]:
-    """What each word and each pair of words adds to the log-probability of a text, by the fold of the text.
-
-    An unseen n-gram has the probability of its shorter one times its context's weight. So the log-probability of a text is a
-    sum over its words and pairs: a word adds log p(word) - log p(unknown word), and as context log gamma; a seen pair adds
-    log p(pair) less what its word and context add. Returns these (``fold``, ``code``, ``weight``), and by fold the
-    log-probability of an unknown word and what start and end of a text add.
-    """
-    counts = checkpoint(counts)
-    own = [r.fold for r in counts.select("fold").distinct().collect()]  # FOLDS rows at most
-    of = F.lit(FOLDS - 1) - F.col("fold") if len(own) == FOLDS else F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))  # all in one fold: nothing can be left out
-    pairs = counts.select(of.alias("fold"), "context", "word", "code", "n")
-    alpha2, gamma2 = discounted(pairs, ["fold"], ["context", "word", "code"])
-    level = checkpoint(pairs.groupBy("fold", "word").agg(F.count("*").alias("n")))
-    size = level.groupBy("fold").agg(F.count("*").alias("size"))
-    of_unigrams = level.withColumn("context", F.lit(0))
-    alpha1, gamma1 = discounted(of_unigrams, ["fold"], ["word"])
-    unknown = F.broadcast(gamma1.join(size, "fold").select("fold", (F.greatest("gamma", F.lit(1e-9)) / (F.col("size") + 1)).alias("unknown")))
-    words = alpha1.join(unknown, "fold").select("fold", "word", (F.col("alpha") + F.col("unknown")).alias("p"), "unknown")
-    gamma2 = gamma2.select("fold", "context", F.greatest("gamma", F.lit(1e-9)).alias("gamma"))
-    one = checkpoint(words.join(gamma2.withColumnRenamed("context", "word"), ["fold", "word"], "full_outer").select("fold", "word", "p", "unknown", "gamma"))
-    seen = alpha2.join(one.select("fold", F.col("word").alias("context"), "gamma"), ["fold", "context"]).join(one.select("fold", "word", "p"), ["fold", "word"])
-    two = seen.select("fold", "code", F.log1p(F.col("alpha") / (F.col("gamma") * F.col("p"))).alias("weight"))
-    as_word, as_context = F.coalesce(F.log(F.col("p") / F.col("unknown")), F.lit(0.0)), F.coalesce(F.log("gamma"), F.lit(0.0))
-    base = {r.fold: r.unknown for r in unknown.collect()}
-    ends = {r.fold: r.add for r in one.where(F.col("word").isin(START, END)).groupBy("fold").agg(F.sum(as_word + as_context).alias("add")).collect()}
-    return two.unionByName(one.select("fold", F.col("word").alias("code"), (as_word + as_context).alias("weight"))), {f: (math.log(base[f]), ends[f]) for f in base}
-
-
-def score(docs: DataFrame, weights: DataFrame, base: dict[int, tuple[float, float]]) -> DataFrame:
-    """Negative log-probability ``nll`` and number of words ``n`` (with the end) of each different text with words, by ``key``.
-
-    Each text's words and pairs are counted first, then join the weights by their code; only sums by text go on.
+    Texts that are null or blank have 0 n-grams. Rows are dealt to slices of one fold by a hash of id and text. Nothing is joined by text, so
+    repeated texts are no hot key; a slice asks for each n-gram once.
     """
+    raw = F.col("text").cast("binary")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, math.ceil(size / (FOLDS * slice_bytes)))
+    others = [c for c in carry if c != "text"]
+    own = F.pmod(F.xxhash64("doc_id", raw), F.lit(parts)) * FOLDS + fold_of(text_key())
+    rows = docs.select(own.cast("int").alias("_slice"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(others)]).alias("_row"), raw.alias("_text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHasher()
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=6, write_checksum=False).compress
         for batch in slices(batches):
-            keys, found = batch.column(0).to_numpy(), [hashes(x or "") for x in batch.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            full = np.flatnonzero(sizes)
-            if not len(full):
-                continue
-            owner, codes = [np.repeat(np.arange(len(found)), sizes)], [np.concatenate(found)]
-            for k in full:
-                both = np.concatenate([[np.uint64(START)], found[k], [np.uint64(END)]])
-                codes.append(pair_code(both[:-1], both[1:]))
-                owner.append(np.full(len(both) - 1, k))
-            (doc, code), n = summed([np.concatenate(owner), np.concatenate(codes)])
-            # A row that no weight meets tells the length, as a number below 0.
-            every = [np.append(keys[doc], keys[full]), np.append(code.view(np.int64), ~keys[full]), np.append(n, -(sizes[full] + 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1]), pa.array(every[2].astype(np.int32))], names=["key", "code", "n"])
-
-    rows = docs.select(text_key().alias("key"), "text").mapInArrow(run, "key long, code long, n int")
-    met = rows.withColumn("fold", fold_of(F.col("key"))).join(weights.hint("merge"), ["fold", "code"], "left").where("weight is not null or n < 0")
-    sums = met.groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("n") * F.col("weight"))).alias("add"), F.sum(F.when(F.col("n") < 0, -F.col("n"))).alias("n"), F.count_if(F.col("n") < 0).alias("copies"))
-    known = [base.get(f, (0.0, 0.0)) for f in range(FOLDS)]
-    first = lambda i: F.element_at(F.array(*[F.lit(float(x[i])) for x in known]), fold_of(F.col("key")) + 1)
-    n = F.col("n") / F.col("copies")
-    return sums.select("key", (-(n * first(0) + first(1) + F.coalesce("add", F.lit(0.0)) / F.col("copies"))).alias("nll"), n.alias("n"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x and small(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["_slice", "_row", "_text"])
+
+    held = rows.mapInArrow(compressed, rows.schema)
+
+    def texts_of(table: pa.Table) -> Iterator[bytes]:
+        import zstandard
+
+        whole = zstandard.ZstdDecompressor().decompress
+        for chunk in table.column("_text").chunks:
+            for x in chunk:
+                yield whole(x.as_py()) if x.is_valid and len(x.as_buffer()) else b""
+
+    def wanted(table: pa.Table) -> pa.Table:
+        number, found = table.column("_slice")[0].as_py(), []
+        for chunk in chunked(x for x in texts_of(table) if x.strip()):
+            found.append(np.unique(gram_codes(chunk)[0]))
+            if len(found) > 8:
+                found = [np.unique(np.concatenate(found))]
+        codes = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        start = int.from_bytes(bytes([START]) * (ORDER - 1), "big")
+        # All ends of the n-grams, which are also all beginnings but those of the first ones.
+        grams = [np.unique(np.append(codes, start) & ((1 << 8 * k) - 1)) + (k << SHIFT) for k in range(ORDER)] + [codes + (ORDER << SHIFT)]
+        gram = np.concatenate(grams)
+        release_memory()
+        return pa.table({"_slice": pa.array(np.full(len(gram), number, np.int32)), "fold": pa.array(np.full(len(gram), number % FOLDS, np.int32)), "gram": pa.array(gram)})
+
+    def summed(table: pa.Table, answers: pa.Table) -> pa.Table:
+        model = SliceModel(*(answers.column(c).to_numpy() for c in ("gram", "alpha", "gamma")))
+        nll, n, kept = [np.zeros(0)], [np.zeros(0, np.int64)], []
+        for chunk in chunked(texts_of(table)):
+            code, sizes = gram_codes(chunk)
+            logp = model.log_probabilities(code)
+            full = np.fromiter((bool(x.strip()) for x in chunk), bool, len(chunk))
+            nll.append(np.where(full, -np.add.reduceat(logp, np.cumsum(sizes) - sizes), 0.0))
+            n.append(np.where(full, sizes, 0))
+            if "text" in carry:
+                kept += chunk
+        out = {"_row": table.column("_row")}
+        if "text" in carry:
+            valid = table.column("_text").is_valid().to_pylist()
+            out["_text"] = pa.array([x if ok else None for x, ok in zip(kept, valid)], pa.binary())
+        release_memory()
+        return pa.table(out | {"_nll": pa.array(np.concatenate(nll)), "_n": pa.array(np.concatenate(n))})
+
+    asked = held.groupBy("_slice").applyInArrow(wanted, "_slice int, fold int, gram long")
+    answers = asked.join(weights, ["fold", "gram"]).select("_slice", "gram", "alpha", "gamma")
+    text = [T.StructField("_text", T.BinaryType())] if "text" in carry else []
+    schema = T.StructType([rows.schema["_row"], *text, T.StructField("_nll", T.DoubleType()), T.StructField("_n", T.LongType())])
+    out = held.groupBy("_slice").cogroup(answers.groupBy("_slice")).applyInArrow(summed, schema)
+    place = {c: F.col(f"_row._{k}") for k, c in enumerate(others)} | {"text": F.col("_text").cast("string") if text else None}
+    return out.select(*[place[c].alias(c) for c in carry], "_nll", "_n")
 
 
 class QualityClassifier:
-    """Weights of words and pairs and, by language, the mean and the threshold of cross-entropy (nats a word)."""
+    """Weights of n-grams and, by language, the mean and the limits of cross-entropy (nats a byte)."""
 
-    def __init__(self, weights: DataFrame, base: dict, limits: dict[str | None, tuple[float, float, float]], overall: tuple[float, float, float], fitted: DataFrame, scores: DataFrame):
-        self.weights, self.base, self.limits, self.overall = weights, base, limits, overall
+    def __init__(self, weights: DataFrame, limits: dict[str | None, tuple[float, float, float]], overall: tuple[float, float, float], fitted: DataFrame, scores: DataFrame):
+        self.weights, self.limits, self.overall = weights, limits, overall
         self.fitted, self.scores = fitted, scores
 
     @classmethod
-    def fit(cls, docs: DataFrame, trusted: DataFrame, keep_share: float = KEEP_SHARE) -> QualityClassifier:
-        """Learn from the rows of ``docs`` whose ``doc_id`` is in ``trusted``.
+    def fit(cls, docs: DataFrame, trusted: DataFrame, keep_share: float = KEEP_SHARE, carry: list[str] | None = None) -> QualityClassifier:
+        """Learn from the rows of ``docs`` (``doc_id``, ``text``, ``lang``) whose ``doc_id`` is in ``trusted``.
 
         Counts and quantiles are over all trusted rows and whole texts; each text is judged by the counts of the other fold, so
-        that thresholds are of text the counts left out. Without trusted text, nothing is rejected but texts without words. Only
-        limits by language and a few numbers by fold reach the driver.
+        that thresholds are of text the counts left out. Without trusted text, nothing is rejected but blank texts. Only
+        limits by language reach the driver. ``carry``: the columns that ``classify`` is to return, all by default (``doc_id`` and ``lang`` are always among them).
         """
-        ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().hint("merge")
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-        weights, base = word_weights(count_pairs(rows.select("doc_id", "text").join(ids, "doc_id", "left_semi")))
-        scores = checkpoint(score(docs, weights, base))
-        scored = checkpoint(rows.select("doc_id", "lang", text_key().alias("key")).join(ids, "doc_id", "left_semi").join(scores, "key"))
-        mean = scored.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))
-        level = (F.col("nll") + PRIOR_WORDS * F.col("mean")) / (F.col("n") + PRIOR_WORDS)
-        most = scored.alias("s").join(mean.withColumnRenamed("lang", "_of"), F.col("s.lang").eqNullSafe(F.col("_of"))).groupBy("lang").agg(
+        carry = [c for c in docs.columns if c not in ADDED and (carry is None or c in (*carry, "doc_id", "lang"))]
+        ids = trusted.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
+        is_trusted = F.col("doc_id").cast("long") == F.col("_id")
+        weights = gram_weights(count_grams(docs.select("doc_id", "text").join(ids, is_trusted, "left_semi")))
+        scores = written(score(docs, weights, carry))
+        scored = written(scores.where("_n > 0").select("doc_id", "lang", "_nll", "_n").join(ids, is_trusted, "left_semi"))
+        mean = scored.groupBy("lang").agg((F.sum("_nll") / F.sum("_n")).alias("mean"))
+        level = (F.col("_nll") + PRIOR_BYTES * F.col("mean")) / (F.col("_n") + PRIOR_BYTES)
+        most = scored.join(mean.withColumnRenamed("lang", "_of"), F.col("lang").eqNullSafe(F.col("_of"))).groupBy("lang").agg(
             F.first("mean").alias("mean"), F.percentile_approx(level, [1 - keep_share, 0.5, keep_share], 10000).alias("at"), F.count("*").alias("n")
         ).collect()
         limits = {r.lang: (r["mean"], r["at"][2], r["at"][1] - FAR_UNDER * (r["at"][1] - r["at"][0])) for r in most}
         total = sum(r.n for r in most)
         overall = (sum(r["mean"] * r.n for r in most) / total, max(x[1] for x in limits.values()), min(x[2] for x in limits.values())) if total else (0.0, math.inf, -math.inf)
-        return cls(weights, base, limits, overall, docs, scores)
+        return cls(weights, limits, overall, docs, scores)
 
     def classify(self, docs: DataFrame) -> DataFrame:
-        """All columns of ``docs`` (it has ``text`` and ``lang``) and ``quality_cross_entropy``, ``quality_threshold``, ``quality_keep``.
+        """All columns of ``docs`` (the carried ones, if it is the table that ``fit`` saw, whose rows aren't scored again), and ``quality_cross_entropy``, ``quality_threshold``, ``quality_keep``.
 
-        ``quality_keep``: the text has words and its smoothed cross-entropy isn't over its language's threshold nor
-        far under the usual range, as repeated text is; languages without trusted text take the overall mean and the widest limits. Text without words: cross-entropy null, not kept. One row per
-        row; columns of those three names are replaced. The rows that ``fit`` saw aren't scored again.
+        ``quality_keep``: the text isn't blank and its smoothed cross-entropy isn't over its language's threshold nor far under the usual
+        range, as repeated text is; languages without trusted text take the overall mean and the widest limits. Null, empty and blank
+        texts: cross-entropy null, not kept. Very long texts are read whole. One row per row, repeated rows and rows without id too; columns of those three names are
+        replaced; an empty table gives no rows.
         """
-        scores = self.scores if docs is self.fitted else checkpoint(score(docs, self.weights, self.base))
-        docs = docs.drop("quality_cross_entropy", "quality_threshold", "quality_keep")
+        scores = self.scores if docs is self.fitted else score(docs, self.weights, [c for c in docs.columns if c not in ADDED])
         limits = docs.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in self.limits.items()], "_of string, _mean double, _most double, _least double")
         mean, most, least = (F.coalesce(c, F.lit(float(o))) for c, o in zip(("_mean", "_most", "_least"), self.overall))
-        level = (F.col("_nll") + PRIOR_WORDS * mean) / (F.col("_n") + PRIOR_WORDS)
-        joined = docs.withColumn("_key", text_key()).join(scores.toDF("_key", "_nll", "_n"), "_key", "left").join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_of")), "left")
-        return joined.select(*docs.columns, level.alias("quality_cross_entropy"), most.alias("quality_threshold"), F.coalesce((level <= most) & (level >= least), F.lit(False)).alias("quality_keep"))
+        level = F.when(F.col("_n") > 0, (F.col("_nll") + PRIOR_BYTES * mean) / (F.col("_n") + PRIOR_BYTES))
+        # A row for each language of the trusted texts.
+        joined = scores.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_of")), "left")
+        columns = [c for c in scores.columns if c not in ("_nll", "_n")]
+        return joined.select(*columns, level.alias("quality_cross_entropy"), most.alias("quality_threshold"), F.coalesce((level <= most) & (level >= least), F.lit(False)).alias("quality_keep"))
+
+
+ADDED = ("quality_cross_entropy", "quality_threshold", "quality_keep")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -314,6 +321,6 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", F.octet_length("text").cast("long").alias("n_bytes"))
-    fitted = QualityClassifier.fit(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    fitted = QualityClassifier.fit(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")), carry=["doc_id", "lang", "n_bytes"])
     out = fitted.classify(docs).select("doc_id", "lang", "n_bytes", "quality_cross_entropy", "quality_threshold", "quality_keep")
     return out.withColumn("perplexity", F.exp("quality_cross_entropy"))
