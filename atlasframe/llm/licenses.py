@@ -86,22 +86,49 @@ def postfix(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
-def choices(order: list[str]) -> list[frozenset[str]]:
-    """The sets of licences that satisfy a postfix expression: ``or`` offers either, ``and`` asks for both, ``with`` joins an exception to its licence."""
-    stack: list[list[frozenset[str]]] = []
+def normal(order: list[str]) -> str:
+    """A postfix expression with brackets, where the parts of ``and`` and ``or`` are each there once and sorted; nothing is multiplied out."""
+    stack: list[tuple[str, frozenset[str]]] = []
+
+    def text(operator: str, parts: frozenset[str], inside: str = "") -> str:
+        joined = f" {operator} ".join(sorted(parts))
+        return f"({joined})" if inside and len(parts) > 1 and inside != operator else joined
+
+    for token in order:
+        if token not in PRECEDENCE:
+            stack.append(("", frozenset([token])))
+        elif token == "with":
+            exception, licence = stack.pop(), stack.pop()
+            stack.append(("", frozenset([f"{text(*licence, token)} with {text(*exception, token)}"])))
+        else:
+            sides = [stack.pop(), stack.pop()]
+            parts = frozenset(x for operator, own in sides for x in (own if operator in ("", token) else [text(operator, own, token)]))
+            stack.append((token if len(parts) > 1 else "", parts))
+    return text(*stack[0])
+
+
+def permitted(order: list[str], accepted: set[str]) -> bool:
+    """Can a postfix expression be met with ``accepted`` licences only? An exception only adds permissions, so the licence before ``with`` decides."""
+    stack: list[bool] = []
     for token in order:
         if token not in PRECEDENCE:
-            stack.append([frozenset([token])])
+            stack.append(token in accepted)
             continue
         right, left = stack.pop(), stack.pop()
-        if token == "or":
-            joined = left + right
-        elif token == "and":
-            joined = [a | b for a in left for b in right]
-        else:
-            joined = [frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right]
-        stack.append(list(dict.fromkeys(joined))[:64])  # alternatives of one expression, not documents
-    return sorted(stack[0], key=sorted)
+        stack.append(left or right if token == "or" else left and right if token == "and" else left)
+    return stack[0]
+
+
+def named(order: list[str]) -> set[str]:
+    """The licences of a postfix expression; exceptions behind ``with`` are none."""
+    stack: list[set[str]] = []
+    for token in order:
+        if token not in PRECEDENCE:
+            stack.append({token})
+            continue
+        right, left = stack.pop(), stack.pop()
+        stack.append(left if token == "with" else left | right)
+    return stack[0]
 
 
 class Scanner:
@@ -120,13 +147,12 @@ class Scanner:
     def scan(self, text: str) -> tuple:
         words = text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
         line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        base, labels, starts, n, grant, tag = set(), set(), [], 0, False, False
+        base, labels, hits, grant, tag = set(), set(), [], False, False
         for end, (size, what) in self.machine.iter(line):
             for kind, label in what:
                 if kind == "base":
-                    starts.append(line.count(" ", 0, end - size))
+                    hits.append(end - size)
                     base.add(label)
-                    n += 1
                 elif kind == "notice":
                     labels.add(label)
                 elif kind == "grant":
@@ -138,20 +164,25 @@ class Scanner:
             for raw in TAG_LINE.findall(text):
                 order = postfix(raw)
                 if order:
-                    read.append(" or ".join("(" + " and ".join(sorted(x)) + ")" for x in choices(order)))
-                    labels.update(x for x in order if x not in PRECEDENCE)
+                    read.append(normal(order))
+                    labels.update(named(order))
         labels |= base
+        first = last = None
+        if hits:  # blanks before a place are words before it
+            first = line.count(" ", 0, min(hits))
+            last = first + line.count(" ", min(hits), max(hits))
         score = 1.0 if read else (0.9 if grant else 0.6) if labels else 0.0
-        return len(words), n, min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, read
+        return len(words), len(hits), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, read
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Licence phrases, labels and expressions of every text of ``docs`` (``doc_id``, ``text``).
 
     Words are runs of letters, digits and other non-ASCII characters, A-Z in lower case. ``n_base`` counts
-    all places of the base phrases, overlapping ones too. ``expressions`` are the parsed licence tags. ``score``:
+    all places of the base phrases, overlapping ones too. ``expressions`` are the parsed licence tags, in normal form. ``score``:
     1 with a parsed tag, 0.9 for labels with words of a grant, 0.6 for other labels, else 0. Null text counts as empty:
-    no words, empty labels, null places. One row per input row; no shuffle; other columns are ignored.
+    no words, empty labels, null places. Very long texts are read whole, in time linear in their length. One row per input row, repeated rows and rows without id too; an empty table
+    gives no rows; no shuffle; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
