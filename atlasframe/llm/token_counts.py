@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,11 @@ COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: how the public byte-level vocabularies split text before merging.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Words whose counts a worker's task remembers; beyond that it forgets them all.
 REMEMBERED = 600_000
+#: White space next to white space, or other than blanks and line ends; ASCII ones are looked for one by one, which is faster.
+RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\0")
+OTHER_SPACE = r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NONE = np.int32(2**31 - 1)
 
 
@@ -48,6 +54,7 @@ class RankMerger:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.findall = regex.compile(PATTERN).findall
+        self.other_space = re.compile(OTHER_SPACE).search
         self.known: dict[str, int] = {}
 
     def survivors(self, pieces: list[str]) -> np.ndarray:
@@ -81,6 +88,27 @@ class RankMerger:
             symbols, owner = symbols[keep], owner[keep]
         return left
 
+    def learn(self, chunks: set[str]) -> None:
+        """Count the tokens of each chunk, which the pattern cuts into pre-tokens; those that are new are merged as one batch."""
+        known = self.known
+        split = {chunk: self.findall(chunk) for chunk in chunks}
+        new = list(set(chain.from_iterable(split.values())).difference(known))
+        if new:
+            known.update(zip(new, self.survivors(new).tolist()))
+        for chunk, found in split.items():
+            if len(found) != 1:
+                known[chunk] = sum(map(known.__getitem__, found))
+
+    def chunks(self, text: str) -> list[str]:
+        """Parts of a text that the pattern cuts as it would inside the text.
+
+        A pre-token never goes on from other characters into white space. So where single blanks or line ends stand between
+        other characters, each blank may be taken with the word behind it, and each line end alone.
+        """
+        if any(x in text for x in RUNS) or not text.isascii() and self.other_space(text):
+            return self.findall(text)
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
     def counts(self, batch: list[str]) -> list[int]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -91,13 +119,11 @@ class RankMerger:
                 split.append([p for part in parts for p in self.findall(part)])
                 extra.append(len(parts) - 1)
             else:
-                split.append(self.findall(text))
+                split.append(self.chunks(text))
                 extra.append(0)
         known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        if new:
-            known.update(zip(new, self.survivors(new).tolist()))
-        return [sum(map(known.__getitem__, pieces)) + n for pieces, n in zip(split, extra)]
+        self.learn(set(chain.from_iterable(split)).difference(known))
+        return [sum(map(known.__getitem__, found)) + n for found, n in zip(split, extra)]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
