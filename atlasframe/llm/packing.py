@@ -155,7 +155,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     A document is its token ids and ``end_id``. What fills whole windows is cut off first; the rest of
     each document is placed by best-fit decreasing. Every task packs its own documents, so there is
     no shuffle and the padding is at most about a window's share per task. Null text counts as empty
-    (one piece that holds ``end_id``); ``remember`` words stay in each worker; repeated rows are packed each; no rows, no pieces; other columns are ignored.
+    (one piece that holds ``end_id``); rows without id are packed like any other, with a null id; very long texts are cut into whole windows and a rest; ``remember`` words stay in each
+    worker; repeated rows are packed each; ties go in the order of reading; no rows, no pieces; other columns are ignored. A task packs GROUP_PIECES pieces at a time.
     Returns a row per piece, see ``PIECES``.
     """
 
@@ -168,9 +169,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         def placed() -> pa.RecordBatch:
             nonlocal used
             sequence, offset, n = best_fit_decreasing([r[2] for r in rows], window)
-            out = [np.array(c, np.int64) for c in zip(*rows)] + [np.array(sequence, np.int64) + first + used, np.array(offset, np.int64)]
+            ids, *numbers = zip(*rows)
+            out = [ids, *numbers, np.array(sequence, np.int64) + first + used, np.array(offset, np.int64)]
             used += n
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[f.split()[0] for f in PIECES.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[f.split()[0] for f in PIECES.split(", ")])
 
         for batch in slices(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.of(texts(batch))):
@@ -184,7 +186,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         if rows:
             yield placed()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from atlasframe.llm.token_counts import count_tokens
 SCHEMA = "doc_id long, text string, source string, n_tokens string, offset string"
 ODD = [
     None, "", " ", "\n\n  \t x", "aaaa aaaaa aaaaaaa", "can't won't I'LL they've", "été ÉTÉ naïve Straße", "日本語 テキスト 123 4567 ٣٤", "a  b   c    \n\n\n d ",
-    "<|endoftext|>", "x<|endoftext|><|endoftext|> y <|startoftext|>z", "é ́x  y z　w\x85q\x1cr", "😀😀 🏳️‍🌈!!!??? ###$$$", "=" * 3000, "ab" * 4000, "word " * 9000, "it was 3.5, no. 4, été, a,b ...,end. x_y,z «q», r. the.", "dog's dogs' 'tis o'clock' it's. don't!? a_b_ c_. x&y & z<|endoftext|>. <|ENDOFTEXT|> b<|EndOfText|>! e\u0301. q\u0301 (a) [b]. 5% é!", "ÀÉÎ ßÿ ªº µ Σας ΣΑΣ İ, ﬁ. A·b, c½. d", "x\r\ny\x0bz\x0c",
+    "<|endoftext|>", "x<|endoftext|><|endoftext|> y <|startoftext|>z", "é ́x  y z　w\x85q\x1cr", "😀😀 🏳️‍🌈!!!??? ###$$$", "=" * 3000, "ab" * 4000, "word " * 9000, "a\n \nb", "\na b\n c", "x \ny", " a", "b ", "\n", "a\x00b c", "a\x1c b", "日本 語\u2003 x", "it was 3.5, no. 4, été, a,b ...,end. x_y,z «q», r. the.", "dog's dogs' 'tis o'clock' it's. don't!? a_b_ c_. x&y & z<|endoftext|>. <|ENDOFTEXT|> b<|EndOfText|>! e\u0301. q\u0301 (a) [b]. 5% é!", "ÀÉÎ ßÿ ªº µ Σας ΣΑΣ İ, ﬁ. A·b, c½. d", "x\r\ny\x0bz\x0c",
 ]
 
 
@@ -52,6 +52,11 @@ def test_packing_is_whole_and_tight(spark, rows):
     assert out.sequence_id.nunique() <= np.ceil(out.length.sum() / 256) * 1.1 + 4
 
 
+def test_rows_without_id_are_packed(spark):
+    out = pack(spark.createDataFrame([(None, "a b", None, None, None), (None, None, None, None, None), (1, "c", None, None, None)], SCHEMA), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted(((r.doc_id or 0), r.length) for r in out) == [(0, 1), (0, 3), (1, 2)]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert pack(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
