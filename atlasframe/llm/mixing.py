@@ -79,7 +79,7 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, re
     in which the budget ends, so that a source with most rows is no single task's work.
     """
     kept = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source"), tokens.alias("_tokens"), F.struct(*kept).alias("_row"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source"), tokens.alias("_tokens"), F.xxhash64(*kept).alias("_hash"), F.struct(*kept).alias("_row"))
     found = rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")).collect()
     if not found:
         return docs.select(*kept, F.lit(0).cast("long").alias("mix_pass"), F.lit(0).cast("long").alias("mix_tokens"), F.lit(0.0).alias("mix_position"), F.lit(0.0).alias("mix_weight")).limit(0)
@@ -93,11 +93,11 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, re
     sources = docs.sparkSession.createDataFrame(passes, "_source string, mix_weight double, _all long, _want long, _n long, mix_pass long, _quota long").where("_quota > 0")
 
     drawn = rows.join(F.broadcast(sources) if len(passes) <= SENT_ROWS else sources, "_source")  # a row for each document and pass
-    drawn = drawn.withColumn("_key", F.xxhash64(F.lit(seed), "mix_pass", "_id")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_pass", "_id"), F.col("_n")))
+    drawn = drawn.withColumn("_key", F.xxhash64(F.lit(seed), "mix_pass", "_id", "_hash")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_pass", "_id", "_hash"), F.col("_n")))
     blocks = drawn.groupBy("_source", "mix_pass", "_block").agg(F.sum("_tokens").alias("_sum"), F.first("_quota").alias("_quota"))
     order = Window.partitionBy("_source", "mix_pass").orderBy(F.xxhash64(F.lit(seed + 2), "mix_pass", "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(order), F.lit(0))).where("_before < _quota").drop("_quota")
-    inside = Window.partitionBy("_source", "mix_pass", "_block").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "mix_pass", "_block").orderBy("_key", "_id", "_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = drawn.drop("_n").join(blocks, ["_source", "mix_pass", "_block"]).withColumn("_before", F.col("_before") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
     return placed.where("_before < _quota").select(
         "_row.*", "mix_pass", F.col("_tokens").alias("mix_tokens"),
