@@ -2,13 +2,14 @@
 
 The n-grams are of raw bytes, so nothing is folded and their tables grow with the corpus. They stay on the executors:
 
-1. trusted texts are counted, each task its own first;
+1. trusted texts join the trusted ids, compressed; a bitmap of bounded size leaves most others where they are. Each task
+   counts its own first, then the counts are summed by n-gram;
 2. counts of lower orders, discounts and weights of contexts come from joins of the count tables by context;
-3. texts are dealt to slices; each slice asks for its different n-grams once, and these requests join the weights,
-   sharded by n-gram;
+3. texts are dealt to slices by one exchange, compressed; each slice asks for its different n-grams once, and these
+   requests join the weights, sharded by n-gram;
 4. the answers go back to their slice, which sums up the log-probability of each of its documents.
 
-So the model is never whole anywhere, and a text moves once, compressed.
+So the model is never whole anywhere.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ SHIFT = 8 * ORDER
 #: Bytes of text in a slice on average, and how many of them are worked on at once.
 SLICE_BYTES, CHUNK_BYTES = 64 << 20, 2 << 20
 #: Different n-grams that a counting task holds before it gives them out.
-HELD_GRAMS = 1 << 22
+HELD_GRAMS = 1 << 23
+#: Bits of the bitmap of trusted ids, 8 MB: it is sent to all tasks and spares texts a move, whatever it says.
+BITS = 1 << 26
 
 
 def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +80,67 @@ def fold_of(key: Column) -> Column:
     return F.pmod(key, F.lit(FOLDS)).cast("int")
 
 
+def compressed(df: DataFrame, name: str) -> DataFrame:
+    """The binary column ``name`` as one compressed frame a row; null and empty stay as they are."""
+    names, at = df.columns, df.columns.index(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=6, write_checksum=False).compress
+        for batch in slices(batches):
+            columns = batch.columns
+            columns[at] = pa.array([x and small(x) for x in columns[at].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
+    """Compressed texts, one after the other; null is empty."""
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().decompress
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        for x in chunk:
+            yield whole(x.as_py()) if x.is_valid and len(x.as_buffer()) else b""
+
+
+def dealt(docs: DataFrame, carry: list[str], parts: int) -> DataFrame:
+    """Rows of ``docs`` in slices of one fold by a hash of id and text: ``_slice``, ``_row`` (the columns ``carry`` but ``text``), ``_text`` (compressed)."""
+    raw = F.col("text").cast("binary")
+    others = [c for c in carry if c != "text"]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(others)])
+    return compressed(docs.select(slice_of(parts).alias("_slice"), row.alias("_row"), raw.alias("_text")), "_text")
+
+
+def slice_of(parts: int) -> Column:
+    return (F.pmod(F.xxhash64("doc_id", F.col("text").cast("binary")), F.lit(parts)) * FOLDS + fold_of(text_key())).cast("int")
+
+
+def parts_for(docs: DataFrame, slice_bytes: int) -> int:
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, math.ceil(size / (FOLDS * slice_bytes)))
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``rows`` whose ``_id`` may be one of ``ids`` (``_id``): all that are, and few others while the ids are fewer than BITS."""
+    at = F.pmod(F.xxhash64("_id"), F.lit(BITS))
+    place = (F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit"))
+    bitmap = ids.select(*place).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = rows.select("*", *place).join(F.broadcast(bitmap), "_bucket")  # BITS / 8 bytes at most
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0).select(*rows.columns)
+
+
+def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``_fold`` and ``_text`` (compressed) of the rows of ``docs`` whose id is in ``ids``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), fold_of(text_key()).alias("_fold"), F.col("text").cast("binary").alias("_text")).where("_id is not null")
+    return compressed(maybe_among(rows, ids), "_text").join(ids.hint("merge"), "_id", "left_semi").select("_fold", "_text")
+
+
 def count_grams(trusted: DataFrame) -> DataFrame:
-    """Counts of all n-grams of the highest order over whole texts (``text``), by the fold of their texts: ``fold``, ``code``, ``n``."""
+    """Counts of all n-grams of the highest order over whole texts (``_fold``, ``_text``): ``fold``, ``code``, ``n``; summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -91,26 +153,24 @@ def count_grams(trusted: DataFrame) -> DataFrame:
             for fold, parts in held.items():
                 codes, n = summed(parts)
                 for a in range(0, len(codes), 1 << 18):
-                    part = slice(a, a + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes[part]), fold, np.int32)), pa.array(codes[part]), pa.array(n[part])], names=["fold", "code", "n"])
+                    c, m = codes[a : a + (1 << 18)], n[a : a + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), fold, np.int32)), pa.array(c), pa.array(m)], names=["fold", "code", "n"])
             held.clear()
 
         for batch in slices(batches):
-            folds, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            folds = batch.column(0).to_pylist()
+            found = list(texts_of(batch.column(1)))
             for fold in set(folds):
-                for chunk in chunked(x for f, x in zip(folds, found) if f == fold and (x or b"").strip()):
+                for chunk in chunked(x for f, x in zip(folds, found) if f == fold and x.strip()):
                     own = held.setdefault(fold, [])
                     own.append(np.unique(gram_codes(chunk)[0], return_counts=True))
-                    if len(own) > 8:
+                    if len(own) > 16:
                         own[:] = [summed(own)]
             if sum(len(p[0]) for parts in held.values() for p in parts) > HELD_GRAMS:
-                held |= {fold: [summed(parts)] for fold, parts in held.items()}
-                if sum(len(parts[0][0]) for parts in held.values()) > HELD_GRAMS // 2:
-                    yield from given_out()
+                yield from given_out()
         yield from given_out()
 
-    found = trusted.select(fold_of(text_key()).alias("fold"), F.col("text").cast("binary").alias("text"))
-    return found.mapInArrow(run, "fold int, code long, n long").groupBy("fold", "code").agg(F.sum("n").alias("n"))
+    return trusted.mapInArrow(run, "fold int, code long, n long").groupBy("fold", "code").agg(F.sum("n").alias("n"))
 
 
 def gram_weights(counts: DataFrame) -> DataFrame:
@@ -191,39 +251,16 @@ class SliceModel:
         return out
 
 
-def score(docs: DataFrame, weights: DataFrame, carry: list[str], slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The columns ``carry`` of every row of ``docs`` (it has ``doc_id`` and ``text``), and its text's negative log-probability ``_nll`` and n-grams ``_n``.
+def score(held: DataFrame, weights: DataFrame, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` of every row of ``held`` (see ``dealt``), and its text's negative log-probability ``_nll`` and n-grams ``_n``.
 
-    Texts that are null or blank have 0 n-grams. Rows are dealt to slices of one fold by a hash of id and text. Nothing is joined by text, so
-    repeated texts are no hot key; a slice asks for each n-gram once.
+    Texts that are null or blank have 0 n-grams. Nothing is joined by text, so repeated texts are no hot key; a slice asks for each n-gram once.
     """
-    raw = F.col("text").cast("binary")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, math.ceil(size / (FOLDS * slice_bytes)))
     others = [c for c in carry if c != "text"]
-    own = F.pmod(F.xxhash64("doc_id", raw), F.lit(parts)) * FOLDS + fold_of(text_key())
-    rows = docs.select(own.cast("int").alias("_slice"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(others)]).alias("_row"), raw.alias("_text"))
-
-    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        small = zstandard.ZstdCompressor(level=6, write_checksum=False).compress
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x and small(x) for x in batch.column(2).to_pylist()], pa.binary())], names=["_slice", "_row", "_text"])
-
-    held = rows.mapInArrow(compressed, rows.schema)
-
-    def texts_of(table: pa.Table) -> Iterator[bytes]:
-        import zstandard
-
-        whole = zstandard.ZstdDecompressor().decompress
-        for chunk in table.column("_text").chunks:
-            for x in chunk:
-                yield whole(x.as_py()) if x.is_valid and len(x.as_buffer()) else b""
 
     def wanted(table: pa.Table) -> pa.Table:
         number, found = table.column("_slice")[0].as_py(), []
-        for chunk in chunked(x for x in texts_of(table) if x.strip()):
+        for chunk in chunked(x for x in texts_of(table.column("_text")) if x.strip()):
             found.append(np.unique(gram_codes(chunk)[0]))
             if len(found) > 8:
                 found = [np.unique(np.concatenate(found))]
@@ -238,7 +275,7 @@ def score(docs: DataFrame, weights: DataFrame, carry: list[str], slice_bytes: in
     def summed(table: pa.Table, answers: pa.Table) -> pa.Table:
         model = SliceModel(*(answers.column(c).to_numpy() for c in ("gram", "alpha", "gamma")))
         nll, n, kept = [np.zeros(0)], [np.zeros(0, np.int64)], []
-        for chunk in chunked(texts_of(table)):
+        for chunk in chunked(texts_of(table.column("_text"))):
             code, sizes = gram_codes(chunk)
             logp = model.log_probabilities(code)
             full = np.fromiter((bool(x.strip()) for x in chunk), bool, len(chunk))
@@ -256,7 +293,7 @@ def score(docs: DataFrame, weights: DataFrame, carry: list[str], slice_bytes: in
     asked = held.groupBy("_slice").applyInArrow(wanted, "_slice int, fold int, gram long")
     answers = asked.join(weights, ["fold", "gram"]).select("_slice", "gram", "alpha", "gamma")
     text = [T.StructField("_text", T.BinaryType())] if "text" in carry else []
-    schema = T.StructType([rows.schema["_row"], *text, T.StructField("_nll", T.DoubleType()), T.StructField("_n", T.LongType())])
+    schema = T.StructType([held.schema["_row"], *text, T.StructField("_nll", T.DoubleType()), T.StructField("_n", T.LongType())])
     out = held.groupBy("_slice").cogroup(answers.groupBy("_slice")).applyInArrow(summed, schema)
     place = {c: F.col(f"_row._{k}") for k, c in enumerate(others)} | {"text": F.col("_text").cast("string") if text else None}
     return out.select(*[place[c].alias(c) for c in carry], "_nll", "_n")
@@ -270,7 +307,7 @@ class QualityClassifier:
         self.fitted, self.scores = fitted, scores
 
     @classmethod
-    def fit(cls, docs: DataFrame, trusted: DataFrame, keep_share: float = KEEP_SHARE, carry: list[str] | None = None) -> QualityClassifier:
+    def fit(cls, docs: DataFrame, trusted: DataFrame, keep_share: float = KEEP_SHARE, carry: list[str] | None = None, slice_bytes: int = SLICE_BYTES) -> QualityClassifier:
         """Learn from the rows of ``docs`` (``doc_id``, ``text``, ``lang``) whose ``doc_id`` is in ``trusted``.
 
         Counts and quantiles are over all trusted rows and whole texts; each text is judged by the counts of the other fold, so
@@ -280,8 +317,8 @@ class QualityClassifier:
         carry = [c for c in docs.columns if c not in ADDED and (carry is None or c in (*carry, "doc_id", "lang"))]
         ids = trusted.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
         is_trusted = F.col("doc_id").cast("long") == F.col("_id")
-        weights = gram_weights(count_grams(docs.select("doc_id", "text").join(ids, is_trusted, "left_semi")))
-        scores = written(score(docs, weights, carry))
+        weights = gram_weights(count_grams(trusted_texts(docs, ids)))
+        scores = written(score(dealt(docs, carry, parts_for(docs, slice_bytes)), weights, carry))
         scored = written(scores.where("_n > 0").select("doc_id", "lang", "_nll", "_n").join(ids, is_trusted, "left_semi"))
         mean = scored.groupBy("lang").agg((F.sum("_nll") / F.sum("_n")).alias("mean"))
         level = (F.col("_nll") + PRIOR_BYTES * F.col("mean")) / (F.col("_n") + PRIOR_BYTES)
@@ -301,7 +338,11 @@ class QualityClassifier:
         texts: cross-entropy null, not kept. Very long texts are read whole. One row per row, repeated rows and rows without id too; columns of those three names are
         replaced; an empty table gives no rows.
         """
-        scores = self.scores if docs is self.fitted else score(docs, self.weights, [c for c in docs.columns if c not in ADDED])
+        if docs is self.fitted:
+            scores = self.scores
+        else:
+            carry = [c for c in docs.columns if c not in ADDED]
+            scores = score(dealt(docs, carry, parts_for(docs, SLICE_BYTES)), self.weights, carry)
         limits = docs.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in self.limits.items()], "_of string, _mean double, _most double, _least double")
         mean, most, least = (F.coalesce(c, F.lit(float(o))) for c, o in zip(("_mean", "_most", "_least"), self.overall))
         level = F.when(F.col("_n") > 0, (F.col("_nll") + PRIOR_BYTES * mean) / (F.col("_n") + PRIOR_BYTES))

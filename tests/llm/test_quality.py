@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from atlasframe.llm.quality import END, ORDER, START, QualityClassifier, count_grams, fold_of, gram_codes, gram_weights, score, text_key
+from atlasframe.llm.quality import END, ORDER, START, QualityClassifier, compressed, count_grams, dealt, fold_of, gram_codes, gram_weights, maybe_among, score, text_key, trusted_texts
 
 SCHEMA = "doc_id long, text string, lang string, quality_keep string, n long, _slice int, fold string"
 TRUSTED = [f"the {a} {b} the {c} on a mat." for a in ("cat", "dog", "rat") for b in ("saw", "met") for c in ("hen", "cow", "cat", "ape")]
@@ -38,12 +39,13 @@ def plain(texts):
     return p
 
 
-@pytest.mark.parametrize("slice_bytes", [60, 1 << 20])
-def test_joined_scores_equal_the_recursion(spark, slice_bytes):
+@pytest.mark.parametrize("parts", [20, 1])
+def test_joined_scores_equal_the_recursion(spark, parts):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(TRUSTED + OTHERS + OTHERS[:1] + ["", None, " \n"])], "doc_id long, text string")
     fold = {r.text: r.f for r in docs.select("text", fold_of(text_key()).alias("f")).collect()}
-    weights = gram_weights(count_grams(docs.where(f"doc_id < {len(TRUSTED)}")))
-    got = score(docs, weights, ["doc_id", "text"], slice_bytes).collect()
+    held = dealt(docs, ["doc_id", "text"], parts)
+    weights = gram_weights(count_grams(trusted_texts(docs, docs.where(f"doc_id < {len(TRUSTED)}").select(F.col("doc_id").alias("_id")))))
+    got = score(held, weights, ["doc_id", "text"]).collect()
     assert len(got) == docs.count() and [r._n for r in got if not (r.text or "").strip()] == [0, 0, 0]
     for row in got:
         if (row.text or "").strip():
@@ -62,12 +64,23 @@ def test_gram_codes_stay_inside_texts():
     assert not len(gram_codes([])[0])
 
 
+def test_bitmap_lets_all_ids_through(spark):
+    rows = spark.range(-5000, 5000).select(F.col("id").alias("_id"), F.lit("x").alias("y"))
+    ids = spark.range(-5000, 5000, 7).select(F.col("id").alias("_id"))
+    found = {r._id for r in maybe_among(rows, ids).collect()}
+    assert set(range(-5000, 5000, 7)) <= found and len(found) < 1500
+    assert maybe_among(rows, ids.limit(0)).count() == 0
+    texts = [None, b"", b"abc" * 1000]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x binary")
+    assert [r.x and len(r.x) < 100 for r in compressed(df, "x").orderBy("k").collect()] == [None, b"", True]
+
+
 def test_table_grows_with_the_corpus(spark):
     rng = np.random.default_rng(1)
     sizes = []
     for k in (100, 1000):
-        docs = spark.createDataFrame([("".join(map(chr, rng.integers(97, 123, 50))),) for i in range(k)], "text string")
-        sizes.append(gram_weights(count_grams(docs)).count())
+        docs = spark.createDataFrame([(i, "".join(map(chr, rng.integers(97, 123, 50)))) for i in range(k)], "doc_id long, text string")
+        sizes.append(gram_weights(count_grams(trusted_texts(docs, docs.select(F.col("doc_id").alias("_id"))))).count())
     assert sizes[1] > 6 * sizes[0]
 
 
@@ -80,7 +93,7 @@ def test_clean_rows_stay_and_junk_goes(spark):
     odd = [(2000, None, "en", None, None, None, None), (2001, "", "en", *more), (2002, "the and with " * 30000, "xx", *more), (2003, good[0][1], "en", *more), (2003, good[0][1], "en", *more), (None, good[1][1], "en", *more)]
     df = spark.createDataFrame(good + junk + odd, SCHEMA)
     trusted = spark.createDataFrame([(i,) for i in range(0, 400, 2)] + [(0,), (None,)], "doc_id long")
-    fitted = QualityClassifier.fit(df, trusted)
+    fitted = QualityClassifier.fit(df, trusted, slice_bytes=20_000)
     out = fitted.classify(df)
     assert out.columns == ["doc_id", "text", "lang", "n", "_slice", "fold", "quality_cross_entropy", "quality_threshold", "quality_keep"]
     assert sorted(r[:6] for r in out.fillna(-1).fillna("-").collect()) == sorted((*r[:3], *r[4:]) for r in df.fillna(-1).fillna("-").collect())
