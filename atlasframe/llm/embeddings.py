@@ -9,17 +9,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from atlasframe.llm.common import checkpoint, connected_components, slices, whole_groups, with_blocks
+from atlasframe.llm.common import connected_components, slices, whole_groups, with_blocks, written
 
-TREES = 10
+TREES = 5
 LEAF_ROWS = 384
 #: Numbers (rows times dimensions) of the sample on which the split points are fitted; every row is indexed.
-SAMPLE_NUMBERS = 1_500_000
+SAMPLE_NUMBERS = 4_000_000
 #: Half the width of the overlap at a split, in standard deviations of the difference of a pair at the threshold.
 SPILL = 0.5
-#: Rows of a block when a leaf can't be split (many equal vectors).
-BLOCK_ROWS = 2048
+#: A node is split only if each side gets at most this share of it: where vectors lie about as far apart as linked ones, splits
+#: would mostly copy them, and a larger leaf costs less.
+SIDE = 0.62
+#: Rows of a block of a leaf that wasn't split further, and rows of it that are compared at once.
+BLOCK_ROWS, TILE_ROWS = 4096, 512
 
 
 class Forest:
@@ -42,7 +46,7 @@ class Forest:
                 at = points @ direction
                 cut = float(np.median(at))
                 left, right = points[at <= cut + self.margin], points[at >= cut - self.margin]
-                if max(len(left), len(right)) < 0.9 * len(points):
+                if max(len(left), len(right)) < SIDE * len(points):
                     node = len(self.nodes)
                     self.nodes.append(None)
                     self.nodes[node] = (direction, cut, self._grow(left, least, rng, depth - 1), self._grow(right, least, rng, depth - 1))
@@ -67,7 +71,7 @@ class Forest:
             open_ += [(left, index[at <= cut + self.margin]), (right, index[at >= cut - self.margin])]
         row, leaf = np.concatenate(rows), np.concatenate(leaves)
         order = np.lexsort((leaf, row))
-        return np.split(leaf[order], np.cumsum(np.bincount(row, minlength=len(points)))[:-1])
+        return np.split(leaf[order].astype(np.int32), np.cumsum(np.bincount(row, minlength=len(points)))[:-1])
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -101,11 +105,15 @@ class Memberships:
         return out
 
 
-def linked_pairs(x: np.ndarray, y: np.ndarray, cells_x: Memberships, cells_y: Memberships, cell: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs at or over the threshold that meet in no earlier cell than ``cell``, so that each is found once."""
+def linked_pairs(x: np.ndarray, y: np.ndarray, cells_x: Memberships, cells_y: Memberships, cell: int, threshold: float, first: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at or over the threshold that meet in no earlier cell than ``cell``, so that each is found once.
+
+    ``first``: if rows of ``x`` are those of ``y`` from there on, only pairs with a later row of ``y`` count.
+    """
     i, j = np.nonzero(x @ y.T >= threshold)
-    if same:
-        i, j = i[i < j], j[i < j]
+    if first is not None:
+        later = i + first < j
+        i, j = i[later], j[later]
     if not len(i):
         return i, j
     ui, i_at = np.unique(i, return_inverse=True)
@@ -118,35 +126,43 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, cells_x: Memberships, cells_y: Me
     return i, j
 
 
-def forest_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of ``n`` rows, the smallest row that the pairs reach within this unit."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
+class Union:
+    """Smallest row that links reach within a unit; links come in parts."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j = i[apart], j[apart]
+            np.minimum.at(self.root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while ((up := self.root[self.root]) != self.root).any():
+                self.root = up
 
 
 def link_embeddings(vectors: DataFrame, threshold: float = 0.95, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Near-duplicate classes of ``vectors`` (``vec_id`` long, ``embedding`` array of numbers) by cosine.
 
-    Equal vectors are one row with a weight. The split points of the trees are fitted on a bounded sample, every vector
+    Equal vectors (by a hash of 96 bits) are one row with a weight. The split points of the trees are fitted on a bounded sample, every vector
     goes down all trees, and all vectors of a leaf are compared in double precision. A pair counts in the first leaf that holds both. Leaves
     that hold more than a block are compared by pairs of blocks, so no task holds a whole hot leaf; tasks give back
     sums and one link per vector, not pairs. Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do
-    vectors of different dimensions. Repeated rows of one ``vec_id`` count as one (the smallest vector); rows without id are left out; other
+    vectors of different dimensions. Repeated rows of one ``vec_id`` count as one (the smallest vector); rows without id are left out; ties at the threshold link; vectors may be of any length; other
     columns are ignored; no rows give no rows. Returns ``vec_id``, ``n_links``, ``component_id``, ``kept``.
     """
     spark = vectors.sparkSession
-    one = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)  # their own width is enough on the way
+    array = "array<float>" if single else "array<double>"
+    one = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(array).alias("embedding")).where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sound = one.where(F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("embedding", lambda x: x != 0))
-    classes = checkpoint(sound.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("embedding")))
+    sound = F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("embedding", lambda x: x != 0)
+    one = written(one.withColumn("_sound", F.coalesce(sound, F.lit(False))).withColumn("_h", F.xxhash64("embedding")).withColumn("_g", F.hash("embedding")))
+    classes = one.where("_sound").groupBy("_h", "_g").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    classes = written(classes.withColumn("dim", F.size("embedding")))
     forests = {}
     for dim, n in classes.groupBy("dim").count().collect():  # one row for each dimension in use
         rows = max(1000, SAMPLE_NUMBERS // dim)
@@ -163,13 +179,14 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
             for dim in set(table.column("dim").to_pylist()):
                 part = table.filter(pa.compute.equal(table.column("dim"), dim))
                 cells = given.value[dim].cells(matrix(part.column("embedding")))
-                out = part.append_column("cells", pa.array([c.tolist() for c in cells], pa.list_(pa.int64())))
+                out = part.append_column("cells", pa.array(cells, pa.list_(pa.int32())))
                 yield from out.combine_chunks().to_batches()
 
-    routed = classes.mapInArrow(route, "embedding array<double>, rep long, weight long, dim int, cells array<long>")
-    placed = routed.withColumn("cell", F.explode("cells"))
-    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("_members"))
-    units = with_blocks(placed.join(sizes.where("_members > 1"), ["dim", "cell"]), ["dim", "cell"], F.col("_members"), BLOCK_ROWS, "rep").drop("_members")
+    routed = written(classes.select("embedding", "rep", "weight", "dim").mapInArrow(route, f"embedding {array}, rep long, weight long, dim int, cells array<int>"))
+    # Cells that need blocks; Spark sends this table to all tasks only while it is small.
+    large = written(routed.select("dim", F.explode("cells").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("_members")).where(f"_members > {BLOCK_ROWS}"))
+    placed = routed.withColumn("cell", F.explode("cells")).join(large, ["dim", "cell"], "left")
+    units = with_blocks(placed, ["dim", "cell"], F.coalesce("_members", F.lit(1)), BLOCK_ROWS, "rep").drop("_members")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, key):
@@ -183,27 +200,34 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
                 x = matrix(table.column("embedding").slice(start, end - start))
                 own, a, b = side[start:end], block_a[start], block_b[start]
                 left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
-                i, j = linked_pairs(x[left], x[right], cells.take(start + left), cells.take(start + right), cell[start], threshold, a == b)
-                if len(i):
-                    i, j, name, w = left[i], right[j], rep[start:end], weight[start:end]
-                    order = np.argsort(name)
-                    place = np.empty_like(order)
-                    place[order] = np.arange(len(order))
-                    label = name[order][forest_labels(len(name), place[i], place[j])][place]
-                    links = np.bincount(i, w[j], len(name)) + np.bincount(j, w[i], len(name))
+                name, w = rep[start:end], weight[start:end]
+                order = np.argsort(name)
+                union, links = Union(len(name)), np.zeros(len(name))
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order))
+                for t in range(0, len(left), TILE_ROWS):
+                    tile = left[t : t + TILE_ROWS]
+                    i, j = linked_pairs(x[tile], x[right], cells.take(start + tile), cells.take(start + right), cell[start], threshold, t if a == b else None)
+                    if len(i):
+                        i, j = tile[i], right[j]
+                        union.join(place[i], place[j])
+                        links += np.bincount(i, w[j], len(name)) + np.bincount(j, w[i], len(name))
+                if links.any():
+                    label = name[order][union.root][place]
                     hit = np.flatnonzero(links)
                     out.append((name[hit], links[hit].astype(np.int64), label[hit]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rep", "links", "leader"])
 
     units = units.repartition(*key).sortWithinPartitions(*key)
-    found = checkpoint(units.mapInArrow(compare, "rep long, links long, leader long"))
+    found = written(units.mapInArrow(compare, "rep long, links long, leader long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("node", "rep")
     classed = classes.join(links, "rep", "left").join(components, "rep", "left").select(
-        "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+        "_h", "_g", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    return one.join(classed, "embedding", "left").select(
+    of = F.when(F.col("_sound"), F.col("_h")).alias("_h")  # others meet no class
+    return one.select("vec_id", of, "_g").join(classed, ["_h", "_g"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept")
     )
 
