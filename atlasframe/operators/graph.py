@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,16 +65,17 @@ def context_map(contexts: DataFrame, links: DataFrame, order: str) -> DataFrame:
     return pairs.select("left", "right", right.alias("to_right"), left.alias("to_left"), (right + left).alias("weight"), pattern.alias("pattern"))
 
 
-def closure(edges: DataFrame, source: str, target: str, seeds: DataFrame | None = None, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, source: str, target: str, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """All (root, node, depth) that paths of ``edges`` reach, each with its least depth; cycles end where nothing new is found.
 
-    ``seeds`` has the column ``root``; without it every source is a root. Each step joins only what the last one found.
+    ``seeds`` has the column ``root``; without it every source is a root. Each step joins only what the last one found. Paths are followed to their
+    ends, or for ``max_depth`` steps if that is given.
     """
     e = checkpoint(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct())
     seeds = e.select(F.col("_s").alias("root")).distinct() if seeds is None else seeds.select("root").distinct()
     front = checkpoint(seeds.select("root", F.col("root").alias("node")))
     seen = front.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         front = front.join(e, front.node == e["_s"]).select("root", F.col("_t").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
         front = checkpoint(front)
         if front.isEmpty():
@@ -104,7 +107,7 @@ def undirected(edges: DataFrame, source: str, target: str) -> DataFrame:
     return edges.where(F.col(source) != F.col(target)).select(F.least(source, target).alias("a"), F.greatest(source, target).alias("b")).distinct()
 
 
-def betweenness(pairs: DataFrame, max_depth: int = 30) -> DataFrame:
+def betweenness(pairs: DataFrame) -> DataFrame:
     """Normalised betweenness of the nodes of a simple undirected graph (``a``, ``b``), by Brandes' sums level by level.
 
     Breadth-first from all nodes at once: each level joins the frontier with the edges and adds up path counts;
@@ -114,13 +117,15 @@ def betweenness(pairs: DataFrame, max_depth: int = 30) -> DataFrame:
     nodes = e.select(F.col("a").alias("node")).distinct()
     levels = [checkpoint(nodes.select(F.col("node").alias("root"), "node", F.lit(1.0).alias("paths")))]
     seen = levels[0].select("root", "node")
-    for _ in range(max_depth):
+    while True:
         step = levels[-1].join(e, F.col("node") == F.col("a")).groupBy("root", F.col("b").alias("_to")).agg(F.sum("paths").alias("paths")).withColumnRenamed("_to", "node")
         step = checkpoint(step.join(seen, ["root", "node"], "left_anti"))
         if step.isEmpty():
             break
         levels.append(step)
         seen = seen.unionByName(step.select("root", "node"))
+        if len(levels) % 16 == 0:
+            seen = checkpoint(seen)
     total = None
     below = None
     for level in reversed(levels[1:]):
@@ -140,10 +145,16 @@ def betweenness(pairs: DataFrame, max_depth: int = 30) -> DataFrame:
 
 
 def published_after(receipts: DataFrame, publications: DataFrame, key: list[str], order: str) -> DataFrame:
-    """For each receipt, the first publication of each event later in the same ``key``: an inequality join inside a key."""
-    r = receipts.select(*key, F.col(order).alias("_r"), F.col("event").alias("received"))
-    p = publications.select(*key, F.col(order).alias("_p"), F.col("event").alias("published"))
-    return r.join(p, key).where("_p > _r").groupBy(*key, "_r", "received", "published").agg(F.min("_p").alias(f"published_{order}")).withColumnRenamed("_r", order)
+    """For each receipt, the first publication of each event later in the same ``key``.
+
+    Both are laid in one order; each receipt looks at the rows behind it once for each kind of event its key has, so a busy key costs no pairs of its rows.
+    """
+    kinds = publications.select(*key, F.col("event").alias("published")).distinct()
+    r = receipts.select(*key, F.col(order).alias("_at"), F.col("event").alias("received")).join(kinds, key).withColumn("_p", F.lit(None).cast(publications.schema[order].dataType))
+    p = publications.select(*key, F.col(order).alias("_at"), F.lit(None).cast("string").alias("received"), F.col("event").alias("published"), F.col(order).alias("_p"))
+    w = Window.partitionBy(*key, "published").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    found = r.unionByName(p).withColumn("_first", F.min("_p").over(w)).where("received is not null and _first is not null")
+    return found.select(*key, F.col("_at").alias(order), "received", "published", F.col("_first").alias(f"published_{order}")).distinct()
 
 
 def related(*edges: tuple[DataFrame, str, str, str, str]) -> DataFrame:

@@ -34,50 +34,70 @@ MODEL_CLASSES = {
     "json": ["json.rawmessage"],
     "bytes": ["byte"],
 }
-#: Wrappers that mean many, and maybe none.
-MANY, OPTIONAL = ("Vec", "List", "Array", "Set", "Collection", "Seq", "Iterable", "HashSet"), ("Option", "Optional", "Maybe", "Nullable")
+#: Wrappers that mean many, maybe none, nothing, and many by a key.
+MANY = ("Vec", "VecDeque", "HashSet", "BTreeSet", "List", "Set", "Array", "ReadonlyArray", "Iterable", "Sequence", "Collection")
+OPTIONAL = ("Option", "Optional", "Maybe", "Nullable")
+BOXES = ("Box", "Rc", "Arc", "Readonly", "Cow")
+MAPS = ("map", "Map", "HashMap", "BTreeMap", "Record", "Dictionary")
 SHAPE_DEPTH = 6
 
 
-def bare(type_: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(type_), r"^\*+", ""), r"^\[\]", ""), r"\(.*\)$", ""), r"\s+", " "))
+#: One match of a spelling: pointer and list marks in front, the name, and lengths or precisions behind, which don't belong to it.
+SPELLING = r"^[*]*(?:\[\])?(.*?)(?:\(.*\))?$"
 
 
-def _class(type_: Column, classes: dict[str, list[str]]) -> Column:
-    name = bare(type_)
-    out = F.when(F.lit(False), F.lit(""))
-    for k, spellings in classes.items():
-        out = out.when(name.isin(spellings), F.lit(k))
-    return out.otherwise("unknown")
+def core_name(type_: Column) -> Column:
+    """The name of a type as it is looked up: in lower case, with single blanks, without marks and parameters."""
+    words = F.split(F.regexp_extract(F.lower(F.trim(type_)), SPELLING, 1), r"\s+")
+    return F.array_join(words, " ")
+
+
+def class_of(type_: Column, classes: dict[str, list[str]]) -> Column:
+    """The class whose spellings have the type's name; ``unknown`` where none has."""
+    known = F.create_map(*[F.lit(x) for k, spellings in classes.items() for s in spellings for x in (s, k)])
+    return F.coalesce(F.try_element_at(known, core_name(type_)), F.lit("unknown"))
 
 
 def db_class(type_: Column) -> Column:
-    return _class(type_, DB_CLASSES)
+    return class_of(type_, DB_CLASSES)
 
 
 def model_class(type_: Column) -> Column:
-    return _class(type_, MODEL_CLASSES)
+    return class_of(type_, MODEL_CLASSES)
+
+
+#: The database classes that hold what a model class means; an ``int`` of no stated width may lie in any whole number.
+FITTING = {k: [k] for k in MODEL_CLASSES} | {"int": ["int", "int16", "int32", "int64"]}
 
 
 def types_disagree(db: Column, model: Column) -> Column:
-    """Both classes are known and differ; an ``int`` of no stated width agrees with all whole numbers."""
-    a, b = db_class(db), model_class(model)
-    return (a != "unknown") & (b != "unknown") & (a != b) & ~((b == "int") & a.isin("int", "int16", "int32", "int64"))
+    """Both types are known, and the database's isn't among those that hold the model's."""
+    fitting = F.create_map(*[x for k, v in FITTING.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    held = F.try_element_at(fitting, model_class(model))  # null for unknown ones
+    return F.coalesce((db_class(db) != "unknown") & ~F.array_contains(held, db_class(db)), F.lit(False))
 
 
-def type_parts(type_: Column, rounds: int = 8) -> Column:
-    """(base, many, optional) of a type's spelling; each round takes one wrapper off."""
-    many = rf"^repeated\s+(.+)$|^\[\](.+)$|^(.+)\[\]$|^(?:{'|'.join(MANY)})<(.+)>$"
+def type_parts(type_: Column) -> Column:
+    """(base, many, optional, by_key) of a type's spelling, without all its wrappers; of a map, the type of its values.
+
+    Each round takes one wrapper off; there are as many rounds as the spelling has marks that may be wrappers. ``many``: more
+    than one, by position or (``by_key``) by key; the outermost of list and map tells which. Other generics stay whole.
+    """
     maybe = rf"^optional\s+(.+)$|^[*?](.+)$|^(.+)\?$|^(.+?)\s*\|\s*(?:undefined|null)$|^(?:{'|'.join(OPTIONAL)})<(.+)>$"
+    many = rf"^repeated\s+(.+)$|^\[\](.+)$|^(.+)\[\]$|^(?:{'|'.join(MANY)})<(.+)>$"
+    box = rf"^(?:{'|'.join(BOXES)})<(.+)>$"
+    key = rf"^(?:{'|'.join(MAPS)})<[^<>,]+,\s*(.+)>$"
 
     def step(acc: Column, _: Column) -> Column:
         base = acc["base"]
-        is_maybe, is_many = base.rlike(maybe), base.rlike(many)
-        inner = F.when(is_maybe, F.regexp_replace(base, maybe, "$1$2$3$4$5")).when(is_many, F.regexp_replace(base, many, "$1$2$3$4")).otherwise(base)
-        return F.struct(F.trim(inner).alias("base"), (acc["many"] | (~is_maybe & is_many)).alias("many"), (acc["optional"] | is_maybe).alias("optional"))
-
-    start = F.struct(F.trim(type_).alias("base"), F.lit(False).alias("many"), F.lit(False).alias("optional"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+        is_maybe, is_many, is_box, is_key = (base.rlike(x) for x in (maybe, many, box, key))
+        is_many, is_box, is_key = ~is_maybe & is_many, ~is_maybe & ~is_many & is_box, ~is_maybe & ~is_many & ~is_box & is_key
+        inner = F.when(is_maybe, F.regexp_replace(base, maybe, "$1$2$3$4$5")).when(is_many, F.regexp_replace(base, many, "$1$2$3$4")).when(is_box, F.regexp_replace(base, box, "$1")).when(is_key, F.regexp_replace(base, key, "$1")).otherwise(base)
+        return F.struct(F.trim(inner).alias("base"), (acc["many"] | is_many | is_key).alias("many"), (acc["optional"] | is_maybe).alias("optional"), (acc["by_key"] | (is_key & ~acc["many"])).alias("by_key"))
+
+    start = F.struct(F.trim(type_).alias("base"), F.lit(False).alias("many"), F.lit(False).alias("optional"), F.lit(False).alias("by_key"))
+    rounds = F.length(F.regexp_replace(type_, r"[^<\[*?|\s]", "")) + 1
+    return F.when(type_.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.coalesce(rounds, F.lit(1))), start, step))
 
 
 def resolve_shapes(fields: DataFrame, defs: DataFrame, blocks: DataFrame, enums: DataFrame) -> DataFrame:

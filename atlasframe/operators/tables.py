@@ -7,18 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: what counts as a number, a version and a date in a text column.
-NUMBER, VERSION, DATE = r"^-?\d+(\.\d+)?$", r"^v?\d+(\.\d+){1,3}([-+][0-9A-Za-z.+-]+)?$", r"^\d{4}-\d{2}-\d{2}([T ].*)?$"
+from atlasframe.plans.checkpoints import checkpoint
+
+#: What counts as a number, a version and a date in a text column, and as a version to be ordered.
+NUMBER, VERSION, DATE = r"^-?\d+(\.\d+)?$", r"^v?\d+(\.\d+)*$", r"^\d{4}-\d{2}-\d{2}([T ][\d:.]+(Z|[+-]\d{2}:?\d{2})?)?$"
+ORDERED = r"^[vV]?(\d+(?:\.\d+)*)(?:-([^+]*))?(?:\+.*)?$"
 
 
 def version_key(c: Column) -> Column:
-    """Sort key of a version: four numbers, release after pre-release, numeric parts before text; null if it can't be read; build data is ignored."""
-    core = F.regexp_extract(c, r"^v?(\d+(?:\.\d+){0,3})(?:-([0-9A-Za-z.-]+))?(?:\+.*)?$", 1)
-    pre = F.regexp_extract(c, r"^v?(\d+(?:\.\d+){0,3})(?:-([0-9A-Za-z.-]+))?(?:\+.*)?$", 2)
-    numbers = F.transform(F.split(core, "\\."), lambda x: x.cast("long"))
-    padded = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.coalesce(F.try_element_at(numbers, i), F.lit(0).cast("long")))
+    """Sort key of a version: its numbers, however many (missing ones are 0), release after pre-release, numeric parts before text; null if it can't be read; build data is ignored."""
+    core, pre = F.regexp_replace(F.regexp_extract(c, ORDERED, 1), r"(\.0+)+$", ""), F.regexp_extract(c, ORDERED, 2)
+    numbers = F.transform(F.split(core, "\\."), lambda x: x.cast("decimal(38,0)"))
     parts = F.transform(F.split(pre, "\\."), lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lit("0"), F.lpad(x, 20, "0"))).otherwise(F.concat(F.lit("1"), x)))
-    return F.when(core != "", F.struct(padded.alias("core"), (pre == "").alias("release"), parts.alias("pre")))
+    return F.when(core != "", F.struct(numbers.alias("core"), (pre == "").alias("release"), parts.alias("pre")))
 
 
 def sort_keys(name: str, kind: str, descending: bool = False, ranks: tuple[str, ...] = ()) -> list[Column]:
@@ -47,10 +48,23 @@ def sorted_by(df: DataFrame, spec: str, kinds: dict[str, str]) -> DataFrame:
     return df.orderBy(*keys) if keys else df
 
 
+def numbered(df: DataFrame, keys: list[Column], place: str = "place") -> DataFrame:
+    """Rows of the whole table numbered from 1 in the order of ``keys``, which no two rows may share, without one task that holds them all.
+
+    Rows are dealt by ranges of the keys and numbered in their part; the sizes of the parts before it, one row a part, are added.
+    """
+    order = [c.alias(f"_k{i}") for i, c in enumerate(keys)]
+    dealt = checkpoint(df.select("*", *order).repartitionByRange(*[f"_k{i}" for i in range(len(keys))]).withColumn("_part", F.spark_partition_id()))
+    inside = dealt.withColumn(place, F.row_number().over(Window.partitionBy("_part").orderBy(*[f"_k{i}" for i in range(len(keys))])).cast("long"))
+    before = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(place, F.col(place) + F.col("_before")).select(*df.columns, place)
+
+
 def infer_types(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, type) of text columns in one pass: number, version, date or text over the cells that aren't blank."""
+    """(column, type) of text columns in one pass: number, version, date or text over the cells that aren't blank. A date must be a day of the calendar."""
     trimmed = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in columns}
-    aggs = [f for c in columns for f in (F.count(trimmed[c]).alias(f"{c}_n"), *(F.bool_and(trimmed[c].rlike(p)).alias(f"{c}_{k}") for k, p in (("number", NUMBER), ("version", VERSION), ("date", DATE))))]
+    aggs = [f for c in columns for f in (F.count(trimmed[c]).alias(f"{c}_n"), *(F.bool_and(trimmed[c].rlike(p) & (F.lit(True) if k != "date" else F.substring(trimmed[c], 1, 10).try_cast("date").isNotNull())).alias(f"{c}_{k}") for k, p in (("number", NUMBER), ("version", VERSION), ("date", DATE))))]
     one = df.agg(*aggs)
     cells = [F.struct(F.lit(c).alias("column"), F.when(F.col(f"{c}_n") == 0, "text").when(F.col(f"{c}_number"), "number").when(F.col(f"{c}_version"), "version").when(F.col(f"{c}_date"), "date").otherwise("text").alias("type")) for c in columns]
     return one.select(F.inline(F.array(*cells)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,21 +14,23 @@ def roots(spans: DataFrame) -> DataFrame:
     return spans.join(parents, ["trace_id", "parent_id"], "left_anti").select(*spans.columns)
 
 
-def sequence(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def sequence(spans: DataFrame) -> DataFrame:
     """Spans of each trace in depth-first order, children by (start, span_id): adds ``depth`` and ``ord``.
 
-    Every level joins the children to the last level and extends a sortable path; the paths' order is the order of a
-    depth-first walk. Spans in a ring of parents belong to no root and are left out.
+    Every level joins the children to the last level and extends a sortable path, until no children are left, however deep a trace is; the
+    paths' order is the order of a depth-first walk. Spans in a ring of parents belong to no root and are left out.
     """
     step = F.struct(F.col("start"), F.col("span_id"))
     level = checkpoint(roots(spans).withColumn("path", F.array(step)).withColumn("depth", F.lit(0)))
-    out = level
-    for depth in range(1, max_depth):
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
         up = level.select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_up"))
-        level = checkpoint(spans.join(up, ["trace_id", "parent_id"]).withColumn("path", F.concat("_up", F.array(step))).drop("_up").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
+        below = spans.join(up, ["trace_id", "parent_id"]).where(~F.array_contains("_up", step))  # a repeated span may close a ring
+        level = checkpoint(below.withColumn("path", F.concat("_up", F.array(step))).drop("_up").withColumn("depth", F.lit(depth)))
         out = out.unionByName(level)
+        if depth % 16 == 0:  # the plan of a deep trace stays short
+            out = checkpoint(out)
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("trace_id").orderBy("path")).cast("long"))
 
 
@@ -51,37 +52,60 @@ def routes(hops: DataFrame, trace: str, order: list[str], key: str) -> DataFrame
     return per.groupBy(F.col("route")[0].alias("opening"), "route").agg(F.count("*").alias("traces"), F.min(trace).alias("first_trace"))
 
 
+def in_common(a: Column, b: Column) -> Column:
+    """How many first elements two arrays share."""
+    same = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(same == 0, F.size(a)).otherwise(same - 1).cast("int")
+
+
 def fold(found: DataFrame) -> DataFrame:
-    """Routes of one opening as a common start, alternatives and a common end: opening, ord, part, branch, key, traces.
+    """Routes of one opening laid over each other: what all show first, the alternatives where they part, and what all show again at the end.
 
-    The end is looked for in what the common start has left. Alternatives are grouped by their first key in the order
-    in which traces first show them; an empty one is ``otherwise``. Input: ``routes``, so a group holds different routes, not traces.
-    """
+    Each alternative is folded likewise, so no step of any route is lost. Alternatives go by their first key, in the order in which traces first
+    show them; the one that shows nothing is ``otherwise``. ``found`` is what ``routes`` gives. Returns ``opening``, ``node`` (the alternative that a
+    row belongs to, as its place at each parting; empty for the whole), ``at`` (order by it to read the fold), ``part`` (start, branch, end), ``key``
+    (of a branch: its name), ``traces``.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_trace")
-        lists, weights = [list(r) for r in pdf["route"]], pdf["traces"].tolist()
-        total, opening = sum(weights), pdf["opening"].iloc[0]
-        n = 0
-        while all(len(r) > n for r in lists) and len({r[n] for r in lists}) == 1:
-            n += 1
-        m = 0
-        while all(len(r) > n + m for r in lists) and len({r[-1 - m] for r in lists}) == 1:
-            m += 1
-        rows = [("start", "", k, total) for k in lists[0][:n]]
-        branches: dict[str, list[tuple[list[str], int]]] = {}
-        for r, w in zip(lists, weights):
-            middle = r[n : len(r) - m]
-            branches.setdefault(middle[0] if middle else "otherwise", []).append((middle, w))
-        if set(branches) != {"otherwise"}:
-            for name, variants in branches.items():
-                longest = max((v for v, _ in variants), key=len)
-                w = sum(w for _, w in variants)
-                rows += [("branch", name, k, w) for k in longest] or [("branch", name, None, w)]
-        rows += [("end", "", k, total) for k in (lists[0][len(lists[0]) - m :] if m else [])]
-        return pd.DataFrame([(opening, i, *r) for i, r in enumerate(rows)], columns=["opening", "ord", "part", "branch", "key", "traces"])
-
-    return found.groupBy("opening").applyInPandas(one, "opening string, ord long, part string, branch string, key string, traces long")
+    All nodes of a level are folded at once: routes share what the least and the greatest of them share, so sums by node are
+    enough and no node is held in one task.
+    """
+    by = ["opening", "node"]
+    state = checkpoint(found.select("opening", F.array().cast("array<int>").alias("node"), "route", "traces", "first_trace"))
+    out = None
+    while not state.isEmpty():
+        ends = state.groupBy(*by).agg(F.min("route").alias("_lo"), F.max("route").alias("_hi"), F.sum("traces").alias("total"))
+        start = ends.select(*by, "total", F.slice("_lo", F.lit(1), in_common(F.col("_lo"), F.col("_hi"))).alias("_start"))
+        rest = checkpoint(state.join(start, by).withColumn("route", F.slice("route", F.size("_start") + 1, F.greatest(F.size("route"), F.lit(1)))))
+        back = F.reverse("route")
+        tails = rest.groupBy(*by).agg(F.min(back).alias("_lo"), F.max(back).alias("_hi"), F.max(F.size("route")).alias("_most"), F.first("_start").alias("_start"), F.first("total").alias("total"))
+        tails = checkpoint(tails.select(*by, "total", "_start", F.when(F.col("_most") > 0, F.reverse(F.slice("_lo", F.lit(1), in_common(F.col("_lo"), F.col("_hi"))))).otherwise(F.array().cast("array<string>")).alias("_end"), "_most"))
+        middle = rest.select(*by, "route", "traces", "first_trace").join(tails.where("_most > 0").select(*by, "_end"), by).withColumn("route", F.slice("route", F.lit(1), F.size("route") - F.size("_end")))
+        groups = middle.groupBy(*by, F.get("route", F.lit(0)).alias("_key")).agg(F.sum("traces").alias("traces"), F.min("first_trace").alias("first_trace"))
+        w = Window.partitionBy(*by).orderBy("first_trace", F.col("_key").asc_nulls_last())
+        groups = checkpoint(groups.withColumn("_child", F.concat("node", F.array(F.lit(1), F.row_number().over(w)))))
+        rows = [
+            tails.select(*by, F.posexplode("_start").alias("_k", "key"), F.lit(0).alias("_side"), "total").select(*by, F.concat("node", F.array("_side", "_k")).alias("at"), F.lit("start").alias("part"), "key", F.col("total").alias("traces")),
+            groups.select("opening", F.col("_child").alias("node"), F.col("_child").alias("at"), F.lit("branch").alias("part"), F.coalesce("_key", F.lit("otherwise")).alias("key"), "traces"),
+            tails.select(*by, F.posexplode("_end").alias("_k", "key"), F.lit(2).alias("_side"), "total").select(*by, F.concat("node", F.array("_side", "_k")).alias("at"), F.lit("end").alias("part"), "key", F.col("total").alias("traces")),
+        ]
+        for part in rows:
+            out = part if out is None else out.unionByName(part)
+        out = checkpoint(out)
+        named = groups.where("_key is not null").select(*by, "_key", "_child")
+        state = checkpoint(middle.withColumn("_key", F.get("route", F.lit(0))).join(named, [*by, "_key"]).select("opening", F.col("_child").alias("node"), "route", "traces", "first_trace"))
+    return out if out is not None else state.select("opening", "node", F.col("node").alias("at"), F.lit("").alias("part"), F.lit("").alias("key"), "traces")
+
+
+def unfold(folded: DataFrame) -> DataFrame:
+    """The routes that a fold was made of: ``opening``, ``route``, ``traces``. Each alternative that parts no further is the end of one route."""
+    nodes = folded.where("part = 'branch'").select("opening", "node", "traces").unionByName(folded.where("part <> 'branch' and size(node) = 0").groupBy("opening", "node").agg(F.max("traces").alias("traces")))
+    nodes = nodes.unionByName(folded.where("part = 'branch' and size(node) = 2").groupBy("opening").agg(F.sum("traces").alias("traces")).select("opening", F.array().cast("array<int>").alias("node"), "traces")).groupBy("opening", "node").agg(F.max("traces").alias("traces"))
+    above = folded.where("part = 'branch'").select("opening", F.slice("node", F.lit(1), F.size("node") - 2).alias("node")).distinct()
+    leaves = nodes.join(above, ["opening", "node"], "left_anti").select("opening", F.col("node").alias("_leaf"), "traces")
+    ways = leaves.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.size("_leaf"), F.lit(2)), lambda n: F.slice("_leaf", F.lit(1), n))).alias("node"))
+    steps = folded.where("part <> 'branch'").select("opening", "node", "at", "key")
+    per = ways.join(steps, ["opening", "node"]).groupBy("opening", "_leaf", "traces").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("_s"))
+    return per.select("opening", F.transform("_s", lambda x: x["key"]).alias("route"), "traces")
 
 
 def pick_examples(examples: DataFrame, key: list[str], size: str, start: str, ident: str, k: int = 3) -> DataFrame:

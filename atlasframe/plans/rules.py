@@ -297,17 +297,45 @@ def evaluate(rows: DataFrame, subject: str, rules: list[Rule], ident: str) -> tu
     return out.select("_p.rule", "_p.severity", "_p.disabled", "subject", "_p.message"), failures
 
 
+#: Longer lists aren't taken apart, but stand as a whole.
+MOST_ITEMS = 64
+
+
 def why(rows: DataFrame, source: str, ident: str) -> DataFrame:
-    """Which fields decide the verdict of each row: (ident, matched, field, decisive).
+    """Which fields decide the verdict of each row: (ident, matched, field, decisive, items, joint).
 
-    Each field in turn takes another value of its type; it is decisive if the verdict flips. All variants are evaluated in
-    the same scan by compiling the expression with that field replaced.
+    Each field in turn takes another value: text and lists become empty, numbers 0, conditions the opposite; what is so already takes a value that no row
+    has. The field is decisive if the verdict flips. ``items``: the elements of a list whose absence alone flips it; if there are none, those that alone keep the
+    verdict; none if all would be named. ``joint``: the row matches, by several fields, and none of them decides alone. All
+    variants are evaluated in one scan, by compiling the expression with that field replaced.
     """
     scope = scope_of(rows.schema)
-    other = {"string": lambda c: F.concat(c, F.lit("\u0001")), "int": lambda c: -c - 1, "bool": lambda c: ~c, "list": lambda c: F.when(F.size(c) == 0, F.array(F.lit("\u0001"))).otherwise(F.array().cast("array<string>"))}
+    strings = lambda *x: F.array(*x).cast("array<string>")
+    mark = F.lit("\u2063")
+    other = {
+        "string": lambda c: F.when(c == "", mark).otherwise(F.lit("")), "int": lambda c: F.when(c == 0, F.lit(1)).otherwise(F.lit(0)).cast("long"), "bool": lambda c: ~c,
+        "list": lambda c: F.when(F.size(c) == 0, F.array(mark)).otherwise(strings()),
+    }
     matched = compile_expression(source, rows.schema, "bool")
+
+    def verdict(field: str, value: Column) -> Column:
+        return _Parser(source, scope | {field: Typed(value, scope[field].type)}).whole().column
+
+    def flips(field: str, value: Column) -> Column:
+        return F.coalesce(verdict(field, value) != matched, F.lit(False))
+
     cells = []
     for f in fields_of(source, rows.schema):
-        flipped = _Parser(source, scope | {f: Typed(other[scope[f].type](scope[f].column), scope[f].type)}).whole().column
-        cells.append(F.struct(F.lit(f).alias("field"), (F.coalesce(flipped, F.lit(False)) != matched).alias("decisive")))
-    return rows.select(ident, matched.alias("matched"), F.explode(F.array(*cells)).alias("_c")).select(ident, "matched", "_c.*")
+        c = scope[f].column
+        decisive = flips(f, other[scope[f].type](c))
+        items = strings()
+        if scope[f].type == "list":
+            without = F.filter(c, lambda x, i: flips(f, F.filter(c, lambda y, j: j != i)))
+            alone = F.filter(c, lambda x: F.coalesce(verdict(f, F.array(x)) == matched, F.lit(False)))
+            several = F.when(F.size(without) > 0, without).when(decisive & (F.size(alone) < F.size(c)), alone).otherwise(strings())
+            several = F.when(F.size(several) == F.size(c), strings()).otherwise(several)
+            items = F.when((F.size(c) == 1) & decisive, c).when((F.size(c) > 1) & (F.size(c) <= MOST_ITEMS), several).otherwise(strings())
+        cells.append(F.struct(F.lit(f).alias("field"), (decisive | (F.size(items) > 0)).alias("decisive"), items.alias("items")))
+    found = rows.select(ident, matched.alias("matched"), F.array(*cells).alias("_c"))
+    joint = F.col("matched") & (F.size("_c") > 1) & ~F.exists("_c", lambda x: x["decisive"])
+    return found.select(ident, "matched", joint.alias("joint"), F.explode("_c").alias("_c")).select(ident, "matched", "_c.*", "joint")

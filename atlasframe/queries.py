@@ -56,8 +56,8 @@ def merge_claim_conflicts(spark, sf_dir):
     return merge.claim(read(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], ["doc_id"])[1]
 
 
-@query("""select user_id, arg_min(event_type, event_id) filter (event_type <> 'view') as kind, arg_min(props, event_id) filter (props <> '') as props
- from (select user_id, event_id, case when event_type = 'view' then '' else event_type end as event_type, props from events) group by user_id""".replace("filter (event_type <> 'view')", "filter (event_type <> '')"))
+@query("""select user_id, arg_min(event_type, event_id) filter (event_type <> '') as kind, arg_min(props, event_id) filter (props <> '') as props
+ from (select user_id, event_id, case when event_type = 'view' then '' else event_type end as event_type, props from events) group by user_id""")
 def merge_first_non_empty(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("kind", F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")))
     return merge.first_non_empty(e, ["user_id"], ["kind", "props"], ["event_id"])
@@ -277,18 +277,23 @@ def table_facets(spark, sf_dir):
     return tables.facets(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
-@query("""select 'p_size' as "column", 'number' as type union all select 'p_name', 'text' union all select 'version', 'version' union all select 'day', 'date' union all select 'p_type', 'text'""")
+@query(r"""with cells as (select unnest([{'column': 'size', 'v': p_size::varchar}, {'column': 'name', 'v': p_name}, {'column': 'release', 'v': 'v' || p_size || '.' || p_partkey}, {'column': 'candidate', 'v': 'v1.' || p_size || '.0-rc.1'},
+  {'column': 'major', 'v': 'v' || p_size}, {'column': 'day', 'v': '2024-02-' || lpad((1 + p_size % 28)::varchar, 2, '0')}, {'column': 'nearly', 'v': '2024-02-' || lpad((1 + p_size % 31)::varchar, 2, '0')}, {'column': 'moment', 'v': '2024-02-03T10:00:00Z'},
+  {'column': 'price', 'v': p_retailprice::varchar}, {'column': 'blank', 'v': ' '}], recursive := true) from part), t as (select "column", trim(v) as v from cells),
+ kinds as (select "column", count(*) filter (v <> '') as n, bool_and(regexp_matches(v, '^-?[0-9]+([.][0-9]+)?$')) filter (v <> '') as num, bool_and(regexp_matches(v, '^v?[0-9]+([.][0-9]+)*$')) filter (v <> '') as ver,
+  bool_and(regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9:.]+(Z|[+-][0-9]{2}:?[0-9]{2})?)?$') and try_cast(v[1:10] as date) is not null) filter (v <> '') as d from t group by 1)
+ select "column", case when n = 0 then 'text' when num then 'number' when ver then 'version' when d then 'date' else 'text' end as type from kinds""")
 def table_infer_types(spark, sf_dir):
-    part = read(spark, sf_dir, "part").withColumn("version", F.concat(F.lit("v1."), "p_size", F.lit(".0-rc.1"))).withColumn("day", F.lit("2024-02-03"))
-    return tables.infer_types(part, ["p_size", "p_name", "version", "day", "p_type"])
+    part, day = read(spark, sf_dir, "part"), lambda n: F.concat(F.lit("2024-02-"), F.lpad((1 + F.col("p_size") % n).cast("string"), 2, "0"))
+    cells = part.select(F.col("p_size").alias("size"), F.col("p_name").alias("name"), F.concat(F.lit("v"), "p_size", F.lit("."), "p_partkey").alias("release"), F.concat(F.lit("v1."), "p_size", F.lit(".0-rc.1")).alias("candidate"), F.concat(F.lit("v"), "p_size").alias("major"),
+        day(28).alias("day"), day(31).alias("nearly"), F.lit("2024-02-03T10:00:00Z").alias("moment"), F.col("p_retailprice").alias("price"), F.lit(" ").alias("blank"))
+    return tables.infer_types(cells, cells.columns)
 
 
 @query("""select p_partkey, row_number() over (order by p_size // 10, p_size % 10, case when p_partkey % 2 = 0 then 0 else 1 end, p_partkey) as place from part""")
 def table_version_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
     v = F.concat(F.floor(F.col("p_size") / 10), F.lit("."), F.col("p_size") % 10, F.when(F.col("p_partkey") % 2 == 0, "-rc.1").otherwise(""))
-    return read(spark, sf_dir, "part").withColumn("v", v).select("p_partkey", F.row_number().over(Window.orderBy(tables.version_key(F.col("v")).asc_nulls_last(), "p_partkey")).cast("long").alias("place"))
+    return tables.numbered(read(spark, sf_dir, "part").select("p_partkey", v.alias("v")), [tables.version_key(F.col("v")), F.col("p_partkey")]).drop("v")
 
 
 @query("""select o_orderpriority, coalesce(string_agg(distinct o_orderstatus, '+' order by o_orderstatus) filter (c_mktsegment = 'BUILDING'), '') as BUILDING,
@@ -351,11 +356,20 @@ def rule_counts(spark, sf_dir):
     return rules.evaluate(_lines(spark, sf_dir), "line", RULES, "id")[0].groupBy("rule", "disabled").agg(F.count("*").alias("rows"))
 
 
-@query("""select o_orderkey, m as matched, f.field, case f.field when 'status' then (not m and p) or m else (not m and s and not p) or m end as decisive
- from (select o_orderkey, o_orderstatus = 'O' as s, starts_with(o_orderpriority, '1') as p, o_orderstatus = 'O' and starts_with(o_orderpriority, '1') as m from orders), (values ('priority'), ('status')) f(field)""".replace("case f.field when 'status' then (not m and p) or m else (not m and s and not p) or m end", "case f.field when 'status' then m else false end"))
+@query("""with o as (select o_orderkey, o_orderstatus <> 'F' as s, starts_with(o_orderpriority, '1') as p, o_custkey % 7 = 3 as c, (o_orderstatus <> 'F') and (starts_with(o_orderpriority, '1') or o_custkey % 7 = 3) as m from orders),
+ f as (select *, m <> (p or c) as ds, m <> (s and c) as dp, m <> (s and p) as dc from o)
+ select o_orderkey, m as matched, 'status' as field, ds as decisive, m and not (ds or dp or dc) as joint from f union all select o_orderkey, m, 'priority', dp, m and not (ds or dp or dc) from f
+ union all select o_orderkey, m, 'customer', dc, m and not (ds or dp or dc) from f""")
 def rule_why(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    return rules.why(rows, 'status == "O" && priority.startsWith("1")', "o_orderkey")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"))
+    return rules.why(rows, 'status != "F" && (priority.startsWith("1") || customer % 7 == 3)', "o_orderkey").drop("items")
+
+
+@query("""with t as (select o_custkey, list_sort(list_distinct(list(o_orderpriority))) as tags from orders group by 1), k as (select *, list_filter(tags, lambda x: starts_with(x, '1') or starts_with(x, '2')) as hit from t)
+ select o_custkey, len(hit) > 0 as matched, len(hit) > 0 as decisive, case when len(tags) = 1 and len(hit) = 1 then tags[1] when len(hit) < len(tags) then array_to_string(hit, '+') else '' end as items from k""")
+def rule_why_items(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("tags"))
+    return rules.why(rows, 'tags.exists(t, t.startsWith("1") || t.startsWith("2"))', "o_custkey").select("o_custkey", "matched", "decisive", F.array_join("items", "+").alias("items"))
 
 
 @query(f"""with c as (select n_regionkey as context, l_suppkey as service, o_custkey as peer, min(case l_returnflag when 'N' then 0 when 'A' then 1 else 2 end) as best
@@ -468,9 +482,11 @@ def trace_routes(spark, sf_dir):
     return traces.routes(_spans(spark, sf_dir), "trace_id", ["start"], "name").withColumn("route", F.array_join("route", ">"))
 
 
-@query()
+@query(f"""select split_part(route, '>', 1) as opening, route, count(*) as traces from (select trace_id, string_agg(name, '>' order by start) as route from {SPANS} group by 1) group by 1, 2""")
 def trace_fold(spark, sf_dir):
-    return traces.fold(traces.routes(_spans(spark, sf_dir), "trace_id", ["start"], "name"))
+    """The fold of all routes, laid out again: it must hold every route as often as it was shown."""
+    folded = traces.fold(traces.routes(_spans(spark, sf_dir), "trace_id", ["start"], "name"))
+    return traces.unfold(folded).withColumn("route", F.array_join("route", ">"))
 
 
 @query(f"""select * from (select name, trace_id, spans, row_number() over (partition by name order by spans desc, start, trace_id) as place

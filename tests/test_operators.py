@@ -70,17 +70,75 @@ def test_http_calls_need_unambiguous_evidence(spark):
     }
 
 
+def plain_fold(routes, node=()):
+    """The recursion on lists of (keys, traces, first trace): rows (node, at, part, key, traces)."""
+    n = sum(w for _, w, _ in routes)
+    p = 0
+    while all(len(r) > p for r, _, _ in routes) and len({r[p] for r, _, _ in routes}) == 1:
+        p += 1
+    rows = [(node, (*node, 0, k), "start", routes[0][0][k], n) for k in range(p)]
+    rest = [(r[p:], w, t) for r, w, t in routes]
+    if not any(r for r, _, _ in rest):
+        return rows
+    s = 0
+    while all(len(r) > s for r, _, _ in rest) and len({r[-1 - s] for r, _, _ in rest}) == 1:
+        s += 1
+    groups = {}
+    for r, w, t in sorted(rest, key=lambda x: x[2]):
+        middle = r[: len(r) - s]
+        groups.setdefault(middle[0] if middle else None, []).append((middle, w, t))
+    for k, (key, own) in enumerate(groups.items(), 1):
+        rows.append(((*node, 1, k), (*node, 1, k), "branch", key or "otherwise", sum(w for _, w, _ in own)))
+        rows += plain_fold(own, (*node, 1, k)) if key else []
+    return rows + [(node, (*node, 2, k), "end", rest[0][0][len(rest[0][0]) - s + k], n) for k in range(s)]
+
+
 def test_fold_of_routes(spark):
-    rows = [("t1", "a b x c"), ("t2", "a b x y c"), ("t3", "a b z c"), ("t4", "a b c"), ("t5", "q")]
+    rng = random.Random(4)
+    shown = ["a b x c", "a b x y c", "a b z c", "a b c", "q", "a x p c", "a x q c", "a z c", "a", "c c", "c", "c c c"] + [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    rows = [(f"t{i:03}", k) for i, k in enumerate(shown)]
     hops = spark.createDataFrame([(t, i, k) for t, ks in rows for i, k in enumerate(ks.split())], "trace string, i long, key string")
-    got = [(r.opening, r.part, r.branch, r.key, r.traces) for r in traces.fold(traces.routes(hops, "trace", ["i"], "key")).orderBy("opening", "ord").collect()]
-    assert got == [
-        ("a", "start", "", "a", 4), ("a", "start", "", "b", 4), ("a", "branch", "x", "x", 2), ("a", "branch", "x", "y", 2), ("a", "branch", "z", "z", 1), ("a", "branch", "otherwise", None, 1), ("a", "end", "", "c", 4), ("q", "start", "", "q", 1),
-    ]
+    folded = traces.fold(traces.routes(hops, "trace", ["i"], "key"))
+    by = {}
+    for t, ks in rows:
+        by.setdefault(tuple(ks.split()), []).append(t)
+    want = {(o, *row) for o in "abcq" for row in plain_fold([(list(r), len(t), min(t)) for r, t in by.items() if r[0] == o])}
+    assert {(r.opening, tuple(r.node), tuple(r.at), r.part, r.key, r.traces) for r in folded.collect()} == want
+    assert {(tuple(r.route), r.traces) for r in traces.unfold(folded).collect()} == {(r, len(t)) for r, t in by.items()}
+    assert traces.fold(traces.routes(hops.limit(0), "trace", ["i"], "key")).count() == 0
+
+
+def test_depth_has_no_limit(spark):
+    spans = spark.createDataFrame([("t", i, i - 1 if i else None, i) for i in range(90)], "trace_id string, span_id long, parent_id long, start long")
+    assert {r.span_id: (r.depth, r.ord) for r in traces.sequence(spans).collect()} == {i: (i, i + 1) for i in range(90)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "s long, t long")
+    seed = spark.createDataFrame([(0,)], "root long")
+    assert graph.closure(chain, "s", "t", seed).agg({"depth": "max"}).first()[0] == 70
+    assert graph.closure(chain, "s", "t", seed, max_depth=5).count() == 5
+
+
+def test_why(spark):
+    rows = [(1, "x1", 0, True, ["p", "q"]), (2, "x1", 5, False, ["p"]), (3, "", 5, True, []), (4, "y", 0, False, ["p", "p2", "q"])]
+    df = spark.createDataFrame(rows, "id long, a string, n int, ok boolean, tags array<string>")
+    got = lambda source: {(r.id, r.field): (r.matched, r.decisive, r["items"], r.joint) for r in rules.why(df, source, "id").collect()}
+    starts = got('a.startsWith("x") && n < 3')
+    assert starts[1, "a"] == (True, True, [], False) and starts[2, "n"] == (False, True, [], False) and starts[2, "a"] == (False, False, [], False)
+    either = got("ok || n == 0")
+    assert either[1, "ok"] == (True, False, [], True) and either[3, "ok"] == (True, True, [], False) and either[2, "ok"] == (False, True, [], False)
+    lists = got('tags.exists(t, t == "q")')
+    assert lists[1, "tags"] == (True, True, ["q"], False) and lists[2, "tags"] == (False, False, [], False) and lists[3, "tags"] == (False, False, [], False)
+    several = got('tags.exists(t, t.startsWith("p"))')
+    assert several[4, "tags"] == (True, True, ["p", "p2"], False) and several[2, "tags"] == (True, True, ["p"], False)
+    assert got("size(tags) > 1")[1, "tags"] == (True, True, [], False)
+
+
+def test_numbering_without_one_task(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    assert all(r.place == r.x + 1 for r in tables.numbered(df, [F.col("x")]).collect())
 
 
 def test_version_order(spark):
-    want = ["1.0.0-1", "1.0.0-2", "1.0.0-10", "1.0.0-alpha", "1.0.0-beta", "v1.0.0", "1.2", "1.10.0+build", "odd"]
+    want = ["0.9.9.9.9.1", "1.0.0-1", "1.0.0-2", "1.0.0-10", "1.0.0-alpha", "1.0.0-beta", "v1.0.0", "1.0.0.0.0.1", "V1.2", "1.10.0+build", "odd"]
     df = spark.createDataFrame([(v,) for v in random.Random(1).sample(want, len(want))], "v string")
     assert [r.v for r in df.orderBy(*tables.sort_keys("v", "version")).collect()] == want
     assert [r.v for r in tables.sorted_by(df, "v.desc,nope.asc,v.asc", {"v": "version"}).collect()] == [*want[-2::-1], "odd"]

@@ -8,10 +8,15 @@ from atlasframe.operators import shapes
 def test_type_parts(spark):
     want = {
         "string": ("string", False, False), "[]Line": ("Line", True, False), "Option<Vec<Line>>": ("Line", True, True), "repeated Line": ("Line", True, False), "T | null": ("T", False, True), "*Money": ("Money", False, True),
-        "List<Line?>": ("Line", True, True), "optional repeated X": ("X", True, True), "Map<K,V>": ("Map<K,V>", False, False),
+        "List<Line?>": ("Line", True, True), "optional repeated X": ("X", True, True), "Map<K,V>": ("V", True, False), "map<string, Money>": ("Money", True, False),
+        "Box<Money>": ("Money", False, False), "VecDeque<Money>": ("Money", True, False), "DateTime<Utc>": ("DateTime<Utc>", False, False), "Option<Box<Vec<Arc<Option<HashMap<String, Vec<Line>>>>>>>": ("Line", True, True), "[]" * 12 + "Line": ("Line", True, False), "": ("", False, False),
     }
     df = spark.createDataFrame([(k,) for k in want], "t string")
-    assert {r.t: tuple(r.p) for r in df.select("t", shapes.type_parts(F.col("t")).alias("p")).collect()} == want
+    assert {r.t: tuple(r.p)[:3] for r in df.select("t", shapes.type_parts(F.col("t")).alias("p")).collect()} == want
+    keyed = {"Map<K,V>": True, "Vec<Map<K,V>>": False, "Map<K,Vec<V>>": True, "[]V": False}
+    df = spark.createDataFrame([(k,) for k in keyed], "t string")
+    assert {r.t: r.p.by_key for r in df.select("t", shapes.type_parts(F.col("t")).alias("p")).collect()} == keyed
+    assert spark.createDataFrame([(None,)], "t string").select(shapes.type_parts(F.col("t")).alias("p")).first().p is None
 
 
 def test_types_disagree(spark):
