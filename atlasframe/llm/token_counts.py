@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,8 +21,8 @@ COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: how the public byte-level vocabularies split text before merging.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Words whose counts a worker's task remembers; beyond that it forgets them all.
-REMEMBERED = 600_000
+#: Words whose counts a worker remembers; beyond that it forgets them all.
+REMEMBERED = 800_000
 #: White space next to white space, or other than blanks and line ends; ASCII ones are looked for one by one, which is faster.
 RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\0")
 OTHER_SPACE = r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -38,9 +39,11 @@ def byte_letters() -> list[str]:
 class RankMerger:
     """Counts the symbols that survive the merges of a ``tokenizers`` byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBERED):
         import regex
 
+        self.remember = remember
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -110,7 +113,7 @@ class RankMerger:
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def counts(self, batch: list[str]) -> list[int]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remember:
             self.known.clear()
         split, extra = [], []
         for text in batch:
@@ -126,16 +129,22 @@ class RankMerger:
         return [sum(map(known.__getitem__, found)) + n for found, n in zip(split, extra)]
 
 
+@lru_cache(1)
+def rank_merger(path: str, remember: int) -> RankMerger:
+    """One for each Python worker, so that later tasks know the words of earlier ones."""
+    return RankMerger(path, remember)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """Bytes and tokens of every text of ``docs`` (``doc_id``, ``text``).
 
     Counts are those of the ``tokenizers`` library for a byte-level BPE file, without added special tokens;
-    a special token's string inside a text is one token. Null text counts as empty (0 tokens). One row per
-    input row, repeated rows too; no shuffle; other columns are ignored. See ``COUNTS``.
+    a special token's string inside a text is one token. Null text counts as empty (0 tokens); very long texts are read whole. One row per
+    input row, repeated rows and rows without id too; an empty table gives no rows; no shuffle; other columns are ignored. See ``COUNTS``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = RankMerger(tokenizer_path)
+        merger = rank_merger(tokenizer_path, REMEMBERED)
         for batch in slices(batches):
             found = texts(batch)
             n = merger.counts(found)
@@ -147,13 +156,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COUNTS)
 
 
-def with_tokens(docs: DataFrame, tokenizer_path: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """All columns of ``docs`` (it has ``text``) but those of ``drop``, and ``n_tokens``, counted as in ``count_tokens``. No shuffle."""
+def with_tokens(docs: DataFrame, tokenizer_path: str, drop: tuple[str, ...] = (), remember: int = REMEMBERED) -> DataFrame:
+    """All columns of ``docs`` (it has ``text``) but those of ``drop``, and ``n_tokens``, counted as in ``count_tokens``; ``remember`` words stay in each worker. No shuffle."""
     fields = [f for f in docs.schema.fields if f.name not in (*drop, "n_tokens")]
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = RankMerger(tokenizer_path)
+        merger = rank_merger(tokenizer_path, remember)
         for batch in slices(batches):
             n = pa.array(merger.counts(texts(batch)), pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], n], names=[*names, "n_tokens"])
