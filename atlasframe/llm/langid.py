@@ -17,6 +17,8 @@ ORDER = 3
 SHARPNESS = 8.0
 #: Languages whose counts a task holds at once; more are given out in parts.
 HELD = 64
+#: One in so many training texts is kept for the calibration of rejection.
+HELD_BACK = 10
 SCORES = "doc_id long, lang_pred string, score double, cross_entropy double"
 
 
@@ -94,15 +96,17 @@ def identify(docs: DataFrame, training: Column, sharpness: float = SHARPNESS, re
     ``training`` says which rows' text and lang may be learned from; a prediction sees the text alone. The
     language of least cross-entropy a character wins, ties go to the first by name. ``lang_pred`` is ``und`` with
     score 0 if the text is null or has no letter, or if nothing could be learned. ``rejected`` marks texts that fit
-    their language worse than ``reject_above`` of its training rows do. One row per input row, repeated rows too; other
+    their language worse than ``reject_above`` of those training rows do whose counts the models leave out (one in HELD_BACK, by a hash of the text; of
+    all, where a language has none of these). Texts without a language aren't learned from; very long ones are read whole. One row per input row, repeated rows too; other
     columns are ignored; an empty table gives no rows. Returns ``doc_id``, ``held_out``, ``lang_pred``, ``score``,
     ``cross_entropy``, ``rejected``.
 
     The models are at most 64^3 entries a language whatever the corpus holds, so they are sent to all tasks.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.coalesce(training, F.lit(False)).alias("_training"))
+    rows = rows.withColumn("_held_back", F.col("_training") & (F.pmod(F.xxhash64("text"), F.lit(HELD_BACK)) == 0))
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    found = count_ngrams(rows.where("_training")).toPandas()
+    found = count_ngrams(rows.where("_training and not _held_back")).toPandas()
     for lang, group in found.groupby("lang"):
         counts[lang] = group.code.to_numpy(), group.n.to_numpy()
     models = docs.sparkSession.sparkContext.broadcast(LanguageModels(counts))
@@ -121,13 +125,15 @@ def identify(docs: DataFrame, training: Column, sharpness: float = SHARPNESS, re
                 best, least, score = np.zeros(len(found), int), np.zeros(len(found)), np.zeros(len(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([m.langs[b] if ok else "und" for b, ok in zip(best, known)], pa.string()),
-                 pa.array(np.where(known, score, 0.0)), pa.array(least), batch.column(2), batch.column(3)],
-                names=["doc_id", "lang_pred", "score", "cross_entropy", "lang", "_training"],
+                 pa.array(np.where(known, score, 0.0)), pa.array(least), *batch.columns[2:5]],
+                names=["doc_id", "lang_pred", "score", "cross_entropy", "lang", "_training", "_held_back"],
             )
 
-    scored = checkpoint(rows.select("doc_id", "text", "lang", "_training").mapInArrow(run, f"{SCORES}, lang string, _training boolean"))
+    scored = checkpoint(rows.select("doc_id", "text", "lang", "_training", "_held_back").mapInArrow(run, f"{SCORES}, lang string, _training boolean, _held_back boolean"))
     # At most a row for each language that the models hold.
-    limits = scored.where("_training and lang = lang_pred").groupBy(F.col("lang").alias("_of")).agg(F.percentile_approx("cross_entropy", reject_above, 10000).alias("_most"))
+    limits = scored.where("_training and lang = lang_pred").groupBy(F.col("lang").alias("_of")).agg(
+        F.coalesce(*[F.percentile_approx(x, reject_above, 10000) for x in (F.when(F.col("_held_back"), F.col("cross_entropy")), F.col("cross_entropy"))]).alias("_most")
+    )
     return scored.join(F.broadcast(limits), scored.lang_pred == limits["_of"], "left").select(
         "doc_id", (~F.col("_training")).alias("held_out"), "lang_pred", "score", "cross_entropy", F.coalesce(F.col("cross_entropy") > F.col("_most"), F.lit(True)).alias("rejected")
     )

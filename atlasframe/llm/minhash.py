@@ -19,6 +19,8 @@ PERCENT = 75
 COORDINATES, AGREE = 64, 32
 #: Members of a posting list or of a candidate class that one unit of work holds of either side.
 BLOCK_ROWS = 4096
+#: Shingles for which a long text counts as one more member, so that a block of long texts stays small: 32 MB.
+ROW_SHINGLES = 1024
 #: Lists up to this length are compared pair by pair for many lists at once.
 SHORT_LIST = 48
 
@@ -244,14 +246,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with equal sets are one. Candidates of the inverted join fall into classes; each class's
     texts meet once more with their full sets, where links are confirmed exactly, save between texts that links join
     already. Large classes are cut into blocks: one block meets all others, then what is left outside the largest class does. Null or blank texts have no
-    set and link with nothing; repeated rows count as copies; rows without id are left out; other columns are ignored;
+    set and link with nothing; very long texts are read whole; repeated rows count as copies, ties in similarity link; rows without id are left out; other columns are ignored;
     no rows give no rows. Returns ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     signed = checkpoint(signatures(docs))
-    reps = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("values").alias("values"))
+    reps = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("values").alias("values"), F.max("n_shingles").alias("n_shingles"))
     classes = connected_components(candidates(reps.select("rep", "values"))).withColumnRenamed("component", "class")
-    sizes = classes.groupBy("class").agg(F.count("*").alias("members"))
+    long = classes.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node")
+    sizes = long.groupBy("class").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / F.lit(float(ROW_SHINGLES)))).alias("members"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

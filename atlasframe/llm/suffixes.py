@@ -1,13 +1,14 @@
 """Suffix-array dedup: bytes that an earlier document has too, in strings of a fixed length, are removed.
 
-Sorting every suffix would move 50 times the corpus. Strings of LENGTH bytes can only be equal if their
-minimizers are (the gram of GRAM bytes of least hash in the string, the first of equals), so:
+Sorting every suffix would move 50 times the corpus, so the suffix array is a sparse one: of the suffixes that start in a
+string of LENGTH bytes only the one at its minimizer is kept (the place whose next GRAM bytes have the least hash, the first of
+equals), with the bytes before it as its left context. Equal strings have equal minimizers, so:
 
 1. each slice of documents gives out the hashes of its minimizers, once each; those that occur in two
    documents are sent back;
-2. each slice gives out the suffixes that start in strings with such a minimizer, as the stretch of text they
-   cover, range-partitioned by the minimizer's bytes with splitters from a bounded sample. Equal strings have
-   equal minimizers, so no group is cut by a boundary. Buckets sort their suffixes by multikey quicksort, eight bytes a
+2. each slice gives out the suffixes at such minimizers, as the stretch of text around them that strings cover, range-partitioned by
+   their leading GRAM bytes with splitters from a bounded sample. Suffixes whose leading bytes are equal never lie on two sides
+   of a boundary, so there is nothing left to compare across it. Buckets sort the strings by multikey quicksort, eight bytes a
    key, to LENGTH bytes, and neighbours that are equal form a group with a smallest document;
 3. each slice removes the covered bytes.
 
@@ -31,7 +32,7 @@ from atlasframe.llm.common import documents, release_memory
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a slice on average.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Window starts that are worked on at once.
 CHUNK = 1 << 18
 #: Documents, and bytes of each, from which the splitters are sampled. They decide the balance of buckets, not the result.
@@ -112,16 +113,19 @@ def slice_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.large_binary()) for a in arrays], names=[str(k) for k in range(len(arrays))])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    """Arrays as one compressed frame behind their sizes in bytes: little room for small ones, as each slice has one for each bucket."""
+    import zstandard
+
+    raw = [a.tobytes() for a in arrays]
+    return np.array([len(x) for x in raw], "<u4").tobytes() + zstandard.compress(b"".join(raw), 1)
 
 
 def unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(blob).read_next_batch()
-    return [np.frombuffer(batch.column(k)[0].as_buffer(), t) for k, t in enumerate(types)]
+    import zstandard
+
+    ends = np.cumsum(np.frombuffer(blob, "<u4", len(types)).astype(np.int64))
+    raw = zstandard.decompress(memoryview(blob)[4 * len(types) :]) if ends[-1] else b""
+    return [np.frombuffer(raw, t, count=int(end - start) // np.dtype(t).itemsize, offset=int(start)) for t, start, end in zip(types, ends - np.diff(ends, prepend=0), ends)]
 
 
 GIVEN = ("u1", "<u2", "<u2", "<u8", "<i8", "<u4", "<i8")  # bytes, windows, gram offset, hash, doc, places, place in the slice
@@ -197,7 +201,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     """Remove from every text of ``docs`` (``doc_id``, ``text``) each byte of a LENGTH-byte string that also starts in a document with a smaller id.
 
     Strings are judged on the input as it comes; overlaps count; strings never cross documents. Null text is empty. Rows of one
-    ``doc_id`` are documents of one rank: they don't remove one another's bytes. Rows without id are left out; no rows give no rows.
+    ``doc_id`` are documents of one rank: they don't remove one another's bytes. A document longer than a slice is a slice of its own; ties go to no one, as equal ids are one rank. Rows without id are left out; no rows give no rows.
     Returns ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary) and the columns of ``carry``, by whatever
     name; other columns are ignored.
 
