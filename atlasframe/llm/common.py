@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasframe.plans.checkpoints import checkpoint, ensure_checkpoint_dir
+from atlasframe.plans.checkpoints import checkpoint, ensure_checkpoint_dir, tables_folder
 
 __all__ = [
     "checkpoint", "connected_components", "documents", "ensure_checkpoint_dir", "release_memory", "slices", "texts", "whole_groups", "with_blocks", "written",
@@ -27,8 +27,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new folder of the shared checkpoint folder as Parquet, which takes far less room than a checkpoint of rows, and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    folder = f"{tables_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
