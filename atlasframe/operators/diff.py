@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from atlasframe.operators.merge import STATUSES, rank_of
 
-#: Severities from gravest to least.
-SEVERITIES = ("breaking", "change", "addition")
+#: Severities in the order in which they are told.
+SEVERITIES = ("breaking", "addition", "change")
 
 
 def keyed_diff(before: DataFrame, after: DataFrame, key: list[str], fields: list[str], entity: str, removed: str = "breaking", changed: str | dict[str, Column | str] = "change") -> DataFrame:
