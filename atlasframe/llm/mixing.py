@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atlasframe.llm.common import checkpoint, documents
+from atlasframe.llm.common import documents, written
 from atlasframe.llm.token_counts import with_tokens
 
 #: Documents of a block on average; a pass over a source is a permutation of its blocks, then of each block's rows.
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, re
     A source is read in passes; each pass permutes blocks of its rows and the rows of each block; the last
     pass ends with the row that fills the source's budget. Repeated rows are rows of their own, told apart by nothing, so
     ties share a place by chance of their columns; no rows give no rows. Added columns, which replace any of their names: ``mix_pass`` (from 0), ``mix_tokens``,
-    ``mix_position`` (0 to 1: order by it to interleave the sources evenly), ``mix_weight``.
+    ``mix_position`` (0 to 1: order by it to interleave the sources evenly; parts of the result are ranges of blocks in that order, each sorted), ``mix_weight``.
 
     Only counts by source reach the driver. Sums run over blocks first, then within the one block of a source
     in which the budget ends, so that a source with most rows is no single task's work.
@@ -94,15 +94,18 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, re
 
     drawn = rows.join(F.broadcast(sources) if len(passes) <= SENT_ROWS else sources, "_source")  # a row for each document and pass
     drawn = drawn.withColumn("_key", F.xxhash64(F.lit(seed), "mix_pass", "_id", "_hash")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_pass", "_id", "_hash"), F.col("_n")))
-    blocks = drawn.groupBy("_source", "mix_pass", "_block").agg(F.sum("_tokens").alias("_sum"), F.first("_quota").alias("_quota"))
+    blocks = drawn.groupBy("_source", "mix_pass", "_block").agg(F.sum("_tokens").alias("_sum"), F.first("_quota").alias("_quota"), F.first("_all").alias("_all"), F.first("_want").alias("_want"))
     order = Window.partitionBy("_source", "mix_pass").orderBy(F.xxhash64(F.lit(seed + 2), "mix_pass", "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(order), F.lit(0))).where("_before < _quota").drop("_quota")
-    inside = Window.partitionBy("_source", "mix_pass", "_block").orderBy("_key", "_id", "_hash").rowsBetween(Window.unboundedPreceding, -1)
-    placed = drawn.drop("_n").join(blocks, ["_source", "mix_pass", "_block"]).withColumn("_before", F.col("_before") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
-    return placed.where("_before < _quota").select(
-        "_row.*", "mix_pass", F.col("_tokens").alias("mix_tokens"),
-        ((F.col("mix_pass") * F.col("_all") + F.col("_before")) / F.col("_want")).alias("mix_position"), "mix_weight",
-    )
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(order), F.lit(0))).where("_start < _quota")
+    # Where a block begins in the mixture: rows are dealt by ranges of it, so that sources are interleaved as they are written, and each block is in one part.
+    blocks = written(blocks.select("_source", "mix_pass", "_block", "_start", ((F.col("mix_pass") * F.col("_all") + F.col("_start")) / F.col("_want")).alias("_at")))
+    own = ["_at", "_source", "mix_pass", "_block"]
+    placed = drawn.drop("_n").join(blocks, ["_source", "mix_pass", "_block"]).repartitionByRange(*own)
+    inside = Window.partitionBy(*own).orderBy("_key", "_id", "_hash").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0))).where("_before < _quota")
+    return placed.select(
+        "_row.*", "mix_pass", F.col("_tokens").alias("mix_tokens"), ((F.col("mix_pass") * F.col("_all") + F.col("_before")) / F.col("_want")).alias("mix_position"), "mix_weight",
+    ).sortWithinPartitions("mix_position")
 
 
 def drawn_tokens() -> Column:
@@ -115,5 +118,5 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    docs = checkpoint(with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), drop=("text",)))
+    docs = written(with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), drop=("text",)))
     return mix(docs, drawn_tokens(), repetition_limit=2.0).drop("n_tokens")
