@@ -19,8 +19,13 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     limits of texts without one, or the widest. No labels: all texts that aren't blank stay. No rows, no rows; more columns stay as they are, whatever their names.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    fitted = quality.QualityClassifier.fit(docs, quality.trusted_ids(labels))
-    return fitted.classify(docs).where("quality_keep").select(*docs.columns)
+    # Only ids and hashes of rows go through the classifier with the texts; rows that are equal in all columns are judged alike.
+    marks = F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.xxhash64(*docs.columns).alias("_mark")
+    given = docs.select("doc_id", "text", "lang", *marks)
+    fitted = quality.QualityClassifier.fit(given, quality.trusted_ids(labels), carry=["_id", "_mark"])
+    kept = fitted.classify(given).where("quality_keep").select("_id", "_mark")
+    own = F.struct(*docs.columns).alias("_row")
+    return docs.select(own, *marks).join(written(kept), ["_id", "_mark"], "left_semi").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ def whole_characters(data: Column) -> Column:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, rare sources up to twice, in tokens, written in the order of the mixture.
+    """Every document at least once, rare sources up to twice, in tokens, in the order of the mixture, so that each file holds all sources.
 
     Null and empty texts take one token; very long ones count whole; a null source is a source of its own; repeated rows and rows without id are rows like any
     other. No rows, no rows; more columns stay as they are. The counted rows are kept in a folder, as they are read twice.
@@ -65,8 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     counted = written(token_counts.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=200_000))
-    mixed = mixing.mix(counted, mixing.drawn_tokens(), repetition_limit=2.0)
-    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    return mixing.mix(counted, mixing.drawn_tokens(), repetition_limit=2.0).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
