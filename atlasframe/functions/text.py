@@ -45,9 +45,10 @@ def plural(n: Column, one: str, many: str | None = None) -> Column:
 
 
 def repo_name(c: Column) -> Column:
-    """host/path of a repository address without scheme, user and ``.git``."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"^(?:[a-z+]+://)?(?:[^@/]+@)?", ""), r"(?:\.git)?/*$", "")
-    return F.lower(F.regexp_replace(bare, r"^([^/:]+):(?!\d+/)", "$1/"))
+    """host/path of a repository address, however it is spelled: without scheme, user, port, closing slashes and ``.git``."""
+    bare = F.regexp_replace(F.trim(c), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^@/]+@)?", "")
+    hosted = F.regexp_replace(bare, r"^([^/:]+):(?:\d+/)?(?!/)", "$1/")
+    return F.lower(F.regexp_replace(hosted, r"/*$|(?:\.git)/*$", ""))
 
 
 def source_line(c: Column) -> Column:

@@ -147,20 +147,35 @@ def event_chain(hops: DataFrame, consumers: DataFrame, event: str, depth: int =
     return spark.createDataFrame(out, "level long, event string, consumer string, status string, published string, cut string")
 
 
-def continuations(nodes: DataFrame, flows: DataFrame) -> DataFrame:
-    """Flows that a step leads on to: by entrypoint first, then by the same rpc contract, then by the same event.
+def continuations(nodes: DataFrame, flows: DataFrame, participants: DataFrame | None = None, handoffs: DataFrame | None = None) -> DataFrame:
+    """Flows that a step leads on to: by entrypoint first, then by what is handed over, then by the rpc contract that it calls, then by the same event.
 
-    ``flows``: id, entrypoint. The opening of a flow is its first step. Never the flow itself; a step's best kind counts.
+    ``flows``: id, entrypoint. The opening of a flow is its first step. A called flow must open at the service that is called; with ``participants`` (flow, id, kind), its
+    caller must be an actor. ``handoffs`` (flow_id, step_id, direction, kind, transport, channel, message): a sent message opens the flow whose first step receives the same. Never the
+    flow itself; a step's best kind counts.
     """
-    first = steps(nodes).groupBy("flow_id").agg(F.min_by(F.struct("kind", "ref", "to"), "ord").alias("o"))
-    opens = first.select(F.col("flow_id").alias("next_flow"), F.col("o.kind").alias("_k"), F.col("o.ref").alias("ref")).where("ref is not null")
-    s = steps(nodes).where("ref is not null").select("flow_id", F.col("node_id").alias("step_id"), "ref", "kind")
+    first = steps(nodes).groupBy("flow_id").agg(F.min_by(F.struct("kind", "ref", "to", "from", "node_id"), "ord").alias("o"))
+    opens = first.select(F.col("flow_id").alias("next_flow"), F.col("o.kind").alias("_k"), F.col("o.ref").alias("ref"), F.col("o.to").alias("_to"), F.col("o.from").alias("_from"), F.col("o.node_id").alias("_node"))
+    if participants is not None:
+        actors = participants.where("kind = 'actor'").select(F.col("flow").alias("next_flow"), F.col("id").alias("_from"), F.lit(True).alias("_actor")).distinct()
+        opens = opens.join(actors, ["next_flow", "_from"], "left").withColumn("_actor", F.coalesce("_actor", F.lit(False)))
+    else:
+        opens = opens.withColumn("_actor", F.lit(True))
+    s = steps(nodes).where("ref is not null").select("flow_id", F.col("node_id").alias("step_id"), "ref", "kind", "to")
     entry = flows.where("entrypoint <> ''").select(F.col("id").alias("next_flow"), F.col("entrypoint").alias("ref"))
     by_entry = s.join(entry, "ref").select("flow_id", "step_id", "next_flow", F.lit(1).alias("rank"))
-    by_open = s.join(opens, "ref").where("kind = _k").select("flow_id", "step_id", "next_flow", F.when(F.col("kind") == "rpc", 2).otherwise(3).alias("rank"))
-    all_ = by_entry.unionByName(by_open).where("flow_id <> next_flow")
+    served = (F.col("kind") == "rpc") & (F.col("_k") == "rpc") & (F.col("to") == F.col("_to")) & F.col("_actor")
+    shared = (F.col("kind") == "event") & (F.col("_k") == "event")
+    by_open = s.join(opens.where("ref is not null"), "ref").where(served | shared).select("flow_id", "step_id", "next_flow", F.when(served, 3).otherwise(4).alias("rank"))
+    all_ = by_entry.unionByName(by_open)
+    if handoffs is not None:
+        what = ["kind", "transport", "channel", "message"]
+        given = handoffs.withColumn("message", F.coalesce("message", F.lit("")))
+        opened = given.where("direction = 'receive'").join(opens.select(F.col("next_flow").alias("flow_id"), F.col("_node").alias("step_id")), ["flow_id", "step_id"]).select(F.col("flow_id").alias("next_flow"), *what)
+        all_ = all_.unionByName(given.where("direction = 'send'").join(opened, what).select("flow_id", "step_id", "next_flow", F.lit(2).alias("rank")))
+    all_ = all_.where("flow_id <> next_flow")
     w = Window.partitionBy("flow_id", "step_id")
-    basis = F.when(F.col("rank") == 1, "entrypoint").when(F.col("rank") == 2, "contract").otherwise("event")
+    basis = F.when(F.col("rank") == 1, "entrypoint").when(F.col("rank") == 2, "handoff").when(F.col("rank") == 3, "contract").otherwise("event")
     return all_.withColumn("_best", F.min("rank").over(w)).where("rank = _best").select("flow_id", "step_id", "next_flow", basis.alias("basis")).distinct()
 
 

@@ -48,11 +48,12 @@ def filter_event_graph(edges: DataFrame, contexts: list[str] | None = None, stat
     return edges
 
 
-def context_map(contexts: DataFrame, links: DataFrame, order: str) -> DataFrame:
+def context_map(contexts: DataFrame, links: DataFrame, order: str, kernel: DataFrame | None = None) -> DataFrame:
     """All pairs of contexts with the links either way, and their relation.
 
     ``contexts``: context and ``order``; ``links``: upstream, downstream (contexts). A short list of contexts is paired with itself;
-    the links themselves are joined by key.
+    the links themselves are joined by key. ``kernel`` (left, right, def; see ``usages.shared_kernel``, in the order of the pairs): adds ``shared``, how many types both name; a pair
+    that only shares types is a ``shared-kernel``.
     """
     a = contexts.select(F.col("context").alias("left"), F.col(order).alias("_i"))
     b = contexts.select(F.col("context").alias("right"), F.col(order).alias("_j"))
@@ -62,7 +63,20 @@ def context_map(contexts: DataFrame, links: DataFrame, order: str) -> DataFrame:
     pairs = a.join(b, F.col("_i") < F.col("_j")).join(down, ["left", "right"], "left").join(up, ["left", "right"], "left")
     right, left = F.coalesce("to_right", F.lit(0)), F.coalesce("to_left", F.lit(0))
     pattern = F.when((right == 0) & (left == 0), "separate-ways").when((right > 0) & (left > 0), "partnership").otherwise("customer-supplier")
-    return pairs.select("left", "right", right.alias("to_right"), left.alias("to_left"), (right + left).alias("weight"), pattern.alias("pattern"))
+    found = pairs.select("left", "right", right.alias("to_right"), left.alias("to_left"), (right + left).alias("weight"), pattern.alias("pattern"))
+    if kernel is None:
+        return found
+    n = kernel.groupBy("left", "right").agg(F.count_distinct("def").alias("shared"))
+    out = found.join(n, ["left", "right"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return out.withColumn("pattern", F.when((F.col("weight") == 0) & (F.col("shared") > 0), "shared-kernel").otherwise(F.col("pattern")))
+
+
+def bridges(scores: DataFrame, least: float = 0.0) -> DataFrame:
+    """Nodes that lie between others (``betweenness`` over ``least``), with their share of all betweenness and their place, the busiest first."""
+    on = scores.where(F.col("betweenness") > least)
+    total = on.agg(F.sum("betweenness")).first()[0] or 0.0
+    w = Window.orderBy(F.desc("betweenness"), "node")  # nodes of an estate, not its edges
+    return on.select("node", "betweenness", (F.col("betweenness") / F.lit(float(total))).alias("share"), F.row_number().over(w).cast("long").alias("place"))
 
 
 def closure(edges: DataFrame, source: str, target: str, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:

@@ -64,16 +64,18 @@ def raise_status(df: DataFrame, key: list[str], status: str, note: str, order: l
     )
 
 
-def lay_over(df: DataFrame, key: list[str], basis: str, fields: list[str], over: str, under: str) -> DataFrame:
+def lay_over(df: DataFrame, key: list[str], basis: str, fields: list[str], over: str, under: str, pinned: tuple[str, ...] = ()) -> DataFrame:
     """Rows of basis ``over`` win; fields in which a row of ``under`` differs and isn't empty become ``drift``.
 
+    ``pinned``: lists of which ``under`` names some items; they drift if ``over`` has items, but not all of those.
     Each key has at most one row of either basis (others are conflicts; see ``claim``).
     """
-    top = df.where(F.col(basis) == over).select(*key, *[F.col(f).alias(f"_a_{f}") for f in fields])
-    low = df.where(F.col(basis) == under).select(*key, *[F.col(f).alias(f"_b_{f}") for f in fields])
+    top = df.where(F.col(basis) == over).select(*key, *[F.col(f).alias(f"_a_{f}") for f in (*fields, *pinned)])
+    low = df.where(F.col(basis) == under).select(*key, *[F.col(f).alias(f"_b_{f}") for f in (*fields, *pinned)])
     both = top.withColumn("_top", F.lit(True)).join(low.withColumn("_low", F.lit(True)), key, "full_outer")
-    values = [F.when(F.col("_top"), F.col(f"_a_{f}")).otherwise(F.col(f"_b_{f}")).alias(f) for f in fields]
+    values = [F.when(F.col("_top"), F.col(f"_a_{f}")).otherwise(F.col(f"_b_{f}")).alias(f) for f in (*fields, *pinned)]
     drift = [F.when(F.col("_top") & F.col("_low") & non_empty(F.col(f"_b_{f}").cast("string")).isNotNull() & ~F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}")), F.lit(f)) for f in fields]
+    drift += [F.when(F.col("_top") & F.col("_low") & (F.size(f"_a_{f}") > 0) & (F.size(F.array_except(f"_b_{f}", f"_a_{f}")) > 0), F.lit(f)) for f in pinned]
     return both.select(*key, F.when(F.col("_top"), F.lit(over)).otherwise(F.lit(under)).alias(basis), *values, F.array_sort(F.array_compact(F.array(*drift))).alias("drift"))
 
 

@@ -41,3 +41,14 @@ def match_rank(term: str, name: Column, group: Column, *texts: Column) -> Column
     for c in texts:
         any_text = any_text | inside(c)
     return F.when(F.lower(name) == t, 0).when(inside(name), 1).when(inside(group), 2).when(any_text, 3)
+
+
+def resolved(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """Any ids (``id``) as the resources that bear them: id, kind, name; of several kinds, the first by kind; none, null."""
+    one = found.groupBy("id").agg(F.min_by("kind", F.struct("kind", "name")).alias("kind"), F.min_by("name", F.struct("kind", "name")).alias("name"))
+    return ids.select("id").distinct().join(one, "id", "left")
+
+
+def around(relations: DataFrame, ident: str) -> DataFrame:
+    """What one resource is related to (``source``, ``relation``, ``target``), by relation and target; filtered at the scan."""
+    return relations.where(F.col("source") == ident).select("relation", "target").distinct()

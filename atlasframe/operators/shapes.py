@@ -40,6 +40,8 @@ OPTIONAL = ("Option", "Optional", "Maybe", "Nullable")
 BOXES = ("Box", "Rc", "Arc", "Readonly", "Cow")
 MAPS = ("map", "Map", "HashMap", "BTreeMap", "Record", "Dictionary")
 SHAPE_DEPTH = 6
+#: Fixed value: segments of a path that name no family.
+TECHNICAL = r"(?i)^(api|v\d+)$"
 
 
 #: One match of a spelling: pointer and list marks in front, the name, and lengths or precisions behind, which don't belong to it.
@@ -147,12 +149,12 @@ def field_differences(copies: DataFrame, originals: DataFrame) -> DataFrame:
 def method_groups(methods: DataFrame, least: int = 20) -> DataFrame:
     """Route families of large HTTP interfaces: interface, name, family (null: on its own).
 
-    ``methods``: interface, name, path. The family is the first segment that is neither a version, ``api`` nor a parameter; it counts where
-    at least two methods share it and the interface has ``least`` HTTP methods.
+    ``methods``: interface, name, path. The family is the first segment that is neither a version, ``api`` nor a parameter in braces; it counts where
+    at least two methods share it and the interface has ``least`` methods with a family.
     """
-    parts = F.filter(F.split(F.col("path"), "/"), lambda x: (x != "") & ~x.rlike(r"^(api|rest|v\d+(\.\d+)*|\{.*\}|:.*|%s)$"))
+    parts = F.filter(F.split(F.col("path"), "/"), lambda x: (x != "") & ~x.startswith("{") & ~x.rlike(TECHNICAL))
     found = methods.withColumn("_f", F.get(parts, F.lit(0)))
-    size = found.groupBy("interface").agg(F.count_if(F.col("path").isNotNull()).alias("_n"))
+    size = found.groupBy("interface").agg(F.count("_f").alias("_n"))
     shared = found.groupBy("interface", "_f").agg(F.count("*").alias("_m"))
     return found.join(size, "interface").join(shared, ["interface", "_f"], "left").select("interface", "name", F.when((F.col("_n") >= least) & (F.col("_m") >= 2), F.col("_f")).alias("family"))
 

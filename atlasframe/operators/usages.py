@@ -150,9 +150,8 @@ def streaming_kind(streaming: Column) -> Column:
 
 
 def tech_key(name: Column) -> Column:
-    """One spelling of a technology's name: lower case, without versions, marks and blanks."""
-    bare = F.regexp_replace(F.lower(F.trim(name)), r"[\s_-]*v?\d+(\.\d+)*$", "")
-    return F.regexp_replace(bare, r"[^a-z0-9+#]", "")
+    """One spelling of a technology's name: lower case, only letters, digits, ``+`` and ``#``."""
+    return F.regexp_replace(F.lower(name), r"[^a-z0-9+#]", "")
 
 
 def drift_lines(df: DataFrame, key: list[str], fields: list[str]) -> DataFrame:

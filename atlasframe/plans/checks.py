@@ -23,6 +23,8 @@ ALLOWED = {
     ("calls", "status"): ["verified", "declared", "unresolved"],
     ("consumers", "status"): ["verified", "declared", "unresolved"],
 }
+#: Lifecycles of a proposal.
+LIFECYCLES = ("draft", "discussion", "accepted", "implemented", "rejected", "postponed", "withdrawn", "abandoned", "superseded", "unknown")
 #: What names a row of each table.
 NAMES = {
     "channels": ["service", "address"], "channel_messages": ["service", "address", "name"], "methods": ["interface", "name"], "accesses": ["relation", "operation"], "participants": ["flow", "id"],
@@ -109,6 +111,35 @@ def catalog_violations(t: dict[str, DataFrame]) -> DataFrame:
         failing(t["adrs"].where("date is not null"), F.try_to_timestamp("date").isNotNull(), "decision-date-unreadable", c("id"), c("date")),
         _lost(t["adrs"], "scope", contexts, "id", "decision-scope-unknown", c("id")),
     ]
+    text = lambda name: F.coalesce(F.trim(name), F.lit("")) != ""
+    targets = services.select(F.lit("service").alias("kind"), "id").unionByName(t["flows"].select(F.lit("flow").alias("kind"), "id")).unionByName(t["adrs"].select(F.lit("adr").alias("kind"), "id")).unionByName(t["rfcs"].select(F.lit("rfc").alias("kind"), "id"))
+    targets = targets.unionByName(steps.select(F.lit("step").alias("kind"), F.col("node_id").alias("id"))).select(F.concat_ws(" ", "kind", "id").alias("_t"))
+    links = t["workItemLinks"].withColumn("_target", F.concat_ws(" ", "target.kind", "target.id"))
+    out += [
+        failing(t["repos"], text("commit"), "repository-without-commit", c("repo"), c("path")),
+        duplicates(t["repos"], ["repo"], "repository-twice"),
+        failing(t["workItems"], F.coalesce(c("url"), F.lit("")).rlike("^https?://"), "work-item-without-address", c("id"), c("url")),
+        _lost(links, "workItem", t["workItems"], "id", "work-item-unknown", c("workItem")),
+        _lost(links, "_target", targets, "_t", "work-item-target-unknown", c("workItem")),
+        failing(links, c("basis").isin("declared", "source-file", "service-directory"), "work-item-basis-unknown", c("workItem"), c("basis")),
+        failing(t["rfcs"], text("displayId"), "proposal-without-name", c("id"), c("title")),
+        failing(t["rfcs"], c("lifecycle").isin(*LIFECYCLES), "proposal-lifecycle-unknown", c("id"), c("lifecycle")),
+        _lost(t["rfcs"].where("scope <> '*'"), "scope", contexts, "id", "proposal-scope-unknown", c("id")),
+        _lost(t["rfcs"].select("id", F.explode("relates").alias("ref")), "ref", contexts.unionByName(events.select("id")), "id", "proposal-relates-unknown", c("id")),
+        _lost(t["adrs"].select("id", F.explode("relates").alias("ref")), "ref", contexts.unionByName(events.select("id")), "id", "decision-relates-unknown", c("id")),
+        _lost(t["adrs"], "supersededBy", t["adrs"], "id", "decision-superseded-by-unknown", c("id")),
+        failing(t["specs"], text("title"), "specification-without-title", c("id"), c("slug")),
+        failing(t["requirements"], text("title"), "requirement-without-title", F.concat_ws("/", "spec", "id"), c("text")),
+        duplicates(t["requirements"], ["spec", "id"], "requirement-twice"),
+        failing(t["scenarios"], (F.coalesce(F.size("when"), F.lit(0)) > 0) & (F.coalesce(F.size("then"), F.lit(0)) > 0), "scenario-without-steps", F.concat_ws("/", "requirement", "name"), c("spec")),
+        duplicates(t["tasks"], ["spec", "id"], "task-twice"),
+        failing(t["tasks"], text("title"), "task-without-title", F.concat_ws("/", "spec", "id"), c("source")),
+        _lost(t["configurationBindings"], "service", services, "id", "binding-of-unknown-service", F.concat_ws("|", "service", "environment", "variable")),
+        failing(t["configurationBindings"], c("value").isNull() | c("secretRef").isNull(), "binding-of-value-and-secret", F.concat_ws("|", "service", "environment", "variable"), c("source")),
+        _lost(t["transitions"].select("aggregate", F.concat_ws(" ", "aggregate", "from").alias("ref")).unionByName(t["transitions"].select("aggregate", F.concat_ws(" ", "aggregate", "to").alias("ref"))), "ref", t["states"].select(F.concat_ws(" ", "aggregate", "state").alias("s")), "s", "transition-of-unknown-state", c("aggregate")),
+        failing(t["def_fields"], text("name"), "definition-field-without-name", c("def"), c("type")),
+        duplicates(t["def_fields"], ["def", "name"], "definition-field-twice"),
+    ]
     return violations(*out)
 
 

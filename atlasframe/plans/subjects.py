@@ -31,11 +31,12 @@ def subjects(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     ):
         service = service.join(part, "service", "left")
     short = abbreviations(F.coalesce("name", F.lit("")))
-    known = t["terms"].agg(F.collect_set("name").alias("_terms"))  # a glossary, read as one list
-    service = service.crossJoin(known)
+    service = service.withColumn("_short", short)
+    unknown = service.select("service", F.explode("_short").alias("name")).join(t["terms"].select("name").distinct(), "name", "left_anti").groupBy("service").agg(F.array_sort(F.collect_set("name")).alias("_unknown"))
+    service = service.join(unknown, "service", "left")
     out["service"] = service.select(
         F.col("service").alias("id"), "slug", "name", "context", "kind", "repo", "path", F.coalesce("technologies", _none()).alias("technologies"), (F.trim(F.coalesce("readme", F.lit(""))) != "").alias("hasReadme"),
-        short.alias("abbreviations"), F.array_except(short, "_terms").alias("unexplainedAbbreviations"), F.coalesce("owners", _none()).alias("owners"), zero("provides"), zero("methods"), zero("calls"), zero("unresolvedCalls"),
+        F.col("_short").alias("abbreviations"), F.coalesce("_unknown", _none()).alias("unexplainedAbbreviations"), F.coalesce("owners", _none()).alias("owners"), zero("provides"), zero("methods"), zero("calls"), zero("unresolvedCalls"),
         zero("aggregates"), zero("events"), F.coalesce("stores", _none()).alias("stores"), F.coalesce("channels", _none()).alias("channels"), F.coalesce("hosts", _none()).alias("hosts"), F.coalesce("dials", _none()).alias("dials"),
     )
 

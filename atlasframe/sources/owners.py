@@ -27,14 +27,19 @@ def owner_rules(files: DataFrame, text: str) -> DataFrame:
     return rules
 
 
-def glob_regex(pattern: Column) -> Column:
+def rooted(pattern: Column, floating: bool = False) -> Column:
+    """Does a pattern hold from the top only? With a slash in front; without ``floating``, with one inside too."""
+    return pattern.startswith("/") if floating else F.regexp_replace(pattern, "/$", "").contains("/")
+
+
+def glob_regex(pattern: Column, floating: bool = False) -> Column:
     """The pattern as a regular expression over paths that start with a slash.
 
-    A pattern without a slash inside matches at any depth; ``*`` stays in a folder, ``**`` does not; a trailing slash, or no
+    A pattern that isn't rooted matches at any depth; ``*`` stays in a folder, ``**`` does not; ``[...]`` is one of some characters; a trailing slash, or no
     star at the end, takes in all below.
     """
-    anchored = F.when(F.regexp_replace(pattern, "/$", "").contains("/"), F.regexp_replace(pattern, "^/?", "/")).otherwise(F.concat(F.lit("/**/"), pattern))
-    safe = F.regexp_replace(anchored, r"([.+^${}()|\[\]\\])", r"\\$1")
+    anchored = F.when(rooted(pattern, floating), F.regexp_replace(pattern, "^/?", "/")).otherwise(F.concat(F.lit("/**/"), pattern))
+    safe = F.regexp_replace(F.regexp_replace(anchored, r"([.+${}()|\\])", r"\\$1"), r"(?<!\[)\^", r"\\^")
     deep = F.regexp_replace(F.regexp_replace(safe, r"/\*\*/", "/\u0001"), r"\*\*", "\u0002")
     shallow = F.regexp_replace(F.regexp_replace(deep, r"\*", "[^/]*"), r"\?", "[^/]")
     body = F.replace(F.replace(shallow, F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("\u0002"), F.lit(".*"))
@@ -44,24 +49,32 @@ def glob_regex(pattern: Column) -> Column:
 def owners_of(paths: DataFrame, path: str, rules: DataFrame, sections: bool = False) -> DataFrame:
     """Owners of each path: the last matching rule wins; with ``sections``, the last of each section, all together, and an exclusion silences its section.
 
-    Rules are a file's worth and go to every task; paths may be many.
+    With ``sections``, patterns with a slash inside float as well, unless they are rooted. Each rule is looked up under the first folder that it names, if it is rooted and names one
+    plainly, so most paths meet few rules.
     """
     p = F.regexp_replace(F.col(path), "^/?", "/")
     scope = [path, "section"] if sections else [path]
-    hits = paths.select(path).distinct().join(F.broadcast(rules.withColumn("_re", glob_regex(F.col("pattern")))), F.regexp_like(p, F.col("_re")))
+    first = F.split(F.regexp_replace("pattern", "^/", ""), "/")[0]
+    keyed = rules.withColumn("_re", glob_regex(F.col("pattern"), sections)).withColumn("_top", F.when(rooted(F.col("pattern"), sections) & ~first.rlike(r"[*?\[]") & (first != ""), first).otherwise(""))
+    asked = paths.select(path).distinct().withColumn("_top", F.explode(F.array_distinct(F.array(F.lit(""), F.split(p, "/")[1]))))
+    hits = asked.join(keyed, "_top").where(F.regexp_like(p, F.col("_re")))
     last = hits.groupBy(*scope).agg(F.max_by("owners", "rule").alias("owners"), F.bool_or("exclude").alias("_out")).where("not _out")
     if sections:
         last = last.groupBy(path).agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section", "owners"))), lambda x: x["owners"]))).alias("owners"))
     return paths.join(last.select(path, "owners"), path, "left").withColumn("owners", F.coalesce("owners", F.array().cast("array<string>")))
 
 
-def parse_log(lines: DataFrame, line: str, order: list[str]) -> DataFrame:
-    """``hash|iso date|subject`` heads followed by changed paths: commit, date, subject, path."""
+def parse_log(lines: DataFrame, line: str, order: list[str], log: list[str] | None = None) -> DataFrame:
+    """``hash|iso date|subject`` heads followed by changed paths: commit, date, subject, path, and the columns of ``log``.
+
+    ``log``: what tells one log from another (a repository, a file); each log is one sequence of lines.
+    """
+    log = log or []
     head = F.col(line).rlike(r"^[0-9a-f]{7,40}\|")
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one log is one sequence
+    w = Window.partitionBy(*(log or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = lines.withColumn("_h", F.last(F.when(head, F.col(line)), ignorenulls=True).over(w)).where(~head & (F.trim(F.col(line)) != ""))
     parts = F.split("_h", r"\|", 3)
-    return marked.select(parts[0].alias("commit"), F.try_to_timestamp(parts[1]).alias("date"), parts[2].alias("subject"), F.trim(F.col(line)).alias("path"))
+    return marked.select(*log, parts[0].alias("commit"), F.try_to_timestamp(parts[1]).alias("date"), parts[2].alias("subject"), F.trim(F.col(line)).alias("path"))
 
 
 def work_items(log: DataFrame, projects: list[str]) -> DataFrame:

@@ -387,7 +387,7 @@ def table_grouped_sort(spark, sf_dir):
     return tables.numbered(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), [F.col("c_mktsegment"), -F.col("c_nationkey"), F.col("c_custkey")]).select("c_custkey", "place")
 
 
-@query(r"""select distinct source, regexp_replace(regexp_replace(lower(trim(source)), '[\s_-]*v?[0-9]+(\.[0-9]+)*$', ''), '[^a-z0-9+#]', '', 'g') || '/' || 'postgresql' as tech from documents""")
+@query(r"""select distinct source, regexp_replace(lower(source), '[^a-z0-9+#]', '', 'g') || '/' || 'nodejsc++' as tech from documents""")
 def text_tech_keys(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("source").distinct()
-    return d.select("source", F.concat_ws("/", usages.tech_key(F.col("source")), usages.tech_key(F.lit(" Postgre-SQL v16.2"))).alias("tech"))
+    return d.select("source", F.concat_ws("/", usages.tech_key(F.col("source")), usages.tech_key(F.lit("Node.js C++"))).alias("tech"))

@@ -17,6 +17,11 @@ CLEAN = {
     "stores": [{"id": "shop.oms.pg", "slug": "pg", "name": "", "kind": "postgres", "owner": "shop.oms", "tables": [{"id": "shop.oms.pg.t", "name": "t", "columns": [{"name": "id", "type": "text"}, {"name": "up", "type": "text", "fk": {"table": "shop.oms.pg.t", "column": "id"}}]}], "views": [{"id": "shop.oms.pg.v", "name": "v", "columns": [{"name": "id", "type": "text", "from": ["shop.oms.pg.t.id"]}], "reads": ["shop.oms.pg.t"]}]}],
     "terms": [{"id": "t", "slug": "oms", "name": "OMS", "context": "shop", "definition": "d"}],
     "adrs": [{"id": "1", "title": "x", "status": "accepted", "date": "2024-01-01", "scope": "shop"}],
+    "rfcs": [{"id": "r", "displayId": "RFC-1", "title": "R", "status": "open", "lifecycle": "draft", "scope": "*", "relates": ["shop.oms"]}],
+    "specs": [{"id": "s", "title": "S", "lifecycle": "active", "requirements": [{"id": "q", "title": "Q", "text": "", "scenarios": [{"name": "n", "when": ["a"], "then": ["b"]}]}], "tasks": [{"id": "1", "title": "do", "done": False}]}],
+    "repos": [{"repo": "git/x", "commit": "abc"}], "configurationBindings": [{"service": "shop.oms", "environment": "prod", "variable": "A", "value": "x"}],
+    "workItems": [{"id": "w", "key": "K-1", "url": "https://t/1"}], "workItemLinks": [{"workItem": "w", "target": {"kind": "service", "id": "shop.oms"}, "basis": "declared"}],
+    "defs": {"Money": {"fields": [{"name": "units", "type": "int64"}]}}, "annotations": [{"target": {"kind": "service", "id": "shop.oms"}, "properties": {"tier": "1"}, "source": "x"}],
 }
 
 
@@ -38,9 +43,20 @@ def test_clean_and_broken(spark, tmp_path):
     broken["stores"][0]["tables"][0]["columns"][1]["fk"] = {"table": "shop.oms.pg.t", "column": "nope"}
     broken["stores"][0]["views"][0] |= {"reads": ["x"], "columns": [{"name": "id", "type": "text", "pk": True, "from": ["q.r"]}]}
     broken["terms"][0]["definition"] = ""
-    broken["adrs"][0]["date"] = "yesterday"
+    broken["adrs"][0] |= {"date": "yesterday", "supersededBy": "9", "relates": ["nobody"]}
+    broken["rfcs"][0] |= {"displayId": "", "lifecycle": "done", "scope": "mars"}
+    broken["specs"][0]["requirements"][0]["scenarios"][0]["then"] = []
+    broken["specs"][0]["tasks"] += [{"id": "1", "title": "", "done": True}]
+    broken["repos"][0]["commit"] = ""
+    broken["configurationBindings"][0] |= {"service": "gone", "secretRef": "s"}
+    broken["workItems"][0]["url"] = "t/1"
+    broken["workItemLinks"] += [{"workItem": "v", "target": {"kind": "flow", "id": "zz"}, "basis": "hunch"}]
+    service["aggregates"][0]["lifecycle"]["transitions"][0]["to"] = "limbo"
+    broken["defs"]["Money"]["fields"] += [{"name": "units", "type": "int32"}]
     assert found(spark, tmp_path / "broken", broken) == {
         ("services-kind-unknown", "shop.oms"), ("dependency-unknown", "shop.oms"), ("dependency-on-itself", "shop.oms"), ("operation-exposed-by-unknown", "place"), ("operation-emits-unknown", "place"), ("event-without-version", "e"),
         ("step-to-unknown-lane", "f/s1"), ("foreign-key-column-unknown", "shop.oms.pg.t.up"), ("view-reads-unknown", "shop.oms.pg.v"), ("view-with-key", "shop.oms.pg.v.id"), ("lineage-unknown", "shop.oms.pg.v.id"),
-        ("term-without-definition", "t"), ("decision-date-unreadable", "1"),
+        ("term-without-definition", "t"), ("decision-date-unreadable", "1"), ("decision-superseded-by-unknown", "1"), ("decision-relates-unknown", "1"), ("proposal-without-name", "r"), ("proposal-lifecycle-unknown", "r"), ("proposal-scope-unknown", "r"),
+        ("scenario-without-steps", "q/n"), ("task-twice", "s/1"), ("task-without-title", "s/1"), ("repository-without-commit", "git/x"), ("binding-of-unknown-service", "gone|prod|A"), ("binding-of-value-and-secret", "gone|prod|A"), ("work-item-without-address", "w"),
+        ("work-item-unknown", "v"), ("work-item-target-unknown", "v"), ("work-item-basis-unknown", "v"), ("transition-of-unknown-state", "shop.oms.order"), ("definition-field-twice", "Money/units"),
     }
