@@ -181,15 +181,17 @@ def handoff_key(kind: Column, transport: Column, channel: Column, message: Colum
 
 
 def handoffs(sends: DataFrame, receives: DataFrame) -> DataFrame:
-    """Sends with the one flow that opens with what they send; by kind, transport, channel and message, else by the channel as a whole.
+    """Sends with the one flow that opens with what they send; if none opens with that message, the one that opens with the channel and names no message.
 
     Both: flow, kind, transport, channel, message (null: not said). Adds ``continues`` (null where none or several flows open so) and ``basis``.
     """
     key = handoff_key(*(F.col(c) for c in ("kind", "transport", "channel", "message")))
     wide = handoff_key(F.col("kind"), F.col("transport"), F.col("channel"), F.lit(None))
-    only = lambda k, name: receives.groupBy(k.alias(f"_k{name}")).agg(F.count_distinct("flow").alias("_n"), F.min("flow").alias(name)).where("_n = 1").drop("_n")
-    out = sends.withColumn("_k_exact", key).withColumn("_k_topic", wide).join(only(key, "_exact"), "_k_exact", "left").join(only(wide, "_topic"), "_k_topic", "left")
-    return out.select(*sends.columns, F.coalesce("_exact", "_topic").alias("continues"), F.when(F.col("_exact").isNotNull(), "message").when(F.col("_topic").isNotNull(), "topic").alias("basis"))
+    opened = receives.groupBy(key.alias("_k")).agg(F.count_distinct("flow").alias("_n"), F.min("flow").alias("_flow"))
+    named = lambda at: opened.select(F.col("_k").alias(f"_k{at}"), F.lit(True).alias(f"_is{at}"), F.when(F.col("_n") == 1, F.col("_flow")).alias(at))
+    out = sends.withColumn("_k_exact", key).withColumn("_k_topic", wide).join(named("_exact"), "_k_exact", "left").join(named("_topic"), "_k_topic", "left")
+    found = F.when(F.col("_is_exact"), F.col("_exact")).otherwise(F.col("_topic"))
+    return out.select(*sends.columns, found.alias("continues"), F.when(found.isNull(), None).when(F.col("_is_exact"), "message").otherwise("topic").alias("basis"))
 
 
 def responses(methods: DataFrame) -> DataFrame:

@@ -80,5 +80,6 @@ def lay_over(df: DataFrame, key: list[str], basis: str, fields: list[str], over:
 
 
 def oldest(stamp: Column, value: Column) -> Column:
-    """The value with the earliest readable time stamp; unreadable ones have no vote."""
-    return F.min_by(value, F.try_to_timestamp(stamp))
+    """The value with the earliest readable time stamp, the least of equals; unreadable stamps have no vote."""
+    at = F.try_to_timestamp(stamp)
+    return F.min_by(value, F.when(at.isNotNull(), F.struct(at, value)))

@@ -156,8 +156,8 @@ SENDS = "select event_id as flow, 'event' as kind, event_type as transport, user
 RECEIVES = "select event_id as flow, 'event' as kind, case event_type when 'purchase' then 'view' else 'click' end as transport, user_id as channel, case when event_id % 2 > 0 then props end as message from {events} where event_type in ('purchase', 'signup')"
 
 
-@query(f"""with s as {sub(SENDS)}, r as {sub(RECEIVES)}, a as (select transport, channel, coalesce(message, '') as m, min(flow) as f from r group by 1, 2, 3 having count(distinct flow) = 1)
- select s.flow, coalesce(a.f, b.f) as continues, case when a.f is not null then 'message' when b.f is not null then 'topic' end as basis from s left join a on a.transport = s.transport and a.channel = s.channel and a.m = coalesce(s.message, '') left join a b on b.transport = s.transport and b.channel = s.channel and b.m = ''""")
+@query(f"""with s as {sub(SENDS)}, r as {sub(RECEIVES)}, a as (select transport, channel, coalesce(message, '') as m, count(distinct flow) as n, case when count(distinct flow) = 1 then min(flow) end as f from r group by 1, 2, 3)
+ select s.flow, case when a.n is not null then a.f else b.f end as continues, case when a.n is not null then case when a.n = 1 then 'message' end when b.n = 1 then 'topic' end as basis from s left join a on a.transport = s.transport and a.channel = s.channel and a.m = coalesce(s.message, '') left join a b on b.transport = s.transport and b.channel = s.channel and b.m = ''""")
 def flow_handoffs(spark, sf_dir):
     return estate.handoffs(part(spark, sf_dir, SENDS), part(spark, sf_dir, RECEIVES)).select("flow", "continues", "basis")
 
