@@ -55,8 +55,8 @@ def enrich(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     context = out["services"].select(F.col("id").alias("service"), "context")
     peers = out["methods"].groupBy(F.concat("interface", F.lit("/"), "name").alias("target")).agg(F.min("service").alias("peer"))
     calls = seen.where("kind = 'call'").join(context, "service").join(peers, "target").select("context", "service", F.col("target").alias("id"), "peer", "status", "note")
-    out["calls"] = out["calls"].unionByName(calls)
+    out["calls"] = out["calls"].unionByName(calls, allowMissingColumns=True)
     events = out["events"].select(F.col("id").alias("target"), "context", F.col("service").alias("_owner"), "aggregate")
     consumers = seen.where("kind = 'consumer'").join(events, "target").select("context", F.col("_owner").alias("service"), "aggregate", F.col("target").alias("event"), F.col("service").alias("consumer"), "status", "note")
-    out["consumers"] = out["consumers"].unionByName(consumers)
+    out["consumers"] = out["consumers"].unionByName(consumers, allowMissingColumns=True)
     return out

@@ -26,7 +26,7 @@ def test_flow_queries(t):
     assert ways == {("s1", "s2", "s4"), ("s1", "s3")}
     assert [(r.chapter, r.kind, r.steps) for r in flows.chapters(t["flow_nodes"]).orderBy("chapter").collect()] == [(1, "steps", 1), (2, "alt", 2), (3, "steps", 1)]
     assert {r.node_id for r in flows.with_lane_contexts(t["flow_nodes"], t["participants"]).where("crosses").collect()} == {"s2"}
-    assert [(r.contexts, r.reach) for r in flows.flow_contexts(t["participants"]).collect()] == [(["pay", "shop"], 2)]
+    assert [(r.contexts, r.reach) for r in flows.flow_contexts(t["participants"]).collect()] == [(["museum", "vault"], 2)]
     same = flows.align(t["flow_nodes"], t["flow_nodes"].where("node_id <> 's4'"), ["from", "to", "ref", "status"]).orderBy("ord").collect()
     assert [(r.base_id, r.branch_id) for r in same] == [("s1", "s1"), ("s2", "s2"), ("s3", "s3"), ("s4", None)]
 
@@ -43,25 +43,25 @@ def test_event_chain(spark):
 
 
 def test_relations(t):
-    back = {(r.kind, r.source) for r in relations.backlinks(t, "shop.oms.order.Placed").collect()}
-    assert back == {("consumer", "pay.core"), ("consumer", "who"), ("event", "shop.oms")}
+    back = {(r.kind, r.source) for r in relations.backlinks(t, "museum.desk.visit.Admitted").collect()}
+    assert back == {("consumer", "vault.core"), ("consumer", "who"), ("event", "museum.desk")}
     issues = {(r.service, r.message, r.issue) for r in relations.messaging_claims(t).where("issue is not null").collect()}
-    assert issues == {("pay.core", "shop.Lost", "no publisher")}
-    assert {(r.kind, r.column) for r in relations.cross_store_references(t).collect()} == {("fk", "shop.pg.orders.payment"), ("copy", "shop.pg.orders.payment")}
-    assert [(r.term, r.kind, r.id) for r in relations.term_bindings(t).collect()] == [("t1", "service", "shop.oms")]
+    assert issues == {("vault.core", "museum.Lost", "no publisher")}
+    assert {(r.kind, r.column) for r in relations.cross_store_references(t).collect()} == {("fk", "museum.pg.visits.receipt"), ("copy", "museum.pg.visits.receipt")}
+    assert [(r.term, r.kind, r.id) for r in relations.term_bindings(t).collect()] == [("t1", "service", "museum.desk")]
     stats = {r.context: (r.services, r.events, r.unresolved) for r in relations.context_stats(t).collect()}
-    assert stats == {"shop": (1, 1, 1), "pay": (1, 0, 0)}
+    assert stats == {"museum": (1, 1, 1), "vault": (1, 0, 0)}
     assert relations.declared_edges(t).count() == 0 or {r.kind for r in relations.declared_edges(t).collect()} <= {"call", "consumer"}
     assert relations.narrowed(t, ["prod"])["services"].count() == 0
 
 
 def test_otlp_files(spark, tmp_path):
     span = lambda i, parent, kind, start: {"traceId": "t", "spanId": i, "parentSpanId": parent, "name": i, "kind": kind, "startTimeUnixNano": str(start), "endTimeUnixNano": str(start + 2_000_000), "attributes": [{"key": "http.route", "value": {"stringValue": "/x"}}, {"key": "n", "value": {"intValue": "3"}}, {"key": "list", "value": {"arrayValue": {}}}]}
-    body = {"resourceSpans": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "oms"}}]}, "scopeSpans": [{"spans": [span("b", "a", 3, 20), span("a", "", "SPAN_KIND_SERVER", 10), span("c", "gone", 1, 5), span("d", "b", 2, 21)]}]}]}
+    body = {"resourceSpans": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "desk"}}]}, "scopeSpans": [{"spans": [span("b", "a", 3, 20), span("a", "", "SPAN_KIND_SERVER", 10), span("c", "gone", 1, 5), span("d", "b", 2, 21)]}]}]}
     (tmp_path / "x.json").write_text(json.dumps(body, indent=1))
     spans = read_spans(spark, f"{tmp_path}/x.json")
     rows = {r.span_id: r for r in spans.collect()}
-    assert (rows["a"].kind, rows["a"].parent_id, rows["a"].service, rows["a"].attributes) == (2, None, "oms", {"http.route": "/x", "n": "3"})
+    assert (rows["a"].kind, rows["a"].parent_id, rows["a"].service, rows["a"].attributes) == (2, None, "desk", {"http.route": "/x", "n": "3"})
     assert [(r.span_id, r.depth) for r in traces.sequence(spans).orderBy("ord").collect()] == [("c", 0), ("a", 0), ("b", 1), ("d", 2)]
 
 
@@ -90,5 +90,5 @@ def test_exports(spark, t, tmp_path):
     export.write_csv(df, f"{tmp_path}/out")
     assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/out").where("a = \"'=1+1\"").count() == 1
     diagram = export.sequence_diagram(t["flow_nodes"], t["participants"]).first().diagram
-    assert diagram.startswith("sequenceDiagram\n  participant pay_core") and "  web->>shop_oms: orders.Api/Place" in diagram
+    assert diagram.startswith("sequenceDiagram\n  participant museum_desk") and "  web->>museum_desk: visits.Api/Admit" in diagram
     assert json.loads(export.sarif_results(spark.createDataFrame([("s", "w", "removed", "breaking", None)], "entity string, where string, kind string, severity string, field string")).first().result)["level"] == "error"
