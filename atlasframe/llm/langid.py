@@ -1,4 +1,8 @@
-"""Language identification by interpolated Kneser-Ney character models."""
+"""Language identification: an interpolated Kneser-Ney model of each language's n-grams, in tables that grow with the corpus.
+
+The models never lie whole anywhere: training texts are counted by language, the weights of all n-grams are a table, each
+slice of documents asks for its own n-grams once and puts the answers together to sorted arrays, one model for each language.
+"""
 
 from __future__ import annotations
 
@@ -8,128 +12,82 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from atlasframe.llm.charlm import BITS, SIZE, folded_alphabet, interpolated, ngrams
-from atlasframe.llm.common import checkpoint, documents, slices
+from atlasframe.llm.common import documents, release_memory, written
+from atlasframe.llm.grams import SliceModel, chunked, compressed, count_grams, gram_weights, text_sums, texts_of, wanted_grams
 
-ORDER = 3
-#: How sharply the score falls with the difference of cross-entropies (nats a character) from the best language.
+ORDER = 4
+#: How sharply the score falls with the difference of cross-entropies (nats a byte) from the best language.
 SHARPNESS = 8.0
-#: Languages whose counts a task holds at once; more are given out in parts.
-HELD = 64
 #: One in so many training texts is kept for the calibration of rejection.
 HELD_BACK = 10
-SCORES = "doc_id long, lang_pred string, score double, cross_entropy double"
-
-
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """Counts of n-grams by language over whole texts: ``lang``, ``code``, ``n``; summed in each task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = folded_alphabet(), {}
+#: Bytes of text in a slice on average.
+SLICE_BYTES = 64 << 20
+SCORES = "lang_pred string, score double, cross_entropy double"
 
-        def given_out():
-            for lang, counts in held.items():
-                code = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(counts[code], pa.int64())], names=["lang", "code", "n"])
-            held.clear()
 
-        for batch in slices(batches):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang not in held and len(held) >= HELD:
-                    yield from given_out()
-                counts = held.setdefault(lang, np.zeros(SIZE**ORDER, np.int64))
-                found = ngrams(text.encode("utf-8", "surrogatepass"), table, ORDER, merge_blanks=True)
-                if len(found) * 8 > len(counts):
-                    counts += np.bincount(found, minlength=len(counts))
-                else:
-                    np.add.at(counts, found, 1)
-        yield from given_out()
+def folded(found: Iterator[bytes | None]) -> Iterator[bytes]:
+    """Texts in lower case, as UTF-8; texts without a letter are empty, as they say nothing of a language."""
+    for x in found:
+        text = (x or b"").decode("utf-8", "replace")
+        yield text.lower().encode("utf-8", "replace") if any(map(str.isalpha, text)) else b""
 
-    parts = docs.select("lang", "text").where("lang is not null and text is not null").mapInArrow(run, "lang string, code long, n long")
-    return parts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
+def plain(column: pa.Array) -> Iterator[bytes]:
+    return folded(column.to_pylist())
 
-class LanguageModels:
-    """All languages' models in one sorted array of n-gram hashes with a row of log-probabilities each.
 
-    An n-gram that no language has seen falls back to the weight of its context times the lower order.
-    """
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        seen = np.unique(np.concatenate([c for c, _ in counts.values()])) if counts else np.zeros(0, np.int64)
-        self.keys = seen.astype(np.uint32)
-        self.values = np.zeros((len(seen), len(self.langs)), np.float32)
-        self.gamma = np.zeros((SIZE ** (ORDER - 1), len(self.langs)), np.float32)
-        self.lower = np.zeros((SIZE ** (ORDER - 1), len(self.langs)), np.float32)
-        for k, lang in enumerate(self.langs):
-            dense = np.zeros(SIZE**ORDER)
-            dense[counts[lang][0]] = counts[lang][1]
-            p, gamma = interpolated(dense, ORDER)
-            self.values[:, k] = np.log(p[-1][seen])
-            self.gamma[:, k], self.lower[:, k] = np.log(gamma[-1]), np.log(p[-2])
-
-    def score(self, batch: list[bytes]) -> np.ndarray:
-        """Cross-entropy in nats a character: a row per text, a column per language; 0 for a text without letters."""
-        table = folded_alphabet()
-        found = [ngrams(x, table, ORDER, merge_blanks=True) for x in batch]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        at = np.minimum(np.searchsorted(self.keys, flat), len(self.keys) - 1)
-        miss = np.flatnonzero(self.keys[at] != flat)
-        unseen = self.gamma[flat[miss] >> BITS] + self.lower[flat[miss] & (SIZE ** (ORDER - 1) - 1)]
-        out = np.zeros((len(batch), len(self.langs)))
-        owner_ends = np.cumsum(sizes)
-        full = np.flatnonzero(sizes)
-        for k in range(len(self.langs)):
-            logp = self.values[at, k]
-            logp[miss] = unseen[:, k]
-            if len(full):
-                out[full, k] = -np.add.reduceat(logp, (owner_ends - sizes)[full], dtype=np.float64) / sizes[full]
-        return out
-
-
-def identify(docs: DataFrame, training: Column, sharpness: float = SHARPNESS, reject_above: float = 0.999) -> DataFrame:
+def identify(docs: DataFrame, training: Column, sharpness: float = SHARPNESS, reject_above: float = 0.999, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Predict the language of every whole text of ``docs`` (``doc_id``, ``text``, ``lang``).
 
     ``training`` says which rows' text and lang may be learned from; a prediction sees the text alone. The
-    language of least cross-entropy a character wins, ties go to the first by name. ``lang_pred`` is ``und`` with
+    language of least cross-entropy a byte wins, ties go to the first by name. ``lang_pred`` is ``und`` with
     score 0 if the text is null or has no letter, or if nothing could be learned. ``rejected`` marks texts that fit
     their language worse than ``reject_above`` of those training rows do whose counts the models leave out (one in HELD_BACK, by a hash of the text; of
-    all, where a language has none of these). Texts without a language aren't learned from; very long ones are read whole. One row per input row, repeated rows too; other
+    all, where a language has none of these). Texts without a language aren't learned from; very long ones are read whole. One row per input row, repeated rows and rows without id too; other
     columns are ignored; an empty table gives no rows. Returns ``doc_id``, ``held_out``, ``lang_pred``, ``score``,
-    ``cross_entropy``, ``rejected``.
-
-    The models are at most 64^3 entries a language whatever the corpus holds, so they are sent to all tasks.
+    ``cross_entropy``, ``rejected``. Only the names of the languages and a limit for each reach the driver.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.coalesce(training, F.lit(False)).alias("_training"))
-    rows = rows.withColumn("_held_back", F.col("_training") & (F.pmod(F.xxhash64("text"), F.lit(HELD_BACK)) == 0))
-    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    found = count_ngrams(rows.where("_training and not _held_back")).toPandas()
-    for lang, group in found.groupby("lang"):
-        counts[lang] = group.code.to_numpy(), group.n.to_numpy()
-    models = docs.sparkSession.sparkContext.broadcast(LanguageModels(counts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = models.value
-        for batch in slices(batches):
-            found = batch.column(1).to_pylist()
-            known = [bool(m.langs) and x is not None and any(map(str.isalpha, x)) for x in found]
-            h = m.score([x.encode("utf-8", "surrogatepass") if ok else b"" for x, ok in zip(found, known)])
-            if m.langs:
-                best = h.argmin(axis=1)
-                least = h[np.arange(len(h)), best]
-                score = 1 / np.exp(-sharpness * (h - least[:, None])).sum(axis=1)
-            else:
-                best, least, score = np.zeros(len(found), int), np.zeros(len(found)), np.zeros(len(found))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([m.langs[b] if ok else "und" for b, ok in zip(best, known)], pa.string()),
-                 pa.array(np.where(known, score, 0.0)), pa.array(least), *batch.columns[2:5]],
-                names=["doc_id", "lang_pred", "score", "cross_entropy", "lang", "_training", "_held_back"],
-            )
-
-    scored = checkpoint(rows.select("doc_id", "text", "lang", "_training", "_held_back").mapInArrow(run, f"{SCORES}, lang string, _training boolean, _held_back boolean"))
+    spark, raw = docs.sparkSession, F.col("text").cast("binary")
+    learned = F.coalesce(training, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", learned.alias("_training"), (learned & (F.pmod(F.xxhash64(raw), F.lit(HELD_BACK)) == 0)).alias("_held_back"), raw.alias("_text"))
+    known = rows.where("_training and not _held_back and lang is not null and _text is not null")
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    numbers = F.broadcast(spark.createDataFrame([(x, k) for k, x in enumerate(langs)], "lang string, model int"))  # a row for each language
+    weights = written(gram_weights(count_grams(known.join(numbers, "lang").select("model", "_text"), ORDER, plain), ORDER))
+
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // slice_bytes))
+    held = compressed(rows.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(parts)).cast("int")), "_text")
+
+    def wanted(table: pa.Table) -> pa.Table:
+        gram = wanted_grams(folded(texts_of(table.column("_text"))), ORDER)
+        return pa.table({"_slice": pa.array(np.full(len(gram), table.column("_slice")[0].as_py(), np.int32)), "gram": pa.array(gram)})
+
+    def named(table: pa.Table, answers: pa.Table) -> pa.Table:
+        model, gram, alpha, gamma = (answers.column(c).to_numpy() for c in ("model", "gram", "alpha", "gamma"))
+        models = [SliceModel(gram[own], alpha[own], gamma[own], ORDER) for k in range(len(langs)) for own in [np.flatnonzero(model == k)]]
+        best, score, least = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+        for chunk in chunked(folded(texts_of(table.column("_text")))):
+            logp, sizes = text_sums(chunk, models, ORDER)
+            full = np.fromiter(map(bool, chunk), bool, len(chunk)) & bool(models)
+            h = -logp / sizes[:, None] if models else np.zeros((len(chunk), 1))
+            first = h.argmin(axis=1)
+            low = h[np.arange(len(h)), first]
+            best.append(np.where(full, first, -1))
+            score.append(np.where(full, 1 / np.exp(-sharpness * (h - low[:, None])).sum(axis=1), 0.0))
+            least.append(np.where(full, low, 0.0))
+        names = [*langs, "und"]  # -1 is the last
+        out = {"lang_pred": pa.array([names[k] for k in np.concatenate(best)], pa.string()), "score": pa.array(np.concatenate(score)), "cross_entropy": pa.array(np.concatenate(least))}
+        release_memory()
+        return pa.table({c: table.column(c) for c in kept} | out)
+
+    kept = ["doc_id", "lang", "_training", "_held_back"]
+    asked = held.groupBy("_slice").applyInArrow(wanted, "_slice int, gram long")
+    answers = asked.join(weights, "gram").select("_slice", "model", "gram", "alpha", "gamma")
+    schema = T.StructType([*(rows.schema[c] for c in kept), *T.StructType.fromDDL(SCORES)])
+    scored = written(held.groupBy("_slice").cogroup(answers.groupBy("_slice")).applyInArrow(named, schema))
     # At most a row for each language that the models hold.
     limits = scored.where("_training and lang = lang_pred").groupBy(F.col("lang").alias("_of")).agg(
         F.coalesce(*[F.percentile_approx(x, reject_above, 10000) for x in (F.when(F.col("_held_back"), F.col("cross_entropy")), F.col("cross_entropy"))]).alias("_most")

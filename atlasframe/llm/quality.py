@@ -15,15 +15,14 @@ So the model is never whole anywhere.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atlasframe.llm.common import documents, release_memory, slices, written
+from atlasframe.llm.common import documents, release_memory, written
+from atlasframe.llm.grams import SliceModel, chunked, compressed, count_grams, gram_weights, text_sums, texts_of, wanted_grams
 
 ORDER = 5
 #: Share of trusted documents of a language that the threshold of the language keeps.
@@ -34,44 +33,12 @@ PRIOR_BYTES = 50
 FAR_UNDER = 2.0
 #: A text is judged by counts of trusted texts of the other fold only; equal texts are in one fold.
 FOLDS = 2
-#: The bytes that stand before the first and after the last one of a text.
-START, END = 2, 3
-#: Bits of an n-gram's bytes; the order stands above them.
-SHIFT = 8 * ORDER
-#: Bytes of text in a slice on average, and how many of them are worked on at once.
-SLICE_BYTES, CHUNK_BYTES = 64 << 20, 2 << 20
-#: Different n-grams that a counting task holds before it gives them out.
-HELD_GRAMS = 1 << 23
+#: Bytes of text in a slice on average.
+SLICE_BYTES = 64 << 20
 #: Bits of the bitmap of trusted ids, 8 MB: it is sent to all tasks and spares texts a move, whatever it says.
 BITS = 1 << 26
 
 
-def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of the highest order that end at each byte (and at the end mark) of each text in a row, and how many each text has."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    start, end = bytes([START]) * (ORDER - 1), bytes([END])
-    data = np.frombuffer(b"".join(x for text in texts for x in (start, text, end)), np.uint8)
-    ends = np.cumsum(sizes)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(np.arange(len(texts)) * (ORDER - 1), sizes)
-    code = np.zeros(max(0, len(data) - ORDER + 1), np.int64)
-    for k in range(ORDER):
-        code = (code << 8) | data[k : k + len(code)]
-    return code[at], sizes
-
-
-def chunked(texts: Iterator[bytes], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
-    """Texts in lists of about ``limit`` bytes."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text).cast("binary"))
 
@@ -80,32 +47,6 @@ def fold_of(key: Column) -> Column:
     return F.pmod(key, F.lit(FOLDS)).cast("int")
 
 
-def compressed(df: DataFrame, name: str) -> DataFrame:
-    """The binary column ``name`` as one compressed frame a row; null and empty stay as they are."""
-    names, at = df.columns, df.columns.index(name)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        small = zstandard.ZstdCompressor(level=6, write_checksum=False).compress
-        for batch in slices(batches):
-            columns = batch.columns
-            columns[at] = pa.array([x and small(x) for x in columns[at].to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return df.mapInArrow(run, df.schema)
-
-
-def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
-    """Compressed texts, one after the other; null is empty."""
-    import zstandard
-
-    whole = zstandard.ZstdDecompressor().decompress
-    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
-        for x in chunk:
-            yield whole(x.as_py()) if x.is_valid and len(x.as_buffer()) else b""
-
-
 def dealt(docs: DataFrame, carry: list[str], parts: int) -> DataFrame:
     """Rows of ``docs`` in slices of one fold by a hash of id and text: ``_slice``, ``_row`` (the columns ``carry`` but ``text``), ``_text`` (compressed)."""
     raw = F.col("text").cast("binary")
@@ -139,116 +80,12 @@ def trusted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return compressed(maybe_among(rows, ids), "_text").join(ids.hint("merge"), "_id", "left_semi").select("_fold", "_text")
 
 
-def count_grams(trusted: DataFrame) -> DataFrame:
-    """Counts of all n-grams of the highest order over whole texts (``_fold``, ``_text``): ``fold``, ``code``, ``n``; summed in each task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            codes, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return codes, np.bincount(place, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
-
-        def given_out() -> Iterator[pa.RecordBatch]:
-            for fold, parts in held.items():
-                codes, n = summed(parts)
-                for a in range(0, len(codes), 1 << 18):
-                    c, m = codes[a : a + (1 << 18)], n[a : a + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), fold, np.int32)), pa.array(c), pa.array(m)], names=["fold", "code", "n"])
-            held.clear()
-
-        for batch in slices(batches):
-            folds = batch.column(0).to_pylist()
-            found = list(texts_of(batch.column(1)))
-            for fold in set(folds):
-                for chunk in chunked(x for f, x in zip(folds, found) if f == fold and x.strip()):
-                    own = held.setdefault(fold, [])
-                    own.append(np.unique(gram_codes(chunk)[0], return_counts=True))
-                    if len(own) > 16:
-                        own[:] = [summed(own)]
-            if sum(len(p[0]) for parts in held.values() for p in parts) > HELD_GRAMS:
-                yield from given_out()
-        yield from given_out()
-
-    return trusted.mapInArrow(run, "fold int, code long, n long").groupBy("fold", "code").agg(F.sum("n").alias("n"))
-
-
-def gram_weights(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney weights of all n-grams of all orders, by the fold of the texts they are to judge.
-
-    The counts of a lower order are how many different bytes stand before. ``alpha`` is an n-gram's discounted
-    share of its context, ``gamma`` the weight that it gives the lower order as a context; null where it isn't seen as such.
-    Returns ``fold``, ``gram`` (its order above its bytes), ``alpha``, ``gamma``.
-    """
-    counts = written(counts)
-    own = [r.fold for r in counts.select("fold").distinct().collect()]  # FOLDS rows at most
-    of = F.lit(FOLDS - 1) - F.col("fold") if len(own) == FOLDS else F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))  # all in one fold: nothing can be left out
-    level = counts.select(of.alias("fold"), "code", "n")
-    every = level.withColumn("k", F.lit(ORDER))
-    for k in range(ORDER - 1, 0, -1):
-        level = level.groupBy("fold", F.col("code").bitwiseAND((1 << 8 * k) - 1).alias("code")).agg(F.count("*").alias("n"))
-        every = every.unionByName(level.withColumn("k", F.lit(k)))
-    every = written(every).withColumn("context", F.shiftright("code", 8))
-    seen = every.groupBy("fold", "k").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)])
-    # Absolute discounts of counts 1, 2 and more; half-way values where a count of counts is 0 (tiny corpora).
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    cut = [F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(i / 2)))).alias(f"d{i}") for i in (1, 2, 3)]
-    discounts = F.broadcast(seen.select("fold", "k", *cut))  # FOLDS * ORDER rows
-    contexts = every.groupBy("fold", "k", "context").agg(F.sum("n").alias("total"), *[F.count_if(F.least("n", F.lit(3)) == i).alias(f"c{i}") for i in (1, 2, 3)])
-    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    gram = lambda k, code: (F.shiftleft(k.cast("long"), SHIFT) + code).alias("gram")
-    alpha = every.join(contexts.select("fold", "k", "context", "total"), ["fold", "k", "context"]).join(discounts, ["fold", "k"]).select(
-        "fold", gram(F.col("k"), F.col("code")), ((F.col("n") - d) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma")
-    )
-    gamma = contexts.join(discounts, ["fold", "k"]).select(
-        "fold", gram(F.col("k") - 1, F.col("context")), F.lit(None).cast("double").alias("alpha"), (sum(F.col(f"c{i}") * F.col(f"d{i}") for i in (1, 2, 3)) / F.col("total")).alias("gamma")
-    )
-    both = alpha.unionByName(gamma).groupBy("fold", "gram").agg(F.max("alpha").alias("alpha"), F.max("gamma").alias("gamma"))
-    return written(both.select("fold", "gram", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma")))
-
-
-class SliceModel:
-    """The weights of the n-grams of one slice, put together to log-probabilities."""
-
-    def __init__(self, gram: np.ndarray, alpha: np.ndarray, gamma: np.ndarray):
-        order = np.argsort(gram)
-        gram, alpha, gamma = gram[order], alpha[order].astype(np.float64), gamma[order].astype(np.float64)
-        level = gram >> SHIFT
-        code = gram & ((1 << SHIFT) - 1)
-        self.context = {k: (code[at], np.maximum(gamma[at], 1e-9)) for k in range(ORDER) for at in [np.flatnonzero((level == k) & ~np.isnan(gamma))]}
-        self.seen: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (np.zeros(1, np.int64), np.full(1, -8 * math.log(2)))}
-        for k in range(1, ORDER + 1):
-            at = np.flatnonzero((level == k) & ~np.isnan(alpha))
-            p = alpha[at] + self.gammas(k - 1, code[at] >> 8) * np.exp(self.seen[k - 1][1][self.place(k - 1, code[at] & ((1 << 8 * (k - 1)) - 1))[0]])
-            self.seen[k] = code[at], np.log(np.maximum(p, 1e-12))
-
-    def place(self, k: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known = self.seen[k][0]
-        if not len(known):
-            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
-        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-        return at, known[at] == code
-
-    def gammas(self, k: int, context: np.ndarray) -> np.ndarray:
-        """The weights of contexts of ``k`` bytes; 1 for contexts that aren't seen."""
-        known, gamma = self.context[k]
-        if not len(known):
-            return np.ones(len(context))
-        at = np.minimum(np.searchsorted(known, context), len(known) - 1)
-        return np.where(known[at] == context, gamma[at], 1.0)
-
-    def log_probabilities(self, code: np.ndarray) -> np.ndarray:
-        """Of each n-gram of the highest order: the longest seen end of it, times the weights of the longer contexts."""
-        out, open_ = np.zeros(len(code)), np.arange(len(code))
-        for k in range(ORDER, -1, -1):
-            own = code[open_] & ((1 << 8 * k) - 1)
-            at, hit = self.place(k, own)
-            out[open_[hit]] += self.seen[k][1][at[hit]]
-            open_, own = open_[~hit], own[~hit]
-            if not len(open_):
-                break
-            out[open_] += np.log(self.gammas(k - 1, own >> 8))
-        return out
+def trusted_weights(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Weights of n-grams of trusted texts, by the fold of the texts they are to judge (``model``), which is the other one."""
+    counts = written(count_grams(trusted_texts(docs, ids), ORDER, texts_of))
+    own = [r.model for r in counts.select("model").distinct().collect()]  # FOLDS rows at most
+    of = F.lit(FOLDS - 1) - F.col("model") if len(own) == FOLDS else F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))  # all in one fold: nothing can be left out
+    return gram_weights(counts.select(of.alias("model"), "code", "n"), ORDER)
 
 
 def score(held: DataFrame, weights: DataFrame, carry: list[str]) -> DataFrame:
@@ -259,27 +96,17 @@ def score(held: DataFrame, weights: DataFrame, carry: list[str]) -> DataFrame:
     others = [c for c in carry if c != "text"]
 
     def wanted(table: pa.Table) -> pa.Table:
-        number, found = table.column("_slice")[0].as_py(), []
-        for chunk in chunked(x for x in texts_of(table.column("_text")) if x.strip()):
-            found.append(np.unique(gram_codes(chunk)[0]))
-            if len(found) > 8:
-                found = [np.unique(np.concatenate(found))]
-        codes = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
-        start = int.from_bytes(bytes([START]) * (ORDER - 1), "big")
-        # All ends of the n-grams, which are also all beginnings but those of the first ones.
-        grams = [np.unique(np.append(codes, start) & ((1 << 8 * k) - 1)) + (k << SHIFT) for k in range(ORDER)] + [codes + (ORDER << SHIFT)]
-        gram = np.concatenate(grams)
-        release_memory()
-        return pa.table({"_slice": pa.array(np.full(len(gram), number, np.int32)), "fold": pa.array(np.full(len(gram), number % FOLDS, np.int32)), "gram": pa.array(gram)})
+        number = table.column("_slice")[0].as_py()
+        gram = wanted_grams(texts_of(table.column("_text")), ORDER)
+        return pa.table({"_slice": pa.array(np.full(len(gram), number, np.int32)), "model": pa.array(np.full(len(gram), number % FOLDS, np.int32)), "gram": pa.array(gram)})
 
-    def summed(table: pa.Table, answers: pa.Table) -> pa.Table:
-        model = SliceModel(*(answers.column(c).to_numpy() for c in ("gram", "alpha", "gamma")))
+    def judged(table: pa.Table, answers: pa.Table) -> pa.Table:
+        model = SliceModel(*(answers.column(c).to_numpy() for c in ("gram", "alpha", "gamma")), ORDER)
         nll, n, kept = [np.zeros(0)], [np.zeros(0, np.int64)], []
         for chunk in chunked(texts_of(table.column("_text"))):
-            code, sizes = gram_codes(chunk)
-            logp = model.log_probabilities(code)
+            logp, sizes = text_sums(chunk, [model], ORDER)
             full = np.fromiter((bool(x.strip()) for x in chunk), bool, len(chunk))
-            nll.append(np.where(full, -np.add.reduceat(logp, np.cumsum(sizes) - sizes), 0.0))
+            nll.append(np.where(full, -logp[:, 0], 0.0))
             n.append(np.where(full, sizes, 0))
             if "text" in carry:
                 kept += chunk
@@ -290,11 +117,11 @@ def score(held: DataFrame, weights: DataFrame, carry: list[str]) -> DataFrame:
         release_memory()
         return pa.table(out | {"_nll": pa.array(np.concatenate(nll)), "_n": pa.array(np.concatenate(n))})
 
-    asked = held.groupBy("_slice").applyInArrow(wanted, "_slice int, fold int, gram long")
-    answers = asked.join(weights, ["fold", "gram"]).select("_slice", "gram", "alpha", "gamma")
+    asked = held.groupBy("_slice").applyInArrow(wanted, "_slice int, model int, gram long")
+    answers = asked.join(weights, ["model", "gram"]).select("_slice", "gram", "alpha", "gamma")
     text = [T.StructField("_text", T.BinaryType())] if "text" in carry else []
     schema = T.StructType([held.schema["_row"], *text, T.StructField("_nll", T.DoubleType()), T.StructField("_n", T.LongType())])
-    out = held.groupBy("_slice").cogroup(answers.groupBy("_slice")).applyInArrow(summed, schema)
+    out = held.groupBy("_slice").cogroup(answers.groupBy("_slice")).applyInArrow(judged, schema)
     place = {c: F.col(f"_row._{k}") for k, c in enumerate(others)} | {"text": F.col("_text").cast("string") if text else None}
     return out.select(*[place[c].alias(c) for c in carry], "_nll", "_n")
 
@@ -317,7 +144,7 @@ class QualityClassifier:
         carry = [c for c in docs.columns if c not in ADDED and (carry is None or c in (*carry, "doc_id", "lang"))]
         ids = trusted.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
         is_trusted = F.col("doc_id").cast("long") == F.col("_id")
-        weights = gram_weights(count_grams(trusted_texts(docs, ids)))
+        weights = trusted_weights(docs, ids)
         scores = written(score(dealt(docs, carry, parts_for(docs, slice_bytes)), weights, carry))
         scored = written(scores.where("_n > 0").select("doc_id", "lang", "_nll", "_n").join(ids, is_trusted, "left_semi"))
         mean = scored.groupBy("lang").agg((F.sum("_nll") / F.sum("_n")).alias("mean"))

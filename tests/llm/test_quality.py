@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atlasframe.llm.quality import END, ORDER, START, QualityClassifier, compressed, count_grams, dealt, fold_of, gram_codes, gram_weights, maybe_among, score, text_key, trusted_texts
+from atlasframe.llm.grams import END, START, compressed, different, gram_codes
+from atlasframe.llm.quality import ORDER, QualityClassifier, dealt, fold_of, maybe_among, score, text_key, trusted_weights
 
 SCHEMA = "doc_id long, text string, lang string, quality_keep string, n long, _slice int, fold string"
 TRUSTED = [f"the {a} {b} the {c} on a mat." for a in ("cat", "dog", "rat") for b in ("saw", "met") for c in ("hen", "cow", "cat", "ape")]
@@ -44,7 +45,7 @@ def test_joined_scores_equal_the_recursion(spark, parts):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(TRUSTED + OTHERS + OTHERS[:1] + ["", None, " \n"])], "doc_id long, text string")
     fold = {r.text: r.f for r in docs.select("text", fold_of(text_key()).alias("f")).collect()}
     held = dealt(docs, ["doc_id", "text"], parts)
-    weights = gram_weights(count_grams(trusted_texts(docs, docs.where(f"doc_id < {len(TRUSTED)}").select(F.col("doc_id").alias("_id")))))
+    weights = trusted_weights(docs, docs.where(f"doc_id < {len(TRUSTED)}").select(F.col("doc_id").alias("_id")))
     got = score(held, weights, ["doc_id", "text"]).collect()
     assert len(got) == docs.count() and [r._n for r in got if not (r.text or "").strip()] == [0, 0, 0]
     for row in got:
@@ -56,12 +57,18 @@ def test_joined_scores_equal_the_recursion(spark, parts):
 
 
 def test_gram_codes_stay_inside_texts():
-    code, sizes = gram_codes([b"ab", b"", b"c"])
+    code, sizes = gram_codes([b"ab", b"", b"c"], ORDER)
     assert sizes.tolist() == [3, 1, 2]
     s, e = bytes([START]), bytes([END])
     want = [4 * s + b"a", 3 * s + b"ab", 2 * s + b"ab" + e, 4 * s + e, 4 * s + b"c", 3 * s + b"c" + e]
     assert code.tolist() == [int.from_bytes(x, "big") for x in want]
-    assert not len(gram_codes([])[0])
+    assert not len(gram_codes([], ORDER)[0])
+
+
+def test_different_codes():
+    code = np.random.default_rng(0).integers(0, 50, 1000)
+    values, place = different(code)
+    assert values.tolist() == sorted(set(code.tolist())) and (values[place] == code).all()
 
 
 def test_bitmap_lets_all_ids_through(spark):
@@ -80,7 +87,7 @@ def test_table_grows_with_the_corpus(spark):
     sizes = []
     for k in (100, 1000):
         docs = spark.createDataFrame([(i, "".join(map(chr, rng.integers(97, 123, 50)))) for i in range(k)], "doc_id long, text string")
-        sizes.append(gram_weights(count_grams(trusted_texts(docs, docs.select(F.col("doc_id").alias("_id"))))).count())
+        sizes.append(trusted_weights(docs, docs.select(F.col("doc_id").alias("_id"))).count())
     assert sizes[1] > 6 * sizes[0]
 
 

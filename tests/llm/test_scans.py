@@ -101,3 +101,43 @@ def test_language_id_on_held_out_rows(spark):
     assert identify(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
     none = identify(spark.createDataFrame([(1, "abc", None, "", "")], SCHEMA), F.lit(True)).collect()
     assert [r.lang_pred for r in none] == ["und"]
+
+
+def test_language_models_equal_plain_ones(spark):
+    """Cross-entropies against the textbook recursion over the training texts, and no matter how rows are sliced."""
+    from collections import Counter
+
+    from atlasframe.llm.langid import ORDER
+
+    texts = {"en": ["the cat sat on the mat", "a thing of that other kind"], "de": ["die katze saß auf der matte", "ein ding von jener art"]}
+    rows = [(k, t, lang, "x", "y") for lang, own in texts.items() for k, t in enumerate(own * 8)] + [(99, "The Thing saß", None, "", "")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("doc_id", F.monotonically_increasing_id())
+    got = [r for r in identify(df, F.lit(True), slice_bytes=200).collect() if r.doc_id == df.where("lang is null").first().doc_id][0]
+    counted = {lang: [t for t in own * 8 if spark.range(1).select(F.pmod(F.xxhash64(F.lit(t).cast("binary")), F.lit(10)).alias("h")).first().h] for lang, own in texts.items()}
+
+    def entropy(own, text):
+        pad = lambda t: b"\x02" * (ORDER - 1) + t.lower().encode() + b"\x03"
+        levels = {ORDER: Counter(p[i : i + ORDER] for p in map(pad, own) for i in range(len(p) - ORDER + 1))}
+        for k in range(ORDER - 1, 0, -1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        cuts = {}
+        for k, c in levels.items():
+            n = [sum(v == i for v in c.values()) for i in range(5)]
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+            cuts[k] = [0.0] + [max(0.0, min(i, i - (i + 1) * y * n[i + 1] / n[i] if n[i] and y is not None else i / 2)) for i in (1, 2, 3)]
+
+        def p(g):
+            if not g:
+                return 1 / 256
+            follow = [v for x, v in levels[len(g)].items() if x[:-1] == g[:-1]]
+            if not follow:
+                return p(g[1:])
+            gamma = max(1e-9, sum(cuts[len(g)][min(v, 3)] for v in follow) / sum(follow))
+            return (levels[len(g)][g] - cuts[len(g)][min(levels[len(g)][g], 3)]) / sum(follow) + gamma * p(g[1:])
+
+        data = pad(text)
+        return -np.mean([np.log(p(data[i : i + ORDER])) for i in range(len(data) - ORDER + 1)])
+
+    want = {lang: entropy(own, "The Thing saß") for lang, own in counted.items() if own}
+    best = min(want, key=want.get)
+    assert got.lang_pred == best and abs(got.cross_entropy - want[best]) < 1e-4
