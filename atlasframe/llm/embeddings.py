@@ -234,3 +234,10 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of vectors, in double precision, and what links reach.
+ORACLE_SQL = """with recursive v as materialized (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ u as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95), n as (select a, count(*) as n from u group by 1),
+ r(node, root) as (select vec_id, vec_id from embeddings union select u.b, r.root from r join u on u.a = r.node)
+ select node as vec_id, coalesce(any_value(n.n), 0) as n_links, min(root) as component_id, node = min(root) as kept from r left join n on n.a = node group by node"""

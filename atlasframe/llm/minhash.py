@@ -289,3 +289,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+#: All pairs of documents that share a shingle, on full sets, and what links reach.
+ORACLE_SQL = r"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+ s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w),
+ e as materialized (select doc_id, unnest(s) as g from s), p as (select a.doc_id as a, b.doc_id as b, count(*) as n from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+ l as materialized (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * n >= 75 * (len(x.s) + len(y.s) - n)), u as materialized (select a, b from l union select b, a from l),
+ r(node, root) as (select doc_id, doc_id from s union select u.b, r.root from r join u on u.a = r.node)
+ select s.doc_id, len(s.s)::bigint as n_shingles, c.root as component_id, s.doc_id = c.root as kept from s join (select node, min(root) as root from r group by 1) c on c.node = s.doc_id"""
