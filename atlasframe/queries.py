@@ -216,12 +216,29 @@ def graph_lineage_chain(spark, sf_dir):
     return graph.lineage_chain(_derived(spark, sf_dir), "source", "target", 3)
 
 
-@query()
-def graph_betweenness(spark, sf_dir):
-    """Over pairs of nations that trade more than the mean of all pairs."""
+def _busiest(spark, sf_dir) -> DataFrame:
+    """Betweenness over pairs of nations that trade more than the mean of all pairs."""
     counts = trade(spark, sf_dir).where("source <> target").groupBy("source", "target").count()
-    busiest = counts.crossJoin(counts.agg((1.2 * F.avg("count")).alias("_least"))).where("count > _least")
-    return graph.betweenness(graph.undirected(busiest, "source", "target")).withColumn("betweenness", F.round("betweenness", 6))
+    least = 1.2 * counts.agg(F.avg("count")).first()[0]
+    return graph.betweenness(graph.undirected(counts.where(F.col("count") > least), "source", "target"))
+
+
+#: By definition: for each pair of other nodes, the share of shortest paths between them that pass; paths are counted one by one.
+BETWEENNESS = f"""with recursive c as materialized (select source, target, count(*) as n from {TRADE} where source <> target group by 1, 2), b as materialized (select source, target from c where n > 1.2 * (select avg(n) from c)),
+ e as materialized (select source as a, target as b from b union select target, source from b), w(s, v, d) as (select a, a, 0 from e union select s, e.b, d + 1 from w join e on v = a where d < 30), m as materialized (select s, v, min(d) as d from w group by 1, 2),
+ p(s, v, d) as (select distinct a, a, 0 from e union all select p.s, e.b, p.d + 1 from p join e on p.v = e.a join m on m.s = p.s and m.v = e.b and m.d = p.d + 1), g as materialized (select s, v, d, count(*) as n from p group by 1, 2, 3),
+ t as (select x.v, sum(x.n * y.n / z.n) as dep from g x join g y on x.v = y.s join g z on z.s = x.s and z.v = y.v and z.d = x.d + y.d where x.s <> x.v and y.v <> x.v and x.s <> y.v group by 1), k as (select count(distinct a) as k from e),
+ f as (select distinct a as node, coalesce(dep, 0) / ((k - 1) * (k - 2)) as betweenness from e left join t on v = a cross join k)"""
+
+
+@query(BETWEENNESS + " select node, round(betweenness, 6) as betweenness from f")
+def graph_betweenness(spark, sf_dir):
+    return _busiest(spark, sf_dir).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query(BETWEENNESS + " select node, round(betweenness / sum(betweenness) over (), 6) as share from f where betweenness > 0")
+def graph_bridges(spark, sf_dir):
+    return graph.bridges(_busiest(spark, sf_dir)).select("node", F.round("share", 6).alias("share"))
 
 
 @query("""with r as (select user_id, event_id, event_type from events where event_type in ('signup', 'error')), p as (select user_id, event_id, event_type from events where event_type in ('purchase', 'click'))
