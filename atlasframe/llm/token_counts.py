@@ -27,6 +27,9 @@ REMEMBERED = 800_000
 RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\0")
 OTHER_SPACE = r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NONE = np.int32(2**31 - 1)
+#: Slots for the hashes of pairs that merge, many more than there are pairs.
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 
 
 def byte_letters() -> list[str]:
@@ -51,15 +54,39 @@ class RankMerger:
         self.base = np.array([vocab[c] for c in byte_letters()], np.int64)
         self.size = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], order.astype(np.int32)
-        self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)[order]
+        merged = np.array([vocab[a + b] for a, b in merges], np.int64)
+        # Each pair in the slot of its hash; pairs whose slot is taken lie sorted beside the slots.
+        slot = self.slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        late = np.setdiff1d(np.arange(len(keys)), first)
+        late = late[np.argsort(keys[late])]
+        self.keys, self.rank, self.merged = np.full(SLOTS, -1), np.full(SLOTS, NONE), np.zeros(SLOTS, np.int64)
+        self.keys[slot[first]], self.rank[slot[first]], self.merged[slot[first]] = keys[first], first, merged[first]
+        self.late_keys, self.late_rank, self.late_merged = keys[late], late.astype(np.int32), merged[late]
+        self.crowded = np.zeros(SLOTS, bool)
+        self.crowded[slot[late]] = True
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.findall = regex.compile(PATTERN).findall
         self.other_space = re.compile(OTHER_SPACE).search
         self.known: dict[str, int] = {}
 
+    @staticmethod
+    def slot(pair: np.ndarray) -> np.ndarray:
+        return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def pairs(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair (NONE: no merge) and what it becomes."""
+        at = self.slot(pair)
+        hit = self.keys[at] == pair
+        rank, merged = np.where(hit, self.rank[at], NONE), self.merged[at]
+        rest = np.flatnonzero(self.crowded[at] & ~hit)
+        if len(rest):
+            place = np.minimum(np.searchsorted(self.late_keys, pair[rest]), len(self.late_keys) - 1)
+            found = self.late_keys[place] == pair[rest]
+            rank[rest[found]], merged[rest[found]] = self.late_rank[place[found]], self.late_merged[place[found]]
+        return rank, merged
+
     def survivors(self, pieces: list[str]) -> np.ndarray:
         """Symbols left of each piece (not empty): in each step every sequence merges all its lowest-ranked pairs."""
         raw = [p.encode() for p in pieces]
@@ -69,9 +96,8 @@ class RankMerger:
         owner = np.repeat(np.arange(len(raw)), sizes)
         while len(symbols) > 1:
             pair = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == pair) & (owner[:-1] == owner[1:]), self.rank[at], NONE)
-            rank = np.append(rank, NONE)
+            rank, merged = self.pairs(pair)
+            rank = np.append(np.where(owner[:-1] == owner[1:], rank, NONE), NONE)
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             least = np.minimum.reduceat(rank, starts)
             runs = np.diff(np.append(starts, len(owner)))
@@ -83,7 +109,7 @@ class RankMerger:
             head = np.append(True, np.diff(place) != 1)
             run_start = np.maximum.accumulate(np.where(head, np.arange(len(place)), 0))
             place = place[(np.arange(len(place)) - run_start) % 2 == 0]
-            symbols[place] = self.merged[at[place]]
+            symbols[place] = merged[place]
             left -= np.bincount(owner[place], minlength=len(left))
             keep = np.ones(len(symbols), bool)
             keep[place + 1] = False
