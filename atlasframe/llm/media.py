@@ -114,8 +114,8 @@ def audio_features(docs: DataFrame, multiple: int = 64) -> DataFrame:
     """Store every text of ``docs`` (``doc_id``, ``text``) as audio and compute features from the stored bytes.
 
     The samples are the UTF-8 bytes, filled with bytes 0 to a positive multiple of ``multiple``. ``logmel`` holds
-    fixed-shape tensors with their time spans as an Arrow stream, ``spans`` the segments. Null text counts as empty; one row
-    per input row; no shuffle; other columns are ignored. See ``AUDIO``.
+    fixed-shape tensors with their time spans as an Arrow stream, ``spans`` the segments. Null text counts as empty; very long texts are stored whole; one row
+    per input row, repeated rows and rows without id too; equal texts give equal values; an empty table gives no rows; no shuffle; other columns are ignored. See ``AUDIO``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
