@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from atlasframe.estate_queries import part, sub
 from atlasframe.functions import text as fn
 from atlasframe.operators import diff, flows, graph, merge, relations, resolve, search, shapes, specs, tables, traces, usages
-from atlasframe.plans import checks, enrich, rules
+from atlasframe.plans import checks, enrich
 from atlasframe.queries import query, read
-from atlasframe.sources import export, otlp, owners
+from atlasframe.sources import owners
 
 # Flows: an order is a flow, its lines are steps, in the order of their part.
 
