@@ -19,7 +19,6 @@ more than HOT_SLICES slices, whatever stands around it, are dealt to buckets by
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
