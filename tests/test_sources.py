@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from atlasframe.operators import flows, relations, traces
 from atlasframe.sources import export, owners
