@@ -19,6 +19,7 @@ MODULES = {
     "op8_minhash_dedup": "minhash",
     "op9_media_columns": "media",
     "op10_license_scan": "licenses",
+    "op11_byte_bpe": "byte_bpe",
 }
 
 
