@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from collections.abc import Iterator
+from functools import lru_cache, partial
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -14,16 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasframe.llm.common import documents, slices, texts
-from atlasframe.llm.token_counts import PATTERN
+from atlasframe.llm.token_counts import PATTERN, whole_chunks
 
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, ids array<int>, decoded binary"
 #: Texts whose new words are one corpus.
-CORPUS_ROWS = 1024
+CORPUS_ROWS = 2048
 #: Bytes of words and ids that a worker remembers; beyond that it forgets them all.
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 160 << 20
 #: What a remembered word costs besides its bytes.
 ENTRY_BYTES = 160
+#: Ranks with fewer places than this are not worth numpy operations; after so many of them in a row the rest of a replay goes place by place.
+FEW_PLACES, PATIENCE = 24, 12
 
 
 class Vocabulary:
@@ -38,15 +40,16 @@ class Vocabulary:
             self.tokens[rank] = token
         self.sizes = np.array(list(map(len, self.tokens)), np.int64)
         self.base = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.shift = size.bit_length()
 
     def pairs(self) -> dict[int, int]:
-        """What two tokens next to each other become: ``a << 32 | b`` to the rank of their joined bytes."""
+        """What two tokens next to each other become: ``a << shift | b`` to the rank of their joined bytes."""
         ranks, found = self.ranks, {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    found[a << 32 | b] = rank
+                    found[a << self.shift | b] = rank
         return found
 
 
@@ -58,24 +61,35 @@ class MergeReplay:
 
         self.vocabulary, self.remembered_bytes = vocabulary, remembered_bytes
         self.pair = vocabulary.pairs()
-        of = np.full((256, 256), -1, np.int64)
-        letter = {int(i): b for b, i in enumerate(vocabulary.base)}
-        for pair, rank in self.pair.items():
-            a, b = letter.get(pair >> 32), letter.get(pair & 0xFFFFFFFF)
-            if a is not None and b is not None:
-                of[a, b] = rank
-        self.first = of
+        self.pair_keys = np.array(sorted(self.pair), np.int64)
+        self.pair_ranks = np.array([self.pair[k] for k in self.pair_keys.tolist()], np.int64)
         self.findall = regex.compile(PATTERN).findall
+        self.chunks = partial(whole_chunks, self.findall)
         self.known: dict[str, bytes] = {}
         self.held = 0
 
-    def index(self, data: np.ndarray, last: np.ndarray) -> dict[int, list[int]]:
-        """Where each rank's pairs of bytes stand, from left to right; ``last`` marks the last byte of a word."""
-        rank = np.where(last[:-1], -1, self.first[data[:-1], data[1:]])
-        place = np.flatnonzero(rank >= 0)
-        place = place[np.argsort(rank[place], kind="stable")]
-        found, starts = np.unique(rank[place], return_index=True)
-        return {int(r): p.tolist() for r, p in zip(found, np.split(place, starts[1:]))}
+    def ranks_of(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where nothing is made of it; the symbol -1 makes no pair."""
+        wanted = a << self.vocabulary.shift | b
+        at = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == wanted, self.pair_ranks[at], -1)
+
+    @staticmethod
+    def post(index: dict[int, list[np.ndarray]], waiting: list[int], ranks: np.ndarray, places: np.ndarray) -> None:
+        """Put places under their ranks; a rank of -1 is none."""
+        real = ranks >= 0
+        ranks, places = ranks[real], places[real]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        starts = np.append(0, np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist()
+        for rank, start, stop in zip(ranks[starts].tolist(), starts, [*starts[1:], len(ranks)]):
+            if rank in index:
+                index[rank].append(places[start:stop])
+            else:
+                index[rank] = [places[start:stop]]
+                heappush(waiting, rank)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word (not empty) as little-endian 32-bit numbers.
@@ -83,83 +97,106 @@ class MergeReplay:
         The words lie one after the other; the index names, for each rank, the places of the pairs that it merges (pairs of one rank make
         the same token, so they share a list and are merged from left to right). Ranks are taken from the lowest on; each merge looks at its
         two neighbours only and adds the pairs that have arisen. A pair may arise whose rank is lower than that of the merge: then the places
-        that are left wait until it is done. So every word sees the merges that it would see alone, in the same order.
+        that are left wait until it is done. So every word sees the merges that it would see alone, in the same order. While ranks
+        have many places, those of different words are merged by one numpy operation; the long tail of ranks with few places goes one by one.
         """
+        if not words:
+            return []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         data = np.frombuffer(b"".join(words), np.uint8)
         last = np.zeros(len(data), bool)
         last[ends - 1] = True
-        index, pair = self.index(data, last), self.pair.get
-        symbol = self.vocabulary.base[data].tolist()
-        after = np.where(last, -1, np.arange(1, len(data) + 1)).tolist()
-        before = np.where(np.append(True, last[:-1]), -1, np.arange(-1, len(data) - 1)).tolist()
-        waiting = list(index)
-        heapify(waiting)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        # Behind the last place, -1 stands for no neighbour.
+        symbol = np.append(self.vocabulary.base[data], -1)
+        after = np.append(np.where(last, -1, np.arange(1, len(data) + 1)), -1)
+        before = np.append(np.where(np.append(True, last[:-1]), -1, np.arange(-1, len(data) - 1)), -1)
+        made = np.append(self.ranks_of(symbol[:-1], symbol[after[:-1]]), -1)
+        index: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+        self.post(index, waiting, made, np.arange(len(made)))
+        few = 0
+        while waiting and few < PATIENCE:
+            rank = heappop(waiting)
+            at = np.sort(np.concatenate(index.pop(rank)))
+            at = at[made[at] == rank]  # the others have been changed by earlier merges
+            few = few + 1 if len(at) < FEW_PLACES else 0
+            if not len(at):
+                continue
+            head = np.append(True, owner[at[1:]] != owner[at[:-1]])
+            if not head.all():  # the next place of a word waits for what its first one makes
+                index[rank] = [at[~head]]
+                heappush(waiting, rank)
+                at = at[head]
+            gone, left = after[at], before[at]
+            right = after[gone]
+            symbol[at], symbol[gone], after[at], before[right] = rank, -1, right, at
+            made[gone], made[at], made[left] = -1, self.ranks_of(rank, symbol[right]), self.ranks_of(symbol[left], rank)
+            made[-1] = -1
+            self.post(index, waiting, np.append(made[at], made[left]), np.append(at, left))
+        self.one_by_one(symbol_list := symbol.tolist(), after.tolist(), before.tolist(), index, waiting)
+        ids = np.array(symbol_list[:-1], np.int64)
+        alive = ids >= 0
+        counts = np.add.reduceat(alive, ends - sizes, dtype=np.int64) * 4
+        packed, stops = ids[alive].astype("<i4").tobytes(), np.cumsum(counts)
+        return [packed[a:b] for a, b in zip((stops - counts).tolist(), stops.tolist())]
+
+    def one_by_one(self, symbol: list[int], after: list[int], before: list[int], posted: dict[int, list[np.ndarray]], waiting: list[int]) -> None:
+        """The rest of a replay: merges what the index still names, in place."""
+        pair, shift = self.pair.get, self.vocabulary.shift
+        index: list[list[int] | None] = [None] * len(self.vocabulary.tokens)
+        for rank, places in posted.items():
+            index[rank] = np.concatenate(places).tolist()
         while waiting:
             rank = heappop(waiting)
-            places = index.pop(rank, None)
+            places, index[rank] = index[rank], None
             if places is None:
                 continue
             places.sort()
             for k, at in enumerate(places):
                 gone = after[at]
-                if gone < 0 or symbol[at] < 0 or pair(symbol[at] << 32 | symbol[gone]) != rank:
+                if pair(symbol[at] << shift | symbol[gone]) != rank:
                     continue  # an earlier merge has changed it
-                symbol[at], symbol[gone] = rank, -1
                 right, left = after[gone], before[at]
-                after[at] = right
-                lowest = rank
-                if right >= 0:
-                    before[right] = at
-                    lowest = self.add(index, waiting, pair(rank << 32 | symbol[right]), at, lowest)
-                if left >= 0:
-                    lowest = self.add(index, waiting, pair(symbol[left] << 32 | rank), left, lowest)
-                if lowest < rank:
+                symbol[at], symbol[gone], after[at], before[right] = rank, -1, right, at
+                waits = False
+                for place, new in ((at, pair(rank << shift | symbol[right])), (left, pair(symbol[left] << shift | rank))):
+                    if new is not None:
+                        if index[new] is None:
+                            index[new] = [place]
+                            heappush(waiting, new)
+                        else:
+                            index[new].append(place)
+                        waits |= new < rank
+                if waits:
                     if k + 1 < len(places):
-                        index[rank] = places[k + 1 :] + index.get(rank, [])
+                        index[rank] = places[k + 1 :]
                         heappush(waiting, rank)
                     break
-        ids = np.array(symbol, np.int64)
-        alive = ids >= 0
-        counts = np.add.reduceat(alive, ends - sizes, dtype=np.int64) * 4
-        packed, stops = ids[alive].astype("<i4").tobytes(), np.cumsum(counts)
-        return [packed[a:b] for a, b in zip((stops - counts).tolist(), stops.tolist())]
 
-    @staticmethod
-    def add(index: dict[int, list[int]], waiting: list[int], rank: int | None, place: int, lowest: int) -> int:
-        """Note a pair that has arisen; the lower of its rank and ``lowest``."""
-        if rank is None:
-            return lowest
-        if rank in index:
-            index[rank].append(place)
-        else:
-            index[rank] = [place]
-            heappush(waiting, rank)
-        return min(rank, lowest)
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Ids of new words; one that is a token as a whole is that token, as in the library."""
-        ranks, new = self.vocabulary.ranks, []
-        for word in words:
-            raw = word.encode()
-            whole = ranks.get(raw)
-            if whole is None:
-                new.append((word, raw))
-            else:
-                self.known[word] = whole.to_bytes(4, "little")
-                self.held += 4 + len(raw) + ENTRY_BYTES
+    def learn(self, chunks: set[str]) -> None:
+        """Ids of new chunks, which the pattern cuts into pre-tokens; a pre-token that is a token as a whole is that token, as in the library."""
+        known, ranks, findall = self.known, self.vocabulary.ranks, self.findall
+        split = {chunk: findall(chunk) for chunk in chunks}
+        new = list(set(chain.from_iterable(split.values())).difference(known))
         if new:
-            ids = self.replay([raw for _, raw in new])
-            self.known.update(zip((word for word, _ in new), ids))
-            self.held += sum(map(len, ids)) + sum(len(raw) + ENTRY_BYTES for _, raw in new)
+            raw = [word.encode() for word in new]
+            whole = list(map(ranks.get, raw))
+            ids = iter(self.replay([r for r, w in zip(raw, whole) if w is None]))
+            known.update((word, next(ids) if w is None else w.to_bytes(4, "little")) for word, w in zip(new, whole))
+            self.held += sum(map(len, raw)) + len(raw) * ENTRY_BYTES
+        for chunk, found in split.items():
+            if len(found) != 1:
+                known[chunk] = b"".join(map(known.__getitem__, found))
+                self.held += len(chunk) + len(known[chunk]) + ENTRY_BYTES
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if self.held > self.remembered_bytes:
             self.known.clear()
             self.held = 0
-        split = [self.findall(text) for text in batch]
+        split = [self.chunks(text) for text in batch]
         self.learn(set(chain.from_iterable(split)).difference(self.known))
         known = self.known
         return [np.frombuffer(b"".join(map(known.__getitem__, found)), "<i4") for found in split]

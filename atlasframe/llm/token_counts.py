@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -26,6 +26,7 @@ REMEMBERED = 800_000
 #: White space next to white space, or other than blanks and line ends; ASCII ones are looked for one by one, which is faster.
 RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\0")
 OTHER_SPACE = r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+other_space = re.compile(OTHER_SPACE).search
 NONE = np.int32(2**31 - 1)
 #: Slots for the hashes of pairs that merge, many more than there are pairs.
 SLOT_BITS = 20
@@ -39,6 +40,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
+def whole_chunks(findall: Callable[[str], list[str]], text: str) -> list[str]:
+    """Parts of a text that the pattern (``findall``) cuts as it would inside the text.
+
+    A pre-token never goes on from other characters into white space. So where single blanks or line ends stand between
+    other characters, each blank may be taken with the word behind it, and each line end alone.
+    """
+    if any(x in text for x in RUNS) or not text.isascii() and other_space(text):
+        return findall(text)
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+
 class RankMerger:
     """Counts the symbols that survive the merges of a ``tokenizers`` byte-level BPE file."""
 
@@ -68,7 +80,6 @@ class RankMerger:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.findall = regex.compile(PATTERN).findall
-        self.other_space = re.compile(OTHER_SPACE).search
         self.known: dict[str, int] = {}
 
     @staticmethod
@@ -128,16 +139,6 @@ class RankMerger:
             if len(found) != 1:
                 known[chunk] = sum(map(known.__getitem__, found))
 
-    def chunks(self, text: str) -> list[str]:
-        """Parts of a text that the pattern cuts as it would inside the text.
-
-        A pre-token never goes on from other characters into white space. So where single blanks or line ends stand between
-        other characters, each blank may be taken with the word behind it, and each line end alone.
-        """
-        if any(x in text for x in RUNS) or not text.isascii() and self.other_space(text):
-            return self.findall(text)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
     def counts(self, batch: list[str]) -> list[int]:
         if len(self.known) > self.remember:
             self.known.clear()
@@ -148,7 +149,7 @@ class RankMerger:
                 split.append([p for part in parts for p in self.findall(part)])
                 extra.append(len(parts) - 1)
             else:
-                split.append(self.chunks(text))
+                split.append(whole_chunks(self.findall, text))
                 extra.append(0)
         known = self.known
         self.learn(set(chain.from_iterable(split)).difference(known))
