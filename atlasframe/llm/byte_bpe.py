@@ -6,24 +6,25 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasframe.llm.common import documents, slices, texts
+from atlasframe.llm.common import documents, release_memory, texts
 from atlasframe.llm.token_counts import PATTERN, whole_chunks
 
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, ids array<int>, decoded binary"
-#: Texts whose new words are one corpus.
-CORPUS_ROWS = 2048
+#: Bytes of text whose new words are one corpus.
+CORPUS_BYTES = 3 << 20
 #: Bytes of words and ids that a worker remembers; beyond that it forgets them all.
-REMEMBERED_BYTES = 160 << 20
+REMEMBERED_BYTES = 150 << 20
 #: What a remembered word costs besides its bytes.
-ENTRY_BYTES = 160
+ENTRY_BYTES = 220
 #: Ranks with fewer places than this are not worth numpy operations; after so many of them in a row the rest of a replay goes place by place.
 FEW_PLACES, PATIENCE = 24, 12
 
@@ -213,24 +214,56 @@ def merge_replay(path: str) -> MergeReplay:
     return MergeReplay(vocabulary(path))
 
 
+def corpora(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where their second column (text, or lists of ids) has taken ``CORPUS_BYTES``, or 4 bytes an id."""
+    for batch in batches:
+        values = batch.column(1)
+        sizes = (pa.compute.binary_length(values) if pa.types.is_string(values.type) else pa.compute.multiply(values.value_lengths(), 4)).fill_null(0)
+        block = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) // CORPUS_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+        for start, stop in pairwise(cuts):
+            yield batch.slice(start, stop - start)
+    release_memory()
+
+
+def encoded_batches(ranks_path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``ENCODED`` for those of (``doc_id``, ``text``)."""
+    replay = merge_replay(ranks_path)
+    for batch in corpora(batches):
+        ids = replay.encode(texts(batch))
+        offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
+
+
+def decoded_batches(ranks_path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``DECODED`` for those of ``ENCODED``."""
+    known = vocabulary(ranks_path)
+    for batch in corpora(batches):
+        lists = batch.column(1)
+        values = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        bad = (values < 0) | (values >= len(known.tokens))
+        sizes = np.where(bad, 0, known.sizes[np.where(bad, 0, values)])
+        bad |= sizes == 0
+        stops = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        starts = np.append(0, stops[:-1]).astype(np.int64)[: len(stops)]
+        at, wrong = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(bad))
+        data = b"".join(map(known.tokens.__getitem__, values[~bad].tolist()))
+        null = lists.is_null().to_numpy(zero_copy_only=False) | (wrong[stops] > wrong[starts])
+        found = pa.array([None if n else data[a:b] for a, b, n in zip(at[starts].tolist(), at[stops].tolist(), null.tolist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists, found], names=["doc_id", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """Token ids of every text of ``docs`` (``doc_id``, ``text``), see ``ENCODED``, as the ``tiktoken`` library gives them for a rank file without special tokens.
 
     Text is cut by the pattern of the public byte-level vocabularies; merges never cross its cuts. The corpus of a replay is the new words of
-    ``CORPUS_ROWS`` texts of a task: no word leaves its executor, whereas one list of all words would have to be shuffled, and joined to the texts again, to save
+    ``CORPUS_BYTES`` of text of a task: no word leaves its executor, whereas one list of all words would have to be shuffled, and joined to the texts again, to save
     repeated work only. Null and empty texts have no ids (an empty list); strings that look like special tokens are ordinary text; very long texts and words are read
     whole. One row per input row, repeated rows and rows without id too; an empty table gives no rows; other columns are ignored. No shuffle.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = merge_replay(ranks_path)
-        for batch in slices(batches, CORPUS_ROWS):
-            ids = replay.encode(texts(batch))
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(encoded_batches, ranks_path), ENCODED)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -239,30 +272,23 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     Bytes need not be whole characters. An empty list is empty bytes; a null list, or one with null or unknown ids, has null bytes. One row per input row; no shuffle.
     """
 
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(partial(decoded_batches, ranks_path), DECODED)
+
+
+def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """``decode(encode(docs))`` in one pass, so that a task has one Python worker with one vocabulary."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(ranks_path)
-        for batch in slices(batches, CORPUS_ROWS):
-            lists = batch.column(1)
-            values = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            bad = (values < 0) | (values >= len(known.tokens))
-            sizes = np.where(bad, 0, known.sizes[np.where(bad, 0, values)])
-            bad |= sizes == 0
-            stops = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-            starts = np.append(0, stops[:-1]).astype(np.int64)[: len(stops)]
-            at, wrong = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(bad))
-            data = b"".join(map(known.tokens.__getitem__, np.where(bad, 0, values)[~bad].tolist()))
-            null = lists.is_null().to_numpy(zero_copy_only=False) | (wrong[stops] > wrong[starts])
-            found = pa.array([None if n else data[a:b] for a, b, n in zip(at[starts].tolist(), at[stops].tolist(), null.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, found], names=["doc_id", "ids", "decoded"])
-
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, DECODED)
+        yield from decoded_batches(ranks_path, encoded_batches(ranks_path, batches))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DECODED)
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = decode(encode(documents(spark, sf_dir), path), path)
+    both = round_trip(documents(spark, sf_dir), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

@@ -17,6 +17,11 @@ __all__ = [
     "checkpoint", "connected_components", "documents", "ensure_checkpoint_dir", "release_memory", "slices", "texts", "whole_groups", "with_blocks", "written",
 ]
 
+#: SQL (DuckDB): the table of CRC-32, and the checksum of a list of byte values.
+CRC_TABLE_SQL = """crc as (select list(c order by i) as tab from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i)))"""
+CRC_SQL = "xor(list_reduce(list_concat([4294967295::bigint], {bytes}), lambda c, b: xor(c >> 8, crc.tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
 #: Rows of a slice of an Arrow batch that is turned into Python strings at once.
 SLICE_ROWS = 256
 

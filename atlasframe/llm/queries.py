@@ -20,6 +20,8 @@ MODULES = {
     "op9_media_columns": "media",
     "op10_license_scan": "licenses",
     "op11_byte_bpe": "byte_bpe",
+    "op12_spelling_variants": "spelling",
+    "op13_prefix_trie": "conversations",
 }
 
 

@@ -10,7 +10,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
 
-from atlasframe.llm.byte_bpe import MergeReplay, Vocabulary, decode, encode, op11_byte_bpe
+from atlasframe.llm.byte_bpe import MergeReplay, Vocabulary, decode, encode, op11_byte_bpe, round_trip
 from tests.llm.test_tokens_packing import ODD
 
 PATHS = [public_tokenizers.path(f"byte_bpe_{x}50k.tiktoken") for x in ("", "multi_")]
@@ -38,6 +38,7 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark, path):
     out = decode(encode(spark.createDataFrame(rows, SCHEMA).repartition(3), path), path).collect()
     want = [(i, enc.encode_ordinary(t or ""), (t or "").encode()) for _, _, i, t, _ in rows]
     key = lambda x: (x[0] is None, x[0] or 0)
+    assert sorted(map(str, round_trip(spark.createDataFrame(rows, SCHEMA), path).collect())) == sorted(map(str, out))
     assert sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in out), key=key) == sorted(want, key=key)
 
 

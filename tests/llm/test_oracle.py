@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     rows = queries()[name](spark, DATA)
     found = con.sql(oracle_sql()[name])
