@@ -32,15 +32,15 @@ t as (select p.conv_id, o.place as depth, role, text from p join o on o.conv_id
 m as (select conv_id, depth, list({{'role': role, 'text': text}}) over (partition by conv_id order by depth) as path from t
     union all select conv_id, 0, [] from p),
 nodes as (select path, depth, min(conv_id) as conv_id, count(*) as n_convs from m group by path, depth),
-at as (select m.conv_id as member, m.depth, nodes.conv_id from m join nodes on m.path = nodes.path and m.depth = nodes.depth),
-up as (select nodes.*, at.conv_id as parent_conv_id from nodes left join at on at.member = nodes.conv_id and at.depth = nodes.depth - 1),
+held as (select m.conv_id as member, m.depth, nodes.conv_id from m join nodes on m.path = nodes.path and m.depth = nodes.depth),
+up as (select nodes.*, held.conv_id as parent_conv_id from nodes left join held on held.member = nodes.conv_id and held.depth = nodes.depth - 1),
 own as (select up.conv_id, up.depth, up.n_convs, up.parent_conv_id, count(kid.depth) as n_children,
     (up.n_convs - 1) * case when up.depth = 0 then 0 else length(any_value(up.path)[-1].text) end as saved
     from up left join up kid on kid.depth = up.depth + 1 and kid.parent_conv_id = up.conv_id group by up.conv_id, up.depth, up.n_convs, up.parent_conv_id),
-below as (select at.conv_id, at.depth, count(*) filter (w.n_children = 0) as n_leaves, sum(w.saved) as saved_tokens
-    from own w join at on at.member = w.conv_id and at.depth <= w.depth group by at.conv_id, at.depth),
-ends as (select at.conv_id, at.depth, string_agg(at.member::varchar, ',' order by at.member) as ids
-    from at join p on p.conv_id = at.member and at.depth = p.taken + greatest(p.n - p.h, 0) group by at.conv_id, at.depth)
+below as (select held.conv_id, held.depth, count(*) filter (w.n_children = 0) as n_leaves, sum(w.saved) as saved_tokens
+    from own w join held on held.member = w.conv_id and held.depth <= w.depth group by held.conv_id, held.depth),
+ends as (select held.conv_id, held.depth, string_agg(held.member::varchar, ',' order by held.member) as ids
+    from held join p on p.conv_id = held.member and held.depth = p.taken + greatest(p.n - p.h, 0) group by held.conv_id, held.depth)
 select own.conv_id, own.depth, own.parent_conv_id, own.n_convs, own.n_children, below.n_leaves, below.saved_tokens::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
 from own join below on below.conv_id = own.conv_id and below.depth = own.depth left join ends on ends.conv_id = own.conv_id and ends.depth = own.depth
 """

@@ -38,8 +38,8 @@ best as (select word, count(*) as n_near, max(other_n) as top from near group by
 told as (select w.word, w.n, coalesce(n_near, 0) as n_near,
     case when top >= 10 * w.n then top end as form_n, case when top >= 10 * w.n then (select min(other) from near x where x.word = w.word and x.other_n = top) end as form
     from words w left join best on w.word = best.word),
-way as (select word, form as at, 1 as steps from told where form is not null union all select way.word, told.form, steps + 1 from way join told on told.word = way.at where told.form is not null),
-ends as (select word, arg_max(at, steps) as root from way group by word)
+way as (select word, form as reached, 1 as steps from told where form is not null union all select way.word, told.form, steps + 1 from way join told on told.word = way.reached where told.form is not null),
+ends as (select word, arg_max(reached, steps) as root from way group by word)
 select told.word, form, coalesce(root, told.word) as root, n, n_near::bigint as n_near, form_n from told left join ends on ends.word = told.word
 """
 
