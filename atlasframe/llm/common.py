@@ -10,11 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atlasframe.plans.checkpoints import checkpoint, ensure_checkpoint_dir, tables_folder
 
 __all__ = [
-    "checkpoint", "connected_components", "documents", "ensure_checkpoint_dir", "release_memory", "slices", "texts", "whole_groups", "with_blocks", "written",
+    "checkpoint", "connected_components", "documents", "ensure_checkpoint_dir", "release_memory", "row_hash", "slices", "texts", "whole_groups", "with_blocks", "written",
 ]
 
 #: SQL (DuckDB): the table of CRC-32, and the checksum of a list of byte values.
@@ -37,6 +38,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and has_map(kind.elementType)
+
+
+def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """64-bit hash of the named columns (all). Maps can't be hashed, so columns that hold some are hashed as JSON text, where the order of a map's entries counts."""
+    fields = [df.schema[c] for c in (df.columns if columns is None else columns)]
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if has_map(f.dataType) else F.col(f"`{f.name}`") for f in fields])
+
+
 def release_memory() -> None:
     """Give freed memory back to the machine: Python workers live on after a task, beside those of other operators."""
     pa.default_memory_pool().release_unused()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atlasframe.llm.common import documents, written
+from atlasframe.llm.common import documents, row_hash, written
 from atlasframe.llm.token_counts import with_tokens
 
 #: Documents of a block on average; a pass over a source is a permutation of its blocks, then of each block's rows.
@@ -79,30 +79,31 @@ def mix(docs: DataFrame, tokens: Column, target_entropy: float | None = None, re
     in which the budget ends, so that a source with most rows is no single task's work.
     """
     kept = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source"), tokens.alias("_tokens"), F.xxhash64(*kept).alias("_hash"), F.struct(*kept).alias("_row"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source"), F.coalesce(tokens, F.lit(0)).cast("long").alias("_tokens"), row_hash(docs, kept).alias("_hash"), F.struct(*kept).alias("_row"))
     found = rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")).collect()
     if not found:
         return docs.select(*kept, F.lit(0).cast("long").alias("mix_pass"), F.lit(0).cast("long").alias("mix_tokens"), F.lit(0.0).alias("mix_position"), F.lit(0.0).alias("mix_weight")).limit(0)
     total = sum(r.tokens for r in found)
-    shares = {r["_source"]: r.tokens / total for r in found}
+    shares = {r["_source"]: r.tokens / total for r in found if r.tokens}
     weights = tempered(shares, bisected_exponent(shares, target_entropy, repetition_limit))
     if budget is None:
-        budget = math.ceil(max(r.tokens / weights[r["_source"]] for r in found))
-    plan = [(r["_source"], float(weights[r["_source"]]), int(r.tokens), max(r.tokens, 1) and int(round(weights[r["_source"]] * budget)), math.ceil(r.docs / BLOCK_DOCS)) for r in found]
+        budget = math.ceil(max((r.tokens / weights[r["_source"]] for r in found if r.tokens), default=0))
+    plan = [(r["_source"], float(weights[r["_source"]]), int(r.tokens), int(round(weights[r["_source"]] * budget)), math.ceil(r.docs / BLOCK_DOCS)) for r in found if r.tokens]
     passes = [(s, w, t, want, n, k, max(0, min(t, want - k * t))) for s, w, t, want, n in plan for k in range(max(1, math.ceil(want / t - 1e-9)))]
+    passes += [(r["_source"], 0.0, 0, 1, math.ceil(r.docs / BLOCK_DOCS), 0, 1) for r in found if not r.tokens]  # nothing to weigh: each row once
     sources = docs.sparkSession.createDataFrame(passes, "_source string, mix_weight double, _all long, _want long, _n long, mix_pass long, _quota long").where("_quota > 0")
 
     drawn = rows.join(F.broadcast(sources) if len(passes) <= SENT_ROWS else sources, "_source")  # a row for each document and pass
     drawn = drawn.withColumn("_key", F.xxhash64(F.lit(seed), "mix_pass", "_id", "_hash")).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_pass", "_id", "_hash"), F.col("_n")))
     blocks = drawn.groupBy("_source", "mix_pass", "_block").agg(F.sum("_tokens").alias("_sum"), F.first("_quota").alias("_quota"), F.first("_all").alias("_all"), F.first("_want").alias("_want"))
     order = Window.partitionBy("_source", "mix_pass").orderBy(F.xxhash64(F.lit(seed + 2), "mix_pass", "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(order), F.lit(0))).where("_start < _quota")
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_sum").over(order), F.lit(0))).where("_start < _quota or _quota >= _all")
     # Where a block begins in the mixture: rows are dealt by ranges of it, so that sources are interleaved as they are written, and each block is in one part.
     blocks = written(blocks.select("_source", "mix_pass", "_block", "_start", ((F.col("mix_pass") * F.col("_all") + F.col("_start")) / F.col("_want")).alias("_at")))
     own = ["_at", "_source", "mix_pass", "_block"]
     placed = drawn.drop("_n").join(blocks, ["_source", "mix_pass", "_block"]).repartitionByRange(*own)
     inside = Window.partitionBy(*own).orderBy("_key", "_id", "_hash").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0))).where("_before < _quota")
+    placed = placed.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0))).where("_before < _quota or _quota >= _all")
     return placed.select(
         "_row.*", "mix_pass", F.col("_tokens").alias("mix_tokens"), ((F.col("mix_pass") * F.col("_all") + F.col("_before")) / F.col("_want")).alias("mix_position"), "mix_weight",
     ).sortWithinPartitions("mix_position")

@@ -46,3 +46,30 @@ def test_odd_tables(spark):
     assert mix(spark.createDataFrame([], SCHEMA), F.col("n")).count() == 0
     one = mix(spark.createDataFrame([(1, None, 5, "x", "y"), (1, None, 5, "x", None), (None, None, 5, None, None)], SCHEMA), F.col("n"))
     assert one.count() == 3 and one.columns[:4] == ["doc_id", "source", "n", "_tokens"]
+
+
+def test_draws_equal_a_plain_one(spark):
+    """Sources, passes and budgets by the definition: whole passes hold every row, the last one's tokens end with the row that fills the quota."""
+    rows = [(i, "abc"[i % 7 % 3], (i * 7919) % 50 if i % 11 else None, "x", "y") for i in range(3000)] + [(5000 + i, "none", [0, None][i % 2], "x", "y") for i in range(40)] + [(1, "b", 7, "x", "y")] * 3
+    rows += [(9000, "c", 100_000, "x", "y")]
+    out = mix(spark.createDataFrame(rows, SCHEMA).repartition(5), F.col("n"), repetition_limit=2.0).collect()
+    total = {s: sum(r[2] or 0 for r in rows if r[1] == s) for s in ("a", "b", "c", "none")}
+    shares = {s: t / sum(total.values()) for s, t in total.items() if t}
+    weights = tempered(shares, bisected_exponent(shares, repetition_limit=2.0))
+    budget = math.ceil(max(total[s] / w for s, w in weights.items()))
+    for s in total:
+        mine = Counter((r.doc_id, r.mix_pass) for r in out if r.source == s)
+        given = Counter(r[0] for r in rows if r[1] == s)
+        want = int(round(weights[s] * budget)) if s in weights else 0
+        whole = max(1, want // total[s]) if total[s] else 1
+        for k in range(whole):
+            assert Counter({i: n for (i, p), n in mine.items() if p == k}) == given
+        last = [r.mix_tokens for r in out if r.source == s and r.mix_pass == whole]
+        left = max(0, want - whole * total[s])
+        assert (sum(last) >= left > sum(last) - max(last) if last else left == 0) and max((p for _, p in mine), default=0) <= whole
+        assert {r.mix_weight for r in out if r.source == s} == {weights.get(s, 0.0)}
+
+
+def test_sources_without_tokens(spark):
+    out = mix(spark.createDataFrame([(i, "ab"[i % 2], None, "x", "y") for i in range(10)], SCHEMA), F.col("n")).collect()
+    assert sorted(r.doc_id for r in out) == list(range(10)) and {r.mix_pass for r in out} == {0}
