@@ -126,10 +126,17 @@ def within_profile(parts: DataFrame, kept: DataFrame, key: str, ident: str = "id
     return parts.join(kept.select(F.col(ident).alias(key)).distinct(), key, "left_semi")
 
 
+def host_of(said: Column) -> Column:
+    """The host in an address: behind a scheme any name, without user and port; without one only lower-case names, as others are expressions that were not evaluated."""
+    said = F.trim(said)
+    behind = F.lower(F.regexp_extract(said, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@]*)", 1))
+    plain = F.regexp_extract(said, r"^([a-z0-9](?:[a-z0-9.-]*[a-z0-9])?)(?::[0-9]+)?$", 1)
+    return F.nullif(F.when(said.contains("://"), behind).otherwise(plain), F.lit(""))
+
+
 def call_host(alias: Column, base_url: Column, ident: Column) -> Column:
-    """The host that a call goes to: of its discovery alias, else of its base address, else behind the ``@`` of an HTTP call's id."""
-    host = lambda c: F.nullif(F.lower(F.regexp_extract(c, r"^(?:[a-zA-Z][\w+.-]*://)?(?:[^/@]*@)?([^/:?#\s]+)", 1)), F.lit(""))
-    return F.coalesce(host(alias), host(base_url), host(F.nullif(F.regexp_extract(ident, r"^http-client/[A-Z]+\s+/\S*\s@\s(.+)$", 1), F.lit(""))))
+    """The host that a call goes to: of its discovery alias, else of its base address, else behind the ``@`` of an HTTP call's id; null where none of them is one (see ``host_of``)."""
+    return F.coalesce(host_of(alias), host_of(base_url), host_of(F.regexp_extract(ident, r"^http-client/[A-Z]+\s+/\S*\s@\s(.+)$", 1)))
 
 
 def answers_on(service: Column, declared: Column, host: Column) -> Column:
@@ -204,15 +211,6 @@ def step_answers(steps: DataFrame, methods: DataFrame) -> DataFrame:
     return steps.join(responses(methods).withColumnRenamed("id", "ref"), "ref", "left")
 
 
-def responses_at_exits(nodes: DataFrame, answer: DataFrame) -> DataFrame:
-    """The reply row of each branch of a flow that ends without a terminal one: flow, branch, ord, label.
-
-    ``nodes``: flow, branch, ord, terminal; ``answer``: flow, label. A reply comes behind the branch's last row.
-    """
-    ends = nodes.groupBy("flow", "branch").agg((F.max("ord") + 1).alias("ord"), F.bool_or("terminal").alias("_t")).where("not _t").drop("_t")
-    return ends.join(answer, "flow")
-
-
 def provider_of(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Calls (``verb``, ``path``) with the first route (``verb``, ``path``, ``provider``, ``method``) that fits: segment by segment, a parameter standing for any one.
 
@@ -232,18 +230,21 @@ def provider_of(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def event_of(messages: DataFrame, events: DataFrame, options: DataFrame) -> DataFrame:
-    """Messages (``wire``, ``producer``; null for consumers) as events: by the given word, the one event that declares the wire name, the producer's own one of that last segment, or the one anywhere.
+    """Messages (``wire``, ``producer``; null for consumers) as events.
 
-    ``events``: id, service, wire; ``options``: wire, event. Adds ``event`` and ``basis``; what stays ambiguous stays null. A given word that is no event resolves to none.
+    A given word decides, even if it is no event (then none). Else the one event that declares the wire name; else, by the last segment of the wire name, the one event of the
+    producer that ends so; if the producer has none, or the message has no producer, the one event anywhere that ends so. ``events``: id, service, wire; ``options``: wire,
+    event. Adds ``event`` and ``basis``; where several events fit, both stay null.
     """
-    last = F.element_at(F.split("id", r"\."), -1)
-    only = lambda name, *by: events.groupBy(*[F.col(b) if isinstance(b, str) else b for b in by]).agg(F.count_distinct("id").alias("_n"), F.min("id").alias(name)).where("_n = 1").drop("_n")
+    last = lambda c: F.substring_index(c, ".", -1)
+    ended = events.select("id", F.col("service").alias("producer"), last(F.col("id")).alias("_last"))
+    only = lambda df, name, *by: df.groupBy(*by).agg(F.count_distinct("id").alias("_n"), F.min("id").alias("_id")).select(*by, F.lit(True).alias(f"{name}_some"), F.when(F.col("_n") == 1, F.col("_id")).alias(name))
     given = options.join(events.select(F.col("id").alias("event"), F.lit(True).alias("_real")).distinct(), "event", "left").select("wire", F.lit(True).alias("_given"), F.when(F.col("_real"), F.col("event")).alias("_option"))
-    out = messages.join(given, "wire", "left").join(only("_declared", "wire"), "wire", "left")
-    out = out.join(only("_own", F.col("service").alias("producer"), last.alias("wire")), ["producer", "wire"], "left").join(only("_any", last.alias("wire")), "wire", "left")
-    own = F.when(F.col("producer").isNotNull(), F.col("_own")).otherwise(F.col("_any"))
-    event = F.when(F.col("_given"), F.col("_option")).otherwise(F.coalesce("_declared", own))
-    basis = F.when(F.col("_given"), "option").when(F.col("_declared").isNotNull(), "wire").when(own.isNotNull(), F.when(F.col("producer").isNotNull(), "own").otherwise("anywhere"))
+    out = messages.withColumn("_last", last(F.col("wire"))).join(given, "wire", "left").join(only(events, "_declared", "wire"), "wire", "left")
+    out = out.join(only(ended, "_own", "producer", "_last"), ["producer", "_last"], "left").join(only(ended, "_any", "_last"), "_last", "left")
+    found = F.when(F.col("_own_some"), F.col("_own")).otherwise(F.col("_any"))
+    event = F.when(F.col("_given"), F.col("_option")).otherwise(F.coalesce("_declared", found))
+    basis = F.when(F.col("_given"), "option").when(F.col("_declared").isNotNull(), "wire").when(F.col("_own_some"), "own").otherwise("anywhere")
     return out.select(*messages.columns, event.alias("event"), F.when(event.isNotNull(), basis).alias("basis"))
 
 

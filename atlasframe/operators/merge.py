@@ -79,6 +79,37 @@ def lay_over(df: DataFrame, key: list[str], basis: str, fields: list[str], over:
     return both.select(*key, F.when(F.col("_top"), F.lit(over)).otherwise(F.lit(under)).alias(basis), *values, F.array_sort(F.array_compact(F.array(*drift))).alias("drift"))
 
 
+#: Fields of a deployment in which the tree and the deployer may disagree.
+DRIFTING = ["project", "cluster", "namespace", "path", "targetRevision"]
+
+
+def fold_deployments(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(one row for each deployment ``id``, the rows that found their place taken).
+
+    ``basis`` says who tells: the deployer (``api``, also where nothing is said), the tree (``manifest``), or both already. The first row of either basis counts; a folded row
+    counts only as the first of its id, and then alone. Where both tell, the deployer's row stays, of basis ``both``, with the tree's service, tool and images where it
+    has none, and ``drift`` holds what the tree says otherwise: its value of each field that it has and that differs, and its images that don't run while others do.
+    """
+    rows = df.withColumn("basis", F.coalesce("basis", F.lit("api")))
+    place = Window.partitionBy("id").orderBy(*order)
+    ranked = rows.withColumn("_first", F.first("basis").over(place)).withColumn("_nth", F.row_number().over(Window.partitionBy("id", "basis").orderBy(*order)))
+    counts = (F.col("_nth") == 1) & ((F.col("basis") == F.col("_first")) | ((F.col("_first") != "both") & (F.col("basis") != "both")))
+    held, lost = ranked.where(counts), ranked.where(~counts)
+    tree = held.where("basis = 'manifest'").select("id", F.struct(*df.columns).alias("_t"))
+    told = held.where("basis <> 'manifest'").select("id", "basis", F.struct(*df.columns).alias("_d"))
+    both = told.join(tree, "id", "full_outer")
+    met = F.col("_d").isNotNull() & F.col("_t").isNotNull()
+    say = lambda f: F.when(F.coalesce(F.col(f"_t.{f}"), F.lit("")) != F.coalesce(F.col(f"_d.{f}"), F.lit("")), F.nullif(F.col(f"_t.{f}"), F.lit(""))).alias(f)
+    missing = F.array_except(F.coalesce("_t.images", F.array().cast("array<string>")), F.coalesce("_d.images", F.array().cast("array<string>")))
+    drift = F.struct(*map(say, DRIFTING), F.when((F.size("_d.images") > 0) & (F.size(missing) > 0), missing).alias("images"))
+    some = F.greatest(*[drift[f].isNotNull().cast("int") for f in (*DRIFTING, "images")]) > 0
+    values = {c: F.coalesce(f"_d.{c}", f"_t.{c}") for c in ("service",)} | {"tool": F.coalesce(F.nullif("_d.tool", F.lit("")), "_t.tool"), "images": F.when(F.size("_d.images") > 0, F.col("_d.images")).otherwise(F.col("_t.images"))}
+    values |= {"basis": F.lit("both"), "drift": F.when(some, drift)}
+    one = F.coalesce(F.col("_d"), F.col("_t"))
+    pick = lambda c: F.col("id") if c == "id" else F.when(met, values[c]).otherwise(one[c]).alias(c) if c in values else F.when(F.col("_d").isNotNull(), F.col(f"_d.{c}")).otherwise(F.col(f"_t.{c}")).alias(c)
+    return both.select(*map(pick, df.columns)).withColumn("basis", F.coalesce("basis", F.lit("api"))), lost.select(*df.columns)
+
+
 def oldest(stamp: Column, value: Column) -> Column:
     """The value with the earliest readable time stamp, the least of equals; unreadable stamps have no vote."""
     at = F.try_to_timestamp(stamp)

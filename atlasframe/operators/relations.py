@@ -28,7 +28,9 @@ def links(t: dict[str, DataFrame]) -> DataFrame:
         one(t["columns"].select("relation", "name", F.explode("from").alias("_f")), "lineage", F.concat("relation", F.lit("."), "name"), c("_f")),
         one(t["services"].select("id", F.explode("stores").alias("_s")), "store", c("id"), c("_s")),
         one(t["services"].select("id", F.explode("dependsOn").alias("_d")), "depends", c("id"), c("_d")),
-        one(t["adrs"], "decision", c("id"), c("scope"), label=c("title")),
+        one(t["adrs"], "decision", c("id"), F.coalesce("scope.context", "scope.service"), label=c("title")),
+        one(t["rfcs"], "proposal", c("id"), F.coalesce("scope.context", "scope.service"), label=c("title")),
+        one(t["decision_links"], "relates", c("id"), c("ref"), label=c("kind")),
         one(t["modules"].select("id", F.explode("deps").alias("_d")), "module", c("id"), c("_d")),
         one(t["deployments"], "deployment", c("id"), c("service"), label=c("environment")),
     ]

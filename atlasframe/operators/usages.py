@@ -96,14 +96,27 @@ def users_but_owner(uses: DataFrame, modules: DataFrame) -> DataFrame:
     return uses.select("module", "service").distinct().join(modules.select("module", F.col("owner").alias("service")), ["module", "service"], "left_anti")
 
 
+def covers(scope: Column, services: Column, service: Column, context: Column) -> Column:
+    """Does a decision or proposal concern a service? Its ``scope`` (kind ``org``, ``context`` or ``service``) is the whole estate, the service's context or the service itself, or its list of ``services`` names it."""
+    kind = scope["kind"]
+    scoped = (kind == "org") | ((kind == "service") & (scope["service"] == service)) | ((kind == "context") & (scope["context"] == context))
+    return F.coalesce(scoped, F.lit(False)) | F.coalesce(F.array_contains(services, service), F.lit(False))
+
+
 def concerning(records: DataFrame, services: DataFrame) -> DataFrame:
-    """Decisions and proposals that concern a service: their scope is its context or the whole estate (``*``), or they name it.
+    """Decisions and proposals by what they concern: service (null: every service of the estate), id, by (org, scope or name; the least of several).
 
-    ``records``: id, scope, relates (array); ``services``: service, context. Returns service, id, by (scope or name).
+    ``records``: id, scope (kind, context, service), relates (services); ``services``: service, context. Those of the whole estate come once, not once for
+    each service; so the ones of a service are the rows with its name and those with none. A record of the whole estate that names a service too comes once.
     """
-    scoped = records.join(services, F.col("scope") == F.col("context")).select("service", "id", F.lit("scope").alias("by"))
-    named = records.select("id", F.explode("relates").alias("service")).join(services.select("service"), "service").select("service", "id", F.lit("name").alias("by"))
-    return named.unionByName(scoped).groupBy("service", "id").agg(F.min("by").alias("by"))
+    kind = F.col("scope.kind")
+    everywhere = records.where(kind == "org").select(F.lit(None).cast(services.schema["service"].dataType).alias("service"), "id", F.lit("org").alias("by")).distinct()
+    rest = records.where(~F.coalesce(kind == "org", F.lit(False)))
+    inside = rest.where(kind == "context").select("id", F.col("scope.context").alias("context")).join(services, "context").select("service", "id", F.lit("scope").alias("by"))
+    known = services.select("service").distinct()
+    own = rest.where(kind == "service").select("id", F.col("scope.service").alias("service")).join(known, "service").select("service", "id", F.lit("scope").alias("by"))
+    named = rest.select("id", F.explode("relates.services").alias("service")).join(known, "service").select("service", "id", F.lit("name").alias("by"))
+    return named.unionByName(inside).unionByName(own).groupBy("service", "id").agg(F.min("by").alias("by")).unionByName(everywhere)
 
 
 def newest(records: DataFrame, status: str, n: int, date: str = "date", ident: str = "id") -> DataFrame:
@@ -154,28 +167,18 @@ def tech_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[^a-z0-9+#]", "")
 
 
-def drift_lines(df: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """What differs between what is running and what is written down, a line for each field: key, line. Columns: ``api_F`` and ``manifest_F``."""
-    line = lambda f: F.when(~F.col(f"api_{f}").eqNullSafe(F.col(f"manifest_{f}")), F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f"manifest_{f}").cast("string"), F.lit("none")), F.lit(" → "), F.coalesce(F.col(f"api_{f}").cast("string"), F.lit("none"))))
-    return df.select(*key, F.explode(F.array_compact(F.array(*map(line, fields)))).alias("line"))
-
-
-def classify_warnings(warnings: DataFrame, ladder: list[tuple[str, str, str]], message: str = "message") -> DataFrame:
-    """The first step of a ladder (pattern, rule, severity) that each message meets; ``other``, ``info`` if none does."""
-    rule, severity = F.when(F.lit(False), ""), F.when(F.lit(False), "")
-    for pattern, r, s in ladder:
-        hit = F.col(message).rlike(pattern)
-        rule, severity = rule.when(hit, r), severity.when(hit, s)
-    return warnings.withColumn("rule", rule.otherwise("other")).withColumn("severity", severity.otherwise("info"))
+def drift_texts() -> Column:
+    """Where the tree and what is deployed disagree, a text for each field, over the columns of a deployment: ``drift`` (what the tree says of fields that differ) and the fields themselves."""
+    line = lambda f, verb: F.when(F.col(f"drift.{f}") != "", F.concat(F.lit(f"{verb} "), F.col(f"drift.{f}"), F.lit(" in the tree, "), F.coalesce(f, F.lit("")), F.lit(" deployed")))
+    running = F.coalesce(F.nullif(F.array_join(F.coalesce("images", F.array().cast("array<string>")), ", "), F.lit("")), F.lit("nothing"))
+    pins = F.when(F.size("drift.images") > 0, F.concat(F.lit("pins "), F.array_join("drift.images", ", "), F.lit(" in the tree; running "), running))
+    # The words of the texts, in their order.
+    return F.array_compact(F.array(line("project", "project"), line("cluster", "cluster"), line("namespace", "namespace"), line("path", "path"), line("targetRevision", "tracks"), pins))
 
 
-def suppressed(classified: DataFrame, policies: list[tuple[str, int]], key: list[str]) -> DataFrame:
-    """Warnings with ``shown``: a policy (rule, most) hides all of a rule while a key has no more than ``most`` of them; beyond that all are shown."""
-    n = F.count("*").over(Window.partitionBy(*key, "rule"))
-    hidden = F.lit(False)
-    for rule, most in policies:
-        hidden = hidden | ((F.col("rule") == rule) & (F.col("_n") <= most))
-    return classified.withColumn("_n", n).withColumn("shown", ~hidden).drop("_n")
+def drift_lines(deployments: DataFrame, key: list[str]) -> DataFrame:
+    """``drift_texts`` of each deployment as rows: key, place (order of the lines), line."""
+    return deployments.select(*key, F.posexplode(drift_texts()).alias("place", "line"))
 
 
 def shared_kernel(blocks: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def catalog_violations(t: dict[str, DataFrame]) -> DataFrame:
         _lost(t["terms"], "context", t["contexts"], "id", "term-context-unknown", c("id")),
         duplicates(t["terms"], ["context", "slug"], "term-twice"),
         failing(t["adrs"].where("date is not null"), F.try_to_timestamp("date").isNotNull(), "decision-date-unreadable", c("id"), c("date")),
-        _lost(t["adrs"], "scope", contexts, "id", "decision-scope-unknown", c("id")),
+        *[_lost(t[name].select("id", F.coalesce("scope.context", "scope.service").alias("ref")), "ref", contexts, "id", f"{word}-scope-unknown", c("id")) for name, word in (("adrs", "decision"), ("rfcs", "proposal"))],
     ]
     text = lambda name: F.coalesce(F.trim(name), F.lit("")) != ""
     targets = services.select(F.lit("service").alias("kind"), "id").unionByName(t["flows"].select(F.lit("flow").alias("kind"), "id")).unionByName(t["adrs"].select(F.lit("adr").alias("kind"), "id")).unionByName(t["rfcs"].select(F.lit("rfc").alias("kind"), "id"))
@@ -124,9 +124,10 @@ def catalog_violations(t: dict[str, DataFrame]) -> DataFrame:
         failing(links, c("basis").isin("declared", "source-file", "service-directory"), "work-item-basis-unknown", c("workItem"), c("basis")),
         failing(t["rfcs"], text("displayId"), "proposal-without-name", c("id"), c("title")),
         failing(t["rfcs"], c("lifecycle").isin(*LIFECYCLES), "proposal-lifecycle-unknown", c("id"), c("lifecycle")),
-        _lost(t["rfcs"].where("scope <> '*'"), "scope", contexts, "id", "proposal-scope-unknown", c("id")),
-        _lost(t["rfcs"].select("id", F.explode("relates").alias("ref")), "ref", contexts.unionByName(events.select("id")), "id", "proposal-relates-unknown", c("id")),
-        _lost(t["adrs"].select("id", F.explode("relates").alias("ref")), "ref", contexts.unionByName(events.select("id")), "id", "decision-relates-unknown", c("id")),
+        *[
+            _lost(t["decision_links"].where((c("record") == record) & (c("kind") == kind)), "ref", known, "id", f"{word}-relates-unknown", c("id"))
+            for record, word in (("adr", "decision"), ("rfc", "proposal")) for kind, known in (("service", services), ("event", events), ("flow", t["flows"]))
+        ],
         _lost(t["adrs"], "supersededBy", t["adrs"], "id", "decision-superseded-by-unknown", c("id")),
         failing(t["specs"], text("title"), "specification-without-title", c("id"), c("slug")),
         failing(t["requirements"], text("title"), "requirement-without-title", F.concat_ws("/", "spec", "id"), c("text")),

@@ -33,7 +33,7 @@ def foreign_keys(t: dict[str, DataFrame]) -> DataFrame:
     near = all_.join(near.select(F.col("_s").alias("owner"), F.col("_o").alias("_owner")), ["owner", "_owner"], "left_semi")
     j = t["columns"].join(only(all_, "_a"), ["relation", "name"], "left").join(only(all_.where("store = _store"), "_b"), ["relation", "name"], "left").join(only(near, "_c"), ["relation", "name"], "left")
     target = F.coalesce("_a", "_b", "_c")
-    fk = F.when(F.col("fk").isNotNull() & target.isNotNull(), F.struct(target.alias("table"), F.col("fk.column").alias("column"))).otherwise(F.col("fk"))
+    fk = F.when(F.col("fk").isNotNull() & target.isNotNull(), F.col("fk").withField("table", target)).otherwise(F.col("fk"))
     return j.withColumn("fk", fk).select(*t["columns"].columns)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from atlasframe.functions.text import abbreviations
 from atlasframe.operators.shapes import field_differences, types_disagree
+from atlasframe.operators.usages import drift_texts
 from atlasframe.plans.rules import Rule, evaluate
 
 
@@ -130,7 +131,7 @@ def subjects(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     named = t["services"].select(F.col("id").alias("service"), F.lit(True).alias("_named"))
     out["deployment"] = t["deployments"].join(by_path, ["repo", "path"], "left").join(named, "service", "left").select(
         "id", "name", "environment", "cluster", "namespace", "repo", "path", F.coalesce(F.when(F.col("_named"), F.col("service")), "_placed", F.lit("")).alias("service"),
-        (F.col("_named").isNotNull() | F.col("_placed").isNotNull()).alias("claimed"), "basis", (F.size("drift") > 0).alias("drifted"), F.array_join("drift", ", ").alias("drift"),
+        (F.col("_named").isNotNull() | F.col("_placed").isNotNull()).alias("claimed"), "basis", (F.size(drift_texts()) > 0).alias("drifted"), F.array_join(drift_texts(), "; ").alias("drift"),
     )
 
     lanes = t["participants"].select(F.col("flow").alias("flow_id"), F.col("id").alias("_lane"), F.col("context").alias("_ctx"))
@@ -161,7 +162,7 @@ BUILTIN = [
     Rule("column-type", "column", "!typeMatches", 'id + " is " + type + ", its field " + fieldType', "warning"),
     Rule("outbox-payload", "table", 'role == "outbox" && !hasPayload', 'id + " has no payload column"', "warning"),
     Rule("deployment-unclaimed", "deployment", "!claimed", 'name + " belongs to no service"', "warning"),
-    Rule("deployment-drift", "deployment", "drifted", 'name + " differs in " + drift', "warning"),
+    Rule("deployment-drift", "deployment", "drifted", 'name + ": " + drift', "warning"),
     Rule("service-stack-unknown", "service", "size(technologies) == 0", 'id + " names no technology"', "info"),
     Rule("service-undescribed", "service", "!hasReadme", 'id + " has no description"', "info"),
     Rule("service-abbreviation-unexplained", "service", "size(unexplainedAbbreviations) > 0", 'id + " has an unexplained name"', "info"),

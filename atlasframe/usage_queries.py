@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from atlasframe.estate_queries import part, sub
 from atlasframe.operators import estate, graph, tables, usages
+from atlasframe.plans import warnings
 from atlasframe.queries import _derived, query, read
 
 # Evidence
@@ -109,10 +110,12 @@ def catalog_profile(spark, sf_dir):
     return parts.join(kept, "c_custkey").groupBy("c_mktsegment").agg(F.count_distinct("c_custkey").alias("customers"), F.count("*").alias("orders"))
 
 
-@query("""select page_id, case when page_id % 3 = 0 then 'alias-' || page_id when page_id % 3 = 1 then 'host' || (page_id % 7) || '.example' when page_id % 2 = 0 then 'id.example' end as host from pages""")
+@query("""select page_id, case page_id % 6 when 0 then 'host' || (page_id % 7) || '.example' when 1 then 'alias-' || page_id when 2 then 'host' || (page_id % 7) || '.example' when 3 then 'id.example' when 5 then 'plain.svc' end as host from pages""")
 def enrich_call_hosts(spark, sf_dir):
-    calls = part(spark, sf_dir, """select page_id, case when page_id % 3 = 0 then 'ALIAS-' || page_id || ':8080' end as alias, case when page_id % 3 < 2 then 'https://me@host' || (page_id % 7) || '.example:443' || url end as base,
-     case when page_id % 2 = 0 then 'http-client/GET /x @ http://id.example/x' else 'rpc/Get' end as id from {pages}""")
+    """Aliases in upper case and expressions are no hosts, so the next word counts; addresses have schemes, users and ports or not."""
+    calls = part(spark, sf_dir, """select page_id, case page_id % 6 when 0 then 'Config.Alias' || page_id when 1 then ' alias-' || page_id || ':8080 ' when 5 then '' end as alias,
+     case when page_id % 6 in (0, 2) then 'https://me:secret@HOST' || (page_id % 7) || '.example:443' || url when page_id % 6 = 1 then 'https://elsewhere' when page_id % 6 in (3, 4) then 'Config.SupplierURL' when page_id % 6 = 5 then 'Upper.case:1' end as base,
+     case page_id % 6 when 3 then 'http-client/GET /x @ http://id.example/x' when 4 then 'http-client/GET /x @ Config.Other' when 5 then 'http-client/GET /x @ plain.svc:90' else 'rpc/Get' end as id from {pages}""")
     return calls.select("page_id", estate.call_host(F.col("alias"), F.col("base"), F.col("id")).alias("host"))
 
 
@@ -170,12 +173,6 @@ def flow_step_answers(spark, sf_dir):
     return estate.step_answers(steps, methods).drop("ref")
 
 
-@query("""select l_orderkey as flow, l_suppkey as branch, max(l_linenumber) + 1 as ord, min(o_orderpriority) as label from lineitem join orders on l_orderkey = o_orderkey group by 1, 2 having not bool_or(l_returnflag = 'R')""")
-def flow_responses_at_exits(spark, sf_dir):
-    nodes = part(spark, sf_dir, "select l_orderkey as flow, l_suppkey as branch, l_linenumber as ord, l_returnflag = 'R' as terminal from {lineitem}")
-    return estate.responses_at_exits(nodes, part(spark, sf_dir, "select o_orderkey as flow, o_orderpriority as label from {orders}"))
-
-
 @query(r"""with p as (select page_id, case page_id % 2 when 0 then 'GET' else 'POST' end as verb, regexp_replace(url, '[?#].*$', '') as path, list_filter(string_split(regexp_replace(url, '[?#].*$', ''), '/'), lambda x: x <> '') as s from pages),
  l as (select distinct lang from documents) select page_id, case when verb = 'GET' and len(s) = 2 then case when s[1] in (select lang from l) then 'any' when s[1] = 'xx' then 'xx' else 'any' end end as provider, case when verb = 'GET' and len(s) = 2 then 'Show' end as method from p""")
 def trace_http_providers(spark, sf_dir):
@@ -186,13 +183,17 @@ def trace_http_providers(spark, sf_dir):
 
 
 @query("""with e as (select 'svc' || p_size || '.' || p_type || '.' || p_brand as id, 'svc' || p_size as service, 'wire' || (p_partkey % 1500) as wire, p_brand as last from part),
- w as (select wire, min(id) as id from e group by 1 having count(distinct id) = 1), o as (select service, last, min(id) as id from e group by 1, 2 having count(distinct id) = 1), a as (select last, min(id) as id from e group by 1 having count(distinct id) = 1),
- m as (select p_partkey, case when p_partkey % 3 = 0 then 'wire' || (p_partkey % 2000) else p_brand end as wire, case when p_partkey % 2 = 0 then 'svc' || p_size end as producer from part)
- select m.p_partkey, case when m.wire = 'wire3' then (select min(id) from e) when m.wire = 'wire6' then null else coalesce(w.id, case when producer is not null then o.id else a.id end) end as event from m left join w on w.wire = m.wire left join o on o.service = m.producer and o.last = m.wire left join a on a.last = m.wire""")
+ w as (select wire, min(id) as id from e group by 1 having count(distinct id) = 1), o as (select service, last, min(id) as id, count(distinct id) as n from e group by 1, 2), a as (select last, min(id) as id from e group by 1 having count(distinct id) = 1),
+ m as (select p_partkey, case when p_partkey % 3 = 0 then 'wire' || (p_partkey % 2000) when p_partkey % 5 = 0 then 'v1.' || p_brand else p_brand end as wire, case when p_partkey % 2 = 0 then 'svc' || p_size when p_partkey % 7 = 0 then 'nobody' end as producer from part),
+ l as (select *, regexp_extract(wire, '[^.]*$') as last from m)
+ select m.p_partkey, case when m.wire = 'wire3' then (select min(id) from e) when m.wire = 'wire6' then null else coalesce(w.id, case when o.n = 1 then o.id when o.n is null then a.id end) end as event
+ from l m left join w on w.wire = m.wire left join o on o.service = m.producer and o.last = m.last left join a on a.last = m.last""")
 def trace_event_lookup(spark, sf_dir):
+    """Parts are events; some messages come from a producer that has no such event."""
     events = part(spark, sf_dir, "select 'svc' || p_size || '.' || p_type || '.' || p_brand as id, 'svc' || p_size as service, 'wire' || (p_partkey % 1500) as wire from {part}")
-    messages = part(spark, sf_dir, "select p_partkey, case when p_partkey % 3 = 0 then 'wire' || (p_partkey % 2000) else p_brand end as wire, case when p_partkey % 2 = 0 then 'svc' || p_size end as producer from {part}")
-    given = events.agg(F.min("id").alias("event")).select(F.lit("wire3").alias("wire"), "event").unionByName(events.limit(1).select(F.lit("wire6").alias("wire"), F.lit("no.such").alias("event")))
+    messages = part(spark, sf_dir, "select p_partkey, case when p_partkey % 3 = 0 then 'wire' || (p_partkey % 2000) when p_partkey % 5 = 0 then 'v1.' || p_brand else p_brand end as wire, case when p_partkey % 2 = 0 then 'svc' || p_size when p_partkey % 7 = 0 then 'nobody' end as producer from {part}")
+    first = events.agg(F.min("id").alias("event"))
+    given = first.select(F.lit("wire3").alias("wire"), "event").unionByName(first.select(F.lit("wire6").alias("wire"), F.lit("no.such").alias("event")))
     return estate.event_of(messages, events, given).select("p_partkey", "event")
 
 
@@ -290,10 +291,13 @@ def usage_module_consumers(spark, sf_dir):
     return usages.users_but_owner(part(spark, sf_dir, "select l_partkey as module, l_suppkey as service from {lineitem}"), part(spark, sf_dir, "select p_partkey as module, p_partkey % 100 as owner from {part}"))
 
 
-@query("""with r as (select o_orderkey as id, case when o_orderstatus = 'P' then o_custkey % 25 else -1 end as scope, o_custkey as c, o_custkey + 1 as d from orders), s as (select c_custkey as service, c_nationkey as context from customer)
- select service, id, min("by") as "by" from (select service, id, 'scope' as "by" from r join s on scope = context union all select service, id, 'name' from r join s on service in (c, d)) group by 1, 2""")
+@query("""with r as (select o_orderkey as id, case when o_orderpriority = '1-URGENT' and o_orderstatus = 'P' then 'org' when o_orderstatus = 'P' then 'context' when o_orderkey % 3 = 0 then 'service' end as kind, o_custkey as c, o_custkey + 1 as d from orders), s as (select c_custkey as service, c_nationkey as context from customer)
+ select service, id, min("by") as "by" from (select service, id, 'scope' as "by" from r join s on kind = 'context' and c % 25 = context union all select service, id, 'scope' from r join s on kind = 'service' and service = c + 2
+ union all select service, id, 'name' from r join s on coalesce(kind, '') <> 'org' and service in (c, d)) group by 1, 2 union all select null, id, 'org' from r where kind = 'org'""")
 def usage_decisions_of_services(spark, sf_dir):
-    records = part(spark, sf_dir, "select o_orderkey as id, case when o_orderstatus = 'P' then o_custkey % 25 else -1 end as scope, array(o_custkey, o_custkey + 1) as relates from {orders}")
+    """Orders are decisions: of the whole estate, of a nation, of a customer, or only naming customers."""
+    records = part(spark, sf_dir, """select o_orderkey as id, struct(case when o_orderpriority = '1-URGENT' and o_orderstatus = 'P' then 'org' when o_orderstatus = 'P' then 'context' when o_orderkey % 3 = 0 then 'service' end as kind,
+     o_custkey % 25 as context, o_custkey + 2 as service) as scope, struct(array(o_custkey, o_custkey + 1) as services) as relates from {orders}""")
     return usages.concerning(records, part(spark, sf_dir, "select c_custkey as service, c_nationkey as context from {customer}"))
 
 
@@ -342,18 +346,31 @@ def usage_streaming_kinds(spark, sf_dir):
     return li.groupBy("l_returnflag", usages.streaming_kind(F.col("s")).alias("streaming")).agg(F.count("*").alias("rows"))
 
 
-@query(f"""with a as (select o_custkey, arg_max(o_orderpriority, o_orderkey) as p, arg_max(o_orderstatus, o_orderkey) as s from orders where o_orderstatus = 'F' group by 1), m as (select o_custkey, arg_max(o_orderpriority, o_orderkey) as p, arg_max(o_orderstatus, o_orderkey) as s from orders where o_orderstatus <> 'F' group by 1)
- select o_custkey, 'priority: ' || m.p || ' → ' || a.p as line from a join m using (o_custkey) where a.p <> m.p union all select o_custkey, 'status: ' || m.s || ' → ' || a.s from a join m using (o_custkey) where a.s <> m.s""")
+@query("""with d as (select o_orderkey as id, o_clerk, lag(o_orderpriority) over w as p, o_orderpriority as q, lag(o_orderstatus) over w as s, o_orderstatus as t from (select *, 'c' || o_custkey as o_clerk from orders) window w as (partition by o_custkey order by o_orderkey))
+ select id, (row_number() over (partition by id order by n) - 1)::int as place, line from (select id, 1 as n, 'project ' || p || ' in the tree, ' || q || ' deployed' as line from d where p <> q union all select id, 2, 'tracks ' || s || ' in the tree, ' || t || ' deployed' from d where s <> t
+ union all select id, 3, 'pins ' || p || ', ' || s || ' in the tree; running ' || case when t = 'P' then 'nothing' else t end from d where p is not null)""")
 def merge_drift_lines(spark, sf_dir):
-    of = lambda test, p: part(spark, sf_dir, f"select o_custkey, max_by(o_orderpriority, o_orderkey) as {p}_priority, max_by(o_orderstatus, o_orderkey) as {p}_status from {{orders}} where {test} group by o_custkey")
-    return usages.drift_lines(of("o_orderstatus = 'F'", "api").join(of("o_orderstatus <> 'F'", "manifest"), "o_custkey"), ["o_custkey"], ["priority", "status"])
-
-
-@query("""with c as (select user_id, event_id, case when props like '%1%' then 'one' when event_type = 'error' then 'failure' else 'other' end as rule, case when props like '%1%' then 'warning' when event_type = 'error' then 'error' else 'info' end as severity from events)
- select event_id, rule, severity, not (rule = 'one' and count(*) over (partition by user_id, rule) <= 3 or rule = 'other' and count(*) over (partition by user_id, rule) <= 20) as shown from c""")
+    """Each order is a deployment that the tree knows as the customer's order before."""
+    d = part(spark, sf_dir, "select o_orderkey as id, lag(o_orderpriority) over w as p, o_orderpriority as project, lag(o_orderstatus) over w as s, o_orderstatus as targetRevision from {orders} window w as (partition by o_custkey order by o_orderkey)")
+    none = F.lit(None).cast("string")
+    drift = F.struct(F.when(F.col("p") != F.col("project"), F.col("p")).alias("project"), none.alias("cluster"), F.lit("").alias("namespace"), none.alias("path"), F.when(F.col("s") != F.col("targetRevision"), F.col("s")).alias("targetRevision"), F.when(F.col("p").isNotNull(), F.array("p", "s")).alias("images"))
+    d = d.select("id", "project", none.alias("cluster"), none.alias("namespace"), none.alias("path"), "targetRevision", F.when(F.col("targetRevision") != "P", F.array("targetRevision")).alias("images"), drift.alias("drift"))
+    return usages.drift_lines(d, ["id"])
+
+
+@query(r"""with w as (select event_id, user_id, 'Plug ' || event_type as plugin, case when event_id % 5 = 0 then 'src/a.go: ' else '' end || event_type || ' of "' || user_id || '" took ' || event_id as message from events),
+ f as (select *, case when event_id % 5 = 0 then ' ' else '' end || event_type || ' of <value> took #' as raw from w join (select event_id as e, event_type from events) on e = event_id),
+ h as (select event_id, user_id, plugin, event_type, list_reduce(list_concat([2166136261::bigint], list_transform(string_split(trim(raw), ''), lambda x: ord(x)::bigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) as h from f),
+ c as (select event_id, user_id, plugin, case when event_type = 'error' then 'failure' when event_type = 'click' then 'press' else 'plugin.plug-' || event_type || '.other-' ||
+  ltrim(list_aggregate(list_transform([6, 5, 4, 3, 2, 1, 0], lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', ((h // (36 ** k)::bigint) % 36 + 1)::int, 1)), 'string_agg', ''), '0') end as rule, case when event_type = 'error' then 'error' else 'warning' end as severity from h),
+ n as (select *, count(*) over (partition by user_id, plugin, rule, severity) as count from c)
+ select event_id, rule, severity, count, case when rule = 'press' and count <= 3 then 'few' when event_id % 5 = 0 and severity <> 'error' then 'known file' end as reason from n""")
 def table_suppressed_warnings(spark, sf_dir):
-    w = read(spark, sf_dir, "events").withColumn("message", F.concat_ws(" ", "event_type", "props"))
-    return usages.suppressed(usages.classify_warnings(w, [("1", "one", "warning"), ("^error", "failure", "error")]), [("one", 3), ("other", 20)], ["user_id"]).select("event_id", "rule", "severity", "shown")
+    """Events are warnings of their user's run; two policies hide few presses, and what a file is known for."""
+    w = part(spark, sf_dir, """select event_id, user_id, concat('Plug ', event_type) as plugin, '' as project, 'build' as phase,
+     concat(case when event_id % 5 = 0 then 'src/a.go: ' else '' end, event_type, ' of "', user_id, '" took ', event_id) as message from {events}""")
+    policies = [warnings.Policy('rule == "press" && count <= 3', "few"), warnings.Policy('ref == "src/a.go" && severity != "error"', "known file"), warnings.Policy("true", "never", "note")]
+    return warnings.diagnose(w, [(r"\berror\b", "failure", "error"), ("^(src/a.go: )?CLICK", "press", "warning")], policies, ["user_id"]).select("event_id", "rule", "severity", "count", "reason")
 
 
 @query("""with b as (select distinct s_nationkey as c, l_partkey as d from lineitem join supplier on l_suppkey = s_suppkey where l_returnflag = 'R' and l_tax > 0.06) select a.c as "left", b.c as "right", a.d as def from b a join b on a.d = b.d where a.c < b.c""")

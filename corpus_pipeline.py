@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasframe.llm import minhash, mixing, packing, quality, suffixes, token_counts
-from atlasframe.llm.common import documents, ensure_checkpoint_dir, written
+from atlasframe.llm.common import documents, ensure_checkpoint_dir, row_hash, written
 from atlasframe.plans.checkpoints import delete_folder, scratch
 
 
@@ -20,7 +20,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     # Only ids and hashes of rows go through the classifier with the texts; rows that are equal in all columns are judged alike.
-    marks = F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.xxhash64(*docs.columns).alias("_mark")
+    marks = F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), row_hash(docs).alias("_mark")
     given = docs.select("doc_id", "text", "lang", *marks)
     fitted = quality.QualityClassifier.fit(given, quality.trusted_ids(labels), carry=["_id", "_mark"])
     kept = fitted.classify(given).where("quality_keep").select("_id", "_mark")
@@ -35,10 +35,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     can name them. Links at exactly the threshold count. No rows, no rows; more columns stay as they are.
     """
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    marked = docs.select(*docs.columns, F.xxhash64(*docs.columns).alias("_mark"))
-    chosen = marked.where("doc_id is not null").groupBy("doc_id").agg(F.min("_mark").alias("_least")).join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    rows = marked.join(chosen.withColumnsRenamed({"doc_id": "_kept"}).hint("merge"), (F.col("doc_id") == F.col("_kept")) & (F.col("_mark") == F.col("_least")), "left_semi").dropDuplicates(["doc_id", "_mark"])
-    return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), row_hash(docs).alias("_mark"))
+    chosen = marked.where("_id is not null").groupBy("_id").agg(F.min("_mark").alias("_least")).join(kept, F.col("_id").cast("long") == F.col("_kept"), "left_semi")
+    rows = marked.join(chosen.withColumnsRenamed({"_id": "_kept"}).hint("merge"), (F.col("_id") == F.col("_kept")) & (F.col("_mark") == F.col("_least")), "left_semi").dropDuplicates(["_id", "_mark"])
+    return rows.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +69,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    counted = written(token_counts.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=200_000))
-    return mixing.mix(counted, mixing.drawn_tokens(), repetition_limit=2.0).select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    given = docs.select("doc_id", "source", F.struct(*rest).alias("_given"), F.col("text").alias("_text"), "text")
+    counted = written(token_counts.with_tokens(given, public_tokenizers.path("byte_bpe_50k.json"), drop=("text",), remember=200_000))
+    mixed = mixing.mix(counted, mixing.drawn_tokens(), repetition_limit=2.0)
+    return mixed.select(*[F.col("_text").alias(c) if c == "text" else F.col("_given").getField(c).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

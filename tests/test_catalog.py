@@ -24,7 +24,7 @@ A = {
     "stores": [{"id": "museum.pg", "slug": "pg", "name": "Visits", "kind": "postgres", "owner": "museum.desk", "tables": [
         {"id": "museum.pg.visits", "name": "visits", "columns": [{"name": "id", "type": "text", "nullable": False, "pk": True}, {"name": "receipt", "type": "text", "nullable": True, "fk": {"table": "vault.pg.receipts", "column": "id"}, "from": ["vault.pg.receipts.id"]}], "persists": {"aggregate": "museum.desk.visit"}},
         {"id": "museum.pg.outbox", "name": "outbox", "role": "outbox", "columns": [{"name": "id", "type": "bigint", "nullable": False}]}]}],
-    "deployments": [{"id": "d1", "name": "desk-prod", "environment": "prod", "repo": "git/x", "path": "desk", "revision": "1", "basis": "manifest"}, {"id": "d2", "name": "ghost", "environment": "prod", "repo": "git/y", "path": "z", "revision": "1"}],
+    "deployments": [{"id": "d1", "name": "desk-prod", "environment": "prod", "repo": "git/x", "path": "desk", "targetRevision": "v1", "revision": "1", "basis": "manifest"}, {"id": "d2", "name": "ghost", "environment": "prod", "repo": "git/y", "path": "z", "revision": "1"}],
 }
 B = {
     "contexts": [{"id": "museum", "slug": "museum", "name": "The museum", "summary": "Sells.", "services": [{"id": "museum.desk", "slug": "desk", "name": "", "repo": "", "path": "", "readme": "", "technologies": ["kafka", "go"], "provides": [], "consumes": [{"id": "gone.Api/Do", "peer": "gone", "status": "verified", "source": "x", "note": "seen"}], "aggregates": []}]},
@@ -33,7 +33,7 @@ B = {
     "stores": [{"id": "museum.pg", "slug": "pg", "name": "Again", "kind": "postgres", "owner": "vault.core", "tables": []}, {"id": "vault.pg", "slug": "pg", "name": "Receipts", "kind": "postgres", "owner": "vault.core", "tables": [{"id": "vault.pg.receipts", "name": "receipts", "columns": [{"name": "id", "type": "text", "nullable": False}]}],
                 "views": [{"id": "vault.pg.v", "name": "v", "columns": [], "reads": ["museum.pg.visits"]}]}],
     "terms": [{"id": "t1", "slug": "desk", "name": "DSK", "context": "museum", "definition": "Visit management"}],
-    "deployments": [{"id": "d1", "name": "desk-prod", "environment": "prod", "repo": "git/x", "path": "desk", "revision": "2", "basis": "api"}],
+    "deployments": [{"id": "d1", "name": "desk-prod", "environment": "prod", "repo": "git/x", "path": "desk", "targetRevision": "v2", "revision": "2", "basis": "api"}],
 }
 
 
@@ -56,7 +56,7 @@ def test_merge_takes_first_values_and_tells_conflicts(estate):
     told = {(r.kind, r.where, r.message.split(" /")[0].split(" file:")[0]) for r in conflicts.collect()}
     assert ("contexts", "museum", "name is Museum, not The museum") in told and ("stores", "museum.pg", "already declared by") in told
     d = {r.id: r for r in t["deployments"].collect()}
-    assert (d["d1"].basis, d["d1"].revision, d["d1"].drift) == ("api", "2", ["revision"])
+    assert (d["d1"].basis, d["d1"].revision, d["d1"].drift.targetRevision, d["d1"].drift.path) == ("both", "2", "v1", None)
 
 
 def test_flow_nodes_are_in_visit(estate):

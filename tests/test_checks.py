@@ -16,8 +16,8 @@ CLEAN = {
     "flows": [{"id": "f", "slug": "f", "name": "F", "summary": "s", "owner": "museum", "participants": [{"id": "x", "kind": "actor"}, {"id": "museum.desk", "kind": "service", "context": "museum"}], "steps": [{"type": "step", "id": "s1", "from": "x", "to": "museum.desk", "kind": "rpc", "status": "declared"}]}],
     "stores": [{"id": "museum.desk.pg", "slug": "pg", "name": "", "kind": "postgres", "owner": "museum.desk", "tables": [{"id": "museum.desk.pg.t", "name": "t", "columns": [{"name": "id", "type": "text"}, {"name": "up", "type": "text", "fk": {"table": "museum.desk.pg.t", "column": "id"}}]}], "views": [{"id": "museum.desk.pg.v", "name": "v", "columns": [{"name": "id", "type": "text", "from": ["museum.desk.pg.t.id"]}], "reads": ["museum.desk.pg.t"]}]}],
     "terms": [{"id": "t", "slug": "desk", "name": "DSK", "context": "museum", "definition": "d"}],
-    "adrs": [{"id": "1", "title": "x", "status": "accepted", "date": "2024-01-01", "scope": "museum"}],
-    "rfcs": [{"id": "r", "displayId": "RFC-1", "title": "R", "status": "open", "lifecycle": "draft", "scope": "*", "relates": ["museum.desk"]}],
+    "adrs": [{"id": "1", "title": "x", "status": "accepted", "date": "2024-01-01", "scope": {"kind": "context", "context": "museum"}, "relates": {}}],
+    "rfcs": [{"id": "r", "displayId": "RFC-1", "title": "R", "status": "open", "lifecycle": "draft", "scope": {"kind": "org"}, "relates": {"services": ["museum.desk"], "events": ["e"], "flows": ["f"]}}],
     "specs": [{"id": "s", "title": "S", "lifecycle": "active", "requirements": [{"id": "q", "title": "Q", "text": "", "scenarios": [{"name": "n", "when": ["a"], "then": ["b"]}]}], "tasks": [{"id": "1", "title": "do", "done": False}]}],
     "repos": [{"repo": "git/x", "commit": "abc"}], "configurationBindings": [{"service": "museum.desk", "environment": "prod", "variable": "A", "value": "x"}],
     "workItems": [{"id": "w", "key": "K-1", "url": "https://t/1"}], "workItemLinks": [{"workItem": "w", "target": {"kind": "service", "id": "museum.desk"}, "basis": "declared"}],
@@ -43,8 +43,8 @@ def test_clean_and_broken(spark, tmp_path):
     broken["stores"][0]["tables"][0]["columns"][1]["fk"] = {"table": "museum.desk.pg.t", "column": "nope"}
     broken["stores"][0]["views"][0] |= {"reads": ["x"], "columns": [{"name": "id", "type": "text", "pk": True, "from": ["q.r"]}]}
     broken["terms"][0]["definition"] = ""
-    broken["adrs"][0] |= {"date": "yesterday", "supersededBy": "9", "relates": ["nobody"]}
-    broken["rfcs"][0] |= {"displayId": "", "lifecycle": "done", "scope": "mars"}
+    broken["adrs"][0] |= {"date": "yesterday", "supersededBy": "9", "relates": {"services": ["nobody"]}}
+    broken["rfcs"][0] |= {"displayId": "", "lifecycle": "done", "scope": {"kind": "service", "service": "mars"}}
     broken["specs"][0]["requirements"][0]["scenarios"][0]["then"] = []
     broken["specs"][0]["tasks"] += [{"id": "1", "title": "", "done": True}]
     broken["repos"][0]["commit"] = ""

@@ -7,7 +7,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from atlasframe import estate_queries, model_queries, usage_queries  # noqa: F401
+from atlasframe import estate_queries, flow_queries, model_queries, usage_queries  # noqa: F401
 from atlasframe.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
