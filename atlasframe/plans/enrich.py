@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from atlasframe.operators import compose, estate
 from atlasframe.operators.relations import declared_edges
 
 
@@ -45,12 +46,27 @@ def flow_summaries(t: dict[str, DataFrame]) -> DataFrame:
     return j.withColumn("summary", F.coalesce(F.nullif("summary", F.lit("")), F.trim(F.get(F.split("_doc", r"\n\s*\n"), F.lit(0))), F.lit(""))).select(*t["flows"].columns)
 
 
+def executions(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``flows``, ``flow_nodes`` and ``participants`` with what flows lead on to put in (see ``operators.compose``), and ``composition``, the seams. Lanes of entered flows come behind a flow's own."""
+    columns = ["interface", "name", "response", "streaming"]
+    methods = t["methods"].select(*columns).unionByName(t["external_methods"].select(*columns)).withColumn("id", F.concat("interface", F.lit("/"), "name"))
+    flows, nodes, entries = compose.composed(t["flows"], t["flow_nodes"], estate.responses(methods).withColumnRenamed("id", "ref"))
+    lanes = t["participants"].join(flows.select(F.col("id").alias("flow")), "flow", "left_semi")
+    slugs = t["flows"].select(F.col("slug").alias("flow"), F.col("id").alias("_id"))
+    more = entries.select("flow_id", "flow").distinct().join(slugs, "flow").select("flow_id", F.col("_id").alias("flow")).join(t["participants"], "flow").withColumn("flow", F.col("flow_id")).drop("flow_id")
+    more = more.join(lanes.select("flow", "id"), ["flow", "id"], "left_anti").dropDuplicates(["flow", "id"])
+    last = lanes.groupBy("flow").agg(F.max("place").alias("_last"))
+    more = more.join(last, "flow", "left").withColumn("place", (F.coalesce("_last", F.lit(-1)) + F.row_number().over(Window.partitionBy("flow").orderBy("id"))).cast("int")).drop("_last")
+    return {"flows": flows, "flow_nodes": nodes, "participants": lanes.unionByName(more), "composition": entries}
+
+
 def enrich(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All of it; edges that only flows show join the declared ones, with the flow and step that show them in their note."""
     out = dict(t)
     out["flow_nodes"] = wire_names(out)
     out["columns"] = foreign_keys(out)
     out["flows"] = flow_summaries(out)
+    out |= executions(out)
     seen = declared_edges(out).withColumn("note", F.concat(F.lit("seen in "), "flow_id", F.lit(" at "), "step_id"))
     context = out["services"].select(F.col("id").alias("service"), "context")
     peers = out["methods"].groupBy(F.concat("interface", F.lit("/"), "name").alias("target")).agg(F.min("service").alias("peer"))
