@@ -158,6 +158,62 @@ def betweenness(pairs: DataFrame) -> DataFrame:
     return nodes.join(total.groupBy("node").agg(F.sum("dep").alias("dep")), "node", "left").select("node", (F.coalesce("dep", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
 
 
+def context_traffic(pairs: DataFrame, contexts: DataFrame, roots_at_once: int = 500) -> DataFrame:
+    """How much of the traffic between each two contexts a node carries: node, left, right (contexts, the smaller name first), carried, total, share.
+
+    ``pairs``: a, b (undirected, see ``undirected``); ``contexts``: node, context, of every node. ``carried`` sums, over the pairs of other nodes with one end in either context, the
+    share of their shortest paths that pass the node; ``total`` is the number of such pairs that reach one another. Rows with nothing carried are left out.
+
+    Brandes' dependencies are kept as sparse vectors, a row for each root, node and context of the targets, so one pass gives all pairs of contexts. Roots go in blocks of ``roots_at_once``: a block's
+    rows are bounded by it times the nodes times the contexts that lie behind them, and only the sums over a block are kept.
+    """
+    e = checkpoint(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    nodes = checkpoint(e.select(F.col("a").alias("node")).distinct().join(contexts.select("node", "context"), "node", "left"))
+    blocks = -(-nodes.count() // roots_at_once)
+    of = lambda name, to: nodes.select(F.col("node").alias(name), F.col("context").alias(to))
+    carried, reached = None, None
+    for block in range(blocks):
+        roots = nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
+        levels = [checkpoint(roots.select(F.col("node").alias("root"), "node", F.lit(1.0).alias("paths")))]
+        seen = levels[0].select("root", "node")
+        while not levels[-1].isEmpty():
+            step = levels[-1].join(e, F.col("node") == F.col("a")).groupBy("root", F.col("b").alias("_to")).agg(F.sum("paths").alias("paths")).withColumnRenamed("_to", "node")
+            levels.append(checkpoint(step.join(seen, ["root", "node"], "left_anti")))
+            seen = seen.unionByName(levels[-1].select("root", "node"))
+            if len(levels) % 16 == 0:
+                seen = checkpoint(seen)
+        below, sums = None, None
+        for k in range(len(levels) - 2, 0, -1):
+            own = levels[k].join(of("node", "to"), "node").withColumn("dep", F.lit(1.0))
+            if below is not None:
+                part = below.groupBy("root", "node", "to").agg(F.sum("dep").alias("dep"))
+                sums = part if sums is None else sums.unionByName(part)
+                own = own.unionByName(levels[k].join(part, ["root", "node"]))
+            up = levels[k - 1].select("root", F.col("node").alias("_up"), F.col("paths").alias("_up_paths"))
+            flow = own.join(e, F.col("node") == F.col("a")).withColumnRenamed("b", "_up").join(up, ["root", "_up"])
+            below = checkpoint(flow.groupBy("root", F.col("_up").alias("node"), "to").agg(F.sum(F.col("_up_paths") / F.col("paths") * F.col("dep")).alias("dep")))
+        met = seen.where("root <> node").join(of("root", "from"), "root").join(of("node", "to"), "node").groupBy("root", "from", "to").agg(F.count("*").alias("n"))
+        reached = checkpoint(met if reached is None else reached.unionByName(met))
+        if sums is not None:
+            ends = sums.join(of("root", "from"), "root").groupBy("node", F.least("from", "to").alias("left"), F.greatest("from", "to").alias("right")).agg(F.sum("dep").alias("dep"))
+            carried = checkpoint(ends if carried is None else carried.unionByName(ends))
+    if carried is None:
+        return nodes.select("node", F.col("context").alias("left"), F.col("context").alias("right"), *[F.lit(0.0).alias(c) for c in ("carried", "total", "share")]).limit(0)
+    sums = carried.groupBy("node", "left", "right").agg((F.sum("dep") / 2).alias("carried"))
+    half = F.when(F.col("from") == F.col("to"), F.col("n") / 2).otherwise(F.col("n").cast("double"))
+    every = reached.where(F.col("from") <= F.col("to")).groupBy(F.col("from").alias("left"), F.col("to").alias("right")).agg(F.sum(half).alias("_all"))
+    own = reached.select(F.col("root").alias("node"), F.least("from", "to").alias("left"), F.greatest("from", "to").alias("right"), F.col("n").alias("_own"))
+    out = sums.join(every, ["left", "right"]).join(own, ["node", "left", "right"], "left")
+    total = F.col("_all") - F.coalesce("_own", F.lit(0))
+    return out.select("node", "left", "right", "carried", total.alias("total"), F.when(total > 0, F.col("carried") / total).otherwise(0.0).alias("share")).where("carried > 0")
+
+
+def main_roads(traffic: DataFrame, least: float = 0.5) -> DataFrame:
+    """Nodes that carry more than ``least`` of the traffic between two different contexts: the rows of ``context_traffic`` with ``place``, the largest share of a node first."""
+    found = traffic.where((F.col("left") != F.col("right")) & (F.col("share") > least))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("share"), "left", "right")).cast("long"))
+
+
 def published_after(receipts: DataFrame, publications: DataFrame, key: list[str], order: str) -> DataFrame:
     """For each receipt, the first publication of each event later in the same ``key``.
 
