@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     """Remove from every text of ``docs`` (``doc_id``, ``text``) each byte of a LENGTH-byte string that also starts in a document with a smaller id.
 
     Strings are judged on the input as it comes; overlaps count; strings never cross documents. Null text is empty. Rows of one
-    ``doc_id`` are documents of one rank: they don't remove one another's bytes. A document longer than a slice is a slice of its own; ties go to no one, as equal ids are one rank. Rows without id are left out; no rows give no rows.
+    ``doc_id`` are documents of one rank: they don't remove one another's bytes. Documents are dealt to slices by a hash of their id, so a very long one makes its slice longer; ties go to no one, as equal ids are one rank. Rows without id are left out; no rows give no rows.
     Returns ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary) and the columns of ``carry``, by whatever
     name; other columns are ignored.
 
