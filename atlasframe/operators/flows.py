@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import count, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -210,25 +210,27 @@ def align(base: DataFrame, branch: DataFrame, key: list[str]) -> DataFrame:
     return sides[0].join(sides[1], "flow_id", "full_outer").mapInPandas(lcs, "flow_id string, ord long, base_id string, branch_id string")
 
 
-def spliced(nodes: DataFrame, next_flows: DataFrame, opened: DataFrame | None = None, depth: int = 12) -> DataFrame:
+def spliced(nodes: DataFrame, next_flows: DataFrame, opened: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """Flows with the flows that their steps lead on to put in after those steps, as one ordered list for each root.
 
     ``next_flows``: flow_id, step_id, next_flow (see ``continuations``); ``opened``, with the columns step_id and next_flow,
     says which of them to go into (all, without it: a composed flow; with it: a reader's journey). A flow on the way is not
-    entered again. Adds root, place (an array: its order is the list's), level and way.
+    entered again; levels end where nothing new is entered, or after ``depth`` of them where that is given. Adds root, place (an array: its order is the list's), level and way.
     """
     doors = next_flows.select("flow_id", F.col("step_id").alias("node_id"), "next_flow").distinct()
     if opened is not None:
         doors = doors.join(opened.select(F.col("step_id").alias("node_id"), "next_flow"), ["node_id", "next_flow"], "left_semi")
     level = nodes.select(F.col("flow_id").alias("root"), F.array("ord").alias("place"), F.lit(0).alias("level"), F.array("flow_id").alias("way"), *nodes.columns)
     out = level
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         entered = level.select("root", "place", "way", "flow_id", "node_id").join(doors, ["flow_id", "node_id"]).where(~F.array_contains("way", F.col("next_flow")))
         entered = checkpoint(entered.select("root", F.col("place").alias("_place"), F.col("way").alias("_way"), F.col("next_flow").alias("flow_id")))
         if entered.isEmpty():
             break
         level = nodes.join(entered, "flow_id").select("root", F.concat("_place", F.array("ord")).alias("place"), F.lit(k).alias("level"), F.concat("_way", F.array("flow_id")).alias("way"), *nodes.columns)
         out = out.unionByName(level)
+        if k % 8 == 0:  # the plan of a long journey stays short
+            level, out = checkpoint(level), checkpoint(out)
     return out
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +37,11 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
 def tables_folder(spark: SparkSession) -> str:
     """Where intermediate tables go: below the checkpoint folder, or in the scratch folder in use."""
     ensure_checkpoint_dir(spark)
-    return _scratch[-1] if _scratch else spark.sparkContext.getCheckpointDir()
+    return _scratch.get() or spark.sparkContext.getCheckpointDir()
 
 
-_scratch: list[str] = []
+#: The scratch folder in use; other threads have their own.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
@@ -47,9 +49,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables that are written inside are deleted at the end, when nothing reads them any more."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
-    _scratch.append(folder)
+    before = _scratch.set(folder)
     try:
         yield
     finally:
-        _scratch.remove(folder)
+        _scratch.reset(before)
         delete_folder(spark, folder)
