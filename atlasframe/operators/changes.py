@@ -19,6 +19,9 @@ from atlasframe.operators.merge import rank_of
 SETTLED = ("accepted", "superseded")
 SETTLED_PROPOSAL = ("accepted", "implemented", "rejected", "withdrawn", "abandoned", "superseded")
 
+#: A table of the entities that each side has; where it isn't given, those that have parts.
+Both = tuple[DataFrame, DataFrame]
+
 
 def fill(template: str) -> Column:
     """A text with the values of the columns that it names in braces; null is empty."""
@@ -99,10 +102,10 @@ def interface_changes(before: DataFrame, after: DataFrame, services: tuple[DataF
     return s.added("interface", '"{service}" provides {interface}').removed("interface", '"{service}" no longer provides {interface}', "breaking").changes()
 
 
-def method_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``service``, ``interface``, ``name``, ``deprecated`` and the columns of ``signature``."""
+def method_changes(before: DataFrame, after: DataFrame, interfaces: Both | None = None) -> DataFrame:
+    """``service``, ``interface``, ``name``, ``deprecated`` and the columns of ``signature``; ``interfaces``: ``service``, ``interface``."""
     signed = [df.select("service", "interface", "name", signature().alias("signature"), F.coalesce("deprecated", F.lit(False)).alias("deprecated")) for df in (before, after)]
-    s = Sides(*signed, ["service", "interface", "name"], "service").of(*signed, ["service", "interface"])
+    s = Sides(*signed, ["service", "interface", "name"], "service").of(*(interfaces or signed), ["service", "interface"])
     s = s.added("method", "{interface} gained {name}").removed("method", "{interface} lost {name}", "breaking")
     s = s.moved("method.signature", "signature", "{interface}/{name} is now {now_signature}, was {was_signature}", "breaking")
     return s.moved("method.deprecated", "deprecated", "{interface}/{name} is deprecated", when=F.col("now_deprecated")).changes()
@@ -134,15 +137,15 @@ def entity_changes(before: DataFrame, after: DataFrame, kind: str, new: str, gon
     return Sides(before, after, ["id"], "id").added(kind, new).removed(kind, gone, gone_severity).changes()
 
 
-def part_changes(before: DataFrame, after: DataFrame, kind: str, new: str, gone: str, gone_severity: str = "change") -> DataFrame:
-    """``id`` of parts of ``owner``: operations of an aggregate, states and transitions of a lifecycle, tables of a store."""
-    s = Sides(before, after, ["owner", "id"], "owner").of(before, after, ["owner"])
+def part_changes(before: DataFrame, after: DataFrame, kind: str, new: str, gone: str, gone_severity: str = "change", owners: Both | None = None) -> DataFrame:
+    """``id`` of parts of ``owner``: operations of an aggregate, states and transitions of a lifecycle, tables of a store. ``owners``: ``owner``, also those without parts."""
+    s = Sides(before, after, ["owner", "id"], "owner").of(*(owners or (before, after)), ["owner"])
     return s.added(kind, new).removed(kind, gone, gone_severity).changes()
 
 
-def event_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``aggregate``, ``id``, ``consumers`` (how many)."""
-    s = Sides(before, after, ["aggregate", "id"], "id").of(before, after, ["aggregate"])
+def event_changes(before: DataFrame, after: DataFrame, aggregates: Both | None = None) -> DataFrame:
+    """``aggregate``, ``id``, ``consumers`` (how many); ``aggregates``: ``aggregate``."""
+    s = Sides(before, after, ["aggregate", "id"], "id").of(*(aggregates or (before, after)), ["aggregate"])
     s = s.added("event", F.when(F.col("now_consumers") == 0, fill("{id} is published, and nothing consumes it")).otherwise(fill("{id} is published, consumed by {now_consumers}")))
     return s.removed("event", F.when(F.col("was_consumers") == 0, fill("{id} is gone")).otherwise(fill("{id} is gone, and {was_consumers} consumed it")), "breaking").changes()
 
@@ -173,9 +176,9 @@ def pin_changes(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
     return s.moved("repo.commit", "commit", F.concat(fill("{id} moved from "), short_commit("was_commit"), F.lit(" to "), short_commit("now_commit"))).changes()
 
 
-def step_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``flow``, ``slug``, ``id``, ``text`` (from, to and label), ``status``."""
-    s = Sides(before, after, ["flow", "id"], "flow").of(before, after, ["flow"]).added("step", "{now_slug} gained {now_text}").removed("step", "{was_slug} lost {was_text}")
+def step_changes(before: DataFrame, after: DataFrame, flows: Both | None = None) -> DataFrame:
+    """``flow``, ``slug`` (one of a flow's two sides), ``id``, ``text`` (from, to and label), ``status``; ``flows``: ``flow``."""
+    s = Sides(before, after, ["flow", "id"], "flow").of(*(flows or (before, after)), ["flow"]).added("step", "{now_slug} gained {now_text}").removed("step", "{was_slug} lost {was_text}")
     return s.moved("step.status", "status", "{was_slug} step {id} is {now_status}, was {was_status}", status_severity(F.col("was_status"), F.col("now_status"))).changes()
 
 
@@ -197,25 +200,25 @@ def proposal_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return s.moved("rfc.body", "body", "{now_display} was edited after being {was_lifecycle}", when=F.col("was_lifecycle").isin(*SETTLED_PROPOSAL)).changes()
 
 
-def requirement_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``spec``, ``id``, ``title``, ``text``."""
+def requirement_changes(before: DataFrame, after: DataFrame, specs: Both | None = None) -> DataFrame:
+    """``spec``, ``id``, ``title``, ``text``; ``specs``: ``spec``."""
     told = [df.withColumn("_said", F.struct("title", "text")) for df in (before, after)]
-    s = Sides(*told, ["spec", "id"], "id").of(before, after, ["spec"]).added("requirement", "{id} — {now_title}").removed("requirement", "{id} is no longer required")
+    s = Sides(*told, ["spec", "id"], "id").of(*(specs or (before, after)), ["spec"]).added("requirement", "{id} — {now_title}").removed("requirement", "{id} is no longer required")
     return s.moved("requirement.changed", "_said", "{id} changed").changes()
 
 
-def scenario_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``requirement``, ``name``, ``steps`` (its conditions and outcomes, as one value)."""
+def scenario_changes(before: DataFrame, after: DataFrame, requirements: Both | None = None) -> DataFrame:
+    """``requirement``, ``name``, ``steps`` (its conditions and outcomes, as one value); ``requirements``: ``requirement``."""
     where = F.concat("requirement", F.lit("#scenario:"), "name")
-    s = Sides(before, after, ["requirement", "name"], "requirement").of(before, after, ["requirement"])
+    s = Sides(before, after, ["requirement", "name"], "requirement").of(*(requirements or (before, after)), ["requirement"])
     s = s.added("scenario", F.concat(where, F.lit(" is new")), where=where).removed("scenario", F.concat(where, F.lit(" is gone")), where=where)
     return s.moved("scenario.changed", "steps", F.concat(where, F.lit(" changed")), where=where).changes()
 
 
-def task_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``spec``, ``id``, ``title``, ``done``."""
+def task_changes(before: DataFrame, after: DataFrame, specs: Both | None = None) -> DataFrame:
+    """``spec``, ``id``, ``title``, ``done``; ``specs``: ``spec``."""
     where = F.concat("spec", F.lit("#task:"), F.col("id").cast("string"))
-    s = Sides(before, after, ["spec", "id"], "spec").of(before, after, ["spec"]).added("task", "{id} — {now_title}", where=where).removed("task", "{id} was removed", where=where)
+    s = Sides(before, after, ["spec", "id"], "spec").of(*(specs or (before, after)), ["spec"]).added("task", "{id} — {now_title}", where=where).removed("task", "{id} was removed", where=where)
     s = s.moved("task.completed", "done", "{id} was completed", when=F.col("now_done"), where=where).moved("task.reopened", "done", "{id} was reopened", when=~F.col("now_done"), where=where)
     return s.moved("task.changed", "title", "{id} changed", when=F.col("was_done").eqNullSafe(F.col("now_done")), where=where).changes()
 
