@@ -140,10 +140,10 @@ def call_host(alias: Column, base_url: Column, ident: Column) -> Column:
 
 
 def answers_on(service: Column, declared: Column, host: Column) -> Column:
-    """May a provider answer on a host: it declares the host, a wildcard of it, or its own name is the host's first label."""
+    """May a provider answer on a host: it declares the host, a wildcard of it (unless the host is a wildcard itself), or its own name is the host's first label."""
     host = F.lower(host)
     own = F.lower(F.element_at(F.split(service, r"\."), -1))
-    named = F.exists(F.coalesce(declared, F.array().cast("array<string>")), lambda h: (F.lower(h) == host) | (h.startswith("*.") & host.endswith(F.lower(F.substring(h, 2, 1 << 20)))))
+    named = F.exists(F.coalesce(declared, F.array().cast("array<string>")), lambda h: (F.lower(h) == host) | (h.startswith("*.") & ~host.startswith("*.") & host.endswith(F.lower(F.substring(h, 2, 1 << 20)))))
     return named | F.coalesce(F.split(host, r"\.")[0] == own, F.lit(False))
 
 
