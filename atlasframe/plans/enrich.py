@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from atlasframe.operators import compose, estate
 from atlasframe.operators.relations import declared_edges
+from atlasframe.plans import links
+from atlasframe.plans.checkpoints import checkpoint
 
 
 def wire_names(t: dict[str, DataFrame]) -> DataFrame:
@@ -63,10 +65,15 @@ def executions(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def enrich(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All of it; edges that only flows show join the declared ones, with the flow and step that show them in their note."""
     out = dict(t)
-    out["flow_nodes"] = wire_names(out)
-    out["columns"] = foreign_keys(out)
+    out |= links.configured_channels(out)
+    out |= {name: checkpoint(df) for name, df in links.http_calls({**out, "flow_nodes": checkpoint(out["flow_nodes"])}).items()}
+    out["flow_nodes"] = links.served_methods(out)
+    out["flow_nodes"] = checkpoint(wire_names(out))
     out["flows"] = flow_summaries(out)
     out |= executions(out)
+    out["flow_nodes"] = checkpoint(links.store_accesses(out))
+    out["participants"] = links.linked_lanes(out)
+    out["columns"] = foreign_keys(out)
     seen = declared_edges(out).withColumn("note", F.concat(F.lit("seen in "), "flow_id", F.lit(" at "), "step_id"))
     context = out["services"].select(F.col("id").alias("service"), "context")
     peers = out["methods"].groupBy(F.concat("interface", F.lit("/"), "name").alias("target")).agg(F.min("service").alias("peer"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from atlasframe.operators import estate
 from atlasframe.operators.resolve import route_shape, suffixes_of
+from atlasframe.plans.checkpoints import checkpoint
 
 RAW = r"^http-client/([A-Z]+)\s+(/\S*)(?: @ .+)?$"
 URL = r"^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)(?::[0-9]+)?([^?#]*)"
@@ -86,7 +87,7 @@ def http_calls(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     A call becomes one of its provider's method, declared; of several calls of a service that do, or are so already, the least stays, a resolved one last. Steps that made the call go to the
     provider. A lane of unknown kind that all steps have left goes; the provider gets a lane behind the others.
     """
-    hits = resolved_calls(t).select("service", "id", "provider", "ref", "route", "basis", "inferred")
+    hits = checkpoint(resolved_calls(t)).select("service", "id", "provider", "ref", "route", "basis", "inferred")
     j = t["calls"].join(hits, ["service", "id"], "left").withColumn("_hit", F.col("provider").isNotNull() & (F.col("status") == "unresolved"))
     resolution = F.struct(F.col("basis"), F.col("provider"), F.col("route"), F.when(F.col("inferred"), "medium").alias("confidence"))
     set_ = {"id": F.col("ref"), "peer": F.col("provider"), "status": F.lit("declared"), "destination": F.coalesce(F.col("destination"), F.from_json(F.lit("{}"), t["calls"].schema["destination"].dataType)).withField("resolution", resolution)}
