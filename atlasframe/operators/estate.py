@@ -173,9 +173,13 @@ def link_lanes(lanes: DataFrame, accessed: DataFrame, stores: DataFrame, neighbo
     """The store behind each store lane (``flow``, ``lane``): the only one its steps access, else the one of its id, else the only one its neighbours own.
 
     ``accessed``: flow, lane, store; ``stores``: store, owner; ``neighbours``: flow, lane, service. Adds ``store`` and ``basis``.
+    Several stores are one if the least and the greatest are; so an owner's stores are summed up before they meet its neighbours.
     """
-    only = lambda df, name: df.groupBy("flow", "lane").agg(F.count_distinct("store").alias("_n"), F.min("store").alias(name)).where("_n = 1").drop("_n")
-    owned = neighbours.join(stores, F.col("service") == F.col("owner")).select("flow", "lane", "store")
+    least, most = F.min("_least").alias("_least"), F.max("_most").alias("_most")
+    only = lambda df, name: df.groupBy("flow", "lane").agg(least, most).where("_least = _most").select("flow", "lane", F.col("_least").alias(name))
+    owned = stores.groupBy("owner").agg(F.min("store").alias("_least"), F.max("store").alias("_most"))
+    owned = neighbours.join(owned, F.col("service") == F.col("owner"))
+    accessed = accessed.withColumns({"_least": F.col("store"), "_most": F.col("store")})
     named = stores.select(F.col("store").alias("lane"), F.col("store").alias("_named")).distinct()
     out = lanes.join(only(accessed, "_accessed"), ["flow", "lane"], "left").join(named, "lane", "left").join(only(owned, "_owned"), ["flow", "lane"], "left")
     basis = F.when(F.col("_accessed").isNotNull(), "access").when(F.col("_named").isNotNull(), "id").when(F.col("_owned").isNotNull(), "neighbour").otherwise("unresolved")
