@@ -58,10 +58,10 @@ def expanded(nodes: DataFrame, flows: DataFrame, ways: DataFrame, depth: int | N
     already; ``depth`` bounds the levels where given. The result's ``place`` (an array, whose order is the order of the nodes) and ``prefix`` (of ids) tell each copy of a node from the others.
     """
     named = flows.select(F.col("id").alias("flow_id"), "slug", F.coalesce("includes", F.array().cast("array<string>")).alias("_includes"))
-    of = nodes.join(named, "flow_id")
+    of = checkpoint(nodes.join(named, "flow_id"))  # read by each round, as are the ways
     level = of.select(F.col("flow_id").alias("root"), F.array("ord").alias("place"), F.lit("").alias("prefix"), F.array("slug").alias("_way"), F.col("parent_id").alias("_p"), F.col("branch").alias("_b"), F.col("path").alias("_path"), *of.columns)
     every, entered, k = level, None, 0
-    known = ways.join(named.select(F.col("flow_id").alias("next_flow"), F.col("slug").alias("_next_slug")), "next_flow")
+    known = checkpoint(ways.join(named.select(F.col("flow_id").alias("next_flow"), F.col("slug").alias("_next_slug")), "next_flow"))
     while depth is None or k < depth:
         k += 1
         found = level.where("type = 'step'").select("root", "place", "prefix", "_way", "_includes", "_p", "_b", "_path", "flow_id", "node_id").join(known, ["flow_id", "node_id"])
@@ -133,6 +133,7 @@ def composed(flows: DataFrame, nodes: DataFrame, answers: DataFrame, depth: int
     request opens at its own exits, unless a reply stands there already. A flow that was entered, has an entrypoint and no trigger of its own is told there
     and stands alone no more. Flows without any of this stay as they are. ``includes`` and ``summary`` say what has been put in.
     """
+    nodes = checkpoint(nodes)
     ways = doors(nodes, flows)
     every, entered = expanded(nodes, flows, ways, depth)
     tree = checkpoint(placed(every))
