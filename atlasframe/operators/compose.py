@@ -113,7 +113,7 @@ def reply_rows(tree: DataFrame, asked: DataFrame) -> DataFrame:
     under = under.where(F.col("_place").isNull() | (F.slice("place", F.lit(1), F.size("_place")).eqNullSafe(F.col("_place")) & (F.size("place") > F.size("_place"))))
     top = F.col("parent_id").eqNullSafe(F.col("_up")) & F.col("branch").eqNullSafe(F.col("_up_branch"))
     flat = under.select(F.col("_id").alias("flow_id"), "node_id", F.when(~top, F.col("parent_id")).alias("parent_id"), F.when(~top, F.col("branch")).alias("branch"), "type", "branches", "ord", "last", F.col("path"))
-    exits = replies_at_exits(checkpoint(flat), keyed.select(F.col("_id").alias("flow_id"), "label"))
+    exits = replies_at_exits(flat, keyed.select(F.col("_id").alias("flow_id"), "label"))
     frames = tree.select(F.col("flow_id").alias("root"), F.col("node_id").alias("_frame"), F.col("path").alias("_frame_path"), "branches")
     out = exits.join(keyed.select(F.col("_id").alias("flow_id"), "root", "place", "node_id", "prefix", "_own_id", "from", "to", "status", "note", F.col("parent_id").alias("_up"), F.col("branch").alias("_up_branch"), F.col("path").alias("_up_path")), "flow_id")
     out = out.join(frames.withColumnRenamed("_frame", "parent_id"), ["root", "parent_id"], "left")

@@ -119,8 +119,9 @@ def replies_at_exits(nodes: DataFrame, answers: DataFrame) -> DataFrame:
     A reply stands at the end of the flow's own list and of each terminal branch, at any depth, unless that list has a choice all of whose branches are terminal, so that
     nothing goes on behind it. Branches without nodes have their reply behind the branch before, or the frame.
     """
+    nodes = checkpoint(nodes.select("flow_id", "node_id", "parent_id", "branch", "type", "branches", "ord", "last", F.size("path").alias("_depth")))
     closed = nodes.where("type = 'alt'").where((F.size("branches") > 0) & F.forall("branches", lambda b: F.coalesce(b["terminal"], F.lit(False)))).select("flow_id", "parent_id", "branch").distinct()
-    alts = nodes.where("type = 'alt'").select("flow_id", "node_id", "ord", F.size("path").alias("_depth"), F.posexplode("branches").alias("_k", "_b"))
+    alts = nodes.where("type = 'alt'").select("flow_id", "node_id", "ord", "_depth", F.posexplode("branches").alias("_k", "_b"))
     ends = nodes.where("parent_id is not null").groupBy("flow_id", F.col("parent_id").alias("node_id"), F.col("branch").alias("_k")).agg(F.max("last").alias("_end"))
     branches = alts.join(ends, ["flow_id", "node_id", "_k"], "left")
     behind = F.max("_end").over(Window.partitionBy("flow_id", "node_id").orderBy("_k"))
