@@ -22,16 +22,18 @@ def seen_only(nodes: DataFrame) -> DataFrame:
     """Nodes with ``_quiet`` (all at and below it was seen in recordings) and ``_seen_only`` (that, and a step is among it).
 
     A step is seen if it says so; an ``alt`` if each of its branches is counted; other frames never are. What is below a node reaches it through its path, so this is
-    one aggregation, however deep the tree.
+    one window, however deep the tree, and reads the nodes once.
     """
     loud = F.when(F.col("type") == "step", F.col("seen").isNull()).when(F.col("type") == "alt", F.exists(F.coalesce("branches", F.array().cast(nodes.schema["branches"].dataType)), lambda b: b["seen"].isNull())).otherwise(True)
     marked = nodes.withColumn("_loud", loud)
-    above = marked.select("flow_id", "_loud", F.col("type").alias("_type"), F.explode("path").alias("_frame"))
-    inside = above.groupBy("flow_id", F.element_at(F.split("_frame", ":"), 2).alias("node_id")).agg(F.bool_or("_loud").alias("_loud_inside"), F.count_if(F.col("_type") == "step").alias("_steps"))
-    out = marked.join(inside, ["flow_id", "node_id"], "left")
+    frames = F.transform("path", lambda x: F.element_at(F.split(x, ":"), 2))
+    told = marked.select("*", F.posexplode(F.concat(F.array("node_id"), frames)).alias("_up", "_at"))
+    told = told.select("flow_id", "_at", "_up", "_loud", "type", *[F.when(F.col("_up") == 0, F.col(c)).alias(c) for c in nodes.columns if c not in ("flow_id", "type")])
+    below, inside = Window.partitionBy("flow_id", "_at"), F.col("_up") > 0
+    out = told.withColumn("_loud_inside", F.bool_or(F.when(inside, F.col("_loud"))).over(below)).withColumn("_steps", F.count_if(inside & (F.col("type") == "step")).over(below)).where("_up = 0")
     quiet = ~F.col("_loud") & ~F.coalesce("_loud_inside", F.lit(False))
     steps = (F.col("type") == "step") | (F.coalesce("_steps", F.lit(0)) > 0)
-    return out.withColumn("_quiet", quiet).withColumn("_seen_only", quiet & steps).drop("_loud", "_loud_inside", "_steps")
+    return out.withColumn("_quiet", quiet).withColumn("_seen_only", quiet & steps).select(*nodes.columns, "_quiet", "_seen_only")
 
 
 def differs(a: str, b: str) -> Column:
@@ -62,7 +64,8 @@ def overlay(mine: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner = added.select("flow_id", F.col("node_id").alias("b_parent_id"))
     tops = added.join(inner.distinct(), ["flow_id", "b_parent_id"], "left_anti")
     turns = both.where(has).withColumns({f"_{x}": F.row_number().over(Window.partitionBy(*LIST).orderBy(f"{x}_ord")) for x in "ab"})
-    refused = both.where("_b is null").select("flow_id").unionByName(both.where(has & unlike).select("flow_id")).unionByName(tops.where("not _seen_only").select("flow_id")).unionByName(turns.where("_a <> _b").select("flow_id")).distinct()
+    refused = both.where("_b is null").select("flow_id").unionByName(both.where(has & unlike).select("flow_id")).unionByName(tops.where("not _seen_only").select("flow_id")).unionByName(turns.where("_a <> _b").select("flow_id"))
+    refused = checkpoint(refused.distinct())
     verified = (F.col("b_status") == "verified") & (F.col("a_status") == "declared")
     said = {"ord": F.col("b_ord"), "last": F.col("b_last"), "seen": F.coalesce("b_seen", "a_seen")}
     said["status"] = F.when(F.coalesce(verified, F.lit(False)), "verified").otherwise(F.col("a_status"))
