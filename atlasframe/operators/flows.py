@@ -44,10 +44,17 @@ def chapters(nodes: DataFrame) -> DataFrame:
     top = F.when(F.size("path") > 0, F.element_at(F.split(F.col("path")[0], ":"), 2))
     kind = F.when(F.size("path") > 0, F.element_at(F.split(F.col("path")[0], ":"), 1)).otherwise("steps")
     w = Window.partitionBy("flow_id").orderBy("ord")
-    marked = steps(nodes).withColumn("_key", F.coalesce(top, F.lit(""))).withColumn("kind", kind)
-    marked = marked.withColumn("_new", F.coalesce((F.col("_key") != F.lag("_key").over(w)).cast("int"), F.lit(1))).withColumn("chapter", F.sum("_new").over(w))
-    count = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return marked.groupBy("flow_id", "chapter", "kind").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("steps"), count("verified"), count("declared"), count("unresolved"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    states = ("verified", "declared", "unresolved")
+    sums = {"steps": F.count("*").over(so_far)} | {s: F.count_if(F.col("status") == s).over(so_far) for s in states}
+    marked = steps(nodes).select("flow_id", "ord", "status", F.coalesce(top, F.lit("")).alias("_key"), kind.alias("kind"))
+    other = lambda at: F.coalesce((F.col("_key") != at("_key").over(w)) | (F.col("kind") != at("kind").over(w)), F.lit(True))
+    marked = marked.withColumns({"_opens": other(F.lag), "_ends": other(F.lead)} | sums)
+    # where a chapter ends, the sums so far less those at the end before it are its own: nothing is held but the rows in their order
+    first = F.max(F.when(F.col("_opens"), F.col("ord"))).over(so_far)
+    ends = marked.withColumn("first", first).where("_ends")
+    own = [(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))).alias(c) for c in ("steps", *states)]
+    return ends.select("flow_id", F.row_number().over(w).cast("long").alias("chapter"), "kind", "first", F.col("ord").alias("last"), *own)
 
 
 def paths(nodes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from atlasframe.operators import flows
 from atlasframe.operators.flow_trees import nested, overlay, replies_at_exits
 from atlasframe.operators.relations import links
 from atlasframe.operators.usages import concerning, covers
@@ -251,3 +252,12 @@ def test_later_sources_are_laid_over_a_flow(full):
     assert [(r.node_id, r.status, r.note, r.seen and r.seen.traces) for r in nodes] == [("s1", "verified", "seen", 2), ("new", "declared", None, 1), ("s2", "declared", None, None)]
     assert [r.id for r in t["participants"].orderBy("place").collect()] == ["a", "b", "c"] and sorted(r.id for r in t["flow_examples"].collect()) == ["e1", "e2"]
     assert t["flows"].count() == 1 and conflicts.where("kind = 'flows'").count() == 2
+
+
+def test_chapters_hold_no_table_of_groups(spark):
+    """Chapters are read off the rows in their order; a frame without an id is no run of plain steps."""
+    rows = [("f", 1, "step", [], "verified"), ("f", 2, "step", [], "declared"), ("f", 3, "step", ["alt::0"], "verified"), ("f", 4, "step", ["alt:x:0"], "unresolved"), ("f", 5, "step", ["alt:x:1"], "verified"), ("g", 7, "step", None, None)]
+    df = spark.createDataFrame(rows, "flow_id string, ord long, type string, path array<string>, status string")
+    found = flows.chapters(df)
+    assert {tuple(r) for r in found.collect()} == {("f", 1, "steps", 1, 2, 2, 1, 1, 0), ("f", 2, "alt", 3, 3, 1, 1, 0, 0), ("f", 3, "alt", 4, 5, 2, 1, 0, 1), ("g", 1, "steps", 7, 7, 1, 0, 0, 0)}
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
