@@ -3,7 +3,7 @@
 import json
 import random
 
-from atlasframe.operators.ways import Ways, way_counts, way_name, ways_of
+from atlasframe.operators.ways import Ways, _count, way_counts, way_name, ways_of
 from tests.test_flow_trees import step, tree
 
 
@@ -61,3 +61,13 @@ def test_no_ways(spark):
     assert {r.flow_id: r.ways for r in way_counts(df).collect()} == {"a": "1", "b": "1", "c": "0"}
     out = ways_of(df, spark.createDataFrame([("a", "0", None), ("c", "0", None), ("b", None, ""), ("gone", "0", None)], "flow_id string, way string, name string")).collect()
     assert {(r.flow_id, r.name, None if r.steps is None else len(r.steps)) for r in out} == {("a", "", 0), ("c", None, None), ("b", "", 0)}
+
+
+def test_flows_told_alike_are_counted_once():
+    rng = random.Random(8)
+    told = [tree(rng) for _ in range(200)]
+    _count.cache_clear()
+    for nodes in told * 3:
+        on, end = Ways(nodes).of_list(nodes)
+        assert _count(json.dumps(nodes)) == (str(on + end), str(end))
+    assert _count.cache_info().misses <= 200 and _count.cache_info().maxsize == 1 << 14
