@@ -15,9 +15,10 @@ def violation(df: DataFrame, rule: str, subject: Column, detail: Column) -> Data
 
 
 def orphans(df: DataFrame, ref: str, targets: DataFrame, key: str, rule: str) -> DataFrame:
-    """References to rows that aren't there; null references are none."""
-    lost = df.where(F.col(ref).isNotNull()).join(targets.select(F.col(key).alias(ref)).distinct(), ref, "left_anti")
-    return violation(lost.groupBy(ref).count(), rule, F.col(ref), F.concat(F.col("count").cast("string"), F.lit(" references")))
+    """References to rows that aren't there; null references are none. They are counted before they meet the targets, so that a task sorts each only once; Spark would move an anti join back below the count."""
+    known = targets.select(F.col(key).alias(ref), F.lit(True).alias("_known"))
+    lost = df.where(F.col(ref).isNotNull()).groupBy(ref).count().join(known.hint("merge"), ref, "left").where("_known is null")
+    return violation(lost, rule, F.col(ref), F.concat(F.col("count").cast("string"), F.lit(" references")))
 
 
 def duplicates(df: DataFrame, scope: list[str], rule: str) -> DataFrame:

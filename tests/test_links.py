@@ -2,6 +2,7 @@
 
 import json
 
+from atlasframe.operators import validate
 from atlasframe.plans import links
 from atlasframe.sources.fragments import explode_fragments, read_fragments
 
@@ -70,3 +71,11 @@ def test_links_of_an_estate(spark, tmp_path):
     access = {r.node_id: r.storeAccess for r in links.store_accesses(t).where("storeAccess is not null").collect()}
     assert (access["s4"].operation, access["s4"].keyspace, access["s4"].source) == ("read", "k:*", "x") and access["s5"].operation is None
     assert {r.id: r.entityRef for r in links.linked_lanes(t).where("kind = 'store'").collect()} == {"db": "c.pay.redis", "c.pay.pg": "c.pay.pg", "s3": "c.bill.pg", "s4": None}
+
+
+def test_references_are_counted_before_they_meet_their_targets(spark):
+    df, targets = spark.createDataFrame([(1,), (1,), (2,), (3,), (3,), (3,), (None,)], "ref long"), spark.createDataFrame([(2,), (2,), (None,)], "id long")
+    lost = validate.orphans(df, "ref", targets, "id", "lost")
+    assert {tuple(r) for r in lost.collect()} == {("lost", "1", "2 references"), ("lost", "3", "3 references")}
+    plan = lost._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("Join") < plan.index("Aggregate") and "Broadcast" not in lost._jdf.queryExecution().executedPlan().toString()
