@@ -169,12 +169,12 @@ def continuations(nodes: DataFrame, flows: DataFrame, participants: DataFrame |
     else:
         opens = opens.withColumn("_actor", F.lit(True))
     s = steps(nodes).where("ref is not null").select("flow_id", F.col("node_id").alias("step_id"), "ref", "kind", "to")
-    entry = flows.where("entrypoint <> ''").select(F.col("id").alias("next_flow"), F.col("entrypoint").alias("ref"))
-    by_entry = s.join(entry, "ref").select("flow_id", "step_id", "next_flow", F.lit(1).alias("rank"))
+    entry = flows.where("entrypoint <> ''").select(F.col("id").alias("next_flow"), F.col("entrypoint").alias("ref"), F.lit(True).alias("_entry"))
+    doors = opens.where("ref is not null and _k in ('rpc', 'event')").select("next_flow", "ref", "_k", "_to", "_actor", F.lit(False).alias("_entry")).unionByName(entry, allowMissingColumns=True)
     served = (F.col("kind") == "rpc") & (F.col("_k") == "rpc") & (F.col("to") == F.col("_to")) & F.col("_actor")
     shared = (F.col("kind") == "event") & (F.col("_k") == "event")
-    by_open = s.join(opens.where("ref is not null"), "ref").where(served | shared).select("flow_id", "step_id", "next_flow", F.when(served, 3).otherwise(4).alias("rank"))
-    all_ = by_entry.unionByName(by_open)
+    met = s.join(doors, "ref").where(F.col("_entry") | served | shared)  # steps are shuffled once for both
+    all_ = met.select("flow_id", "step_id", "next_flow", F.when(F.col("_entry"), 1).when(served, 3).otherwise(4).alias("rank"))
     if handoffs is not None:
         what = ["kind", "transport", "channel", "message"]
         given = handoffs.withColumn("message", F.coalesce("message", F.lit("")))

@@ -261,3 +261,11 @@ def test_chapters_hold_no_table_of_groups(spark):
     found = flows.chapters(df)
     assert {tuple(r) for r in found.collect()} == {("f", 1, "steps", 1, 2, 2, 1, 1, 0), ("f", 2, "alt", 3, 3, 1, 1, 0, 0), ("f", 3, "alt", 4, 5, 2, 1, 0, 1), ("g", 1, "steps", 7, 7, 1, 0, 0, 0)}
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_meet_entrypoints_and_openings_at_once(spark):
+    rows = [("f", 1, "a", "step", "rpc", "x", "s"), ("f", 2, "b", "step", "rpc", "y", "t"), ("f", 3, "c", "step", "event", "z", "t"), ("g", 1, "a", "step", "rpc", "y", "t"), ("h", 1, "a", "step", "event", "z", "u"), ("i", 1, "a", "step", "other", "y", "t")]
+    nodes = spark.createDataFrame([(*r, "me") for r in rows], "flow_id string, ord long, node_id string, type string, kind string, ref string, to string, from string")
+    found = flows.continuations(nodes, spark.createDataFrame([("g", "x"), ("h", ""), ("f", None)], "id string, entrypoint string"))
+    assert {tuple(r) for r in found.collect()} == {("f", "a", "g", "entrypoint"), ("f", "b", "g", "contract"), ("f", "c", "h", "event")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
