@@ -246,7 +246,7 @@ def text_issue_keys(spark, sf_dir):
 def source_work_items(spark, sf_dir):
     """Commit logs, one for each customer: an order is a commit, its lines are the paths that it changed."""
     heads = part(spark, sf_dir, "select o_custkey as repo, o_orderkey as c, 0 as n, lpad(lower(hex(o_orderkey)), 8, '0') || '|' || date_format(o_orderdate, 'yyyy-MM-dd') || '|AB-' || (o_orderkey % 50) || ' done' as line from {orders}")
-    body = part(spark, sf_dir, "select o_custkey as repo, o_orderkey as c, 1 + cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey) as int) as n, 'src/' || (l_partkey % 20) as line from {lineitem} join {orders} on l_orderkey = o_orderkey")
+    body = part(spark, sf_dir, "select o_custkey as repo, o_orderkey as c, n, 'src/' || (l_partkey % 20) as line from (select l_orderkey, l_partkey, 1 + cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey) as int) as n from {lineitem}) join {orders} on l_orderkey = o_orderkey")
     log = owners.parse_log(heads.unionByName(body), "line", ["c", "n"], ["repo"])
     return owners.work_items(log, ["AB"]).select("key", "path", "commits")
 

@@ -78,6 +78,11 @@ def parse_log(lines: DataFrame, line: str, order: list[str], log: list[str] | No
 
 
 def work_items(log: DataFrame, projects: list[str]) -> DataFrame:
-    """Issue keys of commit subjects with the paths they touched: key, path, commits, last date."""
+    """Issue keys of commit subjects with the paths they touched: key, path, commits, last date.
+
+    A commit is counted at the first of its rows in their order: a distinct count keeps a table of nearly all rows beside the sort that ``parse_log`` ends with.
+    """
     keyed = log.withColumn("key", F.explode(issue_keys(F.col("subject"), projects)))
-    return keyed.groupBy("key", "path").agg(F.count_distinct("commit").alias("commits"), F.max("date").alias("last"))
+    w = Window.partitionBy("commit", "path", "key").orderBy("commit")
+    marked = keyed.withColumn("_first", F.lag(F.lit(1)).over(w).isNull() & F.col("commit").isNotNull())
+    return marked.groupBy("key", "path").agg(F.count_if("_first").alias("commits"), F.max("date").alias("last"))
