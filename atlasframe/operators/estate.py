@@ -159,13 +159,19 @@ def name_served(steps: DataFrame, methods: DataFrame) -> DataFrame:
     return out.withColumn("ref", F.coalesce("ref", "_by_name", "_by_route")).select(*steps.columns)
 
 
-def resolve_accesses(steps: DataFrame, accesses: DataFrame) -> DataFrame:
+def resolve_accesses(steps: DataFrame, accesses: DataFrame, ident: str | None = None) -> DataFrame:
     """Store steps (``store``, ``method``) with the ``operation`` and ``keyspace`` of the one access of the store whose method ends alike; null where none or several do.
 
-    ``accesses``: store, method, operation, keyspace. The end of a method's name is what stands behind its last dot or slash.
+    ``accesses``: store, method, operation, keyspace; each row is an access. With ``ident``, what else tells accesses apart, rows that are alike in all five are one: they are
+    summed up by their least and greatest, so that nothing has to make them distinct. The end of a method's name is what stands behind its last dot or slash.
     """
     tail = lambda c: F.element_at(F.split(c, r"[./]"), -1)
-    one = accesses.withColumn("_tail", tail(F.col("method"))).groupBy("store", "_tail").agg(F.count("*").alias("_n"), F.min("operation").alias("operation"), F.min("keyspace").alias("keyspace")).where("_n = 1").drop("_n")
+    number = F.count("*")
+    if ident is not None:
+        same = (F.count(ident) == 0) | ((F.count(ident) == F.count("*")) & (F.min(ident) == F.max(ident)))
+        number = F.when(same, 1).otherwise(2)  # one or several
+    alike = accesses.groupBy("store", "method", "operation", "keyspace").agg(number.alias("_n"))
+    one = alike.withColumn("_tail", tail(F.col("method"))).groupBy("store", "_tail").agg(F.sum("_n").alias("_n"), F.min("operation").alias("operation"), F.min("keyspace").alias("keyspace")).where("_n = 1").drop("_n")
     return steps.withColumn("_tail", tail(F.col("method"))).join(one, ["store", "_tail"], "left").drop("_tail")
 
 

@@ -140,9 +140,9 @@ def enrich_name_served(spark, sf_dir):
 @query("""with a as (select l_suppkey as store, l_returnflag || l_linenumber as tail, count(*) as n, min(l_linestatus) as operation, min(l_returnflag) as keyspace from (select distinct l_suppkey, l_returnflag, l_linenumber, l_linestatus, l_partkey from lineitem) group by 1, 2 having count(*) = 1)
  select l_suppkey as store, l_orderkey, l_linenumber, l_partkey, a.operation, a.keyspace from lineitem left join a on store = l_suppkey and tail = l_returnflag || l_linenumber""")
 def enrich_store_accesses(spark, sf_dir):
-    accesses = part(spark, sf_dir, "select distinct l_suppkey as store, 'repo.' || l_linestatus || '/' || l_returnflag || l_linenumber as method, l_linestatus as operation, l_returnflag as keyspace, l_partkey from {lineitem}").drop("l_partkey")
+    accesses = part(spark, sf_dir, "select l_suppkey as store, 'repo.' || l_linestatus || '/' || l_returnflag || l_linenumber as method, l_linestatus as operation, l_returnflag as keyspace, l_partkey from {lineitem}")
     steps = part(spark, sf_dir, "select l_suppkey as store, l_orderkey, l_linenumber, l_partkey, 'Orders.' || l_returnflag || l_linenumber as method from {lineitem}")
-    return estate.resolve_accesses(steps, accesses).drop("method")
+    return estate.resolve_accesses(steps, accesses, "l_partkey").drop("method")
 
 
 @query("""with lanes as (select distinct l_orderkey as flow, case when l_partkey % 3 = 0 then 's' || l_suppkey else 'lane' || (l_partkey % 3) end as lane from lineitem), acc as (select l_orderkey as flow, case when l_partkey % 3 = 0 then 's' || l_suppkey else 'lane' || (l_partkey % 3) end as lane, 's' || l_suppkey as store from lineitem where l_returnflag = 'R'),
