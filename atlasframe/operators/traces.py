@@ -14,18 +14,22 @@ def roots(spans: DataFrame) -> DataFrame:
     return spans.join(parents, ["trace_id", "parent_id"], "left_anti").select(*spans.columns)
 
 
-def sequence(spans: DataFrame) -> DataFrame:
+def sequence(spans: DataFrame, mark: str | None = None) -> DataFrame:
     """Spans of each trace in depth-first order, children by (start, span_id): adds ``depth`` and ``ord``.
 
     Every level joins the children to the last level and extends a sortable path, until no children are left, however deep a trace is; the
-    paths' order is the order of a depth-first walk. Spans in a ring of parents belong to no root and are left out.
+    paths' order is the order of a depth-first walk. Spans in a ring of parents belong to no root and are left out. With ``mark``, a boolean column, adds ``above``: how
+    many places of ``path`` lead to the nearest marked span that a span lies below, 0 if there is none. ``spans`` is worked out once.
     """
+    spans = checkpoint(spans)
     step = F.struct(F.col("start"), F.col("span_id"))
-    level = checkpoint(roots(spans).withColumn("path", F.array(step)).withColumn("depth", F.lit(0)))
+    level = roots(spans).withColumn("path", F.array(step)).withColumn("depth", F.lit(0))
+    level = checkpoint(level if mark is None else level.withColumn("above", F.lit(0)))
+    carried = [] if mark is None else [F.when(F.col(mark), F.size("path")).otherwise(F.col("above")).alias("above")]
     out, depth = level, 0
     while not level.isEmpty():
         depth += 1
-        up = level.select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_up"))
+        up = level.select("trace_id", F.col("span_id").alias("parent_id"), F.col("path").alias("_up"), *carried)
         below = spans.join(up, ["trace_id", "parent_id"]).where(~F.array_contains("_up", step))  # a repeated span may close a ring
         level = checkpoint(below.withColumn("path", F.concat("_up", F.array(step))).drop("_up").withColumn("depth", F.lit(depth)))
         out = out.unionByName(level)
