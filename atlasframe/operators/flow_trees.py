@@ -6,38 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasframe.operators import merge
-from atlasframe.plans.checkpoints import checkpoint
+from atlasframe.plans.checkpoints import checkpoint, kept
 
-#: Columns that name the list a node stands in.
-LIST = ["flow_id", "_list"]
 
+def list_of(path: Column) -> Column:
+    """The list that a node stands in: the frames and branches around it."""
+    return F.array_join(F.transform(path, lambda x: F.regexp_replace(x, ":end$", "")), "\0")
 
-def with_list(nodes: DataFrame) -> DataFrame:
-    """Nodes with ``_list``, the frames and branches around them, and ``_nth``: how many nodes of that id their list has had."""
-    placed = nodes.withColumn("_list", F.array_join(F.transform("path", lambda x: F.regexp_replace(x, ":end$", "")), "\0"))
-    return placed.withColumn("_nth", F.row_number().over(Window.partitionBy(*LIST, "node_id").orderBy("ord")))
 
-
-def seen_only(nodes: DataFrame) -> DataFrame:
-    """Nodes with ``_quiet`` (all at and below it was seen in recordings) and ``_seen_only`` (that, and a step is among it).
-
-    A step is seen if it says so; an ``alt`` if each of its branches is counted; other frames never are. What is below a node reaches it through its path, so this is
-    one window, however deep the tree, and reads the nodes once.
-    """
-    loud = F.when(F.col("type") == "step", F.col("seen").isNull()).when(F.col("type") == "alt", F.exists(F.coalesce("branches", F.array().cast(nodes.schema["branches"].dataType)), lambda b: b["seen"].isNull())).otherwise(True)
-    marked = nodes.withColumn("_loud", loud)
-    frames = F.transform("path", lambda x: F.element_at(F.split(x, ":"), 2))
-    told = marked.select("*", F.posexplode(F.concat(F.array("node_id"), frames)).alias("_up", "_at"))
-    told = told.select("flow_id", "_at", "_up", "_loud", "type", *[F.when(F.col("_up") == 0, F.col(c)).alias(c) for c in nodes.columns if c not in ("flow_id", "type")])
-    below, inside = Window.partitionBy("flow_id", "_at"), F.col("_up") > 0
-    out = told.withColumn("_loud_inside", F.bool_or(F.when(inside, F.col("_loud"))).over(below)).withColumn("_steps", F.count_if(inside & (F.col("type") == "step")).over(below)).where("_up = 0")
-    quiet = ~F.col("_loud") & ~F.coalesce("_loud_inside", F.lit(False))
-    steps = (F.col("type") == "step") | (F.coalesce("_steps", F.lit(0)) > 0)
-    return out.withColumn("_quiet", quiet).withColumn("_seen_only", quiet & steps).select(*nodes.columns, "_quiet", "_seen_only")
-
-
-def differs(a: str, b: str) -> Column:
-    return ~F.coalesce(F.col(a).cast("string"), F.lit("")).eqNullSafe(F.coalesce(F.col(b).cast("string"), F.lit("")))
+def loud(nodes: DataFrame) -> Column:
+    """Was a node itself not only seen in recordings? A step is seen if it says so; an ``alt`` if each of its branches is counted; other frames never are."""
+    uncounted = F.exists(F.coalesce("branches", F.array().cast(nodes.schema["branches"].dataType)), lambda b: b["seen"].isNull())
+    return F.when(F.col("type") == "step", F.col("seen").isNull()).when(F.col("type") == "alt", uncounted).otherwise(True)
 
 
 def overlay(mine: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,32 +26,41 @@ def overlay(mine: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Both are tables of nodes (see ``sources.fragments.flow_nodes``), of flows that both have; a flow without nodes has no row here. The second agrees if, list by list, it has all
     nodes of the first in their order, alike in type, ends, kind, reference, titles and number of branches, and if the others were only seen in recordings.
     Nodes are the first's at the places of the second; a declared step becomes ``verified`` where the second says so and takes its note if it has none; ``seen`` is
-    the second's where it has one. The nodes only seen come with them. Both trees meet in one join by flow, list and id: nodes of one id
-    in one list meet in their order. One disagreement refuses the whole flow.
+    the second's where it has one. The nodes only seen come with them. Both trees go to the tasks of their flows once, and all else is done there: nodes of a flow, list and id
+    meet in their order. One disagreement refuses the whole flow.
     """
-    a, b = with_list(mine), with_list(seen_only(theirs))
-    names = [c for c in mine.columns if c != "flow_id"]
-    key = [*LIST, "node_id", "_nth"]
-    left = a.select(*key, *[F.col(c).alias(f"a_{c}") for c in names if c != "node_id"])
-    right = b.select(*key, "_seen_only", *[F.col(c).alias(f"b_{c}") for c in names if c != "node_id"])
-    both = checkpoint(left.withColumn("_a", F.lit(True)).join(right.withColumn("_b", F.lit(True)), key, "full_outer"))
-    has = F.col("_a") & F.col("_b")
-    titles = lambda side: F.transform(f"{side}_branches", lambda x: F.coalesce(x["title"], F.lit("")))
-    unlike = differs("a_type", "b_type") | F.when(F.col("a_type") == "step", differs("a_from", "b_from") | differs("a_to", "b_to") | differs("a_kind", "b_kind") | differs("a_ref", "b_ref")).when(
-        F.col("a_type") == "alt", ~titles("a").eqNullSafe(titles("b"))
-    ).when(F.col("a_type") == "parallel", F.size("a_branches") != F.size("b_branches")).otherwise(differs("a_title", "b_title"))
-    added = both.where("_a is null")
-    inner = added.select("flow_id", F.col("node_id").alias("b_parent_id"))
-    tops = added.join(inner.distinct(), ["flow_id", "b_parent_id"], "left_anti")
-    turns = both.where(has).withColumns({f"_{x}": F.row_number().over(Window.partitionBy(*LIST).orderBy(f"{x}_ord")) for x in "ab"})
-    refused = both.where("_b is null").select("flow_id").unionByName(both.where(has & unlike).select("flow_id")).unionByName(tops.where("not _seen_only").select("flow_id")).unionByName(turns.where("_a <> _b").select("flow_id"))
-    refused = checkpoint(refused.distinct())
-    verified = (F.col("b_status") == "verified") & (F.col("a_status") == "declared")
-    said = {"ord": F.col("b_ord"), "last": F.col("b_last"), "seen": F.coalesce("b_seen", "a_seen")}
-    said["status"] = F.when(F.coalesce(verified, F.lit(False)), "verified").otherwise(F.col("a_status"))
-    said["note"] = F.when(F.coalesce(verified, F.lit(False)), F.coalesce(F.nullif("a_note", F.lit("")), "b_note")).otherwise(F.col("a_note"))
-    pick = lambda c: F.col("node_id") if c == "node_id" else F.when(F.col("_a"), said.get(c, F.col(f"a_{c}"))).otherwise(F.col(f"b_{c}")).alias(c)
-    return both.join(refused, "flow_id", "left_anti").select("flow_id", *map(pick, names)), refused
+    names = [c for c in mine.columns if c not in ("flow_id", "node_id")]
+    flow, own = ["flow_id", "_theirs"], mine.select(*names).schema
+    both = mine.select("flow_id", F.lit(False).alias("_theirs"), "node_id", *names).unionByName(theirs.select("flow_id", F.lit(True).alias("_theirs"), "node_id", *names))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    titles = F.to_json(F.transform("branches", lambda x: F.coalesce(x["title"], F.lit(""))))
+    is_ = lambda kind: F.col("type") == kind
+    alike = F.when(is_("step"), F.to_json(F.array(*map(text, ("from", "to", "kind", "ref"))))).when(is_("alt"), F.coalesce(titles, F.lit(""))).when(is_("parallel"), F.coalesce(F.size("branches"), F.lit(-1)).cast("string")).otherwise(text("title"))
+    marks = ["flow_id", "_theirs", "node_id", "ord", "last", list_of(F.col("path")).alias("_list"), loud(mine).alias("_loud"), F.coalesce(is_("step"), F.lit(False)).alias("_step")]
+    both = both.select(*marks, F.to_json(F.array(text("type"), alike)).alias("_alike"), F.to_json(F.struct(*names)).alias("_node"))  # a node is one text on its way: most of its columns are empty
+    both = both.repartition(int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), "flow_id")  # said, as rows packed small are sorted at their whole size
+    behind = Window.partitionBy(*flow).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda which: F.coalesce(F.min(F.when(F.col(which), F.col("ord"))).over(behind) <= F.col("last"), F.lit(False))  # noqa: E731  what is below a node stands right behind it, up to ``last``
+    both = both.withColumns({"_loud_inside": below("_loud"), "_step_inside": below("_step")})
+    both = both.withColumn("_seen_only", ~F.col("_loud") & ~F.col("_loud_inside") & (F.col("_step") | F.col("_step_inside"))).drop("_loud", "_step", "_loud_inside", "_step_inside")
+    both = both.withColumn("_nth", F.row_number().over(Window.partitionBy(*flow, "_list", "node_id").orderBy("ord")))
+    alone = F.when(F.col("node_id").isNull() | F.col("_list").isNull(), F.col("_theirs"))  # what has no id meets nothing
+    side = lambda of: F.any_value(F.when(F.col("_theirs") == of, F.struct("ord", "last", "_alike", "_seen_only", "_node")), ignoreNulls=True)
+    both = both.groupBy("flow_id", "_list", "node_id", "_nth", alone.alias("_alone")).agg(side(False).alias("_a"), side(True).alias("_b")).drop("_nth", "_alone")
+    has, added = F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.col("_a").isNull()
+    before = Window.partitionBy("flow_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.max(F.when(added, F.col("_b.last"))).over(before) >= F.col("_at"), F.lit(False))  # of a frame that was added too
+    both = both.withColumns({"_has": has, "_at": F.col("_b.ord"), "_from": F.col("_a.ord")}).withColumn("_inside", inside)
+    passed = F.max("_from").over(Window.partitionBy("flow_id", "_list", "_has").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))  # the order of both is the same if none stands behind a later one
+    wrong = F.when(F.col("_b").isNull(), True).when(added, ~F.col("_inside") & ~F.col("_b._seen_only")).otherwise((F.col("_a._alike") != F.col("_b._alike")) | F.coalesce(F.col("_passed") > F.col("_from"), F.lit(False)))
+    both = both.withColumn("_passed", passed).withColumn("_refused", F.bool_or(wrong).over(Window.partitionBy("flow_id")))
+    both = both.select("flow_id", "node_id", "_refused", "_has", F.from_json("_a._node", own).alias("a"), F.from_json("_b._node", own).alias("b"))
+    verified = F.coalesce((F.col("b.status") == "verified") & (F.col("a.status") == "declared"), F.lit(False))
+    said = {"ord": F.col("b.ord"), "last": F.col("b.last"), "seen": F.coalesce("b.seen", "a.seen"), "status": F.when(verified, "verified").otherwise(F.col("a.status"))}
+    said["note"] = F.when(verified, F.coalesce(F.nullif("a.note", F.lit("")), "b.note")).otherwise(F.col("a.note"))
+    pick = lambda c: F.col("node_id") if c == "node_id" else F.when(F.col("_has"), said.get(c, F.col(f"a.{c}"))).otherwise(F.col(f"b.{c}")).alias(c)
+    laid = kept(both.select("flow_id", "_refused", *[pick(c) for c in mine.columns if c != "flow_id"]))
+    return laid.where("not _refused").drop("_refused"), laid.where("_refused").select("flow_id").distinct()
 
 
 def overlay_sources(t: dict[str, DataFrame], order: list[str]) -> dict[str, DataFrame]:
@@ -154,7 +143,7 @@ def nested(nodes: DataFrame) -> DataFrame:
     """
     steps = F.to_json(F.struct(F.col("type"), F.col("node_id").alias("id"), *[F.col(c) for c in WRITTEN], F.when(F.col("type") != "alt", F.col("title")).alias("title")))
     held = nodes.select("flow_id", "node_id", "parent_id", "branch", "ord", "type", "branches", F.size("path").alias("_depth"), joined_objects(steps, F.col("rest")).alias("_json"))
-    held = checkpoint(held)
+    held = kept(held)
     deepest = held.agg(F.max("_depth")).first()[0] or 0
     items = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(c), lambda x: x["_json"]), ", "), F.lit("]"))
     below = None
@@ -168,4 +157,4 @@ def nested(nodes: DataFrame) -> DataFrame:
         if depth == 0:
             return level.groupBy("flow_id").agg(items(F.collect_list("_item")).alias("steps"))
         lists_of = level.groupBy("flow_id", F.col("parent_id").alias("node_id"), "branch").agg(items(F.collect_list("_item")).alias("_list"))
-        below = checkpoint(lists_of.groupBy("flow_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct("branch", "_list"))).alias("_lists")))
+        below = kept(lists_of.groupBy("flow_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct("branch", "_list"))).alias("_lists")))
