@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasframe.operators.blocks import join_in_blocks
+from atlasframe.plans.checkpoints import kept
+
+#: Fixed value: as many rows are few enough to be sent to all tasks.
+FEW = 10_000
 
 
 def distinct_links(links: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -25,10 +29,17 @@ def usage_counts(found: DataFrame, target: str, version: str) -> DataFrame:
 
 
 def named_links(fields: DataFrame, enums: DataFrame, scope: list[str]) -> DataFrame:
-    """Fields typed by an enum: by its id (``ref``), else by its name inside ``scope``: id, owner, field, by_name."""
-    by_id = fields.join(enums.select(F.col("id").alias("ref")).distinct(), "ref").select(F.col("ref").alias("id"), "owner", "field", F.lit(False).alias("by_name"))
-    rest = fields.join(enums.select(F.col("id").alias("ref")).distinct(), "ref", "left_anti")
-    by_name = rest.join(enums.select("id", *scope, F.col("name").alias("type")), [*scope, "type"]).select("id", "owner", "field", F.lit(True).alias("by_name"))
+    """Fields typed by an enum: by its id (``ref``), else by its name inside ``scope``: id, owner, field, by_name.
+
+    Ids and names of enums are written first, so that Spark knows how small they are. Where enums have few different names, a field whose type is none of them goes nowhere.
+    """
+    known = kept(enums.select(F.col("id").alias("ref")).distinct())
+    by_id = fields.join(known, "ref").select(F.col("ref").alias("id"), "owner", "field", F.lit(False).alias("by_name"))
+    called = kept(enums.select(*scope, F.col("name").alias("type"), "id"))
+    names = kept(called.select(*scope, "type").distinct())
+    typed = fields.join(F.broadcast(names), [*scope, "type"], "left_semi") if names.count() <= FEW else fields
+    rest = typed.join(known, "ref", "left_anti").select(*scope, "type", "owner", "field")
+    by_name = join_in_blocks(rest, called, [*scope, "type"]).select("id", "owner", "field", F.lit(True).alias("by_name"))
     return by_id.unionByName(by_name)
 
 
