@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from atlasframe.operators.estate import handoff_key
 from atlasframe.operators.flow_trees import replies_at_exits
-from atlasframe.plans.checkpoints import checkpoint
+from atlasframe.plans.checkpoints import kept
 
 #: Fixed value: what the summary of a composed flow says at its end.
 COMPOSED = " Source-backed cross-protocol continuations are included."
@@ -56,32 +56,38 @@ def expanded(nodes: DataFrame, flows: DataFrame, ways: DataFrame, depth: int | N
 
     All roots grow at once, a level of entered flows a round, until none is left: a flow is not entered again on its own way, nor where the flow that leads to it includes it
     already; ``depth`` bounds the levels where given. The result's ``place`` (an array, whose order is the order of the nodes) and ``prefix`` (of ids) tell each copy of a node from the others.
+
+    Rounds carry entries only; nodes meet them once, behind the last. Many entries lead to few flows, so they are the left side of each join: Spark holds the rows that a key has on the right.
     """
     named = flows.select(F.col("id").alias("flow_id"), "slug", F.coalesce("includes", F.array().cast("array<string>")).alias("_includes"))
-    of = checkpoint(nodes.join(named, "flow_id"))  # read by each round, as are the ways
-    level = of.select(F.col("flow_id").alias("root"), F.array("ord").alias("place"), F.lit("").alias("prefix"), F.array("slug").alias("_way"), F.col("parent_id").alias("_p"), F.col("branch").alias("_b"), F.col("path").alias("_path"), *of.columns)
-    every, entered, k = level, None, 0
-    known = checkpoint(ways.join(named.select(F.col("flow_id").alias("next_flow"), F.col("slug").alias("_next_slug")), "next_flow"))
+    of = kept(nodes.join(named, "flow_id"))
+    next_slug = named.select(F.col("flow_id").alias("next_flow"), F.col("slug").alias("_next_slug"))
+    leads = of.where("type = 'step'").select("flow_id", "node_id", "ord", "slug", "_includes", "parent_id", "branch", "path").join(ways, ["flow_id", "node_id"]).join(next_slug, "next_flow")
+    leads = kept(leads.where(~F.array_contains("_includes", F.col("_next_slug"))).drop("_includes"))  # read by each round
+    up = ["_p", "_b", "_path"]
+
+    def inside(entries: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+        """``columns`` of rows that entered flows have, each at its place in the whole tree."""
+        at = entries.select("root", F.concat("place", F.array(F.col("nth").cast("long"))).alias("_inside"), F.col("_entered").alias("prefix"), "_way", *[F.col(c).alias(f"_up{c}") for c in up], F.col("next_flow").alias("flow_id"), F.col("opens").alias("_opens"))
+        frames = F.transform("path", lambda x: F.concat(F.regexp_extract(x, "^[^:]*:", 0), F.col("prefix"), F.regexp_replace(x, "^[^:]*:", "")))
+        top = F.col("parent_id").isNull()
+        return at.join(found, "flow_id").where("ord >= _opens").select(
+            "root", F.concat("_inside", F.array("ord")).alias("place"), "prefix", F.concat("_way", F.array("slug")).alias("_way"),
+            F.when(top, F.col("_up_p")).otherwise(F.concat("prefix", "parent_id")).alias("_p"), F.when(top, F.col("_up_b")).otherwise(F.col("branch")).alias("_b"), F.concat("_up_path", frames).alias("_path"), *columns,
+        )
+
+    own = [F.col("flow_id").alias("root"), F.array("ord").alias("place"), F.lit("").alias("prefix"), F.array("slug").alias("_way"), F.col("parent_id").alias("_p"), F.col("branch").alias("_b"), F.col("path").alias("_path")]
+    led = ["flow_id", "node_id", *[c for c in ways.columns if c not in ("flow_id", "node_id")], "_next_slug"]
+    every, entered, k, found = of.select(*own, *of.columns), None, 0, leads.select(*own, *led)
     while depth is None or k < depth:
         k += 1
-        found = level.where("type = 'step'").select("root", "place", "prefix", "_way", "_includes", "_p", "_b", "_path", "flow_id", "node_id").join(known, ["flow_id", "node_id"])
-        found = found.where(~F.array_contains("_way", F.col("_next_slug")) & ~F.array_contains("_includes", F.col("_next_slug")))
-        found = checkpoint(found.withColumn("_entered", F.concat("prefix", F.lit("continuation-"), "_next_slug", F.lit("-"), "node_id", F.lit("-"))))
+        found = found.where(~F.array_contains("_way", F.col("_next_slug")))
+        found = kept(found.withColumn("_entered", F.concat("prefix", F.lit("continuation-"), "_next_slug", F.lit("-"), "node_id", F.lit("-"))))
         if found.isEmpty():
             break
         entered = found if entered is None else entered.unionByName(found)
-        up = found.select("root", F.concat("place", F.array(F.col("nth").cast("long"))).alias("_inside"), F.col("_entered").alias("prefix"), "_way", *[F.col(c).alias(f"_up{c}") for c in ("_p", "_b", "_path")], F.col("next_flow").alias("flow_id"), "opens")
-        frames = F.transform("path", lambda x: F.concat(F.regexp_extract(x, "^[^:]*:", 0), F.col("prefix"), F.regexp_replace(x, "^[^:]*:", "")))
-        top = F.col("parent_id").isNull()
-        level = of.join(up, "flow_id").where("ord >= opens").select(
-            "root", F.concat("_inside", F.array("ord")).alias("place"), "prefix", F.concat("_way", F.array("slug")).alias("_way"),
-            F.when(top, F.col("_up_p")).otherwise(F.concat("prefix", "parent_id")).alias("_p"), F.when(top, F.col("_up_b")).otherwise(F.col("branch")).alias("_b"), F.concat("_up_path", frames).alias("_path"), *of.columns,
-        )
-        level = checkpoint(level)
-        every = every.unionByName(level)
-        if k % 8 == 0:  # the plan of a long chain stays short
-            every, entered = checkpoint(every), checkpoint(entered)
-    return every, entered
+        found = inside(found, leads, led)
+    return every if entered is None else every.unionByName(inside(entered, of, of.columns)), entered
 
 
 def placed(every: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def placed(every: DataFrame) -> DataFrame:
         F.col("root").alias("flow_id"), F.concat("prefix", "node_id").alias("node_id"), F.col("_p").alias("parent_id"), F.col("_b").alias("branch"), F.col("_path").alias("path"), F.when(F.col("replyTo").isNotNull(), F.concat("prefix", "replyTo")).alias("replyTo"),
         F.row_number().over(Window.partitionBy("root").orderBy("place")).cast("long").alias("ord"), F.col("flow_id").alias("_own_flow"), F.col("node_id").alias("_own_id"), "prefix", *[c for c in every.columns if c not in drop],
     )
-    return with_last(checkpoint(rows))
+    return with_last(kept(rows))
 
 
 def with_last(rows: DataFrame) -> DataFrame:
@@ -133,10 +139,10 @@ def composed(flows: DataFrame, nodes: DataFrame, answers: DataFrame, depth: int
     request opens at its own exits, unless a reply stands there already. A flow that was entered, has an entrypoint and no trigger of its own is told there
     and stands alone no more. Flows without any of this stay as they are. ``includes`` and ``summary`` say what has been put in.
     """
-    nodes = checkpoint(nodes)
+    nodes = kept(nodes)
     ways = doors(nodes, flows)
     every, entered = expanded(nodes, flows, ways, depth)
-    tree = checkpoint(placed(every))
+    tree = kept(placed(every))
     replied = nodes.where("kind = 'response' and replyTo is not null").select(F.col("flow_id").alias("_own_flow"), F.col("replyTo").alias("_own_id")).distinct()
     label = answers.select("ref", F.col("response").alias("_answer"))
     asks = tree.where("type = 'step' and kind = 'rpc'").join(label, "ref", "left")
@@ -151,9 +157,9 @@ def composed(flows: DataFrame, nodes: DataFrame, answers: DataFrame, depth: int
         at_once = entered.where("synchronous").select(F.col("root").alias("flow_id"), "place").distinct()
         inner = asks.where("_answer <> ''").join(at_once, ["flow_id", "place"]).join(replied, ["_own_flow", "_own_id"], "left_anti")
         asked = asked.unionByName(inner.select(*columns, F.col("_answer").alias("label"), F.lit("Synthesized from the proven synchronous unary gRPC return.").alias("note")))
-    replies = reply_rows(tree, checkpoint(asked))
-    kept = tree.withColumns({"after": F.col("ord"), "_deep": none.cast("int"), "exit": F.lit(0)})
-    joined = kept.unionByName(replies.withColumns({"rest": F.lit("{}"), "_src_path": none.cast("string")}), allowMissingColumns=True)
+    replies = reply_rows(tree, kept(asked))
+    told_once = tree.withColumns({"after": F.col("ord"), "_deep": none.cast("int"), "exit": F.lit(0)})
+    joined = told_once.unionByName(replies.withColumns({"rest": F.lit("{}"), "_src_path": none.cast("string")}), allowMissingColumns=True)
     order = Window.partitionBy("flow_id").orderBy("after", F.when(F.col("_deep").isNull(), 0).otherwise(1), F.desc("_deep"), "exit")
     joined = with_last(joined.drop("last").withColumn("ord", F.row_number().over(order).cast("long")))
     source = nodes.select("flow_id", "_src_path").distinct().withColumnRenamed("_src_path", "_src")
@@ -164,7 +170,7 @@ def composed(flows: DataFrame, nodes: DataFrame, answers: DataFrame, depth: int
     told = entered.join(into, "next_flow")
     listed = told.groupBy(F.col("root").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.concat("place", F.array(F.col("nth").cast("long"))).alias("p"), F.concat(F.array("_slug"), "_more").alias("s")))).alias("_l"))
     listed = listed.select("id", F.flatten(F.transform("_l", lambda x: x["s"])).alias("_put_in"))
-    consumed = told.where("entrypoint <> '' and _trigger = 'unproven'").select(F.col("next_flow").alias("id")).distinct()
+    consumed = entered.select("next_flow").distinct().join(into, "next_flow").where("entrypoint <> '' and _trigger = 'unproven'").select(F.col("next_flow").alias("id")).distinct()
     out = flows.join(listed, "id", "left").join(consumed, "id", "left_anti")
     more = F.col("_put_in").isNotNull()
     out = out.withColumn("includes", F.when(more, F.array_distinct(F.concat(F.coalesce("includes", F.array().cast("array<string>")), "_put_in"))).otherwise(F.col("includes")))
