@@ -104,9 +104,11 @@ def placed(every: DataFrame) -> DataFrame:
 
 
 def with_last(rows: DataFrame) -> DataFrame:
-    """Nodes with ``last``, the greatest ``ord`` at or below them."""
+    """Nodes with ``last``, the greatest ``ord`` at or below them. Steps have nothing below and go nowhere. ``rows`` are read several times."""
+    step = F.coalesce(F.col("type") == "step", F.lit(False))
     inside = rows.select("flow_id", F.col("ord").alias("_o"), F.explode("path").alias("_frame")).groupBy("flow_id", F.regexp_extract("_frame", r"^[^:]*:(.*):\d+(?::end)?$", 1).alias("node_id")).agg(F.max("_o").alias("_last"))
-    return rows.join(inside, ["flow_id", "node_id"], "left").withColumn("last", F.coalesce("_last", "ord")).drop("_last")
+    frames = rows.where(~step).join(inside, ["flow_id", "node_id"], "left").withColumn("last", F.coalesce("_last", "ord")).drop("_last")
+    return rows.where(step).withColumn("last", F.col("ord")).unionByName(frames)
 
 
 def reply_rows(tree: DataFrame, asked: DataFrame) -> DataFrame:
@@ -142,38 +144,41 @@ def composed(flows: DataFrame, nodes: DataFrame, answers: DataFrame, depth: int
     nodes = kept(nodes)
     ways = doors(nodes, flows)
     every, entered = expanded(nodes, flows, ways, depth)
-    tree = kept(placed(every))
+    into = flows.select(F.col("id").alias("next_flow"), F.col("slug").alias("_slug"), F.coalesce("includes", F.array().cast("array<string>")).alias("_more"), "entrypoint", F.coalesce("trigger.kind", F.lit("unproven")).alias("_trigger"))
+    if entered is not None:
+        consumed = kept(entered.select("next_flow").distinct().join(into, "next_flow").where("entrypoint <> '' and _trigger = 'unproven'").select(F.col("next_flow").alias("id")).distinct())
+        every = every.join(consumed.withColumnRenamed("id", "root"), "root", "left_anti")
+    tree = placed(every)
     replied = nodes.where("kind = 'response' and replyTo is not null").select(F.col("flow_id").alias("_own_flow"), F.col("replyTo").alias("_own_id")).distinct()
-    label = answers.select("ref", F.col("response").alias("_answer"))
-    asks = tree.where("type = 'step' and kind = 'rpc'").join(label, "ref", "left")
+    label = kept(answers.select("ref", F.col("response").alias("_answer")))  # these two are often small, and known to be so once they are written
+    http = kept(flows.where("trigger.kind = 'http'").select(F.col("id").alias("flow_id")))
+    calls = tree.where("type = 'step' and kind = 'rpc'")
+    opening = tree.where("type = 'step'").join(http, "flow_id", "left_semi").groupBy("flow_id").agg(F.min("ord").alias("ord"))
+    whole = calls.join(http, "flow_id").join(opening, ["flow_id", "ord"]).join(tree.where("kind = 'response'").select("flow_id", F.col("replyTo").alias("node_id")).distinct(), ["flow_id", "node_id"], "left_anti").join(label, "ref", "left")
     columns = [F.col("flow_id").alias("root"), "place", "node_id", "prefix", "_own_id", "from", "to", "status", "parent_id", "branch", "path"]
-    opening = tree.where("type = 'step'").groupBy("flow_id").agg(F.min("ord").alias("ord"))
-    http = flows.where("trigger.kind = 'http'").select(F.col("id").alias("flow_id"))
-    whole = asks.join(opening, ["flow_id", "ord"]).join(http, "flow_id").join(tree.where("kind = 'response'").select("flow_id", F.col("replyTo").alias("node_id")).distinct(), ["flow_id", "node_id"], "left_anti")
     none = F.lit(None)
     asked = whole.select(*columns, F.coalesce(F.nullif("_answer", F.lit("")), F.lit("HTTP response")).alias("label"), F.lit("Synthesized from the proven synchronous HTTP handler return.").alias("note"))
     asked = asked.withColumns({"place": none.cast("array<bigint>"), "parent_id": none.cast("string"), "branch": none.cast("bigint"), "path": F.array().cast("array<string>")})
     if entered is not None:
         at_once = entered.where("synchronous").select(F.col("root").alias("flow_id"), "place").distinct()
-        inner = asks.where("_answer <> ''").join(at_once, ["flow_id", "place"]).join(replied, ["_own_flow", "_own_id"], "left_anti")
+        inner = calls.join(label.where("_answer <> ''"), "ref").join(at_once, ["flow_id", "place"]).join(replied, ["_own_flow", "_own_id"], "left_anti")
         asked = asked.unionByName(inner.select(*columns, F.col("_answer").alias("label"), F.lit("Synthesized from the proven synchronous unary gRPC return.").alias("note")))
     replies = reply_rows(tree, kept(asked))
     told_once = tree.withColumns({"after": F.col("ord"), "_deep": none.cast("int"), "exit": F.lit(0)})
     joined = told_once.unionByName(replies.withColumns({"rest": F.lit("{}"), "_src_path": none.cast("string")}), allowMissingColumns=True)
     order = Window.partitionBy("flow_id").orderBy("after", F.when(F.col("_deep").isNull(), 0).otherwise(1), F.desc("_deep"), "exit")
-    joined = with_last(joined.drop("last").withColumn("ord", F.row_number().over(order).cast("long")))
+    joined = kept(joined.drop("last").withColumn("ord", F.row_number().over(order).cast("long")))
     source = nodes.select("flow_id", "_src_path").distinct().withColumnRenamed("_src_path", "_src")
-    joined = joined.join(source, "flow_id", "left").withColumn("_src_path", F.coalesce("_src_path", "_src")).select(*nodes.columns)
+    unsaid = joined.where("_src_path is null").join(source, "flow_id", "left").withColumn("_src_path", F.col("_src")).drop("_src")
+    joined = with_last(joined.where("_src_path is not null").unionByName(unsaid)).select(*nodes.columns)
     if entered is None:
         return flows, joined, nodes.select("flow_id", F.col("node_id").alias("step"), F.col("flow_id").alias("flow"), *[F.lit("").alias(c) for c in ("kind", "target", "basis")]).limit(0)
-    into = flows.select(F.col("id").alias("next_flow"), F.col("slug").alias("_slug"), F.coalesce("includes", F.array().cast("array<string>")).alias("_more"), "entrypoint", F.coalesce("trigger.kind", F.lit("unproven")).alias("_trigger"))
     told = entered.join(into, "next_flow")
     listed = told.groupBy(F.col("root").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.concat("place", F.array(F.col("nth").cast("long"))).alias("p"), F.concat(F.array("_slug"), "_more").alias("s")))).alias("_l"))
     listed = listed.select("id", F.flatten(F.transform("_l", lambda x: x["s"])).alias("_put_in"))
-    consumed = entered.select("next_flow").distinct().join(into, "next_flow").where("entrypoint <> '' and _trigger = 'unproven'").select(F.col("next_flow").alias("id")).distinct()
     out = flows.join(listed, "id", "left").join(consumed, "id", "left_anti")
     more = F.col("_put_in").isNotNull()
     out = out.withColumn("includes", F.when(more, F.array_distinct(F.concat(F.coalesce("includes", F.array().cast("array<string>")), "_put_in"))).otherwise(F.col("includes")))
     out = out.withColumn("summary", F.when(more, F.concat(F.rtrim(F.coalesce("summary", F.lit(""))), F.lit(COMPOSED))).otherwise(F.col("summary")))
     entries = told.select(F.col("root").alias("flow_id"), F.concat("prefix", "node_id").alias("step"), F.col("_slug").alias("flow"), "kind", "target", "basis").distinct()
-    return out.select(*flows.columns), joined.join(consumed.withColumnRenamed("id", "flow_id"), "flow_id", "left_anti"), entries.join(consumed.withColumnRenamed("id", "flow_id"), "flow_id", "left_anti")
+    return out.select(*flows.columns), joined, entries.join(consumed.withColumnRenamed("id", "flow_id"), "flow_id", "left_anti")

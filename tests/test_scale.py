@@ -251,7 +251,7 @@ def test_rounds_of_a_composition_carry_no_nodes(spark, monkeypatch):
     flows = spark.range(6).selectExpr("concat('f', id) as id", "concat('f', id) as slug", "'o' as owner", "concat('fn', id) as entrypoint", "'' as summary", "if(id = 1, array('f4'), null) as includes", "named_struct('kind', 'event') as trigger")
     frame = '[{"type": "step", "id": "a", "kind": "x", "from": "a", "to": "b"}, {"type": "loop", "id": "l", "title": "t", "steps": %s}, {"type": "step", "id": "z", "kind": "x", "from": "a", "to": "b"}]'
     _, nodes, entries = compose.composed(flows, flow_nodes(trees(spark, "x", *[frame % (ONE % ((i + 1) % 6)) for i in range(6)])), spark.createDataFrame([], "ref string, response string"))
-    assert sum("storeAccess" in columns for columns, _ in tables) == 4  # nodes, those with their flows, placed, and with their last
+    assert sum("storeAccess" in columns for columns, _ in tables) == 4  # nodes, those with their flows, placed, and with their replies
     rounds = [plan for columns, plan in tables if "_entered" in columns]
     assert len(rounds) == 6
     got = nodes.where("flow_id = 'f4'").orderBy("ord").collect()
